@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import BpeModel, token_digests
 from .exact_dedup import exact_dedup
 from .media import text_images
 from .mixing import mix
@@ -14,6 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the vocabulary file is; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_digests(_table(spark, sf_dir, "documents"), BpeModel(tokenizer_path()))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_images(_table(spark, sf_dir, "documents"), with_media=False).withColumnRenamed("id", "doc_id")
 
@@ -28,7 +41,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op5_mix_sources, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_media_columns, op5_mix_sources, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
