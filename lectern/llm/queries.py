@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import BpeModel, token_digests
 from .exact_dedup import exact_dedup
 from .media import text_images
+from .minhash import near_duplicates
 from .mixing import mix
 
 
@@ -36,12 +37,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_media_columns, op5_mix_sources, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_media_columns, op5_mix_sources, op7_minhash_dedup, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
