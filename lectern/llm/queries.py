@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .media import text_images
 from .minhash import near_duplicates
 from .mixing import mix
+from .quality import held_out, score_quality, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +42,18 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_media_columns, op5_mix_sources, op7_minhash_dedup, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_media_columns, op5_mix_sources, op7_minhash_dedup, op8_quality_classifier, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
