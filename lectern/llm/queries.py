@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .media import text_images
 from .minhash import near_duplicates
 from .mixing import mix
+from .pii import find_pii, train_spans
 from .quality import held_out, score_quality, train
 
 
@@ -38,6 +39,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return find_pii(docs, train_spans(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -53,7 +59,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_media_columns, op5_mix_sources, op7_minhash_dedup, op8_quality_classifier, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_media_columns, op5_mix_sources, op6_pii, op7_minhash_dedup, op8_quality_classifier, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
