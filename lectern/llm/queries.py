@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from .bpe import BpeModel, token_digests
 from .exact_dedup import exact_dedup
+from .licenses import scan_licenses
 from .media import text_images
 from .minhash import near_duplicates
 from .mixing import mix
 from .pii import find_pii, train_spans
 from .quality import held_out, score_quality, train
 
+from .token_counts import document_token_counts
+
+#: The end-of-document identifier of the byte-level vocabulary.
+SEPARATOR = 50256
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,6 +40,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_images(_table(spark, sf_dir, "documents"), with_media=False).withColumnRenamed("id", "doc_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -59,7 +69,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_media_columns, op5_mix_sources, op6_pii, op7_minhash_dedup, op8_quality_classifier, op9_exact_dedup)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = document_token_counts(_table(spark, sf_dir, "documents"), BpeModel(tokenizer_path()), SEPARATOR)
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_media_columns, op4_license_scan, op5_mix_sources, op6_pii, op7_minhash_dedup, op8_quality_classifier, op9_exact_dedup, op10_token_counts)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
