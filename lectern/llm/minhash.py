@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, Words, distinct_in_groups, materialize, mix, slices, text_buffers, windows
@@ -31,7 +31,7 @@ BANDS = REGISTERS // ROWS
 SHINGLE, SHARE = 4, 80
 BATCH_BYTES = 1 << 20
 #: Shingles of one block of documents that are compared with each other.
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 50_000
 _U = np.uint64
 
 
@@ -119,7 +119,7 @@ def _signed(batches):
             if len(some):
                 keys[some] = band_keys(superminhash(np.searchsorted(some, group), hashes, len(some)))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(digest[0]), pa.array(digest[1]), bands], names=["id", "n_shingles", "d0", "d1", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(digest[0]), pa.array(digest[1]), bands, batch.column(2).slice(i, j - i)], names=["id", "n_shingles", "d0", "d1", "bands", "key"])
 
 
 def _as_sets(batches):
@@ -185,8 +185,8 @@ def _compare_blocks(share: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: int = SHARE) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept (id = component_id).
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: int = SHARE, key: Column | None = None) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept (id = component_id), and ``key`` if given (a long).
 
     Sets hold the distinct shingles of four lower-cased words; shorter texts are one
     shingle; texts without words (null, empty) have none and are linked with nothing.
@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     ident = F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id")
     rows = docs.select(ident, F.col(text_column).cast("string").alias("body"))
-    signed = materialize(rows.mapInArrow(_signed, "id long, n_shingles long, d0 long, d1 long, bands array<long>"), "near-signed")
+    keyed = docs.select(ident, F.col(text_column).cast("string").alias("body"), (F.lit(0) if key is None else key).cast("long").alias("key"))
+    signed = materialize(keyed.mapInArrow(_signed, "id long, n_shingles long, d0 long, d1 long, bands array<long>, key long"), "near-signed")
 
     # Of a class, its digest's first half is the node of the graph and its least id the document whose text is read.
     classes = signed.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("x"))
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     wanted = pairs.select("rep").unionByName(pairs.select(F.col("centre").alias("rep"))).distinct()
     wanted = materialize(classes.join(wanted, "rep", "left_semi").select(F.col("least").alias("id")), "near-wanted")
-    sets = materialize(rows.join(wanted, "id", "left_semi").mapInArrow(_as_sets, "rep long, shingles binary"), "near-sets")
+    sets = materialize(rows.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_as_sets, "rep long, shingles binary"), "near-sets")
 
     left = sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("a"))
     right = sets.select("rep", F.col("shingles").alias("b"))
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     names = materialize(names.select(F.col("rep").alias("d0"), "d1", "least", F.coalesce("joined", "part").alias("part")), "near-names")
     least = materialize(names.groupBy("part").agg(F.min("least").alias("component")), "near-least")
     names = materialize(names.join(least, "part").select("d0", "d1", "component"), "near-components")
-    out = signed.select("id", "n_shingles", "d0", "d1").join(names, ["d0", "d1"], "left")
+    out = signed.select("id", "n_shingles", "d0", "d1", "key").join(names, ["d0", "d1"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
-    out = out.select(F.nullif("id", F.lit(NULL_ID)).alias("id"), "n_shingles", F.nullif(component, F.lit(NULL_ID)).alias("component_id"))
+    out = out.select(F.nullif("id", F.lit(NULL_ID)).alias("id"), "n_shingles", F.nullif(component, F.lit(NULL_ID)).alias("component_id"), *["key"] * (key is not None))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

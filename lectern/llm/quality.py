@@ -255,17 +255,20 @@ def score_quality(docs: DataFrame, model: CrfModel, id_column: str = "doc_id", t
     null ids, repeated rows and extra columns change nothing; an empty table gives an
     empty result.
     """
-    carried = docs.select(*[F.col(c) for c in payload or []])
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_body"), *[F.col(c) for c in payload or []])
-    schema = ", ".join(["id long", "score double", "predicted int", *(f"`{c}` {t}" for c, t in carried.dtypes)])
+    payload = payload or []
+    kinds = dict(docs.dtypes) | {text_column: "string"}
+    others = [c for c in payload if c != text_column]
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_body"), *[F.col(c) for c in others])
+    schema = ", ".join(["id long", "score double", "predicted int", *(f"`{c}` {kinds[c]}" for c in payload)])
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             found = [model.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, BATCH_BYTES)]
             score = np.concatenate(found) if found else np.zeros(0)
-            columns = [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "score", "predicted", *batch.schema.names[2:]])
+            carried = [batch.column(1 if c == text_column else 2 + others.index(c)) for c in payload]
+            columns = [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *carried]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "score", "predicted", *payload])
 
     return rows.mapInArrow(run, schema)
 
