@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import Words, slices, text_buffers
 
 #: Bytes of text in one batch of rounds, and words whose encodings a worker keeps.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 CACHE_WORDS = 300_000
 _NONE = np.int64(2**62)
 
@@ -34,6 +34,23 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Pieces:
+    """Byte strings by number, in one flat array."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def join(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[bytes, list[int]]:
+        """The strings of ``ids`` one after another, and where those of ids[cuts] begin."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at].tobytes(), np.r_[0, ends][cuts].tolist()
+
+
 class BpeModel:
     """Vocabulary and merges of a byte-level BPE file; small (bounded by the file) and picklable."""
 
@@ -49,6 +66,8 @@ class BpeModel:
             self.table[i] = token.encode() if token in added else bytes(back[c] for c in token)
         for token, i in added.items():
             self.table[i] = token.encode()
+        self.pieces = Pieces(self.table)
+        self.numerals = Pieces([b"%d," % i for i in range(size)])
         self.special = {t.encode(): i for t, i in sorted(added.items(), key=lambda x: -len(x[0]))}
         self.first = np.array([vocab[c] for c in letters], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -164,16 +183,22 @@ def word_starts(points: np.ndarray, doc_heads: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the encodings of words it has seen."""
+    """Encodes batches of texts; keeps the encodings of words it has seen, in flat arrays."""
 
     def __init__(self, model: BpeModel, special: bool = True):
         self.model = model
         self.special = model.special if special else {}
+        self._forget()
+
+    def _forget(self) -> None:
         self.place: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+        # The first words are the special tokens.
+        self.flat = np.array(list(self.model.special.values()), np.int32)
+        self.starts = np.arange(len(self.flat))
+        self.sizes = np.ones(len(self.flat), np.int64)
 
     def _known(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Indices in self.ids of the words data[start:end]."""
+        """Numbers of the words data[start:end] in the store, where new ones are put."""
         words = Words.__new__(Words)
         words.start, words.end = start, end
         hashes = words._hashes(data, False, 1 << 20)
@@ -184,109 +209,73 @@ class Encoder:
         new = np.flatnonzero(place < 0)
         if len(new):
             flat, counts = self.model.merge(data, start[where[new]], end[where[new]])
-            place[new] = np.arange(len(self.ids), len(self.ids) + len(new))
+            place[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
             self.place.update(zip(distinct[new].tolist(), place[new].tolist(), strict=True))
-            self._learn(np.split(flat, np.cumsum(counts)[:-1]))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+            self.sizes = np.concatenate([self.sizes, counts])
         return place[inverse]
 
-    def _forget(self) -> None:
-        self.place.clear()
-        self.ids.clear()
-
-    def _learn(self, ids: list[np.ndarray]) -> None:
-        self.ids += ids
-
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For valid UTF-8 texts: an index into self.ids for each pre-token (-1 - id for a special token), and offsets per text."""
+        """For valid UTF-8 texts: the number of each pre-token in the store, and where each text's begin."""
         cuts, marks = self._specials(data, offsets)
         heads = np.flatnonzero((data & 0xC0) != 0x80)
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         begin = np.searchsorted(heads, cuts[cuts < len(data)])
         at = heads[np.flatnonzero(word_starts(points, begin))] if len(points) else np.zeros(0, np.int64)
-        token = np.searchsorted(at, marks[:, 0]) if len(marks) else np.zeros(0, np.int64)
+        token = np.searchsorted(at, marks[:, 0])
         if len(marks):  # what stands inside a special token is one token
             inside = np.searchsorted(at, marks[:, 1]) - token
             drop = np.repeat(token, inside) + np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside)
-            drop = np.setdiff1d(drop, token)
-            at = np.delete(at, drop)
+            at = np.delete(at, np.setdiff1d(drop, token))
             token = np.searchsorted(at, marks[:, 0])
         end = np.r_[at[1:], len(data)] if len(at) else at
-        index = np.empty(len(at), np.int64)
+        number = np.empty(len(at), np.int64)
         plain = np.ones(len(at), bool)
         plain[token] = False
         if plain.any():
-            index[plain] = self._known(data, at[plain], end[plain])
-        index[token] = -1 - marks[:, 2] if len(marks) else 0
-        return index, np.searchsorted(at, offsets)
+            number[plain] = self._known(data, at[plain], end[plain])
+        number[token] = marks[:, 2]
+        return number, np.searchsorted(at, offsets)
 
     def _specials(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where words must begin anew, and (start, end, id) of special tokens, leftmost first."""
+        """Where words must begin anew, and (start, end, number) of special tokens, leftmost first."""
         found: list[tuple[int, int, int]] = []
-        raw = data.tobytes() if any(self.special) else b""
-        for token, i in self.special.items():
+        raw = data.tobytes() if self.special else b""
+        for number, token in enumerate(self.special):
             at = raw.find(token)
             while at >= 0:
                 doc = int(np.searchsorted(offsets, at, "right"))
                 if at + len(token) <= offsets[doc] and not any(a < at + len(token) and at < b for a, b, _ in found):
-                    found.append((at, at + len(token), i))
+                    found.append((at, at + len(token), number))
                     at = raw.find(token, at + len(token))
                 else:
                     at = raw.find(token, at + 1)
         marks = np.array(sorted(found), np.int64).reshape(-1, 3)
         return np.unique(np.concatenate([offsets[:-1], marks[:, 0], marks[:, 1]])), marks
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Token ids of each text."""
-        index, first = self.words(data, offsets)
-        ids = self.ids
-        parts = [ids[k] if k >= 0 else np.array([-1 - k]) for k in index.tolist()]
-        return [np.concatenate([np.zeros(0, np.int64), *parts[a:b]]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-
-
-class DigestEncoder(Encoder):
-    """Also keeps, for each word, its ids as decimal text and what its ids decode to."""
-
-    def __init__(self, model: BpeModel, special: bool = True):
-        super().__init__(model, special)
-        self.shown: list[str] = []
-        self.bytes: list[bytes] = []
-        self.count: list[int] = []
-
-    def _forget(self) -> None:
-        super()._forget()
-        self.shown.clear()
-        self.bytes.clear()
-        self.count.clear()
-
-    def _learn(self, ids: list[np.ndarray]) -> None:
-        super()._learn(ids)
-        table = self.model.table
-        for x in ids:
-            x = x.tolist()
-            self.shown.append(",".join(map(str, x)))
-            self.bytes.append(b"".join([table[i] for i in x]))
-            self.count.append(len(x))
-
-    def digests(self, data: np.ndarray, offsets: np.ndarray):
-        """Per text: number of tokens, its ids in decimal joined by commas, decoded bytes."""
-        index, first = self.words(data, offsets)
-        index = index.tolist()
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            own = index[a:b]
-            if own and min(own) < 0:
-                yield (
-                    sum(self.count[k] if k >= 0 else 1 for k in own),
-                    ",".join(self.shown[k] if k >= 0 else str(-1 - k) for k in own),
-                    b"".join(self.bytes[k] if k >= 0 else self.model.table[-1 - k] for k in own),
-                )
-            else:
-                yield sum([self.count[k] for k in own]), ",".join([self.shown[k] for k in own]), b"".join([self.bytes[k] for k in own])
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, and where each text's begin (and the last one's end)."""
+        number, first = self.words(data, offsets)
+        sizes = self.sizes[number]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[number] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at], np.r_[0, ends][first]
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("body"))
 
 
+def _encoded(batches, encoder: Encoder):
+    """(ids of rows, token ids, cuts) of texts, some megabytes at a time."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(1))
+        for i, j in slices(offsets, BATCH_BYTES):
+            yield batch.column(0).slice(i, j - i), *encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+
 def encode_texts(docs: DataFrame, model: BpeModel, id_column: str = "doc_id", text_column: str = "text", special: bool = True) -> DataFrame:
     """id and ids (array<int>) of every row's text.
 
@@ -297,14 +286,9 @@ def encode_texts(docs: DataFrame, model: BpeModel, id_column: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary file
 
     def run(batches):
-        encoder = Encoder(shared.value, special)
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for i, j in slices(offsets, BATCH_BYTES):
-                part = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                ends = np.cumsum([0, *map(len, part)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(part), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids], names=["id", "ids"])
+        for rows, ids, cuts in _encoded(batches, Encoder(shared.value, special)):
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([rows, lists], names=["id", "ids"])
 
     return _rows(docs, id_column, text_column).mapInArrow(run, "id long, ids array<int>")
 
@@ -324,20 +308,25 @@ def decode_texts(encoded: DataFrame, model: BpeModel, ids_column: str = "ids", o
     return keep.mapInArrow(run, schema)
 
 
-def token_digests(docs: DataFrame, model: BpeModel, id_column: str = "doc_id", text_column: str = "text", special: bool = True) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256; as encode_texts, then decode_texts, without moving the ids."""
+def token_digests(docs: DataFrame, model: BpeModel, id_column: str = "doc_id", text_column: str = "text", special: bool = True, with_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids: as encode_texts, then decode_texts of those ids.
+
+    Both directions run in one task, so ids and decoded texts don't travel.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches):
-        encoder = DigestEncoder(shared.value, special)
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for i, j in slices(offsets, BATCH_BYTES):
-                found = []
-                for n, shown, raw in encoder.digests(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    text = raw.decode("utf-8", "replace").encode()
-                    found.append((n, hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
-                columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _rows(docs, id_column, text_column).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        model = shared.value
+        for rows, ids, cuts in _encoded(batches, Encoder(model, special)):
+            shown, shown_at = model.numerals.join(ids, cuts)
+            raw, raw_at = model.pieces.join(ids, cuts)
+            numbers = [hashlib.sha256(shown[a : max(a, b - 1)]).hexdigest() for a, b in zip(shown_at[:-1], shown_at[1:], strict=True)]
+            texts = [hashlib.sha256(raw[a:b].decode("utf-8", "replace").encode()).hexdigest() for a, b in zip(raw_at[:-1], raw_at[1:], strict=True)]
+            columns = [rows, pa.array(np.diff(cuts)), pa.array(numbers), pa.array(texts)]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _rows(docs, id_column, text_column).mapInArrow(run, schema)

@@ -48,10 +48,9 @@ def pack_streams(docs: DataFrame, model: BpeModel, separator: int, id_column: st
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in slices(offsets, BATCH_BYTES):
-                for ids in encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    pending.append(ids.astype(kind))
-                    pending.append(np.array([separator], kind))
-                    size += len(ids) + 1
+                ids, cuts = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                pending.append(np.insert(ids, cuts[1:], separator).astype(kind))
+                size += len(pending[-1])
                 yield rows_of(range(place, place + j - i), batch.column(0).slice(i, j - i), [None] * (j - i))
                 place += j - i
                 if size >= block_tokens:
