@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.bpe import BpeModel, decode_texts, encode_texts
+from lectern.llm.bpe import BpeModel, token_digests
 from lectern.llm.common import materialize
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.minhash import near_duplicates
@@ -88,9 +88,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number, and a digest of what they decode to."""
-    model = BpeModel(tokenizer_path())
-    decoded = decode_texts(encode_texts(docs, model), model)
-    return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokens = token_digests(docs, BpeModel(tokenizer_path()), with_ids=True)
+    return tokens.select(F.col("id").alias("doc_id"), "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
