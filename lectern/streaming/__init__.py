@@ -1 +1 @@
-
+"""Streams: watching a folder, registering documents, live tables."""
