@@ -146,14 +146,14 @@ def join_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def windows(hashes: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``length`` words inside one text, by doubling, and their first words."""
+    n = len(hashes) - length + 1
+    if n <= 0:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
     size, h = 1, hashes
-    while size < length and len(h):
+    while size < length:
         step = min(size, length - size)
         h = join_hashes(h[: len(h) - step], h[step:])
         size += step
-    n = len(hashes) - length + 1
-    if n <= 0:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
     at = np.flatnonzero(doc[:n] == doc[length - 1 :])
     return h[:n][at], at
 

@@ -46,6 +46,8 @@ _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 def decode_netpbm(blob: bytes) -> np.ndarray:
     """P1 to P6: bit, grey and colour maps, plain and raw, 8 or 16 bits a sample."""
     kind, at, numbers = blob[:2], 2, []
+    if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
+        raise ValueError(f"not Netpbm: {kind!r}")
     for _ in range(2 if kind in (b"P1", b"P4") else 3):
         m = _TOKEN.match(blob, at)
         if not m:
@@ -65,10 +67,8 @@ def decode_netpbm(blob: bytes) -> np.ndarray:
         stride = (width + 7) // 8
         bits = np.unpackbits(np.frombuffer(blob, np.uint8, stride * height, at + 1).reshape(height, stride), axis=1)
         flat = 1 - bits[:, :width].reshape(-1)
-    elif kind in (b"P5", b"P6"):
-        flat = np.frombuffer(blob, np.uint8 if top < 256 else ">u2", count, at + 1)
     else:
-        raise ValueError(f"not Netpbm: {kind!r}")
+        flat = np.frombuffer(blob, np.uint8 if top < 256 else ">u2", count, at + 1)
     if len(flat) != count:
         raise ValueError("a Netpbm raster ends early")
     return flat.astype(np.uint16 if top > 255 else np.uint8).reshape(shape)

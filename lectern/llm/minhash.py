@@ -54,7 +54,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
 
 
 def superminhash(group: np.ndarray, hashes: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
-    """Signatures (n, registers) of sets given as rows (group, hash), sorted by group; each set has an element."""
+    """Signatures (n, registers) of sets given as rows (group, hash), sorted by group; each set has an element.
+
+    At most 256 registers: a step number takes one byte of a value.
+    """
+    if not 0 < registers <= 256:
+        raise ValueError("1 to 256 registers")
     m, full = registers, _U(2**64 - 1)
     out = np.full(n * m, full)
     swaps: np.ndarray | None = None
@@ -146,8 +151,7 @@ def _linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
 def _verify(share: int):
     def run(batches):
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [_linked(np.frombuffer(x, _U), np.frombuffer(y, _U), share) for x, y in zip(a, b, strict=True)]
+            ok = [_linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), share) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
     return run
@@ -159,7 +163,7 @@ def _compare_blocks(share: int):
     def run(table: pa.Table) -> pa.Table:
         ids, comp = table["rep"].to_numpy(), table["component"].to_numpy()
         loose, side = table["loose"].to_numpy(zero_copy_only=False), table["side"].to_numpy()
-        sets = [np.frombuffer(x, _U) for x in table["shingles"].to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in table["shingles"]]
         sizes = np.array([len(x) for x in sets])
         alone = (table["i"][0].as_py() == table["j"][0].as_py()) if len(ids) else True
         found: list[tuple[int, int]] = []

@@ -241,9 +241,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     found = sorted(rows.mapInArrow(run, "id long, label int, lines binary").collect(), key=lambda r: (r.id, r.label, bytes(r.lines)))
     tables = [np.frombuffer(r.lines, np.float32).reshape(-1, len(NAMES)) for r in found]
     if not tables:  # nothing to learn from: every text gets the same score
-        tables, found_labels = [np.zeros((1, len(NAMES)), np.float32)], np.array([1])
-    else:
-        found_labels = np.array([r.label for r in found])
+        return fit(np.zeros((1, len(NAMES))), np.array([0, 1]), np.array([1]), rounds=0)
+    found_labels = np.array([r.label for r in found])
     first = np.cumsum([0, *map(len, tables)])
     return fit(np.concatenate(tables).astype(float), first, found_labels)
 

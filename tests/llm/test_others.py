@@ -1,0 +1,309 @@
+"""The other operators against plain versions, libraries and round trips, on awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.llm import licenses, media, pii
+from lectern.llm.bpe import BpeModel, decode_texts, encode_texts, token_digests
+from lectern.llm.mixing import mix
+from lectern.llm.quality import score_quality, train
+from lectern.llm.queries import QUERIES, tokenizer_path
+from lectern.llm.token_counts import document_token_counts, pack_streams, read_token_files, separator_scan
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string, id string, body string, key string, size int, label string"
+ODD = [
+    (1, "Plain words here, don't we'll see."),
+    (2, None),
+    (3, ""),
+    (4, "  \n\t x y z 漢字😀 é 1²½ \x1c\x85"),
+    (5, "<|endoftext|>a<|endoftext|><|endoftext|> b<|endo"),
+    (6, "'s 't're  'stop '' ' s"),
+    (7, "a" * 30_000),
+    (8, "word " * 4_000),
+    (None, "no id"),
+    (1, "Plain words here, don't we'll see."),
+    (9, "end with spaces   "),
+]
+
+
+def frame(spark, rows, parts=3):
+    return spark.createDataFrame([(i, t, f"s{(i or 0) % 3}", "x", "y", "k", 1, "l") for i, t in rows], SCHEMA).repartition(parts)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def model():
+    return BpeModel(tokenizer_path())
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def test_bpe_equals_the_library(spark, model, library):
+    rng = random.Random(0)
+    pieces = [*"abc  '\n\t stredvml' é漢😀1²_-.,\x1c\x85 ́ſ", "<|endoftext|>", "'re", "  ", "\r\n", "aaaa", "The "]
+    rows = ODD + [(100 + k, "".join(rng.choices(pieces, k=rng.randint(0, 50)))) for k in range(400)]
+    found = token_digests(frame(spark, rows), model, with_ids=True).collect()
+    want = {}
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.setdefault(i, []).append((len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)), ids))
+    got = {}
+    for r in found:
+        got.setdefault(r.id, []).append((r.n_tokens, r.ids_sha256, r.decoded_sha256, list(r.ids)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_bpe_round_trip(spark, model):
+    docs = frame(spark, ODD)
+    back = decode_texts(encode_texts(docs, model), model).collect()
+    assert sorted((str(r.id), r.decoded) for r in back) == sorted((str(i), t or "") for i, t in ODD)
+    assert encode_texts(docs.limit(0), model).count() == 0
+    assert decode_texts(spark.createDataFrame([(None,)], "ids array<int>"), model).first().decoded is None
+
+
+def test_token_counts(spark, model, library):
+    library.encode_special_tokens = True
+    rows = ODD + [(k, f"text number {k} " * (k % 7)) for k in range(200, 300)]
+    found = document_token_counts(frame(spark, rows), model, 50256).collect()
+    want = sorted((str(i), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    library.encode_special_tokens = False
+    assert sorted((str(r.id), r.n_tokens) for r in found) == want
+    assert document_token_counts(frame(spark, []).limit(0), model, 50256).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_separator_scan_of_files(spark, tmp_path, monkeypatch, block):
+    """Documents that cross blocks, empty ones, an unended last one, blocks without separators, several segments."""
+    monkeypatch.setattr("lectern.llm.token_counts.SEGMENT_BLOCKS", 4)
+    rng = np.random.default_rng(block)
+    want = []
+    for n in range(3):
+        sizes = rng.integers(0, 30, 12).tolist()
+        tokens = np.concatenate([np.r_[rng.integers(0, 9, s), 9] for s in sizes]).astype("<u2")
+        if n == 1:
+            tokens, sizes = np.r_[tokens, [1, 2, 3]].astype("<u2"), [*sizes, 3]
+        (tmp_path / f"{n}.bin").write_bytes(tokens.tobytes())
+        want += [(n, k, s) for k, s in enumerate(sizes)]
+    (tmp_path / "3.bin").write_bytes(b"")
+    found = separator_scan(read_token_files(spark, str(tmp_path), 2, block), 9).collect()
+    assert sorted((int(re.search(r"(\d)\.bin", r.file)[1]), r.place, r.n_tokens) for r in found) == want
+
+
+def test_small_blocks_of_packed_streams(spark, model):
+    blocks, places = pack_streams(frame(spark, ODD), model, 50256, block_tokens=5)
+    assert blocks.where("length(payload) > 10").count() == 0
+    counts = separator_scan(blocks, 50256)
+    assert places.join(counts, ["file", "place"]).count() == len(ODD)
+
+
+def test_media_reads_back_what_it_stored(spark):
+    found = media.text_images(frame(spark, ODD)).collect()
+    by_text = {}
+    for r in found:
+        image = media.decode(bytes(r.media))
+        raw = image.tobytes()
+        assert image.shape[1] == 64 and len(raw) % 64 == 0 and len(raw) >= 64
+        assert (r.payload_sha256, r.tail_crc32, r.media_bytes) == (hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(r.media))
+        by_text.setdefault(raw[: r.n_bytes], set()).add((r.media_sha256, r.feature))
+    assert all(len(v) == 1 for v in by_text.values())
+    assert set(by_text) == {(t or "").encode() for _, t in ODD}
+    assert media.text_images(frame(spark, []).limit(0)).count() == 0
+
+
+def test_image_formats():
+    rng = np.random.default_rng(0)
+    grey, colour = rng.integers(0, 256, (5, 7), dtype=np.uint8), rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    assert (media.decode(media.encode_pgm(grey)) == grey).all()
+    assert (media.decode(media.encode_bmp(grey)) == grey).all()
+    assert (media.decode(media.encode_bmp(colour)) == colour).all()
+    assert (media.decode(b"P6 7 5 255\n" + colour.tobytes()) == colour).all()
+    assert (media.decode(b"P2 # c\n2 2\n9\n1 2\n3 # x\n4") == [[1, 2], [3, 4]]).all()
+    assert (media.decode(b"P1\n3 2\n101 010") == [[0, 1, 0], [1, 0, 1]]).all()
+    assert (media.decode(b"P4\n3 2\n\xa0\x40") == [[0, 1, 0], [1, 0, 1]]).all()
+    assert (media.decode(b"P5 2 1 1000\n\x01\x00\x02\x00") == [[256, 512]]).all()
+    with pytest.raises(ValueError, match="Netpbm"):
+        media.decode(b"GIF89a 1 1 1 ")
+
+
+def test_area_resize_is_exact():
+    image = np.arange(12, dtype=float).reshape(3, 4)
+    assert np.allclose(media.area_resize(image, 3, 4), image)
+    assert np.allclose(media.area_resize(image, 1, 1), image.mean())
+    assert np.allclose(media.area_resize(image, 1, 2), [[image[:, :2].mean(), image[:, 2:].mean()]])
+    up = media.area_resize(image, 6, 8)
+    assert np.allclose(up[::2, ::2], image) and np.isclose(up.mean(), image.mean())
+
+
+def test_media_features_of_files(spark):
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (40, 50), dtype=np.uint8)
+    rows = [(1, media.encode_pgm(image)), (2, media.encode_bmp(image)), (3, b"broken"), (4, None)]
+    found = {r.n: r for r in media.media_features(spark.createDataFrame(rows, "n int, media binary")).collect()}
+    assert found[1].dhash == found[2].dhash and (found[1].height, found[1].width) == (40, 50)
+    assert np.load(__import__("io").BytesIO(bytes(found[1].tiles[0]))).shape == (32, 32)
+    assert found[3].dhash is None and found[4].tiles is None
+
+
+def plain_licenses(rows):
+    split = lambda x: re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+    out = []
+    for i, t in rows:
+        w = split(t)
+        for name, text in licenses.TEMPLATES.items():
+            tw = split(text)
+            n = min(5, len(tw))
+            grams = lambda x: {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}  # noqa: B023, E731
+            size = 1 << int(np.ceil(np.log2(2 * len(tw))))
+            best = max((len(grams(w[s : s + size]) & grams(tw)) / len(grams(tw)) for s in range(0, len(w), size // 2)), default=0)
+            if best >= 0.8:
+                out.append((str(i), name, round(best, 9)))
+    return sorted(out)
+
+
+def test_licenses_equal_all_windows(spark):
+    rng = random.Random(0)
+    filler = lambda n: " ".join(rng.choices("the of and source code license version under".split(), k=n))
+    rows = list(ODD)
+    for k, text in enumerate(licenses.TEMPLATES.values()):
+        w = text.split()
+        rows.append((100 + k, f"{filler(rng.randint(0, 90))} {text} {filler(40)}"))
+        if len(w) > 30:
+            w[len(w) // 2] = "changed"
+            rows.append((200 + k, f"{filler(rng.randint(0, 90))} {' '.join(w)}"))
+            rows.append((300 + k, " ".join(w[: len(w) // 2])))
+        rows.append((400 + k, f"{text.upper()} {text}"))
+    found = licenses.scan_licenses(frame(spark, rows)).collect()
+    assert sorted((str(r.id), r.license, round(r.containment, 9)) for r in found) == plain_licenses(rows)
+    assert licenses.scan_licenses(frame(spark, []).limit(0)).count() == 0
+
+
+def test_mix_meets_targets(spark):
+    rng = random.Random(1)
+    rows = [(k, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "a", "a", "a", "b", "c", None, "Z"])) for k in range(800)]
+    rows += [(5, "twice the id", "a"), (None, "no id here", "b"), (900, None, "c"), (901, "alone", "z")]
+    docs = spark.createDataFrame([(*r, "q", 1.0) for r in rows], "doc_id long, text string, source string, size string, target double")
+    found = mix(docs).collect()
+    again = mix(docs.repartition(7)).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    names = sorted((s for s in size if s is not None)) + ([None] if None in size else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    free, target = set(names), {}
+    while True:
+        left = sum(size.values()) - sum(target.values())
+        over = [s for s in free if left * weight[s] / sum(weight[x] for x in free) > 3 * size[s]]
+        if not over:
+            break
+        target |= {s: 3.0 * size[s] for s in over}
+        free -= set(over)
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    got = {}
+    for r in found:
+        assert 0 <= r.taken <= 3 * r.size
+        got.setdefault((r.source_size, round(r.target, 6)), []).append(r.taken)
+    for s in names:
+        assert abs(sum(got[size[s], round(target[s], 6)]) - target[s]) < 1
+    assert mix(docs.limit(0)).count() == 0
+
+
+def test_mix_prefers_heavy_documents(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'one two three' AS text", "CASE WHEN id < 2000 THEN 'a' WHEN id < 3000 THEN 'b' ELSE 'c' END AS source")
+    found = mix(docs, weights=(1.0, 4.0, 4.0), quality=F.when(F.col("doc_id") % 2 == 0, 9.0).otherwise(1.0)).where("id < 2000")
+    taken = {r.even: r.n for r in found.groupBy((F.col("id") % 2 == 0).alias("even")).agg(F.sum("taken").alias("n")).collect()}
+    assert taken[True] > 2 * taken[False]
+
+
+def plain_pii(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for kind, pattern, low, high in (("card", r"[0-9]([\x20-]?[0-9])+", 13, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(pattern, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            if low <= len(digits) <= high and (kind == "phone" or pii.luhn(digits)):
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(2)
+    for _ in range(5000):
+        t = "".join(rng.choices("a1234567890@@..+ -()%é", k=rng.randint(0, 40)))
+        assert sorted(pii.base_spans(t)[0]) == sorted(plain_pii(t)), t
+
+
+def test_pii_finds_planted_and_leaves_clean(spark):
+    clean = [(k, "Nothing of note is said here, on 12 May 2020, at 10.5 per cent or page 33.") for k in range(20)]
+    planted = []
+    for k in range(20):
+        planted.append((100 + k, f"Write to ann{k}@mail.example.com or call +1 (212) 555-{1000 + k}; host 10.0.{k}.7 é"))
+        planted.append((200 + k, f'token = "{hashlib.sha1(str(k).encode()).hexdigest()}" and card 4111 1111 1111 1111'))
+    rows = clean + planted + ODD
+    docs = frame(spark, rows)
+    found = pii.find_pii(docs, pii.train_spans(docs)).collect()
+    for r in found:
+        texts = [t for i, t in rows if i == r.id]
+        base = sorted(plain_pii(texts[0] or ""), key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        shown = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == sha(shown)
+        assert set(filter(None, shown.split(","))) <= set(r.spans.split(","))
+        if r.id is not None and r.id < 20:
+            assert r.spans == ""
+        if r.id is not None and 200 <= r.id < 300:
+            assert "secret:9:49" in r.spans and r.n_card == 1
+    assert pii.train_spans(docs.limit(0)).sum() == 0
+    assert pii.find_pii(docs.limit(0), pii.train_spans(docs)).count() == 0
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 200_000, "1" * 200_000, "a@" * 50_000, "1." * 50_000, "+1" * 50_000):
+        pii.candidates(text)
+
+
+def test_quality_learns_and_scores_all(spark):
+    rng = random.Random(3)
+    good = lambda: "\n".join(" ".join(rng.choices("ther of and the inon onal tion hent".split(), k=12)).capitalize() + "." for _ in range(rng.randint(1, 6)))
+    bad = lambda: "\n".join("!! ".join(rng.choices("THER ANDO INON HENT".split(), k=12)) + "!!" for _ in range(rng.randint(1, 6)))
+    rows = [(k, good() if k % 3 else bad()) for k in range(600)]
+    docs = frame(spark, rows + [(1000, None), (1001, ""), (None, good()), (1002, "x " * 50_000), (1003, "\n" * 3000)])
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k, _ in rows] + [(None, 1, 0), (7, None, 1)], "doc_id long, quality int, toxic int")
+    model = train(docs, labels, sample_docs=300)
+    found = score_quality(docs, model, payload=["doc_id", "text", "source"]).collect()
+    assert len(found) == len(rows) + 5
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in found)
+    held = [r for r in found if r.doc_id is not None and r.doc_id < 600 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert np.mean([r.predicted == int(r.doc_id % 3 > 0) for r in held]) > 0.97
+    assert {r.doc_id: r.text for r in found}[1000] is None
+    assert score_quality(docs.limit(0), model).count() == 0
+    empty = train(docs, labels.limit(0))
+    assert {round(r.score, 9) for r in score_quality(docs, empty).collect()} == {0.5}
+
+
+def test_labels_of_the_held_out_fold_change_nothing(spark):
+    rows = [(k, f"{'A! ' if k % 2 else 'a. '}" * 9) for k in range(80)]
+    docs = frame(spark, rows)
+    label = lambda k, flip: int(k % 2 == 0) ^ (flip and zlib.crc32(str(k).encode()) % 4 == 2)
+    models = [train(docs, spark.createDataFrame([(k, label(k, f)) for k, _ in rows], "doc_id long, quality int")) for f in (False, True)]
+    assert np.array_equal(models[0].weights, models[1].weights)
+
+
+def test_all_ten_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
