@@ -206,12 +206,35 @@ def is_prose(paragraph: Column) -> Column:
 
 
 def sentence_cut(text: Column, limit: int) -> Column:
-    """At most ``limit`` characters, ended after the last sentence that fits, else after a word."""
-    window = F.substring(text, 1, limit)
-    whole = F.regexp_extract(window, r"(?s)^(.*[.!?])(?:\s.*)?$", 1)
-    cut = F.regexp_extract(window, r"(?s)^(.*)\s", 1)
-    short = F.when(F.length(whole) > 0, whole).when(F.length(cut) > 0, cut).otherwise(window)
-    return F.when(F.length(text) <= limit, text).otherwise(F.trim(short))
+    """At most ``limit`` characters: ended after the last sentence beyond a third of them, else after a word, with "…"."""
+    head = F.substring(text, 1, limit)
+    whole = F.regexp_extract(head, r"(?s)^(.*[.!?]) ", 1)
+    words = F.regexp_extract(head, r"(?s)^(.+) ", 1)
+    rest = F.when(F.length(words) > 0, words).otherwise(head)
+    short = F.when(F.length(whole) - 1 > limit // 3, whole).otherwise(F.concat(F.regexp_replace(rest, "[,;:]+$", ""), F.lit("…")))
+    return F.when(F.length(text) <= limit, text).otherwise(short)
+
+
+def opening_window(text: Column, limit: int, start: str | None = None, begin_mark: str | None = None, end_mark: str | None = None) -> Column:
+    """Whole paragraphs, unwrapped, from the first that matches ``start`` (else is long and has sentences), up to ``limit`` characters.
+
+    What stands before ``begin_mark`` and after ``end_mark`` (patterns) is left out.  Null if nothing fits.
+    """
+    if begin_mark:
+        text = F.regexp_replace(text, f"(?s)^.*?{begin_mark}", "")
+    if end_mark:
+        text = F.regexp_replace(text, f"(?s){end_mark}.*$", "")
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: F.length(p) > 0)
+    fits = (lambda p: p.rlike(start)) if start else (lambda p: (F.length(p) >= 300) & (F.regexp_count(p, F.lit(r"\. ")) >= 2))
+    at = F.array_position(F.transform(parts, fits), True)
+    flat = F.transform(F.slice(parts, F.greatest(at, F.lit(1)).cast("int"), F.greatest(F.size(parts), F.lit(0))), lambda p: F.trim(F.regexp_replace(p, r"\s*\n\s*", " ")))
+    none = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("total"), F.lit(False).alias("full"))
+
+    def add(state: Column, p: Column) -> Column:
+        full = state["full"] | ((state["total"] + F.length(p) > limit) & (F.size(state["kept"]) > 0))
+        return F.struct(F.when(full, state["kept"]).otherwise(F.array_append(state["kept"], p)).alias("kept"), F.when(full, state["total"]).otherwise(state["total"] + F.length(p) + 2).alias("total"), full.alias("full"))
+
+    return F.when(at > 0, F.array_join(F.aggregate(flat, none, add)["kept"], "\n\n"))
 
 
 # --- page limits ------------------------------------------------------------------

@@ -52,32 +52,36 @@ def normalise(points: DataFrame, radius: float = 40.0, share: float = 0.9) -> Da
     return moved.crossJoin(F.broadcast(reference)).select("id", *[(F.col(c) * scale).alias(c) for c in AXES])
 
 
-def align(candidate: DataFrame, reference: DataFrame) -> DataFrame:
-    """Procrustes: turns, mirrors, scales and moves a layout onto another by the points they share.
+def alignment(candidate: DataFrame, reference: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Procrustes: matrix and shift that turn, mirror, scale and move a layout onto another by the points they share.
 
     Spark sums the moments of the shared points (means, squares, 3 x 3 products); only those reach the
-    driver.  Fewer than two shared points, or no extent, leave the layout as it is.
+    driver.  Fewer than two shared points, or no extent, give the identity.
     """
     a, b = candidate.select("id", *AXES), reference.select("id", *[F.col(c).alias(f"r{c}") for c in AXES])
-    shared = a.join(b, "id")
     sums = [F.count(F.lit(1)).alias("n")]
     sums += [F.avg(c).alias(f"m{c}") for c in AXES] + [F.avg(f"r{c}").alias(f"mr{c}") for c in AXES]
     sums += [F.avg(F.col(c) ** 2).alias(f"q{c}") for c in AXES] + [F.avg(F.col(f"r{c}") ** 2).alias(f"qr{c}") for c in AXES]
     sums += [F.avg(F.col(c) * F.col(f"r{e}")).alias(f"p{c}{e}") for c in AXES for e in AXES]
-    s = shared.agg(*sums).first()
+    s = a.join(b, "id").agg(*sums).first()
     if s["n"] < 2:
-        return a
+        return np.eye(3), np.zeros(3)
     mean_a, mean_b = (np.array([s[f"{p}{c}"] for c in AXES]) for p in ("m", "mr"))
     size_a = np.sqrt(max(0.0, sum(s[f"q{c}"] for c in AXES) - mean_a @ mean_a))
     size_b = np.sqrt(max(0.0, sum(s[f"qr{c}"] for c in AXES) - mean_b @ mean_b))
     if size_a < 1e-12 or size_b < 1e-12:
-        return a
+        return np.eye(3), np.zeros(3)
     cross = np.array([[s[f"p{c}{e}"] for e in AXES] for c in AXES]) - np.outer(mean_a, mean_b)
     u, sigma, vt = np.linalg.svd(cross / (size_a * size_b))
     turn, scale = u @ vt, sigma.sum() * size_b / size_a
-    matrix, shift = scale * turn, mean_b - scale * mean_a @ turn
+    return scale * turn, mean_b - scale * mean_a @ turn
+
+
+def align(candidate: DataFrame, reference: DataFrame) -> DataFrame:
+    """The layout, moved onto the other one by ``alignment``."""
+    matrix, shift = alignment(candidate, reference)
     moved = [sum((F.col(c) * float(matrix[i, j]) for i, c in enumerate(AXES)), F.lit(float(shift[j]))).alias(e) for j, e in enumerate(AXES)]
-    return a.select("id", *moved)
+    return candidate.select("id", *moved)
 
 
 def node_size(pages: Column) -> Column:

@@ -428,3 +428,142 @@ def l6_readable_reasons(spark, d):
 @query(cte(Q) + "SELECT id, CASE WHEN id % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS status FROM quantities WHERE id % 100 < 2")
 def y9_review_writes(spark, d):
     return library(spark, d, Q).where("id % 100 < 2").select("id", F.when(F.col("id") % 2 == 0, "confirmed").otherwise("rejected").alias("status"))
+
+
+# --- answers to clients -----------------------------------------------------------------------------------
+
+
+@query("SELECT 99 AS id, list_sort(list_distinct(list(slug)))[1] AS first_tag, count(DISTINCT slug) AS tags FROM (SELECT o_orderpriority AS slug FROM orders WHERE o_orderkey % 1000 = 99)")
+def y2_paper_detail(spark, d):
+    from ..operators import facade
+
+    found = facade.get_paper(library(spark, d, P), 99, tags=library(spark, d, "paper_tags"))
+    return found.select(F.lit(99).alias("id"), F.get("tags", F.lit(0)).alias("first_tag"), F.size("tags").cast("long").alias("tags"))
+
+
+@query(
+    """WITH p AS (SELECT j.vec_id AS id, list_cosine_similarity(i.embedding::DOUBLE[], j.embedding::DOUBLE[]) AS s FROM embeddings i, embeddings j WHERE i.vec_id = 7 AND j.vec_id <> 7)
+    SELECT id, round(s, 4) AS similarity FROM p ORDER BY s DESC, id LIMIT 25"""
+)
+def y3_similar_papers(spark, d):
+    from ..operators import facade
+
+    return facade.similar_papers(library(spark, d, "vectors"), library(spark, d, P), 7, 99).select("id", "similarity")
+
+
+def _regions(spark, d):
+    v = library(spark, d, "vectors")
+    return v.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).withColumn("label", F.concat(F.lit("Region "), F.col("cluster").cast("string"))).withColumn("terms", F.array(F.lit("a")))
+
+
+@query("SELECT label AS cluster, 'Region ' || label AS label, count(*) AS size FROM embeddings GROUP BY 1 ORDER BY 3 DESC, 1")
+def y4_regions(spark, d):
+    from ..operators import facade
+
+    return facade.list_regions(_regions(spark, d)).select("cluster", "label", "size")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS papers, (SELECT count(*) FROM embeddings) AS on_map, (SELECT count(DISTINCT label) FROM embeddings) AS regions, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS tags")
+def y4_overview(spark, d):
+    from ..operators import facade
+
+    found = facade.library_overview(library(spark, d, P), library(spark, d, "vectors"), _regions(spark, d), library(spark, d, "paper_tags"))
+    return found.withColumn("tags", F.size("tags").cast("long"))
+
+
+@query(
+    cte(P)
+    + """SELECT v.vec_id AS id, p.title, p.year, CASE WHEN p.id IS NULL THEN NULL ELSE 'Ada L' || (p.id % 9) || 'velace' END AS first_author, round((v.vec_id % 100)::DOUBLE / 100, 3) AS confidence
+    FROM embeddings v LEFT JOIN papers p ON p.id = v.vec_id WHERE v.label = 3 ORDER BY coalesce(confidence, 0) DESC, lower(coalesce(p.title, '')), 1 LIMIT 15""".replace("ORDER BY coalesce(confidence, 0)", "ORDER BY (v.vec_id % 100)")
+)
+def y5_region_members(spark, d):
+    from ..operators import facade
+
+    return facade.region_members(library(spark, d, "vectors").select("id", "cluster", "strength"), library(spark, d, P), 3)
+
+
+@query(
+    cte(Q)
+    + """, f AS (SELECT * FROM quantities WHERE status IN ('auto', 'confirmed') AND value_si BETWEEN 5000 AND 9000 AND quantity_kind = 'mass' AND (lower(unit_original) = 't' OR lower(unit_si) = 't') AND contains(lower(context), 'of f'))
+    SELECT id, value_si, (SELECT count(*) FROM f) AS total, (SELECT count(DISTINCT paper_id) FROM f) AS papers FROM f ORDER BY value_si, id LIMIT 50"""
+)
+def y6_query_quantities(spark, d):
+    from ..operators import facade
+
+    return facade.query_quantities(library(spark, d, Q), "mass", "T", 5000, 9000, "of F", 50).select("id", "value_si", "total", "papers")
+
+
+@query()
+def y7_curriculum_of_a_region(spark, d):
+    from ..operators import facade
+
+    v = library(spark, d, "vectors")
+    members = v.select("id", "cluster")
+    return facade.get_curriculum("region 3", _regions(spark, d), members, library(spark, d, P), v).select("id", "title", "score", "place", "step")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 90 THEN text WHEN regexp_matches(left(text, 90), '(?s)^.{31,}[.!?] ') THEN regexp_extract(left(text, 90), '(?s)^(.*[.!?]) ', 1) END AS cut FROM documents WHERE length(text) <= 90 OR regexp_matches(left(text, 90), '(?s)^.{31,}[.!?] ')")
+def x26_sentence_cut(spark, d):
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
+    docs = docs.where((F.length("text") <= 90) | F.substring("text", 1, 90).rlike(r"(?s)^.{31,}[.!?] "))
+    return docs.select("doc_id", tx.sentence_cut(F.col("text"), 90).alias("cut"))
+
+
+@query("SELECT doc_id, '10.1234/x.' || doc_id AS doi, '2101.' || (10000 + doc_id) AS arxiv FROM documents")
+def x12_find_identifiers(spark, d):
+    text = F.format_string("See arXiv: 2101.%d and doi 10.1234/X.%d).", F.col("doc_id") + 10000, F.col("doc_id"))
+    return table(spark, d, "documents").select("doc_id", tx.find_doi(text).alias("doi"), tx.find_arxiv(text).alias("arxiv"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'The ' || p_name || ' of Things' END AS title FROM part")
+def x16_embedded_titles(spark, d):
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.format_string("%d_scanfinal", F.col("p_partkey"))).otherwise(F.concat(F.lit("# **The "), "p_name", F.lit(" of Things**")))
+    return table(spark, d, "part").select("p_partkey", tx.embedded_title(raw).alias("title"))
+
+
+@query("SELECT page_id, 648 + length(CAST(page_id AS VARCHAR)) AS chars FROM pages")
+def x28_opening_window(spark, d):
+    long = F.concat(F.repeat(F.lit("abc de. "), 40), F.lit("\nwrapped "), F.col("page_id").cast("string"))
+    text = F.concat_ws("\n\n", F.lit("*** START OF IT ***"), F.lit("Title"), long, F.repeat(F.lit("x"), 318), F.repeat(F.lit("y"), 900), F.lit("*** END OF IT ***"), F.lit("licence"))
+    window = tx.opening_window(text, 700, begin_mark=r"\*\*\* START[^\n]*", end_mark=r"\*\*\* END")
+    return table(spark, d, "pages").select("page_id", F.length(window).cast("long").alias("chars"))
+
+
+@query(cte(P) + "SELECT id, '.quarantine/20240102/' || id || '.txt' AS target FROM papers WHERE id % 10 = 0")
+def s20_quarantine_report(spark, d):
+    from ..operators import facade
+
+    rows = library(spark, d, P).where("id % 10 = 0").select("id", "path", F.lit("duplicate").alias("problem"), F.lit(None).cast("string").alias("keeper"))
+    out = facade.quarantine_report(rows.drop("id"), F.date_format(F.lit("2024-01-02").cast("timestamp"), "yyyyMMdd"))
+    return out.join(rows.select("id", "path"), "path").select("id", "target")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'query: ' ELSE '' END AS instruction, 'base-e5-' || p_partkey AS store FROM part")
+def e2_query_instructions(spark, d):
+    model = F.when(F.col("p_partkey") % 2 == 0, F.format_string("base/E5-%d", F.col("p_partkey")))
+    return table(spark, d, "part").select("p_partkey", review.query_instruction(F.coalesce(model, F.lit("other"))).alias("instruction"), tx.slug(F.format_string("Base/E5 %d!", F.col("p_partkey"))).alias("store"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Titled' ELSE left(text, 2000) END AS text FROM documents")
+def e5_text_for_vector(spark, d):
+    from ..operators.encode import text_for_vector
+
+    composed = F.when(F.col("doc_id") % 2 == 0, "Titled").otherwise("  ")
+    return table(spark, d, "documents").select("doc_id", text_for_vector(composed, F.col("text")).alias("text"))
+
+
+@query()
+def v3_semantic_search(spark, d):
+    from ..operators import encode, facade
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    vectors = encode.encode_documents(docs, "text").select("id", "v")
+    return facade.search_library(library(spark, d, P), "semantic", "", 10, vectors=vectors, query_vector=encode.encode_query("anti ther inon"))
+
+
+@query("SELECT event_type AS quantity_kind, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 25 AS batch, event_id AS id FROM events WHERE event_id % 3 = 0")
+def k9_adjudication_batches(spark, d):
+    from ..operators import facade
+
+    rows = table(spark, d, "events").where("event_id % 3 = 0").selectExpr("event_id AS id", "event_type AS quantity_kind", "'pending_llm' AS status")
+    return facade.adjudication_batches(rows).select("quantity_kind", "batch", "id")
