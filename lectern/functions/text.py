@@ -300,10 +300,14 @@ def presentable(title: Column) -> Column:
     return (F.length(text) > 0) & ~text.rlike(TEMPLATE) & ~F.contains(text, F.lit("|")) & (letters >= 4)
 
 
-def readable_reason(error: Column) -> Column:
-    """The first line of an error, without an exception's name."""
-    line = F.element_at(F.split(F.coalesce(error, F.lit("")), "\n"), 1)
-    return F.coalesce(blank_to_null(strip(F.regexp_replace(line, r"^[A-Za-z_.]+(?:Error|Exception):\s*", ""))), F.lit("unreadable"))
+def readable_reason(error: Column, filename: Column) -> Column:
+    """An error as a sentence: without its type, and without a trailing "File: ..." that repeats the name shown beside it."""
+    text = F.coalesce(error, F.lit(""))
+    rest = F.regexp_extract(text, r"(?s)^.*?: (.*)$", 1)
+    reason = strip(F.when(F.length(strip(rest)) > 0, rest).otherwise(text))
+    trimmed = strip(F.regexp_replace(reason, r"\s*File:\s*\S.*$", ""))
+    repeats = F.coalesce((F.length(filename) > 0) & F.contains(reason, filename), F.lit(False)) & (F.length(trimmed) > 0)
+    return F.when(F.length(text) == 0, "no diagnosis was recorded").when(repeats, trimmed).otherwise(reason)
 
 
 def citations(text: Column) -> Column:

@@ -93,16 +93,23 @@ def bridges_from(links: DataFrame, region: int) -> DataFrame:
     return seen.select(F.when(here, F.col("target_id")).otherwise(F.col("source_id")).alias("other_id"), "similarity").orderBy(F.desc("similarity"), "other_id")
 
 
-FATAL_MARKS = ("cannot open broken document", "no objects found", "not a zip file", "password", "drm", "unsupported format")
+#: Failures of the document itself, which a further try can't mend; and of the machine, which a repair can.
+FATAL_TYPES = ("FatalDocument", "FileNotFoundError", "IsADirectoryError", "FileDataError", "EmptyFileError")
+MACHINE_MARKS = ("No module named 'sentence_transformers'", "No module named 'torch'", "No module named 'marker'")
 
 
 def failure_class(error: Column) -> Column:
-    """fatal, if a message names damage that a further try can't mend; else transient."""
-    low = F.lower(F.coalesce(error, F.lit("")))
+    """fatal, if the error's type says that the document is the obstacle; else transient."""
+    kind = F.element_at(F.split(F.regexp_extract(F.coalesce(error, F.lit("")), r"^([\w.]+)(?::|$)", 1), r"\."), -1)
+    return F.when(kind.isin(*FATAL_TYPES), "fatal").otherwise("transient")
+
+
+def revivable(jobs: DataFrame) -> DataFrame:
+    """Dead jobs that the machine failed, not the document."""
     hit = F.lit(False)
-    for mark in FATAL_MARKS:
-        hit = hit | F.contains(low, F.lit(mark))
-    return F.when(hit, "fatal").otherwise("transient")
+    for mark in MACHINE_MARKS:
+        hit = hit | F.contains(F.coalesce("last_error", F.lit("")), F.lit(mark))
+    return jobs.where((F.col("state") == "dead") & hit)
 
 
 # --- joins -----------------------------------------------------------------------

@@ -16,8 +16,8 @@ def normal_tags(tags: Column, vocabulary: Column, most: int = 6) -> Column:
 
 
 def normal_proposals(proposals: Column, vocabulary: Column, most: int = 2) -> Column:
-    """New tags as slugs, none known already, at most two."""
-    slugs = F.transform(proposals, lambda p: tx.slug(p))
+    """New tags, lower-cased with dashes for white space, none known already, at most two."""
+    slugs = F.transform(proposals, lambda p: F.replace(tx.squeeze(F.lower(p)), F.lit(" "), F.lit("-")))
     return F.slice(F.array_distinct(F.filter(slugs, lambda s: (F.length(s) > 0) & ~F.array_contains(vocabulary, s))), 1, most)
 
 
@@ -34,42 +34,106 @@ def register_proposals(proposals: DataFrame, tags: DataFrame, least: float = fix
     return out.select("slug", outcome.alias("outcome"), F.when(F.col("exists"), F.col("slug")).when(F.col("best.s") >= least, F.col("best.other")).alias("canonical"))
 
 
-GENRES = ("research", "survey", "textbook", "essay", "thesis", "report", "fiction", "other")
+#: Genres and kinds of things that readings use, and phrases of the instructions that answers echo.
+GENRES = (
+    "empirical-study",
+    "theoretical-argument",
+    "survey-or-review",
+    "essay-or-commentary",
+    "historical-narrative",
+    "technical-report",
+    "literary-or-fiction",
+    "reference-or-textbook",
+    "other",
+)
+GENRE_LABELS = {
+    "empirical-study": "Empirical study",
+    "theoretical-argument": "Theoretical argument",
+    "survey-or-review": "Survey",
+    "essay-or-commentary": "Essay",
+    "historical-narrative": "History",
+    "technical-report": "Technical report",
+    "literary-or-fiction": "Literary work",
+    "reference-or-textbook": "Reference",
+}
+THINGS = ("person", "work", "concept", "event", "place", "organisation")
+ECHOES = (
+    "central question or problem",
+    "this particular work takes up",
+    "the work takes up",
+    "core argument, finding",
+    "argues, finds or discovers",
+    "what changes if the reader believes",
+    "copy these instructions",
+    "flood damage be mapped",
+)
+ANSWER_CHARS, BRIDGE_CHARS = 320, 420
 READING = "struct<genre: string, question: string, argument: string, significance: string, claims: array<string>, entities: array<struct<name: string, kind: string>>, grounded: boolean>"
 
 
 def normal_reading(answer: Column) -> Column:
-    """A model's reading of a work, from JSON: a known genre, at most four distinct claims of four words, eight things, grounded only if all is answered."""
+    """A model's reading of a work, from JSON.
+
+    A genre off the list is "other"; answers are cut to sentences and blanked when they echo the
+    instructions; at most four distinct claims of four words; at most eight things of known
+    kinds, each name once; grounded only if all three questions are answered.
+    """
     a = F.from_json(answer, READING)
-    said = lambda c: tx.blank_to_null(tx.squeeze(F.coalesce(a[c], F.lit(""))))
-    claims = F.filter(F.transform(F.coalesce(a["claims"], F.array().cast("array<string>")), tx.squeeze), lambda c: F.size(F.split(c, " ")) >= 4)
-    things = F.filter(F.coalesce(a["entities"], F.array().cast("array<struct<name: string, kind: string>>")), lambda e: F.length(F.trim(e["name"])) > 0)
-    lower_names = F.transform(things, lambda e: F.lower(F.trim(e["name"])))
-    things = F.filter(F.transform(things, lambda e, k: F.struct(F.trim(e["name"]).alias("name"), e["kind"].alias("kind"), (F.array_position(lower_names, F.lower(F.trim(e["name"]))) == k + 1).alias("first"))), lambda e: e["first"])
-    genre = F.when(F.lower(a["genre"]).isin(*GENRES), F.lower(a["genre"])).otherwise("other")
-    answered = said("question").isNotNull() & said("argument").isNotNull() & said("significance").isNotNull()
-    return F.struct(
-        genre.alias("genre"),
-        said("question").alias("question"),
-        said("argument").alias("argument"),
-        said("significance").alias("significance"),
-        F.slice(F.array_distinct(claims), 1, 4).alias("claims"),
-        F.transform(F.slice(things, 1, 8), lambda e: e["name"]).alias("entities"),
-        (F.coalesce(a["grounded"], F.lit(False)) & answered).alias("grounded"),
-    )
+    line = lambda c: F.coalesce(tx.squeeze(c), F.lit(""))
+
+    def said(name: str) -> Column:
+        text = tx.sentence_cut(line(a[name]), ANSWER_CHARS)
+        return F.when(F.lower(text).rlike("|".join(ECHOES)), F.lit("")).otherwise(text)
+
+    answers = {name: said(name) for name in ("question", "argument", "significance")}
+    claims = F.transform(F.coalesce(a["claims"], F.array().cast("array<string>")), lambda c: tx.sentence_cut(line(c), ANSWER_CHARS))
+    claims = F.array_distinct(F.filter(claims, lambda c: F.size(F.split(c, " ")) >= 4))
+    things = F.transform(F.coalesce(a["entities"], F.array().cast("array<struct<name: string, kind: string>>")), lambda e: F.struct(line(e["name"]).alias("name"), F.lower(line(e["kind"])).alias("kind")))
+    things = F.filter(things, lambda e: (F.length(e["name"]) > 0) & e["kind"].isin(*THINGS))
+    names = F.transform(things, lambda e: F.lower(e["name"]))
+    things = F.filter(things, lambda e, k: F.array_position(names, F.lower(e["name"])) == k + 1)
+    genre = F.when(line(a["genre"]).isin(*GENRES), line(a["genre"])).otherwise("other")
+    whole = F.lit(True)
+    for text in answers.values():
+        whole = whole & (F.length(text) > 0)
+    return F.struct(genre.alias("genre"), *[t.alias(n) for n, t in answers.items()], F.slice(claims, 1, 4).alias("claims"), F.slice(things, 1, 8).alias("entities"), (F.coalesce(a["grounded"], F.lit(True)) & whole).alias("grounded"))
+
+
+def genre_label(genre: Column) -> Column:
+    cells = [x for pair in GENRE_LABELS.items() for x in map(F.lit, pair)]
+    return F.try_element_at(F.create_map(*cells), genre)
+
+
+def entity_groups(entities: Column) -> Column:
+    """Names by kind, in the order of kinds; kinds without names are left out."""
+    groups = [F.struct(F.lit(k).alias("kind"), F.transform(F.filter(entities, _of_kind(k)), lambda e: e["name"]).alias("names")) for k in THINGS]
+    return F.filter(F.array(*groups), lambda g: F.size(g["names"]) > 0)
+
+
+def _of_kind(kind: str):
+    return lambda e: e["kind"] == kind
+
+
+def placement_sentence(region: Column, confidence: Column, drift: Column) -> Column:
+    """How a work sits on the map, in words; null if nothing can be said."""
+    where = F.when(region.isNull(), None).when(confidence.isNull(), F.concat(F.lit("Sits in "), region)).when(confidence < 0.5, F.concat(F.lit("Sits between "), region, F.lit(" and its neighbours"))).otherwise(F.concat(F.lit("Sits firmly in "), region))
+    return tx.blank_to_null(F.concat_ws(" · ", where, F.when(drift > 1.6, "Unlike most of the library")))
+
+
+def stop_caption(place: Column, year: Column, label: Column) -> Column:
+    return tx.concat_present(" · ", place.cast("string"), year.cast("string"), label)
 
 
 def region_name(raw: Column) -> Column:
-    """At most five words and sixty characters, without quotes and end points; null if nothing is left."""
-    text = tx.squeeze(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\"'“”]", ""))
-    words = F.slice(F.split(F.regexp_replace(text, r"[.\s]+$", ""), " "), 1, 5)
-    return tx.blank_to_null(F.trim(F.substring(F.array_join(words, " "), 1, 60)))
+    """At most five words and sixty characters, without quotes and points at the ends; null if nothing is left."""
+    text = tx.squeeze(F.regexp_replace(F.coalesce(tx.strip(raw), F.lit("")), r"^[\"'.]+|[\"'.]+$", ""))
+    return tx.blank_to_null(F.substring(F.array_join(F.slice(F.split(text, " "), 1, 5), " "), 1, 60))
 
 
-def bridge_summary(raw: Column) -> Column:
-    """A sentence of six words at least, else null."""
-    text = tx.squeeze(F.coalesce(raw, F.lit("")))
-    return F.when(F.size(F.split(text, " ")) >= 6, text)
+def bridge_summary(connected: Column, raw: Column) -> Column:
+    """What links two regions, if the model says they are linked and in six words at least; else null."""
+    text = F.coalesce(tx.squeeze(raw), F.lit(""))
+    return F.when(F.coalesce(connected, F.lit(False)) & (F.size(F.split(text, " ")) >= 6), tx.sentence_cut(text, BRIDGE_CHARS))
 
 
 def model_verdict(total: Column, on_card: Column) -> Column:

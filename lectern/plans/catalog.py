@@ -120,7 +120,7 @@ def f14_bridges_from(spark, d):
     """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'fatal' WHEN event_id % 3 = 1 THEN 'fatal' ELSE 'transient' END AS class FROM events"""
 )
 def f15_failure_class(spark, d):
-    error = F.when(F.col("event_id") % 3 == 0, "FileDataError: Cannot open broken document").when(F.col("event_id") % 3 == 1, "needs a Password").otherwise(F.lit(None).cast("string"))
+    error = F.when(F.col("event_id") % 3 == 0, "pymupdf.FileDataError: cannot open").when(F.col("event_id") % 3 == 1, "FatalDocument: protected").otherwise(F.lit(None).cast("string"))
     return table(spark, d, "events").select("event_id", op.failure_class(error).alias("class"))
 
 

@@ -345,17 +345,19 @@ def k6_lease_state(spark, d):
 
 
 @query(
-    """WITH b AS (SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events) SELECT event_id, CASE WHEN k % 3 = 0 THEN 'survey' ELSE 'other' END AS genre, k % 2 = 0 AND k % 3 = 0 AS grounded, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS claims FROM b"""
+    """WITH b AS (SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events) SELECT event_id, CASE WHEN k % 3 = 0 THEN 'survey-or-review' ELSE 'other' END AS genre, k % 2 = 0 AND k % 3 = 0 AS grounded,
+    CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS claims, 'Ada' AS entities, CASE WHEN k % 3 = 0 THEN 'Survey' END AS label FROM b"""
 )
 def n2_normal_reading(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
     answer = F.concat(
-        F.when(k % 3 == 0, '{"genre": "Survey", "question": "what is it", ').otherwise('{"genre": "poem", "question": "  ", '),
+        F.when(k % 3 == 0, '{"genre": "survey-or-review", "question": "what is it", ').otherwise('{"genre": "poem", "question": "The central question or problem", '),
         F.when(k % 3 == 0, '"claims": ["one two three four", "one two three  four", "too short"], ').otherwise('"claims": null, '),
-        F.lit('"argument": "because", "significance": "much", "entities": [], "grounded": '),
+        F.lit('"argument": "because", "significance": "much", "entities": [{"name": "Ada", "kind": "Person"}, {"name": "ADA", "kind": "person"}, {"name": "x", "kind": "thing"}], "grounded": '),
         F.when(k % 2 == 0, "true}").otherwise("false}"),
     )
-    return table(spark, d, "events").select("event_id", review.normal_reading(answer).alias("r")).select("event_id", "r.genre", "r.grounded", F.size("r.claims").alias("claims"))
+    rows = table(spark, d, "events").select("event_id", review.normal_reading(answer).alias("r"))
+    return rows.select("event_id", "r.genre", "r.grounded", F.size("r.claims").alias("claims"), F.array_join(F.transform("r.entities", lambda e: e["name"]), ",").alias("entities"), review.genre_label(F.col("r.genre")).alias("label"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'alpha,beta' ELSE 'beta' END AS tags, CASE WHEN o_orderkey % 2 = 0 THEN 'new-idea' ELSE '' END AS proposals FROM orders")
@@ -363,7 +365,7 @@ def n3_normal_tags(spark, d):
     even = F.col("o_orderkey") % 2 == 0
     vocabulary = F.array(F.lit("alpha"), F.lit("beta"), F.lit("gamma"))
     tags = F.when(even, F.array(F.lit(" Alpha"), F.lit("beta"), F.lit("alpha"), F.lit("delta"))).otherwise(F.array(F.lit("Beta")))
-    proposals = F.when(even, F.array(F.lit("New Idea!"), F.lit("beta"), F.lit("new  idea"))).otherwise(F.array(F.lit("!!")))
+    proposals = F.when(even, F.array(F.lit("New Idea"), F.lit("beta"), F.lit("new  idea"))).otherwise(F.array(F.lit("  ")))
     return table(spark, d, "orders").select("o_orderkey", F.array_join(review.normal_tags(tags, vocabulary), ",").alias("tags"), F.array_join(review.normal_proposals(proposals, vocabulary), ",").alias("proposals"))
 
 
@@ -419,10 +421,10 @@ def s2_document_kinds(spark, d):
     return table(spark, d, "pages").select("page_id", files.document_kind(path, content).alias("kind"), files.upload_problem(path, F.lit(9), content).alias("problem"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'cannot open' ELSE 'unreadable' END AS reason FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'cannot open' ELSE 'no diagnosis was recorded' END AS reason FROM supplier")
 def l6_readable_reasons(spark, d):
-    error = F.when(F.col("s_suppkey") % 3 == 0, "pymupdf.FileDataError: cannot open\nTraceback")
-    return table(spark, d, "supplier").select("s_suppkey", tx.readable_reason(error).alias("reason"))
+    error = F.when(F.col("s_suppkey") % 3 == 0, F.format_string("FileDataError: cannot open File: b%d.pdf", F.col("s_suppkey")))
+    return table(spark, d, "supplier").select("s_suppkey", tx.readable_reason(error, F.format_string("b%d.pdf", F.col("s_suppkey"))).alias("reason"))
 
 
 @query(cte(Q) + "SELECT id, CASE WHEN id % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS status FROM quantities WHERE id % 100 < 2")
@@ -567,3 +569,19 @@ def k9_adjudication_batches(spark, d):
 
     rows = table(spark, d, "events").where("event_id % 3 = 0").selectExpr("event_id AS id", "event_type AS quantity_kind", "'pending_llm' AS status")
     return facade.adjudication_batches(rows).select("quantity_kind", "batch", "id")
+
+
+@query(
+    cte(P)
+    + """SELECT id, CASE WHEN confidence IS NULL THEN 'Sits in ' || lang WHEN confidence < 0.5 THEN 'Sits between ' || lang || ' and its neighbours' ELSE 'Sits firmly in ' || lang END || CASE WHEN id % 5 = 0 THEN ' · Unlike most of the library' ELSE '' END AS placement,
+    id || CASE WHEN year IS NULL THEN '' ELSE ' · ' || year END || ' · ' || source AS caption FROM papers"""
+)
+def l6_sentences(spark, d):
+    drift = F.when(F.col("id") % 5 == 0, 2.0).otherwise(0.5)
+    return library(spark, d, P).select("id", review.placement_sentence(F.col("lang"), F.col("confidence"), drift).alias("placement"), review.stop_caption(F.col("id"), F.col("year"), F.col("source")).alias("caption"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'Both regions study the ' || p_name END AS summary FROM part WHERE len(string_split(p_name, ' ')) >= 2")
+def n5_bridge_summaries(spark, d):
+    part = table(spark, d, "part").where(F.size(F.split("p_name", " ")) >= 2)
+    return part.select("p_partkey", review.bridge_summary(F.col("p_partkey") % 3 != 0, F.concat(F.lit("Both  regions study the "), "p_name")).alias("summary"))
