@@ -18,10 +18,9 @@ from ..functions.vectors import dot, norm, unit
 BLOCK_ROWS = 1024
 
 
-def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """(block, ids, matrix): unit rows as packed doubles; blocks are dealt by id."""
-    count = vectors.count()
-    n = max(1, -(-count // rows))
+def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """(block, ids, matrix): unit rows as packed doubles, dealt by id; and the number of blocks."""
+    n = max(1, -(-vectors.count() // rows))
     dealt = vectors.select("id", unit(F.col("v")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -30,7 +29,7 @@ def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
         ids = table["id"].to_numpy()
         return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([flat.tobytes()], pa.binary())})
 
-    return dealt.groupBy("block").applyInArrow(pack, "block long, ids binary, matrix binary")
+    return dealt.groupBy("block").applyInArrow(pack, "block long, ids binary, matrix binary"), n
 
 
 def _compare(k: int, least: float | None, skip_self: bool):
@@ -62,9 +61,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None =
 
     Both inputs have ``id`` and ``v``.  ``least`` drops less similar pairs, after the k are chosen.
     """
-    left = _blocks(queries, block_rows).select(F.col("block").alias("a"), F.col("ids").alias("ids_a"), F.col("matrix").alias("m_a"))
-    right = _blocks(vectors, block_rows).select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("matrix").alias("m_b"))
-    pairs = left.select("a").crossJoin(right.select("b"))  # numbers of blocks: one row per unit of work
+    left, n_left = _blocks(queries, block_rows)
+    right, n_right = _blocks(vectors, block_rows)
+    left = left.select(F.col("block").alias("a"), F.col("ids").alias("ids_a"), F.col("matrix").alias("m_a"))
+    right = right.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("matrix").alias("m_b"))
+    # One row per unit of work: a pair of block numbers.
+    pairs = queries.sparkSession.range(n_left * n_right).select((F.col("id") % n_left).alias("a"), F.floor(F.col("id") / n_left).alias("b"))
     work = pairs.join(left, "a").join(right, "b").select("ids_a", "m_a", "ids_b", "m_b")
     found = work.mapInArrow(_compare(k, least, skip_self), "i long, j long, similarity double")
     order = Window.partitionBy("i").orderBy(F.desc(F.round("similarity", 12)), "j")
