@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..functions.vectors import dot, unit
+from .neighbours import top_k
 
 
 def normal_tags(tags: Column, vocabulary: Column, most: int = 6) -> Column:
@@ -22,16 +22,17 @@ def normal_proposals(proposals: Column, vocabulary: Column, most: int = 2) -> Co
 
 
 def register_proposals(proposals: DataFrame, tags: DataFrame, least: float = fixed.MERGE_SIMILARITY) -> DataFrame:
-    """(slug, outcome, canonical): the tag that exists, an alias of one at least 0.90 alike, or a new one to review.
+    """(slug, outcome, canonical): the tag that exists, an alias of the most similar one if at least 0.90 alike, or a new one to review.
 
-    Both inputs have slug and v; the vocabulary is small, so every proposal meets all of it.
+    Both inputs have slug and v.
     """
-    known = tags.select(F.col("slug").alias("other"), unit(F.col("v")).alias("u"))
-    fresh = proposals.select("slug", unit(F.col("v")).alias("p"))
-    near = fresh.join(known, F.lit(True)).groupBy("slug").agg(F.max(F.struct(dot(F.col("p"), F.col("u")).alias("s"), F.col("other"))).alias("best"))
-    out = fresh.select("slug").join(near, "slug", "left").join(tags.select("slug", F.lit(True).alias("exists")), "slug", "left")
-    outcome = F.when(F.col("exists"), "existing").when(F.col("best.s") >= least, "merged").otherwise("pending_review")
-    return out.select("slug", outcome.alias("outcome"), F.when(F.col("exists"), F.col("slug")).when(F.col("best.s") >= least, F.col("best.other")).alias("canonical"))
+    numbered = lambda df: df.select(F.xxhash64("slug").alias("id"), "v")
+    near = top_k(numbered(proposals), numbered(tags), 1, skip_self=False).select(F.col("i").alias("id"), F.col("j").alias("other_id"), "similarity")
+    names = tags.select(F.xxhash64("slug").alias("other_id"), F.col("slug").alias("other"))
+    out = proposals.select("slug", F.xxhash64("slug").alias("id")).join(near, "id", "left").join(names, "other_id", "left").join(tags.select("slug", F.lit(True).alias("exists")), "slug", "left")
+    alike = F.col("similarity") >= least
+    outcome = F.when(F.col("exists"), "existing").when(alike, "merged").otherwise("pending_review")
+    return out.select("slug", outcome.alias("outcome"), F.when(F.col("exists"), F.col("slug")).when(alike, F.col("other")).alias("canonical"))
 
 
 #: Genres and kinds of things that readings use, and phrases of the instructions that answers echo.

@@ -54,13 +54,13 @@ def f6_kind_for_unit(spark, d):
 
 @query(
     cte(J)
-    + """, wanted AS (SELECT DISTINCT kind, paper_id FROM jobs WHERE id % 50 = 4)
+    + """, wanted AS (SELECT DISTINCT kind, paper_id FROM jobs WHERE state = 'failed')
     SELECT j.id, j.kind, j.paper_id, j.state FROM jobs j WHERE state IN ('queued', 'running')
     AND EXISTS (SELECT 1 FROM wanted w WHERE w.kind = j.kind AND w.paper_id IS NOT DISTINCT FROM j.paper_id)"""
 )
 def f7_outstanding_jobs(spark, d):
     jobs = library(spark, d, J)
-    return op.outstanding(jobs, jobs.where("id % 50 = 4").select("kind", "paper_id").distinct()).select("id", "kind", "paper_id", "state")
+    return op.outstanding(jobs, jobs.where("state = 'failed'").select("kind", "paper_id").distinct()).select("id", "kind", "paper_id", "state")
 
 
 @query(
@@ -150,13 +150,13 @@ def j2_map_nodes(spark, d):
 
 @query(
     cte(P)
-    + f""", {PLACED}, stops AS (SELECT event_id AS place, user_id AS paper_id FROM events WHERE event_id < 200),
+    + f""", {PLACED}, stops AS (SELECT event_id AS place, user_id AS paper_id FROM events),
     clusters AS (SELECT CAST(n_nationkey AS INTEGER) AS id, n_name AS label FROM nation)
     SELECT s.place, s.paper_id, p.title, p.year, q.x, q.cluster_id, c.label FROM stops s LEFT JOIN papers p ON p.id = s.paper_id
     LEFT JOIN placed q ON q.paper_id = s.paper_id AND q.run_id = 2 LEFT JOIN clusters c ON c.id = q.cluster_id"""
 )
 def j3_describe_stops(spark, d):
-    stops = table(spark, d, "events").where("event_id < 200").select(F.col("event_id").alias("place"), F.col("user_id").alias("paper_id"))
+    stops = table(spark, d, "events").select(F.col("event_id").alias("place"), F.col("user_id").alias("paper_id"))
     clusters = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"))
     return op.describe_stops(stops, library(spark, d, P), _placed(spark, d), clusters, 2).select("place", "paper_id", "title", "year", "x", "cluster_id", "label")
 
@@ -195,32 +195,32 @@ def j9_resolve_tags(spark, d):
 
 
 @query(
-    """WITH b AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding[3] AS DOUBLE) z FROM embeddings),
-    a AS (SELECT id, x * 2 + 1 AS x, y - 1 AS y, z FROM b WHERE id % 2 = 0)
+    """WITH b AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding[3] AS DOUBLE) z FROM embeddings),
+    a AS (SELECT id, x * 2 + 1 AS x, y - 1 AS y, z FROM b WHERE label < 5)
     SELECT count(*) AS shared, round(avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 6) AS displacement FROM a JOIN b USING (id)"""
 )
 def j12_mean_displacement(spark, d):
-    before = _placed(spark, d).select(F.col("paper_id").alias("id"), "x", "y", "z")
-    after = before.where("id % 2 = 0").select("id", (F.col("x") * 2 + 1).alias("x"), (F.col("y") - 1).alias("y"), "z")
+    before = _placed(spark, d).select(F.col("paper_id").alias("id"), "x", "y", "z", "cluster_id")
+    after = before.where("cluster_id < 5").select("id", (F.col("x") * 2 + 1).alias("x"), (F.col("y") - 1).alias("y"), "z")
     return op.mean_displacement(before, after)
 
 
 @query(
-    """WITH c AS (SELECT p_name AS name, p_size AS size FROM part WHERE p_partkey < 60), f AS (SELECT p_name AS name FROM part WHERE p_partkey BETWEEN 30 AND 90)
-    SELECT coalesce(c.name, f.name) AS name, c.name IS NOT NULL AS in_catalog, f.name IS NOT NULL AS discovered, coalesce(c.size, 0) <= 25 AS fits FROM c FULL JOIN f ON c.name = f.name"""
+    """WITH f AS (SELECT DISTINCT o_custkey AS name FROM orders WHERE o_orderstatus = 'F' UNION SELECT -1)
+    SELECT coalesce(c_custkey, name) AS name, c_custkey IS NOT NULL AS in_catalog, name IS NOT NULL AS discovered, coalesce(c_acctbal, 0) <= 2500 AS fits FROM customer FULL JOIN f ON c_custkey = name"""
 )
 def j13_models_overview(spark, d):
-    part = table(spark, d, "part")
-    return op.models_overview(part.where("p_partkey < 60").selectExpr("p_name AS name", "CAST(p_size AS DOUBLE) AS size"), part.where("p_partkey BETWEEN 30 AND 90").selectExpr("p_name AS name"), 25)
+    found = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("name")).distinct().unionByName(spark.createDataFrame([(-1,)], "name long"))
+    return op.models_overview(table(spark, d, "customer").selectExpr("c_custkey AS name", "c_acctbal AS size"), found, 2500)
 
 
 @query(
-    """WITH stops AS (SELECT event_type AS trail, event_id AS place, user_id AS paper_id, event_type > 'm' AS complete FROM events WHERE event_id < 300),
+    """WITH stops AS (SELECT event_type AS trail, event_id AS place, user_id AS paper_id, event_type > 'm' AS complete FROM events),
     nodes AS (SELECT doc_id AS paper_id, row_number() OVER (ORDER BY doc_id) - 1 AS node_index FROM documents)
-    SELECT trail, place, paper_id, node_index, place = (SELECT max(place) FROM stops t WHERE t.trail = s.trail) AND NOT complete AS is_jump FROM stops s JOIN nodes USING (paper_id)"""
+    SELECT trail, place, paper_id, node_index, place = last AND NOT complete AS is_jump FROM (SELECT *, max(place) OVER (PARTITION BY trail) AS last FROM stops) s JOIN nodes USING (paper_id)"""
 )
 def j14_trail_indices(spark, d):
-    stops = table(spark, d, "events").where("event_id < 300").selectExpr("event_type AS trail", "event_id AS place", "user_id AS paper_id", "event_type > 'm' AS complete")
+    stops = table(spark, d, "events").selectExpr("event_type AS trail", "event_id AS place", "user_id AS paper_id", "event_type > 'm' AS complete")
     from pyspark.sql import Window
 
     nodes = table(spark, d, "documents").select(F.col("doc_id").alias("id")).withColumn("node_index", (F.row_number().over(Window.orderBy("id")) - 1).cast("long"))
@@ -345,11 +345,11 @@ def a17_resident_sum(spark, d):
 
 
 @query(
-    """SELECT (event_id - 1) // 20 AS batch, count(*) FILTER (value > 50) AS accepted, coalesce(array_to_string(list(event_type ORDER BY event_id) FILTER (NOT value > 50), ','), '') AS rejected
-    FROM events WHERE event_id > 0 GROUP BY 1"""
+    """SELECT event_id // 20 AS batch, count(*) FILTER (value > 50) AS accepted, coalesce(array_to_string(list(event_type ORDER BY event_id) FILTER (NOT value > 50), ','), '') AS rejected
+    FROM events GROUP BY 1"""
 )
 def a18_upload_batches(spark, d):
-    files = table(spark, d, "events").where("event_id > 0").select(F.col("event_id").alias("place"), F.col("event_type").alias("name"), (F.col("value") > 50).alias("accepted"))
+    files = table(spark, d, "events").select((F.col("event_id") + 1).alias("place"), F.col("event_type").alias("name"), (F.col("value") > 50).alias("accepted"))
     return op.upload_summary(files).select("batch", "accepted", F.array_join("rejected", ",").alias("rejected"))
 
 
@@ -483,14 +483,15 @@ def u5_first_by_name(spark, d):
 
 @query(
     cte(P)
-    + """, f AS (SELECT p.id, p.path, length(d.text) AS size, d.text AS body, p.id % 9 = 0 AS known FROM papers p JOIN documents d ON d.doc_id = p.id),
+    + """, f AS (SELECT p.id, p.path, length(d.text) AS size, d.text AS body, p.id IN (SELECT doc_id FROM labels) AS known FROM papers p JOIN documents d ON d.doc_id = p.id),
     r AS (SELECT path, size, row_number() OVER g AS r, first_value(path) OVER g AS keeper FROM f WHERE size > 0 WINDOW g AS (PARTITION BY body ORDER BY NOT known, path))
     SELECT path, 'duplicate' AS problem, keeper FROM r WHERE r > 1 UNION ALL SELECT path, 'empty', NULL FROM f WHERE size = 0"""
 )
 def s19_inspect_library(spark, d):
     p, docs = library(spark, d, P), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     files = p.join(docs, "id").select("id", "path", F.length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
-    return op.inspect_library(files.drop("id"), files.where("id % 9 = 0").select("path"))
+    known = files.join(table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return op.inspect_library(files.drop("id"), known.select("path"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
@@ -502,20 +503,19 @@ def s21_content_digest(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT p_name AS file, p_brand AS digest FROM part WHERE p_partkey <= 300), h AS (SELECT p_name AS file, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE p_brand END AS digest FROM part WHERE p_partkey BETWEEN 200 AND 400)
-    SELECT coalesce(w.file, h.file) AS file, CASE WHEN h.file IS NULL THEN 'fetch' WHEN w.file IS NULL THEN 'extra' WHEN w.digest = h.digest THEN 'present' ELSE 'changed' END AS action FROM w FULL JOIN h USING (file)"""
+    """WITH h AS (SELECT l_partkey AS file, min(CASE WHEN l_returnflag = 'R' THEN 'x' ELSE 'y' END) AS digest FROM lineitem WHERE l_quantity > 48 GROUP BY 1 UNION ALL SELECT -1, 'z')
+    SELECT coalesce(p_partkey, file) AS file, CASE WHEN file IS NULL THEN 'fetch' WHEN p_partkey IS NULL THEN 'extra' WHEN digest = 'y' THEN 'present' ELSE 'changed' END AS action FROM part FULL JOIN h ON p_partkey = file"""
 )
 def s24_plan_fetch(spark, d):
-    part = table(spark, d, "part")
-    wanted = part.where("p_partkey <= 300").selectExpr("p_name AS file", "p_brand AS digest")
-    present = part.where("p_partkey BETWEEN 200 AND 400").selectExpr("p_name AS file", "CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE p_brand END AS digest")
-    return op.plan_fetch(wanted, present)
+    wanted = table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.lit("y").alias("digest"))
+    kept = table(spark, d, "lineitem").where("l_quantity > 48").groupBy(F.col("l_partkey").alias("file")).agg(F.min(F.when(F.col("l_returnflag") == "R", "x").otherwise("y")).alias("digest"))
+    return op.plan_fetch(wanted, kept.unionByName(spark.createDataFrame([(-1, "z")], "file long, digest string")))
 
 
-@query("SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM embeddings UNION ALL SELECT vec_id + 100000, 'new' FROM embeddings WHERE vec_id % 50 = 0")
+@query("SELECT vec_id AS id, CASE WHEN label = 0 THEN 'new' ELSE 'old' END AS version FROM embeddings UNION ALL SELECT vec_id + 100000, 'new' FROM embeddings WHERE label = 1")
 def s16_upsert_vectors(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit("m").alias("model_id"))
-    fresh = v.where("id % 5 = 0").unionByName(v.where("id % 50 = 0").withColumn("id", F.col("id") + 100000)).withColumn("version", F.lit("new"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"), F.lit("m").alias("model_id"))
+    fresh = v.where("label = 0").unionByName(v.where("label = 1").withColumn("id", F.col("id") + 100000)).withColumn("version", F.lit("new"))
     return op.upsert_vectors(v.withColumn("version", F.lit("old")), fresh, "m", 64).select("id", "version")
 
 

@@ -143,9 +143,9 @@ def x13_split_authors(spark, d):
     return library(spark, d, P).select("id", F.array_join(tx.split_authors(F.col("authors")), "|").alias("names"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2000 + CAST(doc_id % 50 AS INTEGER) END AS year, CASE WHEN doc_id % 2 = 1 THEN CAST(doc_id % 2100 AS INTEGER) END AS labelled FROM documents WHERE doc_id BETWEEN 1 AND 2049")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2000 + CAST(doc_id % 50 AS INTEGER) END AS year, CASE WHEN doc_id % 2 = 1 AND doc_id % 2100 BETWEEN 1 AND 2049 THEN CAST(doc_id % 2100 AS INTEGER) END AS labelled FROM documents")
 def x19_years(spark, d):
-    docs = table(spark, d, "documents").where("doc_id BETWEEN 1 AND 2049")
+    docs = table(spark, d, "documents")
     text = F.when(F.col("doc_id") % 2 == 0, F.format_string("Printed 1985 and again (%d), not 1879 or 2051.", 2000 + F.col("doc_id") % 50)).otherwise(F.format_string("Title\n**Year:** %d\nText", F.col("doc_id") % 2100))
     odd = F.col("doc_id") % 2 == 1
     return docs.select("doc_id", F.when(~odd, tx.find_year(text)).alias("year"), F.when(odd, tx.front_year(text)).alias("labelled"))
@@ -169,13 +169,13 @@ def x22_is_prose(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nl}\\p{No}]{4,}') AS s FROM documents WHERE doc_id < 100)),
+    """WITH w AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nl}\\p{No}]{4,}') AS s FROM documents)),
     g AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first FROM w WHERE term NOT IN ("""
     + _STOP
     + """) GROUP BY 1, 2) SELECT doc_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM g) WHERE rank <= 40"""
 )
 def a7_topic_terms(spark, d):
-    return catalog.topic_terms(table(spark, d, "documents").where("doc_id < 100"), "doc_id")
+    return catalog.topic_terms(table(spark, d, "documents"), "doc_id")
 
 
 @query()
@@ -287,10 +287,10 @@ def l1_match_expression(spark, d):
 # --- jobs, streams ------------------------------------------------------------------------------------
 
 
-@query(cte(J) + """, w AS (SELECT DISTINCT kind, paper_id FROM jobs WHERE id % 3 = 0) SELECT w.kind, w.paper_id FROM w WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.state IN ('queued', 'running') AND j.kind = w.kind AND j.paper_id IS NOT DISTINCT FROM w.paper_id)""")
+@query(cte(J) + """, w AS (SELECT DISTINCT kind, paper_id FROM jobs WHERE state = 'done') SELECT w.kind, w.paper_id FROM w WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.state IN ('queued', 'running') AND j.kind = w.kind AND j.paper_id IS NOT DISTINCT FROM w.paper_id)""")
 def k4_enqueue(spark, d):
     rows = library(spark, d, J)
-    return jobs.enqueue(rows, rows.where("id % 3 = 0"))
+    return jobs.enqueue(rows, rows.where("state = 'done'"))
 
 
 @query(cte(J) + "SELECT id, state, CASE WHEN state <> 'running' THEN state WHEN attempts >= 3 THEN 'dead' ELSE 'queued' END AS new_state FROM jobs")
@@ -298,9 +298,9 @@ def k4_requeue_stale(spark, d):
     return jobs.requeue_stale(library(spark, d, J)).select("id", "state", "new_state")
 
 
-@query(cte(J) + ", j AS (SELECT * FROM jobs WHERE id < 150) SELECT DISTINCT paper_id FROM j WHERE state = 'dead' AND paper_id IS NOT NULL AND paper_id NOT IN (SELECT paper_id FROM j WHERE state IN ('queued', 'running') AND paper_id IS NOT NULL)")
+@query(cte(J) + ", j AS (SELECT state, id // 2 AS paper_id FROM jobs) SELECT DISTINCT paper_id FROM j WHERE state = 'dead' AND paper_id NOT IN (SELECT paper_id FROM j WHERE state IN ('queued', 'running'))")
 def e8_papers_to_fail(spark, d):
-    return jobs.papers_to_fail(library(spark, d, J).where("id < 150"))
+    return jobs.papers_to_fail(library(spark, d, J).withColumn("paper_id", F.floor(F.col("id") / 2)))
 
 
 @query(cte(J) + "SELECT CAST(CASE kind WHEN 'parse' THEN 10 WHEN 'metadata' THEN 20 WHEN 'embed' THEN 30 WHEN 'extract' THEN 35 WHEN 'project' THEN 40 WHEN 'enrich' THEN 50 WHEN 'measure' THEN 90 WHEN 'adjudicate' THEN 95 WHEN 'tag' THEN 100 ELSE 101 END AS INTEGER) AS priority, kind, count(*) AS n FROM jobs WHERE state = 'queued' GROUP BY 1, 2")
@@ -316,15 +316,17 @@ def k1_settled_paths(spark, d):
 
 @query(
     cte(P)
-    + """, f AS (SELECT p.path, sha256(coalesce(d.text, '')) AS digest, p.id FROM papers p JOIN documents d ON d.doc_id = p.id), k AS (SELECT digest, min(path) AS known_path, bool_or(id % 4 = 0) AS present FROM f WHERE id % 2 = 0 GROUP BY 1),
-    a AS (SELECT DISTINCT CASE WHEN id % 6 = 0 THEN path || '.moved' ELSE path END AS path, digest FROM f WHERE id % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY path) AS r FROM a)
+    + """, f AS (SELECT p.path, sha256(coalesce(d.text, '')) AS digest, l.quality FROM papers p JOIN documents d ON d.doc_id = p.id LEFT JOIN labels l ON l.doc_id = p.id),
+    k AS (SELECT digest, min(path) AS known_path, bool_or(quality = 1) AS present FROM f WHERE quality IS NOT NULL GROUP BY 1),
+    a AS (SELECT DISTINCT CASE WHEN quality = 0 THEN path || '.moved' ELSE path END AS path, digest FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY path) AS r FROM a)
     SELECT path, r.digest, CASE WHEN known_path IS NULL AND r = 1 THEN 'created' WHEN known_path = path THEN 'unchanged' WHEN known_path IS NOT NULL AND NOT present AND r = 1 THEN 'moved' ELSE 'duplicate_content' END AS outcome FROM r LEFT JOIN k ON k.digest = r.digest"""
 )
 def k3_register(spark, d):
-    p = library(spark, d, P).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    f = p.select("id", "path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    known = f.where("id % 2 = 0").select("path", "digest", (F.col("id") % 4 == 0).alias("present"))
-    arrived = f.where("id % 3 = 0").select(F.when(F.col("id") % 6 == 0, F.concat("path", F.lit(".moved"))).otherwise(F.col("path")).alias("path"), "digest")
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
+    p = library(spark, d, P).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").join(labels, "id", "left")
+    f = p.select("path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "quality")
+    known = f.where("quality IS NOT NULL").select("path", "digest", (F.col("quality") == 1).alias("present"))
+    arrived = f.select(F.when(F.col("quality") == 0, F.concat("path", F.lit(".moved"))).otherwise(F.col("path")).alias("path"), "digest")
     return ingest.register(known, arrived)
 
 
@@ -370,15 +372,15 @@ def n3_normal_tags(spark, d):
 
 
 @query(
-    """WITH k AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 40), p AS (SELECT vec_id + (CASE WHEN vec_id < 20 THEN 0 ELSE 1000 END) AS id, CASE WHEN vec_id < 30 THEN embedding::DOUBLE[] ELSE list_reverse(embedding::DOUBLE[]) END AS e FROM embeddings WHERE vec_id < 40),
-    n AS (SELECT p.id, max(list_cosine_similarity(p.e, k.e)) AS s, arg_max(k.vec_id, list_cosine_similarity(p.e, k.e)) AS other FROM p, k GROUP BY 1)
-    SELECT 't' || id AS slug, CASE WHEN id < 40 THEN 'existing' WHEN s >= 0.9 THEN 'merged' ELSE 'pending_review' END AS outcome, CASE WHEN id < 40 THEN 't' || id WHEN s >= 0.9 THEN 't' || other END AS canonical FROM n"""
+    """WITH p AS (SELECT vec_id + (CASE WHEN label < 4 THEN 0 ELSE 100000 END) AS id, CASE WHEN label < 7 THEN embedding::DOUBLE[] ELSE list_reverse(embedding::DOUBLE[]) END AS e FROM embeddings),
+    n AS (SELECT p.id, max(list_cosine_similarity(p.e, k.embedding::DOUBLE[])) AS s, arg_max(k.vec_id, list_cosine_similarity(p.e, k.embedding::DOUBLE[])) AS other FROM p, embeddings k GROUP BY 1)
+    SELECT 't' || id AS slug, CASE WHEN id < 100000 THEN 'existing' WHEN s >= 0.9 THEN 'merged' ELSE 'pending_review' END AS outcome, CASE WHEN id < 100000 THEN 't' || id WHEN s >= 0.9 THEN 't' || other END AS canonical FROM n"""
 )
 def n4_register_proposals(spark, d):
-    v = table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
     tags = v.select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("slug"), "v")
-    shifted = F.when(F.col("id") < 20, F.col("id")).otherwise(F.col("id") + 1000)
-    proposals = v.select(F.concat(F.lit("t"), shifted.cast("string")).alias("slug"), F.when(F.col("id") < 30, F.col("v")).otherwise(F.reverse("v")).alias("v"))
+    shifted = F.when(F.col("label") < 4, F.col("id")).otherwise(F.col("id") + 100000)
+    proposals = v.select(F.concat(F.lit("t"), shifted.cast("string")).alias("slug"), F.when(F.col("label") < 7, F.col("v")).otherwise(F.reverse("v")).alias("v"))
     return review.register_proposals(proposals, tags)
 
 
@@ -392,10 +394,11 @@ def n6_model_verdicts(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", review.model_verdict(F.col("s_acctbal"), F.col("s_nationkey") * 400).alias("verdict"))
 
 
-@query("SELECT c_custkey AS reference, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS total FROM customer WHERE c_custkey <= 500 UNION ALL SELECT c_custkey, c_acctbal + 1 FROM customer WHERE c_custkey > 500 AND c_custkey % 3 = 0")
+@query("WITH m AS (SELECT o_custkey AS reference, max(o_totalprice) AS total FROM orders GROUP BY 1 UNION ALL SELECT -1, 7.0) SELECT coalesce(c_custkey, reference) AS reference, coalesce(total, c_acctbal) AS total FROM customer FULL JOIN m ON reference = c_custkey")
 def n9_upsert_measurements(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("reference"), F.col("c_acctbal").alias("total"), F.lit(1.0).alias("on_card"))
-    return review.upsert_measurements(c.where("reference <= 500"), c.where("reference % 3 = 0").withColumn("total", F.col("total") + 1)).select("reference", "total")
+    profiles = table(spark, d, "customer").select(F.col("c_custkey").alias("reference"), F.col("c_acctbal").alias("total"), F.lit(1.0).alias("on_card"))
+    measured = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("reference")).agg(F.max("o_totalprice").alias("total"), F.lit(1.0).alias("on_card"))
+    return review.upsert_measurements(profiles, measured.unionByName(spark.createDataFrame([(-1, 7.0, 1.0)], measured.schema))).select("reference", "total")
 
 
 @query("SELECT doc_id, printf('%03d/%06d.md', doc_id // 1000, doc_id) AS path FROM documents")
@@ -427,9 +430,13 @@ def l6_readable_reasons(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", tx.readable_reason(error, F.format_string("b%d.pdf", F.col("s_suppkey"))).alias("reason"))
 
 
-@query(cte(Q) + "SELECT id, CASE WHEN id % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS status FROM quantities WHERE id % 100 < 2")
+@query(cte(Q) + "SELECT id, CASE WHEN chunk_ord = 1 THEN 'confirmed' WHEN chunk_ord = 2 THEN 'rejected' ELSE status END AS status FROM quantities")
 def y9_review_writes(spark, d):
-    return library(spark, d, Q).where("id % 100 < 2").select("id", F.when(F.col("id") % 2 == 0, "confirmed").otherwise("rejected").alias("status"))
+    from ..operators import facade
+
+    rows = library(spark, d, Q)
+    verdicts = rows.where("chunk_ord <= 2").select("id", F.when(F.col("chunk_ord") == 1, "confirmed").otherwise("rejected").alias("verdict")).distinct()
+    return facade.review_writes(rows, verdicts).select("id", "status")
 
 
 # --- answers to clients -----------------------------------------------------------------------------------
@@ -504,11 +511,12 @@ def y7_curriculum_of_a_region(spark, d):
     return facade.get_curriculum("region 3", _regions(spark, d), members, library(spark, d, P), v).select("id", "title", "score", "place", "step")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 90 THEN text WHEN regexp_matches(left(text, 90), '(?s)^.{31,}[.!?] ') THEN regexp_extract(left(text, 90), '(?s)^(.*[.!?]) ', 1) END AS cut FROM documents WHERE length(text) <= 90 OR regexp_matches(left(text, 90), '(?s)^.{31,}[.!?] ')")
+@query(
+    """WITH h AS (SELECT doc_id, text, regexp_extract(left(text, 90), '(?s)^(.*[.!?]) ', 1) AS w, regexp_extract(left(text, 90), '(?s)^(.+) ', 1) AS x FROM documents)
+    SELECT doc_id, CASE WHEN length(text) <= 90 THEN text WHEN length(w) > 31 THEN w ELSE regexp_replace(CASE WHEN length(x) > 0 THEN x ELSE left(text, 90) END, '[,;:]+$', '') || '…' END AS cut FROM h"""
+)
 def x26_sentence_cut(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
-    docs = docs.where((F.length("text") <= 90) | F.substring("text", 1, 90).rlike(r"(?s)^.{31,}[.!?] "))
-    return docs.select("doc_id", tx.sentence_cut(F.col("text"), 90).alias("cut"))
+    return table(spark, d, "documents").select("doc_id", tx.sentence_cut(F.col("text"), 90).alias("cut"))
 
 
 @query("SELECT doc_id, '10.1234/x.' || doc_id AS doi, '2101.' || (10000 + doc_id) AS arxiv FROM documents")
@@ -531,11 +539,11 @@ def x28_opening_window(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(window).cast("long").alias("chars"))
 
 
-@query(cte(P) + "SELECT id, '.quarantine/20240102/' || id || '.txt' AS target FROM papers WHERE id % 10 = 0")
+@query(cte(P) + "SELECT id, '.quarantine/20240102/' || id || '.txt' AS target FROM papers")
 def s20_quarantine_report(spark, d):
     from ..operators import facade
 
-    rows = library(spark, d, P).where("id % 10 = 0").select("id", "path", F.lit("duplicate").alias("problem"), F.lit(None).cast("string").alias("keeper"))
+    rows = library(spark, d, P).select("id", "path", F.lit("duplicate").alias("problem"), F.lit(None).cast("string").alias("keeper"))
     out = facade.quarantine_report(rows.drop("id"), F.date_format(F.lit("2024-01-02").cast("timestamp"), "yyyyMMdd"))
     return out.join(rows.select("id", "path"), "path").select("id", "target")
 
@@ -563,11 +571,11 @@ def v3_semantic_search(spark, d):
     return facade.search_library(library(spark, d, P), "semantic", "", 10, vectors=vectors, query_vector=encode.encode_query("anti ther inon"))
 
 
-@query("SELECT event_type AS quantity_kind, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 25 AS batch, event_id AS id FROM events WHERE event_id % 3 = 0")
+@query("SELECT event_type AS quantity_kind, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 25 AS batch, event_id AS id FROM events")
 def k9_adjudication_batches(spark, d):
     from ..operators import facade
 
-    rows = table(spark, d, "events").where("event_id % 3 = 0").selectExpr("event_id AS id", "event_type AS quantity_kind", "'pending_llm' AS status")
+    rows = table(spark, d, "events").selectExpr("event_id AS id", "event_type AS quantity_kind", "'pending_llm' AS status")
     return facade.adjudication_batches(rows).select("quantity_kind", "batch", "id")
 
 
@@ -581,7 +589,6 @@ def l6_sentences(spark, d):
     return library(spark, d, P).select("id", review.placement_sentence(F.col("lang"), F.col("confidence"), drift).alias("placement"), review.stop_caption(F.col("id"), F.col("year"), F.col("source")).alias("caption"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'Both regions study the ' || p_name END AS summary FROM part WHERE len(string_split(p_name, ' ')) >= 2")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 OR len(string_split(p_name, ' ')) < 2 THEN NULL ELSE 'Both regions study the ' || p_name END AS summary FROM part")
 def n5_bridge_summaries(spark, d):
-    part = table(spark, d, "part").where(F.size(F.split("p_name", " ")) >= 2)
-    return part.select("p_partkey", review.bridge_summary(F.col("p_partkey") % 3 != 0, F.concat(F.lit("Both  regions study the "), "p_name")).alias("summary"))
+    return table(spark, d, "part").select("p_partkey", review.bridge_summary(F.col("p_partkey") % 3 != 0, F.concat(F.lit("Both  regions study the "), "p_name")).alias("summary"))
\ No newline at end of file

@@ -80,15 +80,15 @@ def c7_bridges(spark, d):
     return found.withColumn("paper_ids", F.array_join(F.transform("paper_ids", lambda x: x.cast("string")), ","))
 
 
-@query("SELECT n AS rows, CASE WHEN n < 2 THEN 5 ELSE least(greatest(5, least(60, CAST(round_even(least(n / 8, sqrt(n)), 0) AS INTEGER))), n - 1) END AS neighbours, CASE WHEN n < 200 THEN 0.5 WHEN n < 1000 THEN 0.6 ELSE 0.7 END::DOUBLE AS share FROM (SELECT CAST(o_orderkey AS INTEGER) * 7 AS n FROM orders WHERE o_orderkey <= 400)")
+@query("SELECT n AS rows, CASE WHEN n < 2 THEN 5 ELSE least(greatest(5, least(60, CAST(round_even(least(n / 8, sqrt(n)), 0) AS INTEGER))), n - 1) END AS neighbours, CASE WHEN n < 200 THEN 0.5 WHEN n < 1000 THEN 0.6 ELSE 0.7 END::DOUBLE AS share FROM (SELECT n_nationkey * n_nationkey * 7 AS n FROM nation)")
 def c1_scale_rules(spark, d):
-    sizes = [r[0] for r in table(spark, d, "orders").where("o_orderkey <= 400").selectExpr("CAST(o_orderkey AS INTEGER) * 7 AS n").collect()]
+    sizes = [r[0] for r in table(spark, d, "nation").selectExpr("n_nationkey * n_nationkey * 7 AS n").collect()]  # twenty-five rows
     return spark.createDataFrame([(n, neighbours.neighbours_for(n), clustering.max_cluster_share(n)) for n in sizes], "rows int, neighbours int, share double")
 
 
 @query()
 def c6_density_clusters(spark, d):
-    return clustering.cluster_vectors(_vectors(spark, d).where("id < 500"))
+    return clustering.cluster_vectors(_vectors(spark, d))
 
 
 @query()
@@ -97,35 +97,35 @@ def c6_kmeans(spark, d):
 
 
 @query(
-    f"""WITH {PAIRS}, f AS (SELECT i, j, s FROM pairs WHERE j % 4 <> 0), t AS (SELECT i, s, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS r FROM f),
-    near AS (SELECT i AS id, avg(1 - s) AS away FROM t WHERE r <= 15 AND i % 4 = 0 GROUP BY 1), own AS (SELECT i, avg(1 - s) AS away FROM t WHERE r <= 15 AND i % 4 <> 0 GROUP BY 1),
+    f"""WITH {PAIRS}, f AS (SELECT i, j, s FROM pairs JOIN embeddings ON vec_id = j WHERE label <> 0), t AS (SELECT i, s, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS r FROM f),
+    near AS (SELECT i AS id, avg(1 - s) AS away FROM t JOIN embeddings ON vec_id = i WHERE r <= 15 AND label = 0 GROUP BY 1), own AS (SELECT i, avg(1 - s) AS away FROM t JOIN embeddings ON vec_id = i WHERE r <= 15 AND label <> 0 GROUP BY 1),
     b AS (SELECT greatest(quantile_cont(away, 0.5), 1e-6) AS base FROM own) SELECT id, round(away / base, 5) AS drift FROM near, b"""
 )
 def m3_drift(spark, d):
     v = _vectors(spark, d)
-    return neighbours.drift(v.where("id % 4 = 0"), v.where("id % 4 <> 0")).select("id", F.round("drift", 5).alias("drift"))
+    return neighbours.drift(v.where("cluster = 0"), v.where("cluster <> 0")).select("id", F.round("drift", 5).alias("drift"))
 
 
 @query()
 def m1_projection(spark, d):
     v = _vectors(spark, d)
-    mean, components = maps.fit_pca(v.where("id % 5 <> 0"), 64)
+    mean, components = maps.fit_pca(v.where("cluster <> 0"), 64)
     return maps.project(v, mean, components).select("id", *[F.round(c, 5).alias(c) for c in "xyz"])
 
 
 @query("SELECT vec_id AS id, round(embedding[1]::DOUBLE, 4) AS x, round(embedding[2]::DOUBLE, 4) AS y, round(embedding[3]::DOUBLE, 4) AS z FROM embeddings")
 def m4_procrustes(spark, d):
     # A layout turned by 90 degrees, mirrored, scaled and moved comes back to where it was.
-    base = table(spark, d, "embeddings").selectExpr("vec_id AS id", *[f"CAST(embedding[{k}] AS DOUBLE) AS {c}" for k, c in enumerate("xyz")])
+    base = table(spark, d, "embeddings").selectExpr("vec_id AS id", "label", *[f"CAST(embedding[{k}] AS DOUBLE) AS {c}" for k, c in enumerate("xyz")])
     moved = base.select("id", (F.col("y") * 3 + 1).alias("x"), (F.col("x") * 3 - 2).alias("y"), (F.col("z") * -3).alias("z"))
-    return maps.align(moved, base.where("id % 3 = 0")).select("id", *[F.round(c, 4).alias(c) for c in "xyz"])
+    return maps.align(moved, base.where("label < 3")).select("id", *[F.round(c, 4).alias(c) for c in "xyz"])
 
 
 LAYOUT = "l AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
 
 
 def _layout(spark, d, shift=0):
-    return table(spark, d, "embeddings").selectExpr("vec_id AS id", *[f"CAST(embedding[{k + shift}] AS DOUBLE) AS {c}" for k, c in enumerate("xyz")])
+    return table(spark, d, "embeddings").selectExpr("vec_id AS id", "label", *[f"CAST(embedding[{k + shift}] AS DOUBLE) AS {c}" for k, c in enumerate("xyz")])
 
 
 @query(
@@ -139,11 +139,11 @@ def m7_normalised_layout(spark, d):
 
 
 @query(
-    f"""WITH {LAYOUT}, t AS (SELECT vec_id AS id, embedding[4]::DOUBLE AS x, embedding[5]::DOUBLE AS y, embedding[6]::DOUBLE AS z FROM embeddings WHERE vec_id % 2 = 0)
+    f"""WITH {LAYOUT}, t AS (SELECT vec_id AS id, embedding[4]::DOUBLE AS x, embedding[5]::DOUBLE AS y, embedding[6]::DOUBLE AS z FROM embeddings WHERE label < 5)
     SELECT l.id, round(l.x * 0.75 + coalesce(t.x, l.x) * 0.25, 6) AS x, round(l.y * 0.75 + coalesce(t.y, l.y) * 0.25, 6) AS y, round(l.z * 0.75 + coalesce(t.z, l.z) * 0.25, 6) AS z FROM l LEFT JOIN t USING (id)"""
 )
 def m8_morph(spark, d):
-    return maps.morph(_layout(spark, d), _layout(spark, d, 3).where("id % 2 = 0"), 0.25).select("id", *[F.round(c, 6).alias(c) for c in "xyz"])
+    return maps.morph(_layout(spark, d), _layout(spark, d, 3).where("label < 5"), 0.25).select("id", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
 @query(cte(P) + "SELECT id, round(0.62 + 0.78 * least(ln(greatest(coalesce(pages, 12), 1) + 1) / ln(21), 1.9), 6) AS size, CASE WHEN id % 4 = 0 THEN round(1 + least(coalesce(confidence, 0) * 5, 3) * 0.35, 6) ELSE 1.0 END AS halo FROM papers")
@@ -214,20 +214,20 @@ def r7_curriculum(spark, d):
 
 
 @query(
-    f"""WITH {PAIRS}, s AS (SELECT event_id AS place, user_id % 400 AS id FROM events WHERE event_id < 50), n AS (SELECT place, id, lead(id) OVER (ORDER BY place) AS next_id FROM s)
-    SELECT place, id, next_id, round(p.s, 6) AS similarity FROM n LEFT JOIN pairs p ON p.i = id AND p.j = next_id"""
+    f"""WITH {PAIRS}, s AS (SELECT event_type AS trail, event_id AS place, user_id % 400 AS id FROM events), n AS (SELECT trail, place, id, lead(id) OVER (PARTITION BY trail ORDER BY place) AS next_id FROM s)
+    SELECT trail, place, id, next_id, round(p.s, 6) AS similarity FROM n LEFT JOIN pairs p ON p.i = id AND p.j = next_id"""
 )
 def w4_similarity_to_next(spark, d):
     from pyspark.sql import Window
 
     from ..functions.vectors import dot
 
-    stops = table(spark, d, "events").where("event_id < 50").select(F.lit(0).alias("trail"), F.col("event_id").alias("place"), (F.col("user_id") % 400).alias("id"))
+    stops = table(spark, d, "events").select(F.col("event_type").alias("trail"), F.col("event_id").alias("place"), (F.col("user_id") % 400).alias("id"))
     stops = stops.withColumn("next_id", F.lead("id").over(Window.partitionBy("trail").orderBy("place")))
     v = _vectors(spark, d).select("id", unit(F.col("v")).alias("u"))
     joined = stops.join(v, "id", "left").join(v.select(F.col("id").alias("next_id"), F.col("u").alias("w")), "next_id", "left")
     similarity = F.when(F.col("id") != F.col("next_id"), F.round(dot(F.col("u"), F.col("w")), 6))
-    return joined.select("place", "id", "next_id", similarity.alias("similarity"))
+    return joined.select("trail", "place", "id", "next_id", similarity.alias("similarity"))
 
 
 @query("SELECT n, array_to_string(list(CAST(p AS VARCHAR) ORDER BY p), ',') AS places FROM (SELECT DISTINCT n, CAST(round_even(k * (n - 1) / 13, 0) AS BIGINT) AS p FROM (SELECT n_nationkey + 15 AS n FROM nation), range(14) r(k)) GROUP BY 1")
