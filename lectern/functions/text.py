@@ -173,22 +173,13 @@ def soft_signals(m: dict[str, Column]) -> Column:
 
 # --- prose ------------------------------------------------------------------------
 
-NOTICE = (
-    r"(?i)all\s+rights\s+reserved|no\s+part\s+of\s+this\s+(?:book|publication)|library\s+of\s+congress|british\s+library\s+cataloguing"
-    r"|printed\s+in\s+the\s+united|isbn|first\s+published|rights\s+reserved|exclusive\s+licensee|copyright\s*©|typeset\s+by|cover\s+design"
-    r"|reprinted|this\s+page\s+intentionally"
-)
-CAPTION = r"(?i)^\**\s*(?:fig(?:ure)?|table|chart|scheme|box|plate|exhibit)\s*\.?\s*[0-9IVX]+\b"
-SENTENCE_END = r"[.!?](?:\s|$)"
-TRUNCATED = r"(?m)^\[Document truncated at (\d+) of (\d+) pages"
-
 
 def is_furniture(text: Column) -> Column:
     """A notice, our own truncation note, a caption, a table, or a fragment that begins in mid-sentence."""
     return (
-        F.substring(text, 1, 200).rlike(NOTICE)
+        F.substring(text, 1, 200).rlike(fixed.NOTICE)
         | text.rlike(r"^\[Document truncated at \d+ of \d+ pages")
-        | text.rlike(CAPTION)
+        | text.rlike(fixed.CAPTION)
         | text.rlike(r"\|.*\|.*\|")
         | text.rlike(r"^\p{Ll}")
     )
@@ -201,7 +192,7 @@ def is_prose(paragraph: Column) -> Column:
     count = F.size(words)
     capitals = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
     digits = F.size(F.filter(words, lambda w: w.rlike(r"\p{Nd}")))
-    shaped = (F.length(text) >= 200) & ~text.rlike("^(?:#|>|- )") & ~is_furniture(text) & (F.regexp_count(text, F.lit(SENTENCE_END)) >= 2)
+    shaped = (F.length(text) >= 200) & ~text.rlike("^(?:#|>|- )") & ~is_furniture(text) & (F.regexp_count(text, F.lit(fixed.SENTENCE_END)) >= 2)
     return shaped & (capitals / count < 0.4) & (digits / count < 0.15)
 
 
@@ -250,28 +241,15 @@ def with_truncation_note(markdown: Column, kept: Column, total: Column) -> Colum
 
 
 def was_truncated(markdown: Column) -> Column:
-    return F.coalesce(markdown.rlike(TRUNCATED), F.lit(False))
+    return F.coalesce(markdown.rlike(fixed.TRUNCATED), F.lit(False))
 
 
 def full_length(markdown: Column) -> Column:
-    return blank_to_null(F.regexp_extract(markdown, TRUNCATED, 2)).cast("int")
+    return blank_to_null(F.regexp_extract(markdown, fixed.TRUNCATED, 2)).cast("int")
 
 
 # --- titles -------------------------------------------------------------------------
 
-TEMPLATE = (
-    r"(?i)\b(?:pre-?proofs?|template\s+for\s+(?:journal|conference|papers?|articles?)|(?:manuscript|paper|article)\s+template|proceedings\s+format"
-    r"|use\s+style\s*:|sample\s+manuscript|showing\s+specifications)"
-)
-PAGE_FURNITURE = (
-    r"(?i)^(?:arxiv[:\s]|preprint|draft|under review|submitted|accepted|published|proceedings|copyright|©|doi[:\s]|https?://|page\s|\d+$"
-    r"|www\.|nature\.com|sciencedirect|springer|wiley|elsevier|ieee\b|scientific\s*reports$|vol(?:ume)?\.?\s*\d|issn|isbn"
-    r"|downloaded\s+from|nih\s+public\s+access|author\s+manuscript|available\s+online|see\s+discussions|this\s+content\s+downloaded"
-    r"|licen[cs]ed?\s+under|all\s+rights\s+reserved|replace\s+this|double-?click\s+here|click\s+here\s+to|<\s*title\s*>"
-    r"|insert\s+(?:title|your)|type\s+your|\[?title\s+here|journal\s+pre-?proofs?|author\s+template|(?:authors?|by|year|published|date|source)\s*:)"
-)
-CITATION_LINE = r"\d+\s*\(\s*(?:19|20)\d{2}\s*\)\s*\d+\s*[-–]\s*\d+\s*$"
-
 
 def is_code(text: Column) -> Column:
     """A report number: one or two words with digits and no small ASCII letters."""
@@ -289,7 +267,7 @@ def without_markup(line: Column) -> Column:
 def embedded_title(raw: Column) -> Column:
     """A file's own title field if it is filled in honestly, else null."""
     title = without_markup(raw)
-    bad = (F.length(title) < 12) | title.rlike(PAGE_FURNITURE) | title.rlike(TEMPLATE) | title.rlike(CITATION_LINE) | title.rlike(r"^\S*_\S*$") | is_code(title)
+    bad = (F.length(title) < 12) | title.rlike(fixed.PAGE_FURNITURE) | title.rlike(fixed.TEMPLATE) | title.rlike(fixed.CITATION_LINE) | title.rlike(r"^\S*_\S*$") | is_code(title)
     return F.when(~bad, title)
 
 
@@ -297,7 +275,7 @@ def presentable(title: Column) -> Column:
     """Whether a work can be recommended by its title."""
     text = strip(F.coalesce(title, F.lit("")))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{Nl}\p{No}]", ""))
-    return (F.length(text) > 0) & ~text.rlike(TEMPLATE) & ~F.contains(text, F.lit("|")) & (letters >= 4)
+    return (F.length(text) > 0) & ~text.rlike(fixed.TEMPLATE) & ~F.contains(text, F.lit("|")) & (letters >= 4)
 
 
 def readable_reason(error: Column, filename: Column) -> Column:

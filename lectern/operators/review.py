@@ -35,39 +35,6 @@ def register_proposals(proposals: DataFrame, tags: DataFrame, least: float = fix
     return out.select("slug", outcome.alias("outcome"), F.when(F.col("exists"), F.col("slug")).when(alike, F.col("other")).alias("canonical"))
 
 
-#: Genres and kinds of things that readings use, and phrases of the instructions that answers echo.
-GENRES = (
-    "empirical-study",
-    "theoretical-argument",
-    "survey-or-review",
-    "essay-or-commentary",
-    "historical-narrative",
-    "technical-report",
-    "literary-or-fiction",
-    "reference-or-textbook",
-    "other",
-)
-GENRE_LABELS = {
-    "empirical-study": "Empirical study",
-    "theoretical-argument": "Theoretical argument",
-    "survey-or-review": "Survey",
-    "essay-or-commentary": "Essay",
-    "historical-narrative": "History",
-    "technical-report": "Technical report",
-    "literary-or-fiction": "Literary work",
-    "reference-or-textbook": "Reference",
-}
-THINGS = ("person", "work", "concept", "event", "place", "organisation")
-ECHOES = (
-    "central question or problem",
-    "this particular work takes up",
-    "the work takes up",
-    "core argument, finding",
-    "argues, finds or discovers",
-    "what changes if the reader believes",
-    "copy these instructions",
-    "flood damage be mapped",
-)
 ANSWER_CHARS, BRIDGE_CHARS = 320, 420
 READING = "struct<genre: string, question: string, argument: string, significance: string, claims: array<string>, entities: array<struct<name: string, kind: string>>, grounded: boolean>"
 
@@ -84,16 +51,16 @@ def normal_reading(answer: Column) -> Column:
 
     def said(name: str) -> Column:
         text = tx.sentence_cut(line(a[name]), ANSWER_CHARS)
-        return F.when(F.lower(text).rlike("|".join(ECHOES)), F.lit("")).otherwise(text)
+        return F.when(F.lower(text).rlike("|".join(fixed.ECHOES)), F.lit("")).otherwise(text)
 
     answers = {name: said(name) for name in ("question", "argument", "significance")}
     claims = F.transform(F.coalesce(a["claims"], F.array().cast("array<string>")), lambda c: tx.sentence_cut(line(c), ANSWER_CHARS))
     claims = F.array_distinct(F.filter(claims, lambda c: F.size(F.split(c, " ")) >= 4))
     things = F.transform(F.coalesce(a["entities"], F.array().cast("array<struct<name: string, kind: string>>")), lambda e: F.struct(line(e["name"]).alias("name"), F.lower(line(e["kind"])).alias("kind")))
-    things = F.filter(things, lambda e: (F.length(e["name"]) > 0) & e["kind"].isin(*THINGS))
+    things = F.filter(things, lambda e: (F.length(e["name"]) > 0) & e["kind"].isin(*fixed.THINGS))
     names = F.transform(things, lambda e: F.lower(e["name"]))
     things = F.filter(things, lambda e, k: F.array_position(names, F.lower(e["name"])) == k + 1)
-    genre = F.when(line(a["genre"]).isin(*GENRES), line(a["genre"])).otherwise("other")
+    genre = F.when(line(a["genre"]).isin(*fixed.GENRES), line(a["genre"])).otherwise("other")
     whole = F.lit(True)
     for text in answers.values():
         whole = whole & (F.length(text) > 0)
@@ -101,13 +68,13 @@ def normal_reading(answer: Column) -> Column:
 
 
 def genre_label(genre: Column) -> Column:
-    cells = [x for pair in GENRE_LABELS.items() for x in map(F.lit, pair)]
+    cells = [x for pair in fixed.GENRE_LABELS.items() for x in map(F.lit, pair)]
     return F.try_element_at(F.create_map(*cells), genre)
 
 
 def entity_groups(entities: Column) -> Column:
     """Names by kind, in the order of kinds; kinds without names are left out."""
-    groups = [F.struct(F.lit(k).alias("kind"), F.transform(F.filter(entities, _of_kind(k)), lambda e: e["name"]).alias("names")) for k in THINGS]
+    groups = [F.struct(F.lit(k).alias("kind"), F.transform(F.filter(entities, _of_kind(k)), lambda e: e["name"]).alias("names")) for k in fixed.THINGS]
     return F.filter(F.array(*groups), lambda g: F.size(g["names"]) > 0)
 
 
