@@ -42,9 +42,10 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ordered_id(column: str = "doc_id"):
-    """The id for comparisons: null counts as larger than every id."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
+def release(spark: SparkSession) -> None:
+    """Removes the tables that operators wrote, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lectern")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_or_empty(column: str = "text"):

@@ -28,8 +28,10 @@ from .common import NULL_ID, Words, materialize, mix, slices, text_buffers, wind
 
 WINDOW = 13
 BATCH_BYTES = 4 << 20
-#: Words of all texts per range of hashes.
-RANGE_WORDS = 2_000_000
+#: Words of all texts per range of hashes: at least, and at most (a range is one task's work).
+RANGE_WORDS, MOST_RANGE_WORDS = 2_000_000, 32_000_000
+#: Ranges up to which ranges stay small, so that a batch's row per range holds some dozens of hashes.
+RANGES = 2_500
 #: Bytes of a hash that the first level sends; it only thins candidates.
 SHORT_HASH = 6
 _U = np.uint64
@@ -249,7 +251,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     lengths = [half, window] if window > 1 else [1, 1]
     packed = materialize(pack(_fixed_order(docs.select(id_column, text_column)), id_column, text_column), "substring-packed")
     total = packed.agg(F.sum("n_words")).first()[0] or 0
-    ranges = max(1, -(-int(total) // RANGE_WORDS))
+    ranges = max(1, min(-(-int(total) // RANGE_WORDS), RANGES), -(-int(total) // MOST_RANGE_WORDS))
 
     state = packed
     level = 0

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import minhash
+from lectern.llm import substring_dedup as substring
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.graph import connected_components
 from lectern.llm.minhash import near_duplicates, superminhash
@@ -214,6 +215,14 @@ def test_substring_doubles_until_nothing_survives(spark):
     assert {r.id: r.n_removed for r in found.collect()} == {1: 0, 2: 100, 3: 0}
 
 
+def test_substring_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(substring, "RANGE_WORDS", 300)
+    monkeypatch.setattr(substring, "BATCH_BYTES", 2_000)
+    rows = awkward(6)
+    found, _ = substring_dedup(frame(spark, rows))
+    assert sorted([(r.id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()], key=str) == plain_substring(rows, 13)
+
+
 def test_substring_of_nothing(spark):
     found, _ = substring_dedup(frame(spark, []).limit(0))
     assert found.count() == 0

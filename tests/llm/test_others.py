@@ -307,3 +307,15 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
 
 def test_all_ten_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_release_removes_what_was_written(spark):
+    from pathlib import Path
+
+    from lectern.llm.common import materialize, release, shared_dir
+
+    assert materialize(spark.range(3), "x").count() == 3
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "lectern"
+    assert any(folder.iterdir())
+    release(spark)
+    assert not folder.exists()
