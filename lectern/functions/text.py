@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -115,15 +115,22 @@ def pages_of(chars: Column) -> Column:
 # --- quality gate --------------------------------------------------------------
 
 
-def quality_metrics(text: Column, pages: Column, images: Column) -> dict[str, Column]:
-    """Nine ratios of a text layer; an empty text has zeros."""
-    n = F.length(text)
+def with_quality(docs: DataFrame, text: Column, pages: Column, images: Column, fonts: Column) -> DataFrame:
+    """Adds ``metrics`` (nine ratios of the text layer; zeros for an empty one), ``hard`` and ``soft`` (names of failed tests).
+
+    Words and lines are columns of their own first, so each text is cut once.
+    """
     lines = F.filter(F.transform(F.split(text, LINE_BREAK), strip), lambda x: F.length(x) >= fixed.GATE["long_line"])
-    solid = F.size(F.filter(lines, lambda x: ~F.contains(x, F.lit(" "))))
     words = F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{Nl}\p{No}]+)"), F.lit(1)), lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
-    count = F.size(words)
-    known = any_of(fixed.STOPWORDS)
-    letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
+    cut = docs.withColumns({"_text": text, "_words": words, "_lines": lines})
+    ratios = quality_metrics(F.col("_text"), F.col("_words"), F.col("_lines"), pages, images)
+    rated = cut.withColumn("metrics", F.struct(*[c.alias(n) for n, c in ratios.items()])).drop("_text", "_words", "_lines")
+    m = {n: F.col("metrics")[n] for n in ratios}
+    return rated.withColumns({"hard": hard_failures(m, fonts), "soft": soft_signals(m)})
+
+
+def quality_metrics(text: Column, words: Column, lines: Column, pages: Column, images: Column) -> dict[str, Column]:
+    n, count = F.length(text), F.size(words)
 
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
@@ -131,14 +138,15 @@ def quality_metrics(text: Column, pages: Column, images: Column) -> dict[str, Co
     def rate(pattern: str) -> Column:
         return share(F.regexp_count(text, F.lit(pattern)), n)
 
+    solid = F.size(F.filter(lines, lambda x: ~F.contains(x, F.lit(" "))))
     return {
         "chars_per_page": n / F.greatest(pages, F.lit(1)),
         "missing_whitespace_ratio": F.when(F.size(lines) >= fixed.GATE["lines_for_whitespace"], solid / F.size(lines)).otherwise(F.lit(0.0)),
         "replacement_ratio": rate(r"[\x{FFFD}\x00-\x08\x0E-\x1F\x7F-\x9F]"),
         "alpha_ratio": rate(r"\p{L}"),
         "nonascii_ratio": rate(r"[^\x00-\x7F]"),
-        "stopword_hit_rate": share(F.size(F.filter(words, lambda w: F.array_contains(known, w))), count),
-        "mean_word_length": share(letters, count),
+        "stopword_hit_rate": share(F.size(F.filter(words, lambda w: w.isin(*fixed.STOPWORDS))), count),
+        "mean_word_length": share(F.length(F.array_join(words, "")), count),
         "mojibake_ratio": rate(r"[ÃÂÅ][\u0080-ÿ]|â€") * 2,
         "image_area_ratio": images,
     }

@@ -16,13 +16,13 @@ def clamp(n: int, low: int, high: int) -> int:
     return max(low, min(high, n))
 
 
-def search_library(papers: DataFrame, mode: str, query: str, limit: int = 10, chunks: DataFrame | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
+def search_library(papers: DataFrame, mode: str, query: str, limit: int = 10, chunks: DataFrame | None = None, index: DataFrame | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
     """(id, title, score, snippet) by title, full text or meaning."""
     limit = clamp(limit, 1, SEARCH)
     if mode == "title":
         return search.search_titles(papers, query).limit(limit).select("id", "title", F.col("matches").cast("double").alias("score"), F.lit(None).cast("string").alias("snippet"))
     if mode == "fulltext":
-        found = search.search_fulltext(chunks, search.postings(chunks), papers, query, limit)
+        found = search.search_fulltext(chunks, index, papers, query, limit)
         return found.select(F.col("paper_id").alias("id"), "title", "score", "snippet")
     if mode == "semantic":
         found = neighbours.nearest(vectors, query_vector, limit)

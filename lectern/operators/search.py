@@ -38,29 +38,56 @@ def postings(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
     return chunks.select("chunk_id", F.explode(words).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search(index: DataFrame, query: str, stemmed: bool = False) -> DataFrame:
-    """(chunk_id, score) of chunks that hold every term as the beginning of a word.
-
-    bm25 with k1 1.2 and b 0.75; a term's frequency is that of all words it begins, its idf is at least 1e-6.
-    """
+def _terms(query: str, stemmed: bool) -> list[str]:
     terms = list(dict.fromkeys(t for q in query_terms(query.lower()) for t in re.findall(r"\w+", q)))
     if stemmed:
         from ..functions.stem import stem
 
         terms = [stem(t) for t in terms]
+    return terms
+
+
+def _bm25(tf: Column, df: Column, size: Column, chunks: Column, mean: Column) -> Column:
+    """k1 1.2, b 0.75; the idf is at least 1e-6."""
+    idf = F.greatest(F.ln((chunks - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+def search(index: DataFrame, query: str, stemmed: bool = False) -> DataFrame:
+    """(chunk_id, score) of indexed chunks that hold every term as the beginning of a word; bm25, a term counting all words it begins."""
+    terms = _terms(query, stemmed)
     sizes = index.groupBy("chunk_id").agg(F.sum("tf").alias("size"))
     corpus = sizes.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("size").alias("mean_size"))
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     hits = index.withColumn("q", F.explode(F.filter(wanted, lambda t: F.startswith(F.col("term"), t))))
     hits = hits.groupBy("chunk_id", "q").agg(F.sum("tf").alias("tf"))
     found = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df"))  # one row per term of the query
-    idf = F.greatest(F.ln((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     rows = hits.join(F.broadcast(found), "q").join(sizes, "chunk_id").crossJoin(F.broadcast(corpus))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
+    part = _bm25(F.col("tf"), F.col("df"), F.col("size"), F.col("n_chunks"), F.col("mean_size"))
     scored = rows.groupBy("chunk_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n"))
     return scored.where(F.col("n") == len(terms)).select("chunk_id", "score")
 
 
+def scan(chunks: DataFrame, query: str) -> DataFrame:
+    """As ``search``, without an index: one pass counts, one scores; only one row of counts is shuffled."""
+    terms = _terms(query, False)
+    if not terms:
+        return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    words = F.concat(tokens(F.coalesce("text", F.lit(""))), tokens(F.coalesce("section", F.lit(""))))
+    cut = chunks.select("chunk_id", words.alias("words"))
+    counts = cut.select("chunk_id", F.size("words").alias("size"), *[F.size(F.filter("words", _begins(t))).alias(f"tf{k}") for k, t in enumerate(terms)]).where("size > 0")
+    corpus = counts.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("size").alias("mean_size"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
+    held = counts
+    for k in range(len(terms)):
+        held = held.where(F.col(f"tf{k}") > 0)
+    score = sum((_bm25(F.col(f"tf{k}"), F.col(f"df{k}"), F.col("size"), F.col("n_chunks"), F.col("mean_size")) for k in range(len(terms))), F.lit(0.0))
+    return held.crossJoin(F.broadcast(corpus)).select("chunk_id", score.alias("score"))
+
+
+def _begins(term: str):
+    return lambda w: F.startswith(w, F.lit(term))
+
+
 def snippet(text: Column, terms: list[str]) -> Column:
     """About 24 words around the first match, at most 240 characters; "…" where the text goes on."""
     words = F.split(tx.squeeze(text), " ")
@@ -78,9 +105,10 @@ def _any_prefix(word: Column, terms: list[str]) -> Column:
     return out
 
 
-def search_fulltext(chunks: DataFrame, index: DataFrame, papers: DataFrame, query: str, limit: int = 30) -> DataFrame:
-    """The best chunk of each paper among the first three times ``limit`` hits, with title and snippet."""
-    hits = search(index, query).join(chunks, "chunk_id")
+def search_fulltext(chunks: DataFrame, index: DataFrame | None, papers: DataFrame, query: str, limit: int = 30) -> DataFrame:
+    """The best chunk of each paper among the first three times ``limit`` hits, with title and snippet; without an index the chunks are scanned."""
+    found = scan(chunks, query) if index is None else search(index, query)
+    hits = found.join(chunks, "chunk_id")
     best = best_per_paper(hits.select("chunk_id", "paper_id", "section", "text", F.round("score", 4).alias("score")), limit)
     titles = papers.select(F.col("id").alias("paper_id"), "title")
     return best.join(titles, "paper_id", "left").select("paper_id", "title", "score", "section", snippet(F.col("text"), query_terms(query.lower())).alias("snippet"))

@@ -30,9 +30,7 @@ def replace_rows(table: DataFrame, fresh: DataFrame, key: str, done: DataFrame |
 def parse_stage(files: DataFrame, page_limit: int = 0) -> DataFrame:
     """Files (path, kind, content, digest) with Markdown, the gate's verdict and a status; unreadable ones are failed."""
     rows = parse_documents(files, page_limit).drop("content")
-    text = F.coalesce("markdown", F.lit(""))
-    m = tx.quality_metrics(text, F.coalesce("pages", F.lit(1)), F.lit(0.0))
-    rows = rows.withColumn("hard", tx.hard_failures(m, F.lit(1))).withColumn("soft", tx.soft_signals(m))
+    rows = tx.with_quality(rows, F.coalesce("markdown", F.lit("")), F.coalesce("pages", F.lit(1)), F.lit(0.0), F.lit(1))
     status = F.when(F.col("problem").isNotNull(), "failed").otherwise("parsed")
     return rows.withColumn("passed", (F.size("hard") == 0) & (F.size("soft") < 2)).withColumn("status", status)
 

@@ -73,16 +73,14 @@ METRICS = f"""t AS (SELECT doc_id, coalesce(text, '') AS x, greatest(1, round_ev
       len(regexp_extract_all(x, '[\\x{{FFFD}}\\x00-\\x08\\x0E-\\x1F\\x7F-\\x{{9F}}]')) / greatest(n, 1) AS bad FROM w)"""
 
 
-def _metrics(spark, d):
-    docs = table(spark, d, "documents").withColumn("x", F.coalesce("text", F.lit("")))
-    return docs, tx.quality_metrics(F.col("x"), tx.pages_of(F.col("n_chars")), F.lit(0.0))
+def _rated(spark, d):
+    return tx.with_quality(table(spark, d, "documents"), F.coalesce("text", F.lit("")), tx.pages_of(F.col("n_chars")), F.lit(0.0), F.lit(0))
 
 
 @query(f"WITH {METRICS} SELECT doc_id, round(cpp, 4) AS chars_per_page, round(mws, 6) AS missing_whitespace, round(alpha, 6) AS alpha, round(nonascii, 6) AS nonascii, round(stop, 6) AS stopwords, round(mean, 6) AS mean_word, round(bad, 6) AS replacement FROM m")
 def x6_quality_metrics(spark, d):
-    docs, m = _metrics(spark, d)
     names = {"chars_per_page": "chars_per_page", "missing_whitespace": "missing_whitespace_ratio", "alpha": "alpha_ratio", "nonascii": "nonascii_ratio", "stopwords": "stopword_hit_rate", "mean_word": "mean_word_length", "replacement": "replacement_ratio"}
-    return docs.select("doc_id", *[F.round(m[v], 4 if k == "chars_per_page" else 6).alias(k) for k, v in names.items()])
+    return _rated(spark, d).select("doc_id", *[F.round(F.col("metrics")[v], 4 if k == "chars_per_page" else 6).alias(k) for k, v in names.items()])
 
 
 @query(
@@ -91,8 +89,7 @@ def x6_quality_metrics(spark, d):
     SELECT doc_id, len(hard) = 0 AND len(soft) < 2 AS passed, round(greatest(0, least(1, 1 - 0.34 * len(hard) - 0.15 * len(soft)))::DOUBLE, 4) AS score, array_to_string(list_concat(hard, CASE WHEN len(soft) >= 2 THEN soft ELSE [] END), ',') AS reasons FROM h"""
 )
 def x7_quality_gate(spark, d):
-    docs, m = _metrics(spark, d)
-    rows = docs.select("doc_id", tx.hard_failures(m, F.lit(0)).alias("hard"), tx.soft_signals(m).alias("soft"))
+    rows = _rated(spark, d)
     two = F.size("soft") >= 2
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - fixed.GATE["hard_cost"] * F.size("hard") - fixed.GATE["soft_cost"] * F.size("soft")))
     reasons = F.array_distinct(F.concat("hard", F.when(two, F.col("soft")).otherwise(F.array().cast("array<string>"))))
@@ -252,13 +249,18 @@ BM25 = """c AS (SELECT doc_id AS chunk_id, doc_id % 50 AS paper_id, list_concat(
 
 @query(f"WITH {BM25} SELECT chunk_id, round(score, 6) AS score FROM h")
 def l2_bm25(spark, d):
-    return search.search(search.postings(_chunks(spark, d)), "ther* and").select("chunk_id", F.round("score", 6).alias("score"))
+    return search.scan(_chunks(spark, d), "ther* and").select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25}, t AS (SELECT chunk_id, paper_id, round(score, 4) AS score FROM h), cut AS (SELECT * FROM t ORDER BY score DESC, chunk_id LIMIT 60), b AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, chunk_id) AS r FROM cut) SELECT paper_id, score FROM b WHERE r = 1 ORDER BY score DESC, chunk_id LIMIT 20")
 def l2_fulltext(spark, d):
     rows = _chunks(spark, d)
-    return search.search_fulltext(rows, search.postings(rows), library(spark, d, P), "ther and", 20).select("paper_id", "score")
+    return search.search_fulltext(rows, None, library(spark, d, P), "ther and", 20).select("paper_id", "score")
+
+
+@query(f"WITH {BM25} SELECT chunk_id, round(score, 6) AS score FROM h")
+def l2_inverted_index(spark, d):
+    return search.search(search.postings(_chunks(spark, d)), "ther* and").select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(cte(P) + ", w AS (SELECT id, regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]+') AS t FROM papers) SELECT id, 1 AS matches FROM w WHERE len(list_filter(t, lambda x: starts_with(x, 'theing') OR levenshtein(x, 'theing') <= 1)) > 0")
