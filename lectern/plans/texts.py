@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, measures
 from ..functions import text as tx
+from ..functions.partitions import spread
 from ..operators import catalog, chunks, jobs, metadata, review, search
 from ..sources import html, library as files
 from ..streaming import ingest
@@ -18,7 +19,7 @@ P, J, Q = "papers", "jobs", "quantities"
 
 
 def _markdown(spark, d):
-    return table(spark, d, "pages").select("page_id", html.markdown("html").alias("markdown"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", html.markdown("html").alias("markdown"))
 
 
 @query()
@@ -40,7 +41,7 @@ def x1_sections(spark, d):
 
 @query()
 def x3_chunks_of_documents(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("markdown"))
+    docs = spread(table(spark, d, "documents").select("doc_id", F.col("text").alias("markdown")))
     return chunks.chunk_markdown(docs, "doc_id").select("doc_id", "ord", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
@@ -74,7 +75,7 @@ METRICS = f"""t AS (SELECT doc_id, coalesce(text, '') AS x, greatest(1, round_ev
 
 
 def _rated(spark, d):
-    return tx.with_quality(table(spark, d, "documents"), F.coalesce("text", F.lit("")), tx.pages_of(F.col("n_chars")), F.lit(0.0), F.lit(0))
+    return tx.with_quality(spread(table(spark, d, "documents").select("doc_id", "text", "n_chars")), F.coalesce("text", F.lit("")), tx.pages_of(F.col("n_chars")), F.lit(0.0), F.lit(0))
 
 
 @query(f"WITH {METRICS} SELECT doc_id, round(cpp, 4) AS chars_per_page, round(mws, 6) AS missing_whitespace, round(alpha, 6) AS alpha, round(nonascii, 6) AS nonascii, round(stop, 6) AS stopwords, round(mean, 6) AS mean_word, round(bad, 6) AS replacement FROM m")
@@ -162,7 +163,7 @@ def x22_prose_candidates(spark, d):
 
 @query()
 def x22_is_prose(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.coalesce(tx.is_prose(F.col("text")), F.lit(False)).alias("prose"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.coalesce(tx.is_prose(F.col("text")), F.lit(False)).alias("prose"))
 
 
 @query(
@@ -172,7 +173,7 @@ def x22_is_prose(spark, d):
     + """) GROUP BY 1, 2) SELECT doc_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM g) WHERE rank <= 40"""
 )
 def a7_topic_terms(spark, d):
-    return catalog.topic_terms(table(spark, d, "documents"), "doc_id")
+    return catalog.topic_terms(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query()
@@ -238,7 +239,7 @@ def q7_verdicts(spark, d):
 
 
 def _chunks(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).alias("paper_id"), F.col("lang").alias("section"), "text")
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).alias("paper_id"), F.col("lang").alias("section"), "text")
 
 
 BM25 = """c AS (SELECT doc_id AS chunk_id, doc_id % 50 AS paper_id, list_concat(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), regexp_extract_all(lower(lang), '[\\p{L}\\p{N}]+')) AS t FROM documents),
@@ -568,7 +569,7 @@ def e5_text_for_vector(spark, d):
 def v3_semantic_search(spark, d):
     from ..operators import encode, facade
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     vectors = encode.encode_documents(docs, "text").select("id", "v")
     return facade.search_library(library(spark, d, P), "semantic", "", 10, vectors=vectors, query_vector=encode.encode_query("anti ther inon"))
 
