@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.partitions import spread
 from .bpe import BpeModel, token_digests
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
@@ -13,7 +14,6 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .pii import find_pii, train_spans
 from .quality import held_out, score_quality, train
-
 from .substring_dedup import substring_dedup
 from .token_counts import document_token_counts
 
@@ -22,7 +22,8 @@ SEPARATOR = 50256
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer partitions than cores is dealt to all of them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
