@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -29,7 +30,7 @@ def dijkstra(edges: dict[int, list[tuple[int, float]]], start: int, goal: int) -
             return route[::-1]
         for other, step in edges.get(node, ()):
             total = cost + step
-            if total < best.get(other, np.inf) - 1e-15:
+            if total < best.get(other, np.inf):
                 best[other], before[other] = total, node
                 heapq.heappush(heap, (total, other))
     return None
@@ -60,10 +61,10 @@ def find_paths(edges: DataFrame, vectors: DataFrame, ends: DataFrame) -> DataFra
     """(trail, place, id, complete, hops) for each (trail, start, goal).
 
     The graph is gathered for one task per trail only while it is small (HEAP_EDGES, checked);
-    larger graphs are relaxed by joins.
+    larger graphs are searched by joins, with the same rows.
     """
     if edges.count() > HEAP_EDGES:
-        return relax_paths(edges, ends)
+        return relax_paths(edges, ends, vectors)
     from ..functions.vectors import dot, unit
 
     goals = ends.join(vectors.select(F.col("id").alias("goal"), unit(F.col("v")).alias("g")), "goal")
@@ -89,24 +90,95 @@ def find_paths(edges: DataFrame, vectors: DataFrame, ends: DataFrame) -> DataFra
     return nodes.unionByName(links).groupBy("trail").applyInPandas(search, f"trail {kind}, place int, id long, complete boolean, hops int")
 
 
-def relax_paths(edges: DataFrame, ends: DataFrame, rounds: int = 64) -> DataFrame:
-    """Least distances by repeated joins (Bellman-Ford), for graphs that no task can hold.
+def _settled(df: DataFrame) -> DataFrame:
+    """Writes rows below the checkpoint folder and reads them again: plans of later rounds don't grow with earlier ones."""
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/trails-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Each node carries its route so far; a round extends all that improved.  Trails that find no way
-    are reported by their two ends.
+
+def relax_paths(edges: DataFrame, ends: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """As find_paths, by joins alone, for graphs that no task can hold.
+
+    Trails that find no way walk greedily over ``vectors``; without these they are reported by their two ends.
     """
-    best = ends.select("trail", "goal", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.array("start").alias("route"))
+    edges = _settled(edges.select("a", "b", "distance"))
+    found = _cheapest(edges, ends)
+    lost = _settled(ends.join(found.select("trail"), "trail", "left_anti").select("trail", "start", "goal"))
+    route = F.array("start", "goal")
+    if vectors is not None:
+        lost = lost.join(_walks(edges, vectors, lost), "trail", "left")
+        route = F.coalesce("route", route)
+    every = found.withColumn("complete", F.lit(True)).unionByName(lost.select("trail", route.alias("route"), F.lit(False).alias("complete")))
+    return every.select("trail", F.posexplode(_thinned(F.col("route"))).alias("place", "id"), "complete", (F.size("route") - 1).alias("hops"))
+
+
+def _thinned(stops: Column, limit: int = fixed.MAX_STOPS) -> Column:
+    """As thin."""
+    n = max(limit, 2)
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.bround(k * (F.size(stops) - 1) / (n - 1)).cast("int")))
+    return F.when(F.size(stops) <= limit, stops).otherwise(F.transform(places, lambda p: F.get(stops, p)))
+
+
+def _cheapest(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """(trail, route) of the trails whose goal can be reached: least costs by repeated joins (Bellman-Ford), then back from the goal.
+
+    A round extends all nodes that improved, as long as they cost less than the goal does so far; the last one improves
+    none.  Distances are positive.  Of equal ways that over the earlier and lower predecessor stands, as the heap has it.
+    """
+    best = _settled(ends.select("trail", "goal", F.col("start").alias("node"), F.lit(0.0).alias("cost")))
     front = best
-    for _ in range(rounds):
-        step = front.join(edges, front["node"] == edges["a"]).select("trail", "goal", F.col("b").alias("node"), (F.col("cost") + F.col("distance")).alias("cost"), F.concat("route", F.array("b")).alias("route"))
-        merged = best.withColumn("old", F.lit(1)).unionByName(step.withColumn("old", F.lit(0)))
-        chosen = merged.groupBy("trail", "goal", "node").agg(F.min(F.struct("cost", (1 - F.col("old")).alias("new"), "route")).alias("m"))
-        chosen = chosen.select("trail", "goal", "node", "m.cost", "m.route", F.col("m.new").alias("new")).checkpoint()
-        front = chosen.where("new = 1").drop("new")
-        best = chosen.drop("new")
-        if front.isEmpty():
+    while not front.isEmpty():
+        bound = F.broadcast(best.where("node = goal").select("trail", F.col("cost").alias("bound")))  # one row per trail
+        step = front.join(bound, "trail", "left").where("bound IS NULL OR cost < bound").join(edges, F.col("node") == F.col("a"))
+        step = step.select("trail", "goal", F.col("b").alias("node"), (F.col("cost") + F.col("distance")).alias("cost"), "bound").where("bound IS NULL OR cost <= bound")
+        merged = best.withColumn("old", F.col("cost")).unionByName(step.drop("bound").withColumn("old", F.lit(None).cast("double")))
+        chosen = _settled(merged.groupBy("trail", "goal", "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old")))
+        front = chosen.where("old IS NULL OR cost < old").drop("old")
+        best = chosen.drop("old")
+
+    into = edges.select(F.col("a").alias("before"), F.col("b").alias("node"), "distance")
+    costs = best.select("trail", F.col("node").alias("before"), F.col("cost").alias("before_cost"))
+    here = best.where("node = goal").join(ends.select("trail", "start"), "trail").select("trail", "start", "node", "cost", F.array("node").alias("route"))
+    here = _settled(here)
+    while not here.where("node <> start").isEmpty():
+        step = here.where("node <> start").join(into, "node").join(costs, ["trail", "before"]).where("before_cost + distance = cost")
+        step = step.groupBy("trail").agg(F.min(F.struct("before_cost", "before")).alias("m"))
+        moved = F.col("m").isNotNull()
+        here = here.join(F.broadcast(step), "trail", "left").select(
+            "trail",
+            "start",
+            F.when(moved, F.col("m.before")).otherwise(F.col("node")).alias("node"),
+            F.when(moved, F.col("m.before_cost")).otherwise(F.col("cost")).alias("cost"),
+            F.when(moved, F.concat(F.array("m.before"), "route")).otherwise(F.col("route")).alias("route"),
+        )
+        here = _settled(here)
+    return here.select("trail", "route")
+
+
+def _walks(edges: DataFrame, vectors: DataFrame, ends: DataFrame, steps: int = fixed.MAX_GREEDY_STEPS) -> DataFrame:
+    """(trail, route) as greedy_walk: likeness grows with each step, so no stop comes twice."""
+    from ..functions.vectors import dot, unit
+
+    units = vectors.select(F.col("id").alias("node"), unit(F.col("v")).alias("u"))
+    here = ends.select("trail", F.col("start").alias("node"), "goal").join(units.select(F.col("node").alias("goal"), F.col("u").alias("g")), "goal").join(units, "node")
+    here = here.select("trail", "goal", "g", "node", dot(F.col("u"), F.col("g")).alias("likeness"), F.array("node").alias("route"), (F.col("node") != F.col("goal")).alias("open"))
+    here = _settled(here)
+    for _ in range(steps):
+        if here.where("open").isEmpty():
             break
-    found = best.where("node = goal").select("trail", "route", F.lit(True).alias("complete"))
-    lost = ends.join(found.select("trail"), "trail", "left_anti").select("trail", F.array("start", "goal").alias("route"), F.lit(False).alias("complete"))
-    every = found.unionByName(lost)
-    return every.select("trail", F.posexplode("route").alias("place", "id"), "complete", (F.size("route") - 1).alias("hops"))
+        step = here.where("open").select("trail", "g", F.col("node").alias("a"), F.col("likeness").alias("least")).join(edges.select("a", F.col("b").alias("node")), "a").join(units, "node")
+        step = step.select("trail", "node", "least", dot(F.col("u"), F.col("g")).alias("near")).where("near > least")
+        step = step.groupBy("trail").agg(F.max(F.struct("near", (-F.col("node")).alias("minus"))).alias("m")).select("trail", "m.near", (-F.col("m.minus")).alias("next"))
+        moved = F.col("next").isNotNull()
+        here = here.join(step, "trail", "left").select(
+            "trail",
+            "goal",
+            "g",
+            F.coalesce("next", "node").alias("node"),
+            F.coalesce("near", "likeness").alias("likeness"),
+            F.when(moved, F.concat("route", F.array("next"))).otherwise(F.col("route")).alias("route"),
+            (moved & (F.col("next") != F.col("goal"))).alias("open"),
+        )
+        here = _settled(here)
+    return here.select("trail", F.when(F.col("node") == F.col("goal"), F.col("route")).otherwise(F.concat("route", F.array("goal"))).alias("route"))

@@ -56,6 +56,35 @@ def test_trails_complete_and_jump(spark):
     assert total([r.id for r in relaxed]) == pytest.approx(total([r.id for r in found[0]]))
 
 
+def test_trails_by_joins_equal_those_by_heap(spark, monkeypatch):
+    """A line of 16 hops, a branching graph with ties, and goals that lie on the other island."""
+    rng = np.random.default_rng(4)
+    turn = np.linspace(0, 3, 17)
+    line = np.stack([np.cos(turn), np.sin(turn), 0 * turn, 0 * turn], axis=1)
+    vectors = frame(spark, np.concatenate([line, rng.normal(size=(20, 4))])).coalesce(2).cache()
+    links = {(k, k + 1): 0.1 for k in range(16)}
+    links |= {(int(a), int(b)): round(float(w), 1) for a, b, w in zip(rng.integers(17, 37, 60), rng.integers(17, 37, 60), rng.uniform(0.1, 0.4, 60), strict=True) if a < b}
+    edges = spark.createDataFrame([(*e, w) for (a, b), w in links.items() for e in ((a, b), (b, a))], "a long, b long, distance double").coalesce(2).cache()
+    ends = spark.createDataFrame([(0, 0, 16), (1, 0, 20), (2, 26, 16), (3, 9, 9), (4, 17, 36), (5, 21, 31)], "trail long, start long, goal long").coalesce(1)
+    rows = lambda: sorted((r.trail, r.place, r.id, r.complete, r.hops) for r in trails.find_paths(edges, vectors, ends).collect())
+    want = rows()
+    hops = {t: (n, done) for t, _, _, done, n in want}
+    assert hops[0] == (16, True) and sum(r[0] == 0 for r in want) == 14
+    assert not hops[1][1] and not hops[2][1] and max(hops[1][0], hops[2][0]) > 1
+    monkeypatch.setattr(trails, "HEAP_EDGES", 0)
+    assert rows() == want
+
+
+def test_trails_by_joins_find_more_than_64_hops(spark, request):
+    for name, value in (("spark.sql.shuffle.partitions", "1"), ("spark.sql.adaptive.enabled", "false")):  # many short rounds
+        request.addfinalizer(lambda n=name, v=spark.conf.get(name): spark.conf.set(n, v))
+        spark.conf.set(name, value)
+    edges = spark.createDataFrame([(*e, 0.1) for k in range(66) for e in ((k, k + 1), (k + 1, k))], "a long, b long, distance double").coalesce(1)
+    ends = spark.createDataFrame([(0, 0, 66)], "trail long, start long, goal long").coalesce(1)
+    found = trails.relax_paths(edges, ends).orderBy("place").collect()
+    assert [r.id for r in found] == trails.thin(list(range(67))) and found[0].complete and found[0].hops == 66
+
+
 def test_thin_keeps_ends():
     assert trails.thin(list(range(40)))[0] == 0 and trails.thin(list(range(40)))[-1] == 39
     assert len(trails.thin(list(range(40)))) == 14
