@@ -206,11 +206,32 @@ def cluster_vectors(vectors: DataFrame, floor: int | None = None) -> DataFrame:
     return vectors.select("id", "v", F.lit(0).alias("corpus")).groupBy("corpus").applyInPandas(run, "id long, cluster long, strength double")
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(id, cluster) by MLlib k-means: the distributed stand-in for corpora beyond one task."""
+def kmeans(vectors: DataFrame, k: int, seed: int = 42, with_strength: bool = False) -> DataFrame:
+    """(id, cluster) by MLlib k-means: the distributed stand-in for corpora beyond one task.
+
+    ``strength``, if wanted, is 1 - distance to the own centre / distance to the next one: 1 at the centre, 0 halfway between two.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
+    rows = vectors.select("id", F.col("v").cast("array<double>").alias("v")).withColumn("features", array_to_vector("v"))
     model = KMeans(k=k, seed=seed).fit(rows)
-    return model.transform(rows).select("id", F.col("prediction").cast("long").alias("cluster"))
+    found = model.transform(rows).select("id", F.col("prediction").cast("long").alias("cluster"), "v")
+    if not with_strength:
+        return found.drop("v")
+    centres = np.array(model.clusterCenters())
+
+    def measure(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            points, own = np.stack(batch["v"].to_numpy()), batch["cluster"].to_numpy()
+            away = (points**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * points @ centres.T
+            away = np.sqrt(np.maximum(away, 0))
+            at = np.arange(len(points))
+            near = away[at, own]
+            away[at, own] = np.inf
+            other = np.maximum(away.min(axis=1), 1e-12)
+            yield pd.DataFrame({"id": batch["id"], "cluster": own, "strength": np.clip(1 - near / other, 0, 1)})
+
+    return found.mapInPandas(measure, "id long, cluster long, strength double")

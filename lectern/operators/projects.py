@@ -96,7 +96,7 @@ def write_clusters(vectors: DataFrame, titles: DataFrame, dim: int) -> tuple[Dat
     if n <= DENSITY_ROWS:
         members, method = clustering.cluster_vectors(vectors), "density"
     else:
-        members, method = clustering.kmeans(vectors, max(2, round((n / 2) ** 0.5))).withColumn("strength", F.lit(1.0)), "k-means"
+        members, method = clustering.kmeans(vectors, max(2, round((n / 2) ** 0.5)), with_strength=True), "k-means"
     from ..functions.vectors import centroids
 
     own = vectors.join(members.where("cluster <> -1"), "id")
