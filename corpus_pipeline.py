@@ -20,6 +20,9 @@ from lectern.llm.mixing import mix
 from lectern.llm.quality import score_quality, train
 from lectern.llm.queries import tokenizer_path
 
+#: Words of a shingle where near copies are told; op7's own contract has four.
+NEAR_SHINGLE = 5
+
 
 def _row_key():
     """Tells rows apart that repeat an id or have none."""
@@ -57,9 +60,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the smallest id.
 
-    Texts without words form no groups and stay.
+    Near copies share 0.8 of their shingles of five words.  Texts without words form no groups and stay.
     """
-    found = materialize(near_duplicates(docs, key=_row_key()), "pipeline-near")
+    found = materialize(near_duplicates(docs, key=_row_key(), shingle=NEAR_SHINGLE), "pipeline-near")
     grouped = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     keys = grouped.select(F.col("first.key").alias("key")).unionByName(found.where("n_shingles = 0").select("key")).distinct()
     kept = docs.withColumn("_key", _row_key()).join(keys.withColumnRenamed("key", "_key").hint("merge"), "_key", "left_semi")

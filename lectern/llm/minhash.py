@@ -111,31 +111,39 @@ def set_digests(group: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return digest.view(np.int64)
 
 
-def _signed(batches):
+def _signed(size: int):
     """id, n_shingles, a digest of the set in two numbers, and the keys of all bands."""
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(1))
-        for i, j in slices(offsets, BATCH_BYTES):
-            group, hashes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            counts = np.bincount(group, minlength=j - i)
-            some = np.flatnonzero(counts)
-            keys = np.zeros((j - i, BANDS), np.int64)
-            digest = set_digests(group, hashes, j - i)
-            if len(some):
-                keys[some] = band_keys(superminhash(np.searchsorted(some, group), hashes, len(some)))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(digest[0]), pa.array(digest[1]), bands, batch.column(2).slice(i, j - i)], names=["id", "n_shingles", "d0", "d1", "bands", "key"])
-
-
-def _as_sets(batches):
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for i, j in slices(offsets, BATCH_BYTES):
+                group, hashes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                counts = np.bincount(group, minlength=j - i)
+                some = np.flatnonzero(counts)
+                keys = np.zeros((j - i, BANDS), np.int64)
+                digest = set_digests(group, hashes, j - i)
+                if len(some):
+                    keys[some] = band_keys(superminhash(np.searchsorted(some, group), hashes, len(some)))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(digest[0]), pa.array(digest[1]), bands, batch.column(2).slice(i, j - i)], names=["id", "n_shingles", "d0", "d1", "bands", "key"])
+
+    return run
+
+
+def _as_sets(size: int):
     """The digest of a text's set and the sorted hashes of its shingles, packed."""
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(1))
-        for i, j in slices(offsets, BATCH_BYTES):
-            group, hashes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            cuts = np.searchsorted(group, np.arange(j - i + 1))
-            packed = [hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(set_digests(group, hashes, j - i)[0]), pa.array(packed, pa.binary())], names=["rep", "shingles"])
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for i, j in slices(offsets, BATCH_BYTES):
+                group, hashes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                cuts = np.searchsorted(group, np.arange(j - i + 1))
+                packed = [hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(set_digests(group, hashes, j - i)[0]), pa.array(packed, pa.binary())], names=["rep", "shingles"])
+
+    return run
 
 
 def _linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
@@ -189,10 +197,10 @@ def _compare_blocks(share: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: int = SHARE, key: Column | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: int = SHARE, key: Column | None = None, shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept (id = component_id), and ``key`` if given (a long).
 
-    Sets hold the distinct shingles of four lower-cased words; shorter texts are one
+    Sets hold the distinct shingles of ``shingle`` lower-cased words; shorter texts are one
     shingle; texts without words (null, empty) have none and are linked with nothing.
     Documents link when 100 * |intersection| >= share * |union|, on the full sets.
     Null ids come last: a group's component_id is null only if all its ids are, and then all
@@ -203,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ident = F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id")
     rows = docs.select(ident, F.col(text_column).cast("string").alias("body"))
     keyed = docs.select(ident, F.col(text_column).cast("string").alias("body"), (F.lit(0) if key is None else key).cast("long").alias("key"))
-    signed = materialize(keyed.mapInArrow(_signed, "id long, n_shingles long, d0 long, d1 long, bands array<long>, key long"), "near-signed")
+    signed = materialize(keyed.mapInArrow(_signed(shingle), "id long, n_shingles long, d0 long, d1 long, bands array<long>, key long"), "near-signed")
 
     # Of a class, its digest's first half is the node of the graph and its least id the document whose text is read.
     classes = signed.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("x"))
@@ -218,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     wanted = pairs.select("rep").unionByName(pairs.select(F.col("centre").alias("rep"))).distinct()
     wanted = materialize(classes.join(wanted, "rep", "left_semi").select(F.col("least").alias("id")), "near-wanted")
-    sets = materialize(rows.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_as_sets, "rep long, shingles binary"), "near-sets")
+    sets = materialize(rows.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_as_sets(shingle), "rep long, shingles binary"), "near-sets")
 
     left = sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("a"))
     right = sets.select("rep", F.col("shingles").alias("b"))

@@ -62,7 +62,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4).withColumnRenamed("id", "doc_id")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,21 @@ def test_run_takes_empty_and_odd_tables(spark, tmp_path):
         spark.createDataFrame([(3, 1, 0)] if own else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
         found = pipeline.run(spark, str(tmp_path / name)).collect()
         assert (len(found) > 0) == bool(own)
+
+
+def test_near_copies_are_told_by_five_words(spark, monkeypatch):
+    """Two edits in eighty words leave 0.81 of the shingles of four words and 0.77 of those of five."""
+    from functools import partial
+
+    import corpus_pipeline as pipeline
+    from tests.llm import test_dedup
+
+    words = [f"w{k}" for k in range(80)]
+    edit = lambda *places: " ".join("new" if k in places else w for k, w in enumerate(words))
+    rows = [(1, edit()), (2, edit(20, 60)), (3, edit(40)), (4, "short text"), (5, "Short TEXT"), (6, None), *test_dedup.awkward()[60:90]]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    kept = sorted(r.doc_id for r in pipeline.drop_near_copies(spark, docs, "").collect())
+    wide = sorted(i for i, n, c, _ in test_dedup.plain_near(rows) if n == 0 or i == c)
+    monkeypatch.setattr(test_dedup, "sets_of", partial(test_dedup.sets_of, size=5))
+    want = sorted(i for i, n, c, _ in test_dedup.plain_near(rows) if n == 0 or i == c)
+    assert kept == want != wide
