@@ -29,6 +29,12 @@ def _row_key():
     return F.xxhash64("doc_id", "text")
 
 
+def _whole_row_key(docs: DataFrame):
+    """Tells rows apart that differ in any column, nulls included; maps, which have no hash, as JSON."""
+    parts = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    return F.xxhash64(*[x for p in parts for x in (p, p.isNull())])
+
+
 def _with_plain_names(stage):
     """Columns that the stages don't read get names that clash with nothing while they run."""
 
@@ -64,11 +70,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = materialize(near_duplicates(docs, key=_row_key(), shingle=NEAR_SHINGLE), "pipeline-near")
     grouped = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
-    keys = grouped.select(F.col("first.key").alias("key")).unionByName(found.where("n_shingles = 0").select("key")).distinct()
-    kept = docs.withColumn("_key", _row_key()).join(keys.withColumnRenamed("key", "_key").hint("merge"), "_key", "left_semi")
+    worded = grouped.select(F.col("first.key").alias("_key"), F.lit(True).alias("_worded"))
+    keys = worded.unionByName(found.where("n_shingles = 0").select(F.col("key").alias("_key"), F.lit(False).alias("_worded")).distinct())
+    kept = docs.withColumn("_key", _row_key()).join(keys.hint("merge"), "_key")
     repeats = found.where("n_shingles > 0").groupBy("key").count().where("count > 1")
     if not repeats.isEmpty():
-        kept = kept.dropDuplicates(["_key"])
+        kept = kept.where("_worded").dropDuplicates(["_key"]).unionByName(kept.where("NOT _worded"))
     return kept.select(*docs.columns)
 
 
@@ -78,7 +85,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that the mix takes in part stands once more if it takes half of it at least.
     """
-    keyed = docs.withColumn("_key", _row_key())
+    keyed = docs.withColumn("_key", _whole_row_key(docs))
     taken = mix(keyed, id_column="_key")
     copies = (F.col("epochs") + ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("int")).cast("int")
     taken = taken.groupBy(F.col("id").alias("_key")).agg(F.sum(copies).alias("_copies"), F.count(F.lit(1)).alias("_rows"))

@@ -80,3 +80,20 @@ def test_near_copies_are_told_by_five_words(spark, monkeypatch):
     monkeypatch.setattr(test_dedup, "sets_of", partial(test_dedup.sets_of, size=5))
     want = sorted(i for i, n, c, _ in test_dedup.plain_near(rows) if n == 0 or i == c)
     assert kept == want != wide
+
+
+def test_stages_take_repeated_rows(spark):
+    """Rows without words stay whatever else repeats; rows that differ in their source alone are mixed apart."""
+    import corpus_pipeline as pipeline
+
+    blank = [(1, "", "s"), (1, "", "s"), (2, None, "s"), (2, None, "t")]
+    for worded, left in (([], 0), ([(3, "a b c d e f", "s")] * 2, 1)):
+        docs = spark.createDataFrame(blank + worded, "doc_id long, text string, source string")
+        found = [r.doc_id for r in pipeline.drop_near_copies(spark, docs, "").collect()]
+        assert sorted(found) == [1, 1, 2, 2] + [3] * left
+
+    rows = [(k, f"words of text {k} for both", c) for k in range(40) for c in ("s", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    apart = spark.createDataFrame([(2 * k + (c == "t"), t, c) for k, t, c in rows], docs.schema)
+    count = lambda df: {r.source: r["count"] for r in pipeline.mix_sources(spark, df, "").groupBy("source").count().collect()}
+    assert count(docs) == count(apart)
