@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,30 +24,62 @@ _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a folder is made.
+    Where the session names none, a folder of this machine serves a local master alone; a cluster's
+    executors wouldn't see each other's files there, so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; other applications' tables stand beside it."""
+    return f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}"
+
+
+#: Tables of the open scopes, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again.
 
     Cuts the lineage: a lost executor costs nothing that was written before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialize`` writes inside go at the end; what is to stay is written after it.
+
+    Nothing that is still to be computed may read them then.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
 def release(spark: SparkSession) -> None:
-    """Removes the tables that operators wrote, once no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lectern")
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    """Removes the tables that this application's operators wrote, once no result that reads them is needed any more."""
+    delete(spark, run_dir(spark))
 
 
 def text_or_empty(column: str = "text"):

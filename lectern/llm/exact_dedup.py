@@ -1,12 +1,16 @@
 """Exact dedup with a log-structured merge index, in DataFrame operations alone.
 
-Memtables of consecutive rows keep one entry per digest (identifiers and a
-count) and flush it as a run: Parquet sorted by digest, with min/max statistics
-and a bloom filter on the digest.  Compaction merges all runs: one entry per
-digest with the identifier that stays.  Rows whose digest hits an entry of
-several rows are then compared with the text of the row that stays, byte by byte.
+A memtable is what one task reads: its (digest, identifier) entries are sorted in the
+task and flushed as one sorted run file, without a shuffle.  A flush also writes the
+filter of its run: bitmaps of the digests' hashes, and the least and greatest digest.  A lookup
+asks the filters first and reads the runs that may hold a digest alone.  When a level
+holds FAN_IN runs they are merged into one of the next level: an entry per
+digest with the least and greatest identifier and the number of rows.
+
+Dedup flushes all rows and compacts.  Digests of several rows go into a filter of bounded size, so
+only rows that may hit it are joined with the index: texts without a copy are not
+shuffled.  Hits are compared with the text of the row that stays, byte by byte.
 
-Text moves through one shuffle; only digests, ids and counts through the others.
 Digests of more than one in a thousand rows are hot: at most a thousand of them
 exist, so their list is broadcast; their rows are dealt out by a salt, and the
 texts to compare with are repeated once per salt.
@@ -14,34 +18,139 @@ texts to compare with are repeated once per salt.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, run_dir, text_or_empty
 
-#: Rows of one memtable.
-MEMTABLE_ROWS = 1 << 16
 #: One in so many rows makes a digest hot; also the most hot digests there can be.
 HOT_SHARE = 1000
 SALTS = 64
+#: Runs of a level that are merged into one of the next.
+FAN_IN = 4
+#: Bits of a filter for each digest, and bits of one bitmap (as Spark's bitmap functions have them).
+FILTER_BITS, BITMAP_BITS = 16, 32768
+#: A filter has at most so many bitmaps of 4 KiB (64 MiB); fuller ones pass more, never less.
+MOST_BITMAPS = 1 << 14
+ENTRY = "digest binary, least long, most long, n long, n_ids long"
 
 
-def flush_runs(rows: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """Runs of (digest; least, most: ids; n: rows; n_least, n_most: rows with those ids)."""
-    place = F.monotonically_increasing_id()
-    per_id = (
-        rows.withColumn("memtable", F.floor(place / memtable_rows))
-        .groupBy("memtable", "digest")
-        .agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"), F.count("id").alias("n_ids"))
-    )
-    run = per_id.drop("memtable").sortWithinPartitions("digest")
-    return materialize(run, "lsm-runs", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(memtable_rows)})
+def bitmaps_for(digests: int) -> int:
+    """A power of two of bitmaps with FILTER_BITS bits a digest, within the bound."""
+    wanted = max(1, digests * FILTER_BITS // BITMAP_BITS)
+    return min(MOST_BITMAPS, 1 << math.ceil(math.log2(wanted)))
+
+
+def _slot(digest: Column, bitmaps: int) -> tuple[Column, Column]:
+    """Which bitmap a digest falls into, and which of its bits."""
+    h = F.xxhash64(digest)
+    return F.pmod(F.shiftrightunsigned(h, 20), F.lit(bitmaps)).cast("int"), F.pmod(h, F.lit(BITMAP_BITS))
+
+
+def make_filter(digests: DataFrame, bitmaps: int) -> DataFrame:
+    """(slot, bits) of a column ``digest``: at most MOST_BITMAPS rows of 4 KiB."""
+    slot, bit = _slot(F.col("digest"), bitmaps)
+    return digests.groupBy(slot.alias("slot")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+
 
+def may_hold(rows: DataFrame, filter_: DataFrame, bitmaps: int, name: str = "may_hold") -> DataFrame:
+    """Adds whether the filter may hold a row's ``digest``; no digest that it was made from is denied."""
+    slot, bit = _slot(F.col("digest"), bitmaps)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    told = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+    held = F.broadcast(filter_.select(F.col("slot").alias("_slot"), F.col("bits").alias("_bits")))  # MOST_BITMAPS rows of 4 KiB
+    return rows.join(held, slot == F.col("_slot"), "left").withColumn(name, F.coalesce(told, F.lit(False))).drop("_slot", "_bits")
 
-def compact(runs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """One entry per digest: keep_id and the number of rows."""
-    which = {"smallest": F.min("least"), "largest": F.max("most")}[keep]
-    return runs.groupBy("digest").agg(which.alias("keep_id"), F.sum("n").alias("group_size"))
+
+def entries(runs: DataFrame) -> DataFrame:
+    """Merges the entries of runs: one per digest.  Partial aggregates come before the shuffle, so a hot digest sends one entry a task."""
+    return runs.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"), F.sum("n_ids").alias("n_ids"))
+
+
+class LsmIndex:
+    """Sorted runs of (digest; least, most: identifiers; n: rows; n_ids: rows with an identifier) in levels, in one shared folder.
+
+    The manifest is a table of (version, level, run, size, bitmaps, low, high) that is written
+    last: a flush or merge that was cut off leaves files that no version names.  One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = FAN_IN):
+        self.spark, self.fan_in = spark, fan_in
+        self.path = (path or f"{run_dir(spark)}/lsm-{uuid.uuid4().hex}").rstrip("/")
+        self.version, self.runs = 0, []
+        self.read_runs: list[str] = []
+
+    def _read(self, run: str, part: str = "entries") -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{run}/{part}")
+
+    def flush(self, rows: DataFrame) -> str:
+        """Writes (id, digest) rows as sorted run files, one per task, with their filter; returns the run's name."""
+        known = F.col("id").isNotNull().cast("long")
+        table = rows.select("digest", F.col("id").alias("least"), F.col("id").alias("most"), F.lit(1).cast("long").alias("n"), known.alias("n_ids"))
+        return self._write(table.sortWithinPartitions("digest"), 0)
+
+    def _write(self, table: DataFrame, level: int) -> str:
+        run = f"run-{uuid.uuid4().hex}"
+        table.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.path}/{run}/entries")
+        whole = self._read(run)
+        facts = whole.agg(F.count(F.lit(1)), F.hex(F.min("digest")), F.hex(F.max("digest"))).first()
+        bitmaps = bitmaps_for(facts[0])
+        make_filter(whole, bitmaps).write.parquet(f"{self.path}/{run}/filter")
+        self.runs = [*self.runs, (level, run, facts[0], bitmaps, facts[1] or "", facts[2] or "")]
+        return run
+
+    def _commit(self) -> None:
+        self.version += 1
+        values = ", ".join(f"({self.version}L, {level}, '{run}', {size}L, {bitmaps}, '{low}', '{high}')" for level, run, size, bitmaps, low, high in self.runs)
+        table = self.spark.sql(f"SELECT * FROM VALUES {values} AS t(version, level, run, size, bitmaps, low, high)")
+        table.coalesce(1).write.parquet(f"{self.path}/manifest-{self.version:09d}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, fan_in: int = FAN_IN) -> LsmIndex:
+        """The index as of its last complete version."""
+        index = cls(spark, path, fan_in)
+        rows = spark.read.parquet(f"{index.path}/manifest-*")
+        rows = rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version").collect()  # a row per live run
+        index.version = rows[0].version
+        index.runs = sorted((r.level, r.run, r.size, r.bitmaps, r.low, r.high) for r in rows)
+        return index
+
+    def append(self, rows: DataFrame) -> None:
+        """Flushes a batch of (id, digest) and merges levels that are full."""
+        self.flush(rows)
+        level = 0
+        while len(full := [r for r in self.runs if r[0] == level]) >= self.fan_in:
+            merged = entries(self._union([r[1] for r in full])).sortWithinPartitions("digest")
+            self._write(merged, level + 1)
+            self.runs = [r for r in self.runs if r not in full]
+            level += 1
+        self._commit()
+
+    def _union(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(*[f"{self.path}/{run}/entries" for run in runs])
+
+    def compacted(self) -> DataFrame:
+        """One entry per digest of all runs."""
+        return entries(self._union([r[1] for r in self.runs]))
+
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """The entries of the digests asked for.  Runs whose range or filter excludes all of them are not read (``read_runs`` names the others)."""
+        asked = materialize(digests.select("digest").distinct(), "lsm-asked")
+        span = asked.agg(F.hex(F.min("digest")), F.hex(F.max("digest"))).first()
+        found, self.read_runs = None, []
+        for _, run, _, bitmaps, low, high in self.runs:
+            if span[0] is None or not low or span[1] < low or span[0] > high:
+                continue
+            may = may_hold(asked, self._read(run, "filter"), bitmaps).where("may_hold").drop("may_hold")
+            if may.isEmpty():
+                continue
+            self.read_runs.append(run)
+            hits = self._read(run).join(may, "digest", "left_semi")
+            found = hits if found is None else found.unionByName(hits)
+        return entries(self.spark.createDataFrame([], ENTRY) if found is None else found)
 
 
 def exact_dedup(
@@ -56,60 +165,48 @@ def exact_dedup(
 
     Texts are equal when their UTF-8 bytes are identical (after ``normalize``, an
     expression over the input, if given).  Null text is the empty text; empty
-    texts are equal to each other.  ``keep`` is "smallest" or "largest": the id
-    that stays.  Null ids never win against others; a group of null ids alone has
+    texts are equal to each other; a very long text is one value as others are.  ``keep`` is
+    "smallest" or "largest": the id that stays.  Null ids never win against others; a group of null ids alone has
     a null keep_id, and its rows count as that one id.  Rows that repeat id and
     text are all reported; one of them is kept.  Other columns are ignored unless
     named in ``payload`` (the text column itself may be); an empty table gives an
     empty result.
     """
-    payload = payload or []
-    carried = [F.col(text_column).isNull().alias("_empty"), *[F.col(c) for c in payload if c != text_column]]
+    spark, payload = docs.sparkSession, payload or []
     text = text_or_empty(text_column) if normalize is None else F.coalesce(normalize, F.lit(""))
-    rows = docs.select(F.col(id_column).alias("id"), text.alias("body"), F.unhex(F.sha2(text, 256)).alias("digest"), F.struct(*carried).alias("payload"))
-    index = compact(flush_runs(rows.select("id", "digest")), keep).where("group_size > 1")
-    index = materialize(index, "lsm-index")
-
-    total = rows.count()
-    hot = index.where(F.col("group_size") * HOT_SHARE > total).select("digest", F.lit(SALTS).alias("salts"))
+    digest = F.unhex(F.sha2(text, 256))
+    rows = docs.select(F.col(id_column).alias("id"), text.alias("body"), digest.alias("digest"), F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(payload)]).alias("payload"))
+
+    index = LsmIndex(spark)
+    index.flush(rows.select("id", "digest"))
+    total = index.runs[0][2]
+    which = {"smallest": "least", "largest": "most"}[keep]
+    groups = index.compacted().where("n > 1").select("digest", F.col(which).alias("keep_id"), F.col("n").alias("group_size"))
+    groups = materialize(groups, "lsm-groups")
+    bitmaps = bitmaps_for(groups.count())
+    told = may_hold(rows, materialize(make_filter(groups, bitmaps), "lsm-filter"), bitmaps)
+
+    hot = groups.where(F.col("group_size") * HOT_SHARE > total).select("digest", F.lit(SALTS).alias("salts"))
     hot = F.broadcast(hot)  # at most HOT_SHARE rows of 32 bytes: their shares add up to the table
-    salt = F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)).cast("int")
-    spread = rows.join(hot, "digest", "left").withColumn("salt", salt).drop("salts")
-    entries = index.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), (F.coalesce("salts", F.lit(1)) - 1).cast("int")))).drop("salts")
-    found = spread.join(entries, ["digest", "salt"], "left")
-
-    alone = F.col("group_size").isNull()
-    found = found.withColumn("body", F.when(~alone | F.lit(text_column in payload), F.col("body")))
-    found = materialize(found, "lsm-hits")
-    hits = found.where(~alone)
-    stays = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", "body")
-    stays = stays.groupBy("digest").agg(F.min("body").alias("kept_body"))
-    stays = stays.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), (F.coalesce("salts", F.lit(1)) - 1).cast("int")))).drop("salts")
-    same = F.col("body") == F.col("kept_body")
-    verified = hits.join(stays, ["digest", "salt"], "left")
+
+    def salted(df: DataFrame) -> DataFrame:
+        return df.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+    salt = F.coalesce(F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("salts")), F.lit(0)).cast("int")
+    passed = told.where("may_hold").drop("may_hold").join(hot, "digest", "left").withColumn("salt", salt).drop("salts")
+    # Rows that the filter passes wrongly find no entry here; each row gets a number, to tell repeats apart.
+    hits = passed.join(salted(groups), ["digest", "salt"], "left").withColumn("row", F.monotonically_increasing_id())
+    hits = materialize(hits, "lsm-hits")
+    stays = hits.where("group_size IS NOT NULL AND id <=> keep_id").groupBy("digest").agg(F.min(F.struct("row", "body")).alias("stays"))
+    verified = hits.join(salted(stays), ["digest", "salt"], "left")
+    same = F.coalesce(F.col("body") == F.col("stays.body"), F.lit(False))
     verified = verified.select(
         "id",
         F.when(same, F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"),
         F.when(same, F.col("group_size")).otherwise(F.lit(1)).cast("long").alias("group_size"),
+        (~same | (F.col("row") == F.col("stays.row"))).alias("kept"),
         "digest",
-        "body",
         "payload",
     )
-    single = found.where(alone).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest", "body", "payload")
-
-    # Rows that repeat the id that stays: seen only in groups, and one of them is kept.
-    winners = verified.where(F.col("id").eqNullSafe(F.col("keep_id")))
-    ties = winners.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
-    kept = F.col("id").eqNullSafe(F.col("keep_id"))
-    if ties.isEmpty():
-        verified = verified.withColumn("kept", kept)
-    else:
-        order = Window.partitionBy("digest", "id").orderBy(F.lit(1))
-        first = winners.withColumn("kept", F.row_number().over(order) == 1)
-        verified = verified.where(~kept).withColumn("kept", F.lit(False)).unionByName(first)
-
-    def back(c: str) -> Column:
-        return F.when(~F.col("payload._empty"), F.col("body")) if c == text_column else F.col(f"payload.{c}")
-
-    out = verified.unionByName(single.withColumn("kept", F.lit(True)))
-    return out.select("id", "keep_id", "group_size", "kept", "digest", *[back(c).alias(c) for c in payload])
+    alone = told.where("NOT may_hold").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", "payload")
+    return verified.unionByName(alone).select("id", "keep_id", "group_size", "kept", "digest", *[F.col(f"payload.c{k}").alias(c) for k, c in enumerate(payload)])

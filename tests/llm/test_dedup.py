@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.llm import exact_dedup as exact
 from lectern.llm import minhash
 from lectern.llm import substring_dedup as substring
-from lectern.llm.exact_dedup import exact_dedup
+from lectern.llm.exact_dedup import LsmIndex, exact_dedup
 from lectern.llm.graph import connected_components
 from lectern.llm.minhash import near_duplicates, superminhash
 from lectern.llm.substring_dedup import substring_dedup
@@ -88,6 +89,50 @@ def test_exact_carries_columns_and_normal_forms(spark):
     assert {r.id: r.text for r in exact_dedup(docs, payload=["text"]).collect()} == {1: "A b", 2: "a  B", 3: None}
 
 
+def test_appended_batches_equal_a_rebuild(spark, tmp_path):
+    """Ten batches through merges of three runs; the index opened anew; an unfinished flush is not seen."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, rng.randrange(500)]), f"text {rng.randrange(120)}") for _ in range(600)]
+    make = lambda part: spark.createDataFrame(part, "id long, text string").select("id", F.unhex(F.sha2("text", 256)).alias("digest")).repartition(2)
+    path = f"file://{tmp_path}/index"
+    index = LsmIndex(spark, path, fan_in=3)
+    for k in range(10):
+        index.append(make(rows[60 * k : 60 * k + 60]))
+    assert max(level for level, *_ in index.runs) == 2 and len(index.runs) < 6
+    index.flush(make([(1, "never committed")]))
+    opened = LsmIndex.open(spark, path)
+    rebuilt = LsmIndex(spark, f"file://{tmp_path}/rebuilt")
+    rebuilt.flush(make(rows))
+    shown = lambda df: sorted((bytes(r.digest), r.least, r.most, r.n, r.n_ids) for r in df.collect())
+    want = shown(rebuilt.compacted())
+    assert shown(opened.compacted()) == want
+    own = {}
+    for i, t in rows:
+        own.setdefault(hashlib.sha256(t.encode()).digest(), []).append(i)
+    least = lambda ids, f: f([i for i in ids if i is not None], default=None)
+    assert want == sorted((d, least(ids, min), least(ids, max), len(ids), sum(i is not None for i in ids)) for d, ids in own.items())
+
+
+def test_lookups_read_the_runs_that_filters_allow_alone(spark, tmp_path):
+    make = lambda texts: spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string").select("id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    index = LsmIndex(spark, f"file://{tmp_path}/index", fan_in=9)
+    for batch in range(4):
+        index.append(make([f"batch {batch} text {k}" for k in range(200)]))
+    asked = make(["batch 2 text 7", "batch 2 text 9", "nowhere"])
+    assert sorted(r.least for r in index.lookup(asked).collect()) == [7, 9]
+    assert index.read_runs == [index.runs[2][1]]
+    assert index.lookup(make(["nowhere"])).count() == 0 and index.lookup(asked.limit(0)).count() == 0
+
+
+def test_exact_with_a_full_filter(spark, monkeypatch):
+    """A filter of one bitmap passes rows that have no copy; they come out alike."""
+    monkeypatch.setattr(exact, "FILTER_BITS", 0)
+    monkeypatch.setattr(exact, "BITMAP_BITS", 8)
+    rows = awkward()
+    found = exact_dedup(frame(spark, rows), keep="largest").withColumn("digest", F.lower(F.hex("digest"))).collect()
+    assert sorted([(r.id, r.keep_id, r.group_size, r.digest) for r in found], key=str) == plain_exact(rows)
+
+
 def sets_of(rows, size=4):
     out = []
     for _, t in rows:

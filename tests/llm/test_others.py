@@ -309,13 +309,28 @@ def test_all_ten_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
 
 
-def test_release_removes_what_was_written(spark):
+def test_release_removes_this_applications_tables_alone(spark):
     from pathlib import Path
 
-    from lectern.llm.common import materialize, release, shared_dir
+    from lectern.llm.common import materialize, release, run_dir, scratch
 
     assert materialize(spark.range(3), "x").count() == 3
-    folder = Path(shared_dir(spark).removeprefix("file://")) / "lectern"
-    assert any(folder.iterdir())
+    folder = Path(run_dir(spark).removeprefix("file://"))
+    other = folder.parent / "another-application"
+    other.mkdir(exist_ok=True)
+    with scratch(spark):
+        materialize(spark.range(3), "short")
+    assert [p.name[:1] for p in folder.iterdir() if p.name.startswith(("x-", "short-"))] == ["x"]
     release(spark)
-    assert not folder.exists()
+    assert not folder.exists() and other.exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lectern.llm.common import shared_dir
+
+    session = lambda master, folder: SimpleNamespace(conf={} if folder is None else {"spark.checkpoint.dir": folder}, sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("yarn", None))
