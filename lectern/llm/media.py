@@ -1,4 +1,9 @@
-"""Media columns: Netpbm and BMP to numpy, resizing, NPY tiles, difference hashes."""
+"""Media columns: Netpbm and BMP to numpy, resizing, NPY tiles, difference hashes.
+
+An image is decoded to a numpy array, written as NPY tiles (whole, or resized by integral images) and
+described by a difference hash.  Tiles stand one after another in one blob, row by row of the
+image; those at its edges are as small as what is left, so reading them back loses and adds nothing.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffers
+from .common import slices, text_buffers
 
 WIDTH = 64
+BATCH_BYTES = 4 << 20
+#: Rows and columns of a tile, at most.
+TILE = 64
+#: Samples of an image, at most (a header may promise any number).
+MOST_SAMPLES = 1 << 31
+UNREADABLE = (TypeError, ValueError, struct.error, IndexError, ZeroDivisionError, OverflowError, MemoryError)
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -52,9 +63,13 @@ def decode_netpbm(blob: bytes) -> np.ndarray:
         m = _TOKEN.match(blob, at)
         if not m:
             raise ValueError("a Netpbm header ends early")
+        if not m[1].isdigit() or len(m[1]) > 10:
+            raise ValueError("a Netpbm header holds no number")
         numbers.append(int(m[1]))
         at = m.end()
     width, height, top = [*numbers, 1][:3]
+    if not 0 < top < 65536 or width < 1 or height < 1 or width * height > min(8 * len(blob), MOST_SAMPLES):
+        raise ValueError("a Netpbm header that its file can't hold")
     depth = 3 if kind in (b"P3", b"P6") else 1
     shape = (height, width, 3) if depth == 3 else (height, width)
     count = height * width * depth
@@ -80,6 +95,8 @@ def decode_bmp(blob: bytes) -> np.ndarray:
     if blob[:2] != b"BM" or packing != 0 or bits not in (8, 24, 32):
         raise ValueError("not a bitmap of a known kind")
     each = bits // 8
+    if width < 1 or height == 0 or width * abs(height) * each > min(len(blob), MOST_SAMPLES):
+        raise ValueError("a bitmap's header that its file can't hold")
     stride = (width * each + 3) // 4 * 4
     rows = np.frombuffer(blob, np.uint8, stride * abs(height), start).reshape(abs(height), stride)[:, : width * each]
     rows = rows[::-1] if height > 0 else rows
@@ -102,17 +119,18 @@ def grey(image: np.ndarray) -> np.ndarray:
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of the area under each target cell, from an integral image; exact for fractional borders."""
     rows, columns = image.shape
-    along = _prefix(image.astype(np.float64), np.linspace(0, rows, height + 1))
+    along = _prefix(image, np.linspace(0, rows, height + 1))
     both = _prefix(along.T, np.linspace(0, columns, width + 1)).T
     return both / (rows / height * columns / width)
 
 
 def _prefix(image: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Sums of rows between fractional cuts."""
-    integral = np.zeros((image.shape[0] + 1, image.shape[1]))
-    np.cumsum(image, axis=0, out=integral[1:])
+    """Sums of rows between fractional cuts: the integral image, kept at the rows of the cuts alone."""
     low = np.minimum(cuts.astype(np.int64), image.shape[0] - 1)
-    at = integral[low] + (cuts - low)[:, None] * image[low]
+    rows, place = np.unique(low, return_inverse=True)
+    sums = np.add.reduceat(image, rows, axis=0, dtype=np.float64)
+    integral = np.concatenate([np.zeros((1, image.shape[1])), np.cumsum(sums, axis=0)[:-1]])
+    at = integral[place] + (cuts - low)[:, None] * image[low]
     return np.diff(at, axis=0)
 
 
@@ -122,25 +140,55 @@ def difference_hash(image: np.ndarray, size: int = 8) -> str:
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
-def npy_tiles(image: np.ndarray, tile: int = 32) -> list[bytes]:
-    """The image in tiles of (tile, tile), each an NPY file; edges are padded with zeros."""
-    image = grey(image).astype(np.uint8)
-    rows, columns = (-(-n // tile) * tile for n in image.shape)
-    padded = np.zeros((rows, columns), np.uint8)
-    padded[: image.shape[0], : image.shape[1]] = image
-    out = []
-    for i in range(0, rows, tile):
-        for j in range(0, columns, tile):
-            file = io.BytesIO()
-            np.save(file, padded[i : i + tile, j : j + tile])
-            out.append(file.getvalue())
-    return out
+def npy_tile(tile: np.ndarray) -> bytes:
+    """An NPY file of one tile."""
+    key = (tile.shape, tile.dtype.str)
+    if key not in _HEADS:
+        file = io.BytesIO()
+        np.lib.format.write_array_header_1_0(file, {"descr": tile.dtype.str, "fortran_order": False, "shape": tile.shape})
+        _HEADS[key] = file.getvalue()
+    return _HEADS[key] + tile.tobytes()
+
+
+#: NPY headers by shape and type: at most TILE squared of them for each type.
+_HEADS: dict[tuple, bytes] = {}
+_SHAPES: dict[bytes, tuple[tuple[int, ...], np.dtype]] = {}
+
+
+def npy_tiles(image: np.ndarray, tile: int = TILE) -> list[bytes]:
+    """The image in tiles of at most (tile, tile), each an NPY file, row by row of tiles."""
+    rows, columns = image.shape[:2]
+    return [npy_tile(image[i : i + tile, j : j + tile]) for i in range(0, rows, tile) for j in range(0, columns, tile)]
+
+
+def read_tiles(blob: bytes, columns: int) -> np.ndarray:
+    """The image of ``columns`` columns whose tiles stand one after another in ``blob``."""
+    at, bands, band, width = 0, [], [], 0
+    while at < len(blob):
+        start = at + 10 + int.from_bytes(blob[at + 8 : at + 10], "little")
+        head = blob[at:start]
+        if head not in _SHAPES:
+            file = io.BytesIO(head)
+            np.lib.format.read_magic(file)
+            shape, _, kind = np.lib.format.read_array_header_1_0(file)
+            _SHAPES[head] = shape, kind
+        shape, kind = _SHAPES[head]
+        count = int(np.prod(shape))
+        band.append(np.frombuffer(blob, kind, count, start).reshape(shape))
+        at, width = start + count * kind.itemsize, width + shape[1]
+        if width >= columns:
+            bands.append(band[0] if len(band) == 1 else np.concatenate(band, axis=1))
+            band, width = [], 0
+    return np.concatenate(bands)
 
 
 def media_features(files: DataFrame, media_column: str = "media", thumbnail: int = 32, tile: int = 32) -> DataFrame:
     """Adds height, width, dhash and tiles (NPY files of the resized image) to rows with image files.
 
-    Files that are null or not decodable give null in all four.
+    Files that are null, empty or not decodable, whatever their headers promise, give null in all four.
+    Repeated rows are independent; columns of the four names are replaced, others kept; an empty
+    table gives an empty result.  A file is decoded whole: it takes its samples in memory, at most
+    MOST_SAMPLES.
     """
     drop = ("height", "width", "dhash", "tiles")
     keep = files.drop(*drop)
@@ -152,9 +200,9 @@ def media_features(files: DataFrame, media_column: str = "media", thumbnail: int
             for blob in batch.column(media_column).to_pylist():
                 try:
                     image = decode(blob)
-                    small = np.round(area_resize(grey(image), thumbnail, thumbnail))
+                    small = np.round(area_resize(grey(image), thumbnail, thumbnail)).astype(np.uint8 if image.dtype == np.uint8 else np.uint16)
                     found.append((*image.shape[:2], difference_hash(image), npy_tiles(small, tile)))
-                except (TypeError, ValueError, struct.error, IndexError, ZeroDivisionError):
+                except UNREADABLE:
                     found.append((None,) * 4)
             columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.list_(pa.binary())))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *drop])
@@ -163,34 +211,38 @@ def media_features(files: DataFrame, media_column: str = "media", thumbnail: int
 
 
 def text_images(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_media: bool = True) -> DataFrame:
-    """Stores each text's bytes as a grey map of 64 columns, reads it back and computes features.
+    """Stores each text's bytes as NPY tiles of a grey map of 64 columns, reads them back and computes features.
 
+    A text comes in as a binary grey map (P5) of its bytes, is decoded to an array and written as
+    tiles of at most 64 x 64 samples; payload columns and feature are computed from the tiles alone.
     Result: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature and, if wanted, media (the file).  Null text is empty; an
-    empty text is 64 zero bytes.  Rows are independent, so repeated rows and clashing
-    extra columns change nothing; an empty table gives an empty result.
+    media_sha256 (of the tiles), feature (difference hash of the thumbnail), n_tiles and, if wanted,
+    media (the tiles one after another).  Null text is empty; an empty text is 64 zero bytes; a very long
+    one takes some copies of itself in memory, one text at a time.  Rows are independent, so repeated rows
+    and clashing extra columns change nothing; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("body"))
-    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles int"
     schema += ", media binary" * with_media
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary())
+
+    def stored(raw: np.ndarray) -> tuple:
+        padded = np.zeros(max(-(-len(raw) // WIDTH), 1) * WIDTH, np.uint8)
+        padded[: len(raw)] = raw
+        tiles = npy_tiles(decode(encode_pgm(padded.reshape(-1, WIDTH))))
+        media = b"".join(tiles)
+        image = read_tiles(media, WIDTH)
+        back = image.tobytes()
+        found = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), len(tiles))
+        return (*found, media) if with_media else found
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            found, files = [], []
-            for i in range(len(batch)):
-                raw = data[offsets[i] : offsets[i + 1]]
-                padded = np.zeros(max(-(-len(raw) // WIDTH), 1) * WIDTH, np.uint8)
-                padded[: len(raw)] = raw
-                media = encode_pgm(padded.reshape(-1, WIDTH))
-                image = decode_netpbm(media)
-                back = image.tobytes()
-                found.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image)))
-                if with_media:
-                    files.append(media)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)]
-            columns = [batch.column(0), *columns, *([pa.array(files, pa.binary())] if with_media else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+            for i, j in slices(offsets, BATCH_BYTES):
+                found = [stored(data[offsets[k] : offsets[k + 1]]) for k in range(i, j)]
+                columns = [pa.array([x[k] for x in found], t) for k, t in enumerate(kinds[: len(names) - 1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], names=names)
 
     return rows.mapInArrow(run, schema)

@@ -114,19 +114,55 @@ def test_small_blocks_of_packed_streams(spark, model):
 
 
 def test_media_reads_back_what_it_stored(spark):
-    found = media.text_images(frame(spark, ODD)).collect()
+    import io
+
+    found = media.text_images(frame(spark, [*ODD, (50, "wörd " * 900_000)])).collect()
     by_text = {}
     for r in found:
-        image = media.decode(bytes(r.media))
-        raw = image.tobytes()
-        assert image.shape[1] == 64 and len(raw) % 64 == 0 and len(raw) >= 64
-        assert (r.payload_sha256, r.tail_crc32, r.media_bytes) == (hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(r.media))
+        blob, at, parts = io.BytesIO(bytes(r.media)), 0, []
+        while at < len(r.media):  # numpy's own reader, tile by tile
+            blob.seek(at)
+            parts.append(np.load(blob))
+            at = blob.tell()
+        assert len(parts) == r.n_tiles and all(p.shape[1] == 64 and p.shape[0] <= 64 for p in parts)
+        raw = np.concatenate(parts).tobytes()
+        assert len(raw) == r.payload_bytes and len(raw) % 64 == 0 and len(raw) >= 64 and not any(raw[r.n_bytes :])
+        assert (r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(r.media), hashlib.sha256(r.media).hexdigest())
+        assert r.feature == plain_dhash(np.frombuffer(raw, np.uint8).reshape(-1, 64))
         by_text.setdefault(raw[: r.n_bytes], set()).add((r.media_sha256, r.feature))
     assert all(len(v) == 1 for v in by_text.values())
-    assert set(by_text) == {(t or "").encode() for _, t in ODD}
+    assert set(by_text) == {(t or "").encode() for _, t in [*ODD, (50, "wörd " * 900_000)]}
     assert media.text_images(frame(spark, []).limit(0)).count() == 0
 
 
+def plain_dhash(image, size=8):
+    """Areas summed by whole and fractional rows and columns, without an integral image."""
+    def cells(a, n):
+        cuts = np.linspace(0, len(a), n + 1)
+        out = []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            i, j = int(low), min(int(high), len(a) - 1)
+            out.append((a[j] * (high - low)) if i == j else a[i] * (i + 1 - low) + a[i + 1 : j].sum(axis=0) + a[j] * (high - j))
+        return np.array(out)
+
+    a = cells(cells(image.astype(float), size).T, size + 1).T
+    a = np.round(a / (image.shape[0] / size * image.shape[1] / (size + 1)), 6)
+    return np.packbits(a[:, 1:] > a[:, :-1]).tobytes().hex()
+
+
+def test_tiles_of_any_shape_read_back():
+    rng = np.random.default_rng(5)
+    for shape in ((1, 1), (64, 64), (65, 130), (200, 3)):
+        image = rng.integers(0, 65535, shape, dtype=np.uint16)
+        assert (media.read_tiles(b"".join(media.npy_tiles(image, 32)), shape[1]) == image).all()
+
+
+@pytest.mark.parametrize("blob", [b"P5 99999999999 99999999999 255\n", b"P5 3 3 100000000000000000000\n", b"P5 9999 9999 255\nx", b"P5 -3 3 255\nabc", b"P2 2 2 255\n1 2 x 4", b"BM", b"BM" + b"\xff" * 80, b"", b"P5"])
+def test_hostile_files_are_unreadable_rows(blob):
+    with pytest.raises(media.UNREADABLE):
+        media.decode(blob)
+
+
 def test_image_formats():
     rng = np.random.default_rng(0)
     grey, colour = rng.integers(0, 256, (5, 7), dtype=np.uint8), rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
@@ -154,11 +190,11 @@ def test_area_resize_is_exact():
 def test_media_features_of_files(spark):
     rng = np.random.default_rng(1)
     image = rng.integers(0, 256, (40, 50), dtype=np.uint8)
-    rows = [(1, media.encode_pgm(image)), (2, media.encode_bmp(image)), (3, b"broken"), (4, None)]
+    rows = [(1, media.encode_pgm(image)), (2, media.encode_bmp(image)), (3, b"broken"), (4, None), (5, b"P5 99999999999 99999999999 255\n"), (6, b"BM" + b"\xff" * 80)]
     found = {r.n: r for r in media.media_features(spark.createDataFrame(rows, "n int, media binary")).collect()}
     assert found[1].dhash == found[2].dhash and (found[1].height, found[1].width) == (40, 50)
     assert np.load(__import__("io").BytesIO(bytes(found[1].tiles[0]))).shape == (32, 32)
-    assert found[3].dhash is None and found[4].tiles is None
+    assert all(found[n].dhash is None and found[n].tiles is None for n in (3, 4, 5, 6))
 
 
 def plain_licenses(rows):
