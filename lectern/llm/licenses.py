@@ -191,10 +191,11 @@ def _permutation(values: np.ndarray, k: int) -> np.ndarray:
     return (values * factor) ^ mix(np.array([2 * k + 2], _U))[0]
 
 
-def _band_key(minima: list[np.ndarray], band: int) -> np.ndarray:
-    key = np.full(len(minima[0]), _U(band))
-    for m in minima:
-        key = mix(key * _U(0x9E3779B97F4A7C15) + m)
+def _band_key(minima: list[np.ndarray]) -> np.ndarray:
+    """One number of a band's minima, which are as good as random; each band has its own table of keys."""
+    key = minima[0]
+    for m in minima[1:]:
+        key = key * _U(0x9E3779B97F4A7C15) + m
     return key
 
 
@@ -217,16 +218,18 @@ class TemplateIndex:
         for name, (own, count) in sets.items():
             wider = {n for n, (x, _) in sets.items() if len(x) > len(own) and len(np.intersect1d(own, x, assume_unique=True)) >= containment * len(own)}
             groups.setdefault(layout(count), []).append((Template(name, own, frozenset(wider)), bands_for(least_similarity(count, len(own), containment))))
-        #: (g, k): templates, and per band its sorted keys with the template of each.
-        self.groups: dict[tuple[int, int], tuple[list[Template], list[tuple[np.ndarray, np.ndarray]]]] = {}
+        #: (g, k): templates, and per band its sorted keys, the template of each, and which leading 16 bits keys have.
+        self.groups: dict[tuple[int, int], tuple[list[Template], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = {}
         for shape, own in groups.items():
             templates_ = [t for t, _ in own]
             tables = []
             for band in range(max(b for _, b in own)):
                 minima = [np.array([_permutation(t.shingles, ROWS * band + r).min() for t in templates_]) for r in range(ROWS)]
-                keys = _band_key(minima, band)
+                keys = _band_key(minima)
                 order = np.argsort(keys, kind="stable")
-                tables.append((keys[order], order))
+                known = np.zeros(1 << 16, bool)
+                known[keys >> _U(48)] = True
+                tables.append((keys[order], order, known))
             self.groups[shape] = templates_, tables
         self.functions = ROWS * max((len(tables) for _, tables in self.groups.values()), default=0)
 
@@ -242,29 +245,29 @@ class TemplateIndex:
         for g, k in self.groups:
             blocks = -(-np.diff(first) // g)
             start = np.repeat(first[:-1] - g * (np.cumsum(blocks) - blocks), blocks) + g * np.arange(int(blocks.sum()))
-            shapes[g, k] = start, np.minimum(start + g * k, np.repeat(first[1:], blocks)), np.repeat(np.cumsum(blocks), blocks)
+            shapes[g, k] = start, np.minimum(start + g * k, np.repeat(first[1:], blocks)), _doublings(np.repeat(np.cumsum(blocks), blocks), k)
         met: dict[tuple[int, int], list[np.ndarray]] = {shape: [] for shape in self.groups}
         minima: dict[tuple[int, int], list[np.ndarray]] = {shape: [] for shape in self.groups}
         for n in range(self.functions):
             values = _permutation(hashes, n)
             blocks_of: dict[int, np.ndarray] = {}
-            for (g, k), (start, _, ends) in shapes.items():
+            for (g, k), (start, _, plan) in shapes.items():
                 tables = self.groups[g, k][1]
                 if n >= ROWS * len(tables):
                     continue
                 if g not in blocks_of:
                     blocks_of[g] = values if g == 1 else np.minimum.reduceat(values, start)
-                minima[g, k].append(_window_minima(blocks_of[g], k, ends))
+                minima[g, k].append(_window_minima(blocks_of[g], plan))
                 if len(minima[g, k]) == ROWS:
                     band = n // ROWS
-                    keys, template = tables[band]
-                    own = _band_key(minima[g, k], band)
+                    keys, template, known = tables[band]
+                    own = _band_key(minima[g, k])
                     minima[g, k] = []
-                    low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-                    hit = np.flatnonzero(high > low)
-                    for t in range(int((high - low)[hit].max()) if len(hit) else 0):
-                        some = hit[high[hit] - low[hit] > t]
-                        met[g, k].append(some * len(keys) + template[low[some] + t])
+                    may = np.flatnonzero(known[own >> _U(48)])
+                    low, high = np.searchsorted(keys, own[may], "left"), np.searchsorted(keys, own[may], "right")
+                    for t in range(int((high - low).max()) if len(may) else 0):
+                        some = np.flatnonzero(high - low > t)
+                        met[g, k].append(may[some] * len(keys) + template[low[some] + t])
         found: list[tuple[int, int, int, float, Template]] = []
         for shape, pairs in met.items():
             templates, (start, end, _) = self.groups[shape][0], shapes[shape]
@@ -283,16 +286,24 @@ class TemplateIndex:
             yield doc, int(at[start + inside[0]]) - base, int(at[start + inside[-1]]) - base + SHINGLE, share, template
 
 
-def _window_minima(blocks: np.ndarray, k: int, ends: np.ndarray) -> np.ndarray:
-    """Least of each block and the k - 1 after it, within its text (which ends before block ``ends``)."""
-    out, size = blocks, 1
-    index = np.arange(len(blocks))
+def _doublings(ends: np.ndarray, k: int) -> list[tuple[int, np.ndarray]]:
+    """Steps that join the minima of k blocks in a row, and the blocks whose text ends within each (before block ``ends``)."""
+    index, size, plan = np.arange(len(ends)), 1, []
     while size < k:
         step = min(size, k - size)
-        ahead = np.full(len(out), _FULL)
-        ahead[:-step] = out[step:]
-        out = np.minimum(out, np.where(index + step < ends, ahead, _FULL))
+        plan.append((step, np.flatnonzero(index + step >= ends)))
         size += step
+    return plan
+
+
+def _window_minima(blocks: np.ndarray, plan: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Least of each block and those after it in its window."""
+    out = blocks
+    for step, beyond in plan:
+        ahead = np.empty_like(out)
+        ahead[:-step] = out[step:]
+        ahead[beyond] = _FULL
+        out = np.minimum(out, ahead)
     return out
 
 
