@@ -5,8 +5,15 @@ bins) and in those of the lines before and after it; transitions tie neighbours.
 A document's score is the mean probability of "good" over its lines, weighted by
 their lengths, from the forward-backward marginals, on a logistic scale fitted to the labels.
 
-The model is fitted on a bounded sample of labelled documents (SAMPLE_DOCS), each line
-taking its document's label; scoring reads every whole text.
+Labels are those of documents; what its lines are is latent.  A document is labelled good with probability
+CLEAN * SPARED ** (its number of bad lines).  Fitting starts with each line by itself, as good as its document, then
+goes on by expectation and gradient steps: the expected line labels, and pairs of them, given features and
+label are what the field is drawn to.  They are exact: given the label "good" every bad line weighs SPARED;
+given "bad", they are what is left of all labellings without those.  So a bad document may have good lines, and
+switches between good and bad are learned.
+
+The model is fitted on a bounded sample of labelled documents (SAMPLE_DOCS documents, DOC_LINES lines of
+one, SAMPLE_LINES lines in all); scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -20,14 +27,17 @@ from pyspark.sql import functions as F
 
 from .common import Words, distinct_in_groups, mix, slices, text_buffers
 
-#: Labelled documents that the model is fitted on, at most.
-SAMPLE_DOCS = 8000
+#: Labelled documents that the model is fitted on, lines of one document, and lines in all, at most.
+SAMPLE_DOCS, DOC_LINES, SAMPLE_LINES = 8000, 256, 250_000
 THRESHOLD = 0.7
 #: Of labels, those with crc32(id as text) mod 4 in this remainder are held out.
 FOLDS, HELD_OUT = 4, 2
 BINS = 10
 BATCH_BYTES = 1 << 20
-TRAIN_LINES = 64  # longer documents train as several chains
+#: Lines of a run, where a long document gives some runs of lines.
+RUN_LINES = 64
+#: Probability that a document without bad lines is labelled good, and that a bad line leaves its label good.
+CLEAN, SPARED = 0.95, 0.6
 _U = np.uint64
 
 _FLAGS = np.zeros((9, 256), bool)
@@ -124,6 +134,22 @@ class CrfModel:
         edge[heads, 0], edge[tails, 1], edge[:, 2] = 1, 1, 1
         return np.concatenate([own.reshape(n, -1), before, after, edge], axis=1)
 
+    def emission(self, table: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log odds of each line alone: the design's product with the weights, without the design."""
+        n, f = table.shape
+        own = self.weights[: f * BINS].reshape(f, BINS)
+        before, after, edge = self.weights[f * BINS : f * (BINS + 1)], self.weights[f * (BINS + 1) : f * (BINS + 2)], self.weights[f * (BINS + 2) :]
+        out = np.full(n, edge[2])
+        for k in range(f):
+            out += own[k, np.searchsorted(self.cuts[k], table[:, k], "left")]
+        plain = np.clip((table - self.mean) / self.scale, -3, 3)
+        heads, tails = first[:-1], first[1:] - 1
+        left, right = np.r_[0, (plain @ before)[:-1]], np.r_[(plain @ after)[1:], 0]
+        left[heads], right[tails] = edge[0], edge[1]
+        # A text of one line is head and tail.
+        out += left + right
+        return out
+
     def marginals(self, emission: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Probability of "good" for each line; emission is the log odds of a line alone."""
         return _forward_backward(emission, first, self.transition, self.start)[0]
@@ -135,8 +161,7 @@ class CrfModel:
 
     def log_odds(self, table: np.ndarray, points: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Of each document, the log odds of its lines' mean marginal."""
-        emission = self.design(table, first) @ self.weights.astype(np.float32)
-        good = self.marginals(emission.astype(float), first)
+        good = self.marginals(self.emission(table, first), first)
         weight = points + 1e-6
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         mean = np.bincount(doc, good * weight, len(first) - 1) / np.bincount(doc, weight, len(first) - 1)
@@ -145,13 +170,14 @@ class CrfModel:
 
 
 def _forward_backward(emission, first, transition, start):
-    """Marginals, pair marginals (summed, 2 x 2) and log likelihood's normaliser; chains step together, longest first."""
+    """Marginals, pair marginals (2 x 2 for each line but a chain's first, whose are zero) and log normaliser of each chain; chains step together, longest first."""
     sizes = np.diff(first)
     order = np.argsort(-sizes, kind="stable")
     head = first[:-1][order]
     alive = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(1, sizes.max() + 1), "left")
     move = np.exp(transition)
-    local = np.stack([np.ones(len(emission)), np.exp(np.clip(emission, -30, 30))], axis=1)
+    clipped = np.clip(emission, -30, 30)
+    local = np.stack([np.ones(len(emission)), np.exp(clipped)], axis=1)
     alpha, beta = np.empty_like(local), np.empty_like(local)
     norm = np.empty(len(local))
     for t, k in enumerate(alive):
@@ -164,38 +190,52 @@ def _forward_backward(emission, first, transition, start):
         at = head[: alive[t + 1]] + t
         beta[at] = (local[at + 1] * beta[at + 1]) @ move.T / norm[at + 1][:, None]
     gamma = alpha * beta
-    inner = np.ones(len(emission), bool)
-    inner[first[:-1]] = False
-    at = np.flatnonzero(inner)
-    pairs = move * (alpha[at - 1].T @ (local[at] * beta[at] / norm[at][:, None]))
-    return gamma[:, 1] / gamma.sum(axis=1), pairs, float(np.log(norm).sum())
+    pairs = np.zeros((len(emission), 2, 2))
+    pairs[1:] = move * alpha[:-1, :, None] * (local * beta / norm[:, None])[1:, None, :]
+    pairs[first[:-1]] = 0
+    return gamma[:, 1] / gamma.sum(axis=1), pairs, np.add.reduceat(np.log(norm), first[:-1])
+
 
+def expected_lines(emission, first, labels, transition, start):
+    """Expected line labels and summed pairs, free and given the documents' labels, from two passes.
 
-def fit(table: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.15, decay: float = 2e-4) -> CrfModel:
-    """Maximum likelihood by Adam; labels are those of documents."""
+    Weights of SPARED for each bad line make the first pass's normaliser the chance of a good label, up
+    to CLEAN; what isn't a good label is a bad one.
+    """
+    sizes = np.diff(first)
+    free, free_pairs, free_norm = _forward_backward(emission, first, transition, start)
+    spared, spared_pairs, spared_norm = _forward_backward(emission - np.log(SPARED), first, transition, start)
+    good = np.minimum(CLEAN * np.exp(np.minimum(spared_norm + sizes * np.log(SPARED) - free_norm, 0)), CLEAN)
+    of_free = np.repeat(np.where(labels == 1, 0.0, 1 / (1 - good)), sizes)
+    of_spared = np.repeat(np.where(labels == 1, 1.0, -good / (1 - good)), sizes)
+    told = of_free * free + of_spared * spared
+    pairs = np.tensordot(of_free, free_pairs, 1) + np.tensordot(of_spared, spared_pairs, 1)
+    return free, free_pairs.sum(axis=0), told, pairs
+
+
+def fit(table: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 2e-4) -> CrfModel:
+    """Maximum likelihood by Adam; labels are those of documents, of lines latent after the first third of the rounds."""
     quantiles = np.quantile(table, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(table) else np.zeros((len(NAMES), BINS - 1))
     scale = table.std(axis=0)
     model = CrfModel(quantiles, table.mean(axis=0), np.where(scale > 1e-9, scale, 1), np.zeros(0), np.zeros((2, 2)), np.zeros(2))
     design = model.design(table, first)
-    model.weights = np.zeros(design.shape[1])
-    truth = np.repeat(labels, np.diff(first)).astype(np.int64)
-    cut = np.concatenate([np.arange(a, b, TRAIN_LINES) for a, b in zip(first[:-1], first[1:], strict=True)])
-    chains = np.r_[cut, len(truth)]
-    inner = np.ones(len(truth), bool)
-    inner[chains[:-1]] = False
-    at = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (truth[at - 1], truth[at]), 1)
-    begun = np.bincount(truth[chains[:-1]], minlength=2).astype(float)
-    each = len(truth)
-    values = np.concatenate([model.weights, model.transition.ravel(), model.start])
+    w = design.shape[1]
+    as_document = np.repeat(labels, np.diff(first)).astype(float)
+    # What ties a line to others stays out at first.
+    linked = np.r_[len(NAMES) * BINS : w - 3, w : w + 6]
+    values = np.zeros(w + 6)
     m, v = np.zeros_like(values), np.zeros_like(values)
-    w = len(model.weights)
     for step in range(1, rounds + 1):
         emission = (design @ values[:w].astype(np.float32)).astype(float)
-        good, pairs, _ = _forward_backward(emission, chains, values[w : w + 4].reshape(2, 2), values[w + 4 :])
-        head = good[chains[:-1]]
-        grad = np.concatenate([design.T @ (truth - good).astype(np.float32), (seen - pairs).ravel(), begun - [np.sum(1 - head), np.sum(head)]]) / each - decay * values
+        if step <= rounds // 3:
+            grad = np.r_[design.T @ (as_document - 1 / (1 + np.exp(-np.clip(emission, -30, 30)))).astype(np.float32), np.zeros(6)]
+        else:
+            good, pairs, told, told_pairs = expected_lines(emission, first, labels, values[w : w + 4].reshape(2, 2), values[w + 4 :])
+            begun = (told - good)[first[:-1]].sum()
+            grad = np.concatenate([design.T @ (told - good).astype(np.float32), (told_pairs - pairs).ravel(), [-begun, begun]])
+        grad = grad / len(as_document) - decay * values
+        if step <= rounds // 3:
+            grad[linked] = 0
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         values = values + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     model.weights, model.transition, model.start = values[:w], values[w : w + 4].reshape(2, 2), values[w + 4 :]
@@ -220,7 +260,9 @@ def calibrate(odds: np.ndarray, labels: np.ndarray, rounds: int = 60, decay: flo
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample_docs: int = SAMPLE_DOCS) -> CrfModel:
     """Fits on at most ``sample_docs`` labelled documents outside the held-out fold.
 
-    The sample is the first ones in the order of a hash of the id.  Labels that are
+    The sample is the first ones in the order of a hash of the id, as far as their lines are SAMPLE_LINES together.  Of a
+    longer document DOC_LINES lines count, in runs of RUN_LINES spread evenly over it; their
+    features are those of the whole text.  Labels that are
     null, or whose id is, are left out; of several labels of one id the least counts.
     """
     ident = F.col(id_column)
@@ -235,10 +277,13 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             data, offsets = text_buffers(batch.column(1))
             for i, j in slices(offsets, BATCH_BYTES):
                 table, _, first = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                packed = [table[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                packed = [_spread_lines(table[a:b]).astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(packed, pa.binary())], names=["id", "label", "lines"])
 
-    found = sorted(rows.mapInArrow(run, "id long, label int, lines binary").collect(), key=lambda r: (r.id, r.label, bytes(r.lines)))
+    found = rows.mapInArrow(run, "id long, label int, lines binary").withColumn("turn", F.xxhash64("id")).collect()  # at most sample_docs * DOC_LINES lines
+    found = sorted(found, key=lambda r: (r.turn, r.id, r.label, bytes(r.lines)))
+    total = np.cumsum([len(r.lines) // (4 * len(NAMES)) for r in found])
+    found = found[: max(1, int(np.searchsorted(total, SAMPLE_LINES, "right")))]
     tables = [np.frombuffer(r.lines, np.float32).reshape(-1, len(NAMES)) for r in found]
     if not tables:  # nothing to learn from: every text gets the same score
         return fit(np.zeros((1, len(NAMES))), np.array([0, 1]), np.array([1]), rounds=0)
@@ -247,10 +292,41 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return fit(np.concatenate(tables).astype(float), first, found_labels)
 
 
+def _spread_lines(table: np.ndarray) -> np.ndarray:
+    """A document's lines, or of many DOC_LINES in runs."""
+    if len(table) <= DOC_LINES:
+        return table
+    runs = DOC_LINES // RUN_LINES
+    starts = np.linspace(0, len(table) - RUN_LINES, runs).astype(int)
+    return table[(starts[:, None] + np.arange(RUN_LINES)).ravel()]
+
+
+def label_lines(docs: DataFrame, model: CrfModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, line, good): every line of every text, from 0, with the probability that it is good.
+
+    Null and empty texts are one empty line.  Repeated rows give their lines again; null ids and extra columns
+    change nothing; an empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("body"))
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for i, j in slices(offsets, BATCH_BYTES):
+                table, _, first = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                counts = np.diff(first)
+                line = np.arange(len(table)) - np.repeat(first[:-1], counts)
+                ids = batch.column(0).take(pa.array(i + np.repeat(np.arange(j - i), counts)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(line), pa.array(model.marginals(model.emission(table, first), first))], names=["id", "line", "good"])
+
+    return rows.mapInArrow(run, "id long, line long, good double")
+
+
 def score_quality(docs: DataFrame, model: CrfModel, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, payload: list[str] | None = None) -> DataFrame:
     """One row per input row: id, score (0 to 1), predicted (score >= threshold) and ``payload`` columns.
 
-    Null and empty texts are one empty line and score as such.  Only the text counts;
+    Null and empty texts are one empty line and score as such; a very long text is scored whole, with some
+    hundred bytes of memory a line.  Only the text counts;
     null ids, repeated rows and extra columns change nothing; an empty table gives an
     empty result.
     """

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lectern.llm import licenses, media, pii
 from lectern.llm.bpe import BpeModel, decode_texts, encode_texts, token_digests
 from lectern.llm.mixing import mix
-from lectern.llm.quality import score_quality, train
+from lectern.llm.quality import label_lines, score_quality, train
 from lectern.llm.queries import QUERIES, tokenizer_path
 from lectern.llm.token_counts import document_token_counts, pack_streams, read_token_files, separator_scan
 
@@ -377,6 +377,101 @@ def test_quality_learns_and_scores_all(spark):
     assert {round(r.score, 9) for r in score_quality(docs, empty).collect()} == {0.5}
 
 
+def test_marginals_equal_enumeration():
+    """All labellings of short chains, one by one."""
+    from itertools import product
+
+    from lectern.llm import quality
+
+    rng = np.random.default_rng(4)
+    sizes, labels = [1, 2, 5, 7, 1, 4], np.array([1, 0, 0, 1, 0, 1])
+    first = np.cumsum([0, *sizes])
+    emission, transition, start = rng.normal(size=first[-1]) * 2, rng.normal(size=(2, 2)), rng.normal(size=2)
+    good, pairs, norm = quality._forward_backward(emission, first, transition, start)
+    free, free_pairs, told, told_pairs = quality.expected_lines(emission, first, labels, transition, start)
+    want = {kind: [np.zeros(first[-1]), np.zeros((2, 2))] for kind in ("free", "told")}
+    for d, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        total = dict.fromkeys(want, 0.0)
+        own, own_pairs = {k: np.zeros(b - a) for k in want}, {k: np.zeros((2, 2)) for k in want}
+        for z in product((0, 1), repeat=int(b - a)):
+            p = np.exp(start[z[0]] + emission[a:b] @ z + sum(transition[x, y] for x, y in zip(z, z[1:], strict=False)))
+            named_good = quality.CLEAN * quality.SPARED ** z.count(0)
+            for k, q in (("free", p), ("told", p * (named_good if labels[d] else 1 - named_good))):
+                total[k] += q
+                own[k] += q * np.array(z)
+                for x, y in zip(z, z[1:], strict=False):
+                    own_pairs[k][x, y] += q
+        assert np.isclose(norm[d], np.log(total["free"]))
+        for k, (lines, two) in want.items():
+            lines[a:b] = own[k] / total[k]
+            two += own_pairs[k] / total[k]
+    assert np.allclose(good, want["free"][0]) and np.allclose(free, good) and np.allclose(told, want["told"][0])
+    assert np.allclose(pairs.sum(axis=0), want["free"][1]) and np.allclose(free_pairs, want["free"][1]) and np.allclose(told_pairs, want["told"][1])
+
+
+def test_scores_equal_a_plain_version(spark):
+    """The design's product, chain by chain, weighted by lengths and put on the scale."""
+    from lectern.llm.quality import line_features
+
+    rng = random.Random(8)
+    docs = frame(spark, [(k, "\n".join("".join(rng.choices("ab cd EF !1é", k=rng.randint(0, 40))) for _ in range(rng.randint(1, 9)))) for k in range(120)] + [(500, None), (501, "")])
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(120)], "doc_id long, quality int")
+    model = train(docs, labels)
+    found = {r.id: r.score for r in score_quality(docs, model).collect()}
+    lines = {}
+    for r in label_lines(docs, model).collect():
+        lines.setdefault(r.id, {})[r.line] = r.good
+    for r in docs.collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        table, points, first = line_features(data, np.array([0, len(data)]))
+        emission = model.design(table, first).astype(float) @ model.weights
+        good = model.marginals(emission, first)
+        assert len(good) == (r.text or "").count("\n") + 1
+        assert np.allclose([lines[r.doc_id][k] for k in range(len(good))], good, atol=1e-5)
+        mean = np.clip((good * (points + 1e-6)).sum() / (points + 1e-6).sum(), 1e-6, 1 - 1e-6)
+        slope, offset = model.scale_
+        assert np.isclose(found[r.doc_id], 1 / (1 + np.exp(-slope * np.log(mean / (1 - mean)) - offset)), atol=1e-4)
+
+
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    """Bad documents hold good lines and a run of bad ones; labels are those of documents alone."""
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choices("the of and then in that onal tion hent".split(), k=12)).capitalize() + "."
+    bad = lambda: "!! ".join(rng.choices("BUY NOW CHEAP $$$ 99".split(), k=9)) + "!!"
+    rows, truth = [], {}
+    for k in range(300):
+        kinds = [1] * rng.randint(3, 12)
+        if k % 2:
+            at = rng.randrange(len(kinds))
+            kinds[at:at] = [0] * rng.randint(2, 4)
+        rows.append((k, "\n".join(good() if x else bad() for x in kinds)))
+        truth |= {(k, n): x for n, x in enumerate(kinds)}
+    docs = frame(spark, rows)
+    model = train(docs, spark.createDataFrame([(k, int(k % 2 == 0)) for k, _ in rows], "doc_id long, quality int"))
+    found = {(r.id, r.line): r.good for r in label_lines(docs, model).collect()}
+    assert found.keys() == truth.keys()
+    # Lines that are as good as their documents would be 0.58; good ones beside bad ones are hard to tell.
+    assert np.mean([(found[x] >= 0.5) == truth[x] for x in truth]) > 0.88
+    assert all(found[x] < 0.5 for x in truth if not truth[x])
+    move = np.exp(model.transition)
+    assert (move / move.sum(axis=1, keepdims=True)).min() > 0.05  # switches have been seen
+    scores = {r.id: r.score for r in score_quality(docs, model).collect()}
+    assert np.mean([(scores[k] >= 0.7) == (k % 2 == 0) for k, _ in rows]) > 0.95
+
+
+def test_training_is_bounded(spark, monkeypatch):
+    """A document of many lines gives DOC_LINES of them, and all of them SAMPLE_LINES."""
+    from lectern.llm import quality
+
+    assert quality._spread_lines(np.arange(9000)[:, None]).shape == (256, 1)
+    taken = []
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 300)
+    monkeypatch.setattr(quality, "fit", lambda table, first, labels: taken.append((len(table), len(labels))))
+    docs = frame(spark, [(k, "line of words\n" * 99) for k in range(40)])
+    quality.train(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int"))
+    assert taken == [(300, 3)]
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark):
     rows = [(k, f"{'A! ' if k % 2 else 'a. '}" * 9) for k in range(80)]
     docs = frame(spark, rows)
