@@ -6,9 +6,11 @@ documents are a weighted random permutation.  A source's budget is filled by
 whole epochs first; what is left goes to the documents whose running sum of
 sizes, in the order of keys, stays within it (the last of them in part).
 
-No source is sorted in one task.  Keys are dealt to about sqrt(rows of the source)
-buckets that follow their order; sums of whole buckets are prefix-summed per
-source, and documents only inside their bucket.
+No source is sorted in one task.  Keys are dealt to buckets that follow their order and are equally wide on a
+logarithmic scale, sqrt(rows of the source) to a factor of e.  Keys of any one weight w are exponential, so a
+bucket gets at most a share of 1 / (e sqrt(rows)) of its rows whatever w is, and of mixed weights no more:
+some sqrt(rows) / e rows.  Sums of whole buckets are prefix-summed per source, and documents only inside their
+bucket.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = SOURCE_WEIGHTS
 
     Shares follow the weights, filled like connected vessels: sources in the order
     of (limit / weight) reach their limits first, and what they leave is shared by
-    the others.  One row per source passes through one task.
+    the others.  One row per source passes through one task: a million sources are some 50 MB there.
     """
     by_name = Window.orderBy("src_null", F.encode("src", "UTF-8"))
     n = F.row_number().over(by_name) - 1
@@ -83,7 +85,8 @@ def mix(
     one source, after all others.  ``quality`` is the sampling weight (positive; null
     or less counts as LEAST_WEIGHT).  Ties of keys fall by id, then size; rows that
     repeat an id are rows like others, null ids too.  Keys depend on id and seed, so reruns
-    agree.  Other columns are ignored; an empty table gives an empty result.
+    agree.  A very long text is a size like others; the one on the border is taken in part.  Other columns are
+    ignored; an empty table gives an empty result.
     """
     quality = quality_weight(text_column) if quality is None else quality
     key = -F.ln(uniform("id", seed)) / F.greatest(F.coalesce("q", F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
@@ -103,8 +106,7 @@ def mix(
     targets = targets.withColumn("epochs", epochs).withColumn("left", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     targets = materialize(targets.withColumn("buckets", F.ceil(F.sqrt("n"))), "mix-targets")
 
-    # exp(-key) falls as the key grows and is near uniform for weights near 1.
-    bucket = F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")).cast("long")
+    bucket = F.floor(F.ln(F.greatest("key", F.lit(1e-300))) * F.col("buckets")).cast("long")
     dealt = rows.join(targets, ["src_null", "src"]).withColumn("bucket", bucket)
     group = ["src_null", "src", "bucket"]
     per_bucket = dealt.groupBy(*group).agg(F.sum("size").alias("bucket_size"))
