@@ -69,13 +69,42 @@ def pack_streams(docs: DataFrame, model: BpeModel, separator: int, id_column: st
     return blocks, both.where(F.col("payload").isNull()).select("file", "place", "id")
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, payload) of binary files of little-endian token identifiers."""
+def _open_file(path: str):
+    """A seekable file by its URI, on any file system that Arrow knows."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
+def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS, open_file=_open_file) -> DataFrame:
+    """(file, block, payload) of binary files of little-endian token identifiers, of any length.
+
+    Spark lists names and lengths alone; each block is read by its offset in the task that gets it, so a file is dealt out like
+    others and no task holds more than a block of it.  ``open_file`` opens a URI on the executors.  An
+    empty file has one empty block; bytes after the last whole identifier are an error.
+    """
     size = width * block_tokens
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    last = F.greatest(F.ceil(F.length("content") / size) - 1, F.lit(0))
-    blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    return blocks.select("file", "block", F.substring(F.col("content"), (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("payload"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    whole = F.assert_true(F.col("length") % width == 0, F.concat(F.lit("no whole number of tokens: "), F.col("file")))
+    last = F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0)).cast("long")
+    blocks = files.where(whole.isNull()).select("file", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+
+    def read(batches):
+        for batch in batches:
+            files, numbers = (batch.column(k).to_pylist() for k in (0, 1))
+            handle, opened = None, None
+            for k, (file, number) in enumerate(zip(files, numbers, strict=True)):
+                if opened != file:
+                    if handle is not None:
+                        handle.close()
+                    handle, opened = open_file(file), file
+                handle.seek(number * size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([handle.read(size)], pa.binary())], names=["file", "block", "payload"])
+            if handle is not None:
+                handle.close()
+
+    return blocks.repartition("file", "block").mapInArrow(read, "file string, block long, payload binary")
 
 
 def separator_scan(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
@@ -138,7 +167,8 @@ def document_token_counts(docs: DataFrame, model: BpeModel, separator: int, id_c
     """(id, n_tokens) of every row: its text packed into token files, counted by the scan.
 
     Null and empty texts have no tokens; repeated rows, null ids and extra columns
-    change nothing; an empty table gives an empty result.
+    change nothing; a very long text crosses as many blocks as it needs; an empty table gives an empty
+    result.  Most of the work is encoding the texts.
     """
     blocks, places = pack_streams(docs, model, separator, id_column, text_column)
     counts = separator_scan(blocks, separator)
