@@ -4,13 +4,16 @@ Texts are cut into words by character classes, all words of a batch at once.
 Each distinct word is merged once: the symbols of all new words stand in one flat
 array; a round finds the rank of every adjacent pair by binary search over the
 sorted pair keys, takes the lowest rank of each word (a segmented minimum) and
-merges that pair wherever it stands in the word, left to right.
+merges that pair wherever it stands in the word, left to right.  A word of more than LONG_WORD bytes
+would need thousands of rounds over all of it; it is merged by a heap of its pairs, in the same order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ from .common import Words, slices, text_buffers
 #: Bytes of text in one batch of rounds, and words whose encodings a worker keeps.
 BATCH_BYTES = 1 << 20
 CACHE_WORDS = 300_000
+#: Bytes from which a word (a run without breaks) is merged by a heap.
+LONG_WORD = 2048
 _NONE = np.int64(2**62)
 
 
@@ -57,6 +62,7 @@ class BpeModel:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self._refuse_unknown(spec)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -76,8 +82,66 @@ class BpeModel:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
 
+    @staticmethod
+    def _refuse_unknown(spec: dict) -> None:
+        """Raises for what a vocabulary file asks for and this encoder doesn't do."""
+        model, before, after = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+        asked = {
+            "a model other than BPE": model.get("type", "BPE") != "BPE",
+            "a normalizer": spec.get("normalizer") is not None,
+            "a pre-tokenizer other than ByteLevel with its regular expression": before.get("type") != "ByteLevel" or not before.get("use_regex", True),
+            "a prefix space": bool(before.get("add_prefix_space")),
+            "a decoder other than ByteLevel": after.get("type") != "ByteLevel",
+            "dropout": bool(model.get("dropout")),
+            "ignore_merges": bool(model.get("ignore_merges")),
+            "byte_fallback": bool(model.get("byte_fallback")),
+            "subword marks": bool(model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+            "added tokens with flags": any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip")),
+            "added tokens that are not special": any(not t.get("special", True) for t in spec.get("added_tokens", [])),
+        }
+        if unknown := [what for what, found in asked.items() if found]:
+            raise ValueError(f"the vocabulary file asks for {', '.join(unknown)}")
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """Token ids of one word: pairs leave a heap by rank, then place; symbols are a doubly linked list."""
+        if not hasattr(self, "_pairs"):
+            self._pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made[self.ranks].tolist(), strict=True), strict=True))
+        symbol = self.first[np.frombuffer(word, np.uint8)].tolist()
+        n, pairs = len(symbol), self._pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], k, found[1]) for k in range(n - 1) if (found := pairs.get(symbol[k] << 32 | symbol[k + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            rank, k, made = heapq.heappop(heap)
+            other = after[k]
+            # Symbols have changed since: a merged one is -1, another pair has another rank.
+            if symbol[k] < 0 or other >= n or (now := pairs.get(symbol[k] << 32 | symbol[other])) is None or now[0] != rank:
+                continue
+            symbol[k], symbol[other] = made, -1
+            after[k] = after[other]
+            if after[k] < n:
+                before[after[k]] = k
+                if found := pairs.get(made << 32 | symbol[after[k]]):
+                    heapq.heappush(heap, (found[0], k, found[1]))
+            if before[k] >= 0 and (found := pairs.get(symbol[before[k]] << 32 | made)):
+                heapq.heappush(heap, (found[0], before[k], found[1]))
+        return [x for x in symbol if x >= 0]
+
     def merge(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the words data[start:end], flat, and the number of each word's."""
+        long = np.flatnonzero(end - start > LONG_WORD)
+        if not len(long):
+            return self._merge_rounds(data, start, end)
+        short = np.setdiff1d(np.arange(len(start)), long)
+        flat, counts = self._merge_rounds(data, start[short], end[short])
+        parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(start)
+        for k, part in zip(short.tolist(), np.split(flat, np.cumsum(counts)[:-1]) if len(short) else [], strict=True):
+            parts[k] = part
+        for k in long.tolist():
+            parts[k] = np.array(self.merge_long(data[start[k] : end[k]].tobytes()), np.int64)
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+    def _merge_rounds(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = end - start
         n = len(sizes)
         place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -191,31 +255,60 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         # The first words are the special tokens.
         self.flat = np.array(list(self.model.special.values()), np.int32)
         self.starts = np.arange(len(self.flat))
         self.sizes = np.ones(len(self.flat), np.int64)
 
     def _known(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Numbers of the words data[start:end] in the store, where new ones are put."""
+        """Numbers of the words data[start:end] in the store, where new ones are put.
+
+        Hashes only group a batch's words; what stands for a group is compared byte by byte with all of it, and
+        the store is asked by the words themselves.
+        """
         words = Words.__new__(Words)
         words.start, words.end = start, end
         hashes = words._hashes(data, False, 1 << 20)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.place) + len(distinct) > CACHE_WORDS:
+        unlike = self._unlike(data, start, end, where[inverse])
+        if len(unlike):  # words with the hash of another one stand for themselves
+            inverse[unlike] = len(where) + np.arange(len(unlike))
+            where = np.r_[where, unlike]
+        if len(self.place) + len(where) > CACHE_WORDS:
             self._forget()
-        place = np.array([self.place.get(h, -1) for h in distinct.tolist()], np.int64)
+        raw = data.tobytes()
+        spelled = [raw[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
+        place = np.array([self.place.get(w, -1) for w in spelled], np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
             flat, counts = self.model.merge(data, start[where[new]], end[where[new]])
             place[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
-            self.place.update(zip(distinct[new].tolist(), place[new].tolist(), strict=True))
+            # Long words are rare and large: the store keeps their encodings for this batch alone.
+            self.place.update((spelled[k], int(place[k])) for k in new.tolist() if len(spelled[k]) <= LONG_WORD)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
             self.sizes = np.concatenate([self.sizes, counts])
         return place[inverse]
 
+    @staticmethod
+    def _unlike(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Words whose bytes aren't those of word ``other`` of each."""
+        sizes = end - start
+        same = sizes == sizes[other]
+        at = np.flatnonzero(same & (other != np.arange(len(other))))
+        i = 0
+        total = np.cumsum(sizes[at])
+        while i < len(at):  # about a megabyte at a time
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 20), "right")))
+            own = sizes[at[i:j]]
+            heads = np.cumsum(own) - own
+            place = np.arange(int(own.sum())) - np.repeat(heads, own)
+            equal = data[place + np.repeat(start[at[i:j]], own)] == data[place + np.repeat(start[other[at[i:j]]], own)]
+            same[at[i:j]] = np.logical_and.reduceat(equal, heads)
+            i = j
+        return np.flatnonzero(~same)
+
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For valid UTF-8 texts: the number of each pre-token in the store, and where each text's begin."""
         cuts, marks = self._specials(data, offsets)
@@ -241,17 +334,17 @@ class Encoder:
     def _specials(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words must begin anew, and (start, end, number) of special tokens, leftmost first."""
         found: list[tuple[int, int, int]] = []
-        raw = data.tobytes() if self.special else b""
-        for number, token in enumerate(self.special):
-            at = raw.find(token)
-            while at >= 0:
-                doc = int(np.searchsorted(offsets, at, "right"))
-                if at + len(token) <= offsets[doc] and not any(a < at + len(token) and at < b for a, b, _ in found):
-                    found.append((at, at + len(token), number))
-                    at = raw.find(token, at + len(token))
-                else:
-                    at = raw.find(token, at + 1)
-        marks = np.array(sorted(found), np.int64).reshape(-1, 3)
+        if self.special:
+            numbers = {token: k for k, token in enumerate(self.special)}
+            # Longer tokens stand first, so the longest of those that begin at a place is taken.
+            pattern, raw, at = re.compile(b"|".join(map(re.escape, self.special))), data.tobytes(), 0
+            while m := pattern.search(raw, at):
+                if m.end() <= offsets[np.searchsorted(offsets, m.start(), "right")]:
+                    found.append((*m.span(), numbers[m[0]]))
+                    at = m.end()
+                else:  # across the end of a text
+                    at = m.start() + 1
+        marks = np.array(found, np.int64).reshape(-1, 3)
         return np.unique(np.concatenate([offsets[:-1], marks[:, 0], marks[:, 1]])), marks
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +373,7 @@ def encode_texts(docs: DataFrame, model: BpeModel, id_column: str = "doc_id", te
     """id and ids (array<int>) of every row's text.
 
     Null and empty texts have no ids.  With ``special``, strings of special tokens in a
-    text become those tokens.  Rows are independent: repeated rows, null ids and extra
+    text become those tokens.  A very long text is encoded by itself, with some hundred bytes of memory a byte.  Rows are independent: repeated rows, null ids and extra
     columns change nothing; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary file
@@ -311,7 +404,8 @@ def decode_texts(encoded: DataFrame, model: BpeModel, ids_column: str = "ids", o
 def token_digests(docs: DataFrame, model: BpeModel, id_column: str = "doc_id", text_column: str = "text", special: bool = True, with_ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids: as encode_texts, then decode_texts of those ids.
 
-    Both directions run in one task, so ids and decoded texts don't travel.
+    Both directions run in one task, so ids and decoded texts don't travel.  Null and empty texts have no ids, and the digests of
+    nothing; very long texts, repeated rows, null ids, extra columns and empty tables are as in encode_texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]

@@ -8,12 +8,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import licenses, media, pii
 from lectern.llm.bpe import BpeModel, decode_texts, encode_texts, token_digests
-from lectern.llm.mixing import mix
+from lectern.llm.common import text_buffers
+from lectern.llm.mixing import mix, uniform
 from lectern.llm.quality import label_lines, score_quality, train
 from lectern.llm.queries import QUERIES, tokenizer_path
 from lectern.llm.token_counts import document_token_counts, pack_streams, read_token_files, separator_scan
@@ -70,6 +72,48 @@ def test_bpe_equals_the_library(spark, model, library):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_long_texts_encode_in_seconds(model, library):
+    """A megabyte without a break, of special tokens, of one letter; equal to the library."""
+    import time
+
+    from lectern.llm.bpe import Encoder
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=1_000_000)), "<|endoftext|>" * 80_000, "a" * 300_000, "é漢" * 100_000, "words with spaces " * 60_000]
+    texts += ["".join(rng.choices("etaoinshr ", [9] * 9 + [k], k=20_000)) for k in range(1, 4)]
+    data, offsets = text_buffers(pa.array(texts))
+    began = time.time()
+    ids, cuts = Encoder(model).encode(data, offsets)
+    assert time.time() - began < 60
+    for text, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_one_hash_are_told_apart(model, library, monkeypatch):
+    """Hashes of three bits: the store and the groups still hold each word's own encoding."""
+    from lectern.llm import bpe
+
+    plain = bpe.Words._hashes
+    monkeypatch.setattr(bpe.Words, "_hashes", lambda *a: plain(*a) & np.uint64(7))
+    encoder = bpe.Encoder(model)
+    for k in range(3):
+        texts = [" ".join(f"word{j % (k + 5)} is{j} not <|endoftext|>x" for j in range(40)), "word", None, "sword"]
+        ids, cuts = encoder.encode(*text_buffers(pa.array(texts)))
+        for text, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True):
+            assert ids[a:b].tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_vocabulary_files_that_ask_for_more_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"model": {**spec["model"], "ignore_merges": True}}):
+        path = tmp_path / "changed.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="asks for"):
+            BpeModel(str(path))
+
+
 def test_bpe_round_trip(spark, model):
     docs = frame(spark, ODD)
     back = decode_texts(encode_texts(docs, model), model).collect()
@@ -305,6 +349,15 @@ def test_mix_meets_targets(spark):
     assert mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weight", ["1.0", "0.05", "100.0", "CASE WHEN id % 2 = 0 THEN 0.05 ELSE 30.0 END"])
+def test_mix_buckets_are_even_whatever_the_weights(spark, weight):
+    """No bucket holds more than about a root of a source's rows."""
+    n = 40_000
+    key = -F.ln(uniform("id", 17)) / F.expr(weight)
+    sizes = spark.range(n).select(F.floor(F.ln(key) * n**0.5).alias("bucket")).groupBy("bucket").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 2 * n**0.5 and sizes[1] < 20 * n**0.5
+
+
 def test_mix_prefers_heavy_documents(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "'one two three' AS text", "CASE WHEN id < 2000 THEN 'a' WHEN id < 3000 THEN 'b' ELSE 'c' END AS source")
     found = mix(docs, weights=(1.0, 4.0, 4.0), quality=F.when(F.col("doc_id") % 2 == 0, 9.0).otherwise(1.0)).where("id < 2000")
