@@ -1,23 +1,31 @@
 """Personal data: labelers vote on spans, EM weighs the labelers, a classifier decides.
 
-Patterns, gazetteers and contexts propose and judge candidate spans.  A first pass
-counts how often each combination of votes occurs (their number is bounded by the
+Patterns, gazetteers and contexts propose and judge candidate spans.  A first pass writes every candidate's
+votes and features; how often each combination of votes occurs is counted (their number is bounded by the
 labelers, not by the data).  Expectation-maximisation on those counts estimates each
-labeler's reliability and each kind's rate; a logistic classifier of spans is then
-fitted to the posteriors, and a second pass applies it.  Matches of the four base
-patterns that pass their checks are always reported; the classifier only adds spans.
+labeler's reliability and each kind's rate.  A logistic classifier of spans is then fitted to the
+posteriors, on SAMPLE_SPANS spans of each kind at most: it sees the votes, the span itself (the shape and variety of its
+characters, its length) and the words around it, so it also judges spans that labelers abstain from.  A second pass
+applies it.  Matches of the four base patterns that pass their checks are always reported; the
+classifier only adds spans.
+
+Texts without a digit, an "@", a ":" or "=" and without a title hold no candidate; they are told by a
+JVM expression and never reach Python.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "national_id", "person")
 BASE = KINDS[:4]
 
@@ -34,9 +42,31 @@ _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9-])")
 _PERSON = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20((?:[A-Z][a-z]{1,20}\x20)?[A-Z][a-z]{1,20})(?![A-Za-z])")
 
-#: Gazetteers: given names, endings of mail domains, words that announce a kind, words that deny one.
-GIVEN = frozenset("anna peter maria john james mary robert michael linda david susan thomas karen paul laura mark julia hans klaus ursula petra jean marie pierre claire luc carlos jose ana luis carmen pablo sofia emma noah olivia liam".split())
-DOMAINS = frozenset("com org net edu gov io de fr es uk eu info".split())
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{35}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])"
+)
+#: What every candidate needs somewhere in its text (Java).
+WORTH_A_LOOK = r"[0-9@=:]|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\b"
+
+#: Gazetteers: given names, endings of mail domains, calling codes, lengths of IBANs by country.
+GIVEN = frozenset(
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin brian george edward "
+    "ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon benjamin samuel frank gregory raymond alexander patrick jack dennis peter "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret betty sandra ashley dorothy kimberly emily donna michelle carol amanda melissa "
+    "deborah stephanie rebecca laura sharon cynthia kathleen amy angela anna ruth brenda pamela nicole katherine helen emma olivia noah liam sophia mia charlotte amelia "
+    "hans klaus juergen wolfgang ursula petra sabine monika heike julia stefan andreas jean pierre michel philippe marie nathalie isabelle claire luc camille jose antonio manuel "
+    "francisco juan carlos luis javier miguel carmen maria ana pilar isabel pablo sofia lucia".split()
+)
+DOMAINS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv de fr es uk eu it nl be at ch pl se no dk fi ie pt gr cz hu ro ru ua tr us ca mx br ar cl au nz jp kr cn in sg hk za il".split())
+CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 98 212 213 234 254 351 352 353 354 358 359 370 371 372 380 385 386 420 421 852 886 966 971 972".split())
+IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "BA": 20, "BE": 16, "BG": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24,
+    "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "KW": 30, "KZ": 20, "LB": 28,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29,
+}
+#: Words that announce a kind, and words that deny one.
 ANNOUNCE = {
     "email": ("mail", "contact", "@"),
     "ip": ("ip", "host", "server", "address"),
@@ -50,6 +80,8 @@ ANNOUNCE = {
 DENY = ("version", "isbn", "sha", "checksum", "commit", "order", "serial", "figure", "page", "$")
 LABELERS = ("pattern", "check", "gazetteer", "before", "after", "shape")
 LOOK = 24
+#: Numbers that hashed features of a span fall into; spans of a kind that the classifier is fitted on, and how often a feature has to occur in them.
+FEATURES, SAMPLE_SPANS, LEAST_SEEN = 1 << 13, 5_000, 5
 
 
 def luhn(digits: str) -> bool:
@@ -112,6 +144,7 @@ def candidates(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
     spans = [(k, a, b, 1, 1) for k, a, b in good] + [(k, a, b, 1, -1) for k, a, b in bad]
     if "=" in text or ":" in text:
         spans += [("secret", *m.span(1), 1, 0) for m in _SECRET.finditer(text)]
+    spans += [("secret", *m.span(), 1, 1) for m in _KEY.finditer(text) if not any(k == "secret" and a < m.end() and m.start() < b for k, a, b, _, _ in spans)]
     taken = {(a, b) for k, a, b, _, _ in spans if k == "secret"}
     if re.search("[0-9]", text):
         spans += [("secret", *m.span(), 0, 0) for m in _HEX.finditer(text) if m.span() not in taken]
@@ -131,7 +164,17 @@ def _context(text: str, kind: str, start: int, end: int) -> tuple[int, int, int,
     elif kind == "person":
         listed = 1 if any(w.lower() in GIVEN for w in span.split()) else 0
     elif kind == "card":
-        listed = 1 if span[0] in "3456" else -1
+        d = _digits(span)
+        issued = d[0] == "4" or "51" <= d[:2] <= "55" or "2221" <= d[:4] <= "2720" or d[:2] in ("34", "35", "36", "37", "38", "65") or d[:4] == "6011"
+        listed = 1 if issued else -1
+    elif kind == "phone" and span[0] == "+":
+        d = _digits(span)
+        listed = 1 if any(d[:k] in CALLING for k in (1, 2, 3)) else -1
+    elif kind == "iban":
+        size = IBAN_SIZES.get(span[:2])
+        listed = -1 if size is None else 1 if len(span.replace(" ", "")) == size else 0
+    elif kind == "ip":
+        listed = -1 if span.startswith("0") or any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else 0
     else:
         listed = 0
     told = 1 if any(w in before for w in ANNOUNCE[kind]) else -1 if any(w in before for w in DENY) else 0
@@ -177,80 +220,112 @@ def expectation_maximisation(kinds: np.ndarray, votes: np.ndarray, counts: np.nd
     return posterior, rate, reliability
 
 
-def span_features(kinds: np.ndarray, votes: np.ndarray) -> np.ndarray:
-    """Kind and votes, each as indicators."""
-    return np.concatenate([np.eye(len(KINDS))[kinds], (votes == 1).astype(float), (votes == -1).astype(float)], axis=1)
-
-
-def fit_classifier(features: np.ndarray, posterior: np.ndarray, counts: np.ndarray, decay: float = 0.5, rounds: int = 40) -> np.ndarray:
-    """Logistic regression on soft labels, by Newton steps; frequent combinations weigh by the root of their count."""
-    weight = np.sqrt(counts.astype(float))
-    b = np.zeros(features.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(features @ b, -30, 30)))
-        slope = features.T @ (weight * (posterior - p)) - decay * b
-        bend = (features * (weight * p * (1 - p) + 1e-9)[:, None]).T @ features + decay * np.eye(len(b))
-        move = np.linalg.solve(bend, slope)
-        b = b + move
-        if np.abs(move).max() < 1e-8:
-            break
-    return b
+_RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|\s+|[^A-Za-z0-9\s]")
+_TOKENS = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]")
+
+
+def span_features(kind: str, text: str, start: int, end: int, votes: tuple[int, ...]) -> list[int]:
+    """Numbers of what is seen of a span: its kind, votes, shape, length, variety, and the words around it."""
+    span = text[start:end]
+    kinds = {"A": "A", "a": "a", "0": "0", " ": " "}
+    shape = "".join(kinds["A" if r[0].isupper() and r[0].isascii() else "a" if r[0].islower() and r[0].isascii() else "0" if r[0].isdigit() else " "] if r[0].isalnum() and r[0].isascii() or r[0].isspace() else r for r in _RUNS.findall(span[:64]))
+    token = lambda t: "0" if t[0].isdigit() else t.lower()[:12]
+    before = [token(t) for t in _TOKENS.findall(text[max(0, start - LOOK) : start])[-2:]]
+    after = [token(t) for t in _TOKENS.findall(text[end : end + LOOK])[:1]]
+    seen = ["kind", f"size{min(len(span), 64).bit_length()}", f"shape{shape[:24]}", f"variety{int(8 * len(set(span)) / min(len(span), 24))}"]
+    seen += [f"vote{k}{v}" for k, v in enumerate(votes) if v]
+    seen += [f"before{k}{t}" for k, t in enumerate(reversed(before))] + [f"after{t}" for t in after]
+    return [zlib.crc32(f"{kind} {x}".encode()) % FEATURES for x in seen]
+
+
+def fit_classifier(features: list[list[int]], posterior: np.ndarray, decay: float = 1e-3, rounds: int = 300, rate: float = 0.1) -> np.ndarray:
+    """Logistic regression on soft labels, by Adam; features that are rare among the spans have no weight."""
+    if not features:
+        return np.zeros(FEATURES)
+    flat, row = np.concatenate([np.array(f, np.int64) for f in features]), np.repeat(np.arange(len(features)), [len(f) for f in features])
+    common = np.bincount(flat, minlength=FEATURES) >= min(LEAST_SEEN, len(features))
+    keep = common[flat]
+    flat, row = flat[keep], row[keep]
+    b, m, v = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES)
+    for step in range(1, rounds + 1):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, b[flat], len(features)), -30, 30)))
+        slope = np.bincount(flat, (posterior - p)[row], FEATURES) / len(features) - decay * b
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        b = b + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return np.where(common, b, 0)
 
 
 def _bodies(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("body"))
+    text = F.col(text_column).cast("string")
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.when(text.rlike(WORTH_A_LOOK), text).alias("body"))
 
 
 def train_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> np.ndarray:
-    """Weights of the span classifier, from the votes on all candidates of all texts."""
+    """Weights of the span classifier, from the votes on all candidates of all texts.
 
-    def count(batches):
+    Null texts and those without candidates give none; without any candidate all weights are zero.  Repeated rows count as often
+    as they stand there.
+    """
+
+    def propose(batches):
         for batch in batches:
-            seen: dict[tuple, int] = {}
+            rows = []
             for text in batch.column(1).to_pylist():
-                for kind, _, _, votes in candidates(text or ""):
-                    key = (KINDS.index(kind), *votes)
-                    seen[key] = seen.get(key, 0) + 1
-            yield pa.RecordBatch.from_pydict({"key": pa.array([list(k) for k in seen], pa.list_(pa.int32())), "n": pa.array(list(seen.values()), pa.int64())})
+                for kind, a, b, votes in candidates(text) if text else ():
+                    rows.append((KINDS.index(kind), votes, span_features(kind, text, a, b, votes), zlib.crc32(text[max(0, a - LOOK) : b + LOOK].encode()) / 2**32))
+            kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["kind", "votes", "features", "draw"])
 
-    rows = _bodies(docs, id_column, text_column).mapInArrow(count, "key array<int>, n long")
-    found = rows.groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()  # combinations of votes: at most 8 * 3 ** 6
+    rows = materialize(_bodies(docs, id_column, text_column).mapInArrow(propose, "kind int, votes array<int>, features array<int>, draw double"), "pii-candidates")
+    found = rows.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "votes").collect()  # combinations of votes: at most 8 * 3 ** 6
     if not found:
-        return np.zeros(len(KINDS) + 2 * len(LABELERS))
-    keys, counts = np.array([r.key for r in found]), np.array([r.n for r in found])
-    posterior, _, _ = expectation_maximisation(keys[:, 0], keys[:, 1:], counts)
-    return fit_classifier(span_features(keys[:, 0], keys[:, 1:]), posterior, counts)
+        return np.zeros(FEATURES)
+    kinds, votes, counts = np.array([r.kind for r in found]), np.array([r.votes for r in found]), np.array([r.n for r in found])
+    posterior, _, _ = expectation_maximisation(kinds, votes, counts)
+    believed = {(k, *v): p for k, v, p in zip(kinds.tolist(), votes.tolist(), posterior.tolist(), strict=True)}
+    # Of each kind the spans whose draw, a hash of what stands there, is low enough: some SAMPLE_SPANS in all.
+    total = np.bincount(kinds, counts, len(KINDS))
+    rates = F.array(*[F.lit(float(min(1.0, SAMPLE_SPANS / max(n, 1)))) for n in total])
+    sample = rows.where(F.col("draw") <= F.get(rates, F.col("kind"))).orderBy("draw", "kind", "votes", "features").limit(2 * SAMPLE_SPANS * len(KINDS)).collect()
+    return fit_classifier([r.features for r in sample], np.array([believed[r.kind, *r.votes] for r in sample]))
 
 
 def _shown(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(set(spans), key=lambda s: (KINDS.index(s[0]), *s[1:])))
 
 
+def decide(text: str, weights: np.ndarray, threshold: float = 0.5) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Base spans of a text, and the spans that the classifier adds."""
+    base, added = [], []
+    for kind, a, b, votes in candidates(text):
+        if kind in BASE and votes[:2] == (1, 1):
+            base.append((kind, a, b))
+        elif 1 / (1 + np.exp(-weights[span_features(kind, text, a, b, votes)].sum())) > threshold:
+            added.append((kind, a, b))
+    return base, added
+
+
 def find_pii(docs: DataFrame, weights: np.ndarray, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per input row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans.
+    """One row per input row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_spans (all spans).
 
     Offsets are code points, ends exclusive.  Null text is empty and has no spans (the
-    digest is that of the empty string).  Rows are independent: repeated rows, null ids
-    and extra columns change nothing; an empty table gives an empty result.
+    digest is that of the empty string).  Very long texts are searched whole; patterns take time in proportion.  Rows are
+    independent: repeated rows, null ids and extra columns change nothing; an empty table gives an empty result.
     """
-    names = ["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
-    nothing = hashlib.sha256(b"").hexdigest()
+    names = ["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"]
+    nothing = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0)
+    kinds = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64())
 
     def run(batches):
         for batch in batches:
             found = []
             for text in batch.column(1).to_pylist():
-                proposed = candidates(text) if text else []
-                if not proposed:
-                    found.append((0, 0, 0, 0, nothing, ""))
+                base, added = decide(text, weights, threshold) if text else ([], [])
+                if not base and not added:
+                    found.append(nothing)
                     continue
-                base = [(k, a, b) for k, a, b, votes in proposed if k in BASE and votes[:2] == (1, 1)]
-                kinds = np.array([KINDS.index(k) for k, _, _, _ in proposed])
-                odds = span_features(kinds, np.array([v for _, _, _, v in proposed])) @ weights
-                added = [(k, a, b) for (k, a, b, _), x in zip(proposed, odds, strict=True) if 1 / (1 + np.exp(-x)) > threshold]
-                shown = _shown(base)
-                found.append((*(sum(k == kind for k, _, _ in base) for kind in BASE), hashlib.sha256(shown.encode()).hexdigest(), _shown(base + added)))
-            columns = [pa.array([x[k] for x in found], pa.int64() if k < 4 else pa.string()) for k in range(6)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
-
-    return _bodies(docs, id_column, text_column).mapInArrow(run, "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+                every = set(base + added)
+                found.append((*(sum(k == kind for k, _, _ in base) for kind in BASE), hashlib.sha256(_shown(base).encode()).hexdigest(), _shown(every), len(every)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)]], names=names)
+
+    return _bodies(docs, id_column, text_column).mapInArrow(run, "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
