@@ -65,13 +65,20 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables that ``materialize`` writes inside go at the end; what is to stay is written after it.
+    """Tables that ``materialize`` writes inside go at the end, but for those written by the function it yields.
 
-    Nothing that is still to be computed may read them then.
+    Nothing that is still to be computed may read the others then.
     """
+    outer = _SCOPES[-1] if _SCOPES else []
     _SCOPES.append([])
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        table = materialize(df, name)
+        outer.append(_SCOPES[-1].pop())
+        return table
+
     try:
-        yield
+        yield keep
     finally:
         for path in _SCOPES.pop():
             delete(spark, path)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 
 def _contract(batches):
@@ -37,8 +37,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Large-star and small-star steps alternate until each node hangs below the
     least node of its component.  Edges are (u, v) with u above v throughout.
     Only nodes with a smaller neighbour are relabelled in a join; both sides of it
-    are tables, so hot nodes are split at run time.
+    are tables, so hot nodes are split at run time.  Rounds grow with the logarithm of the longest path; more than
+    ``most_rounds`` raise an error.
     """
+    with scratch(edges.sparkSession) as keep:
+        return keep(_settle(edges, most_rounds), "cc-components")
+
+
+def _settle(edges: DataFrame, most_rounds: int) -> DataFrame:
     a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
     rows = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     current = materialize(rows.mapInArrow(_contract, "u long, v long").distinct(), "cc-edges")

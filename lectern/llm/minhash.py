@@ -1,7 +1,8 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, exact verification, components.
 
 Documents with the same set of shingles form one class, told by a 128-bit digest of
-the set; everything after that works on one document of each class.
+the set; everything after that works on one document of each class, under a number that the class
+alone has.  Sets are compared by the 64-bit hashes of their shingles.
 
 SuperMinHash (Ertl 2017): element e puts r_j(e) + j into register p_j(e), where p(e) is a
 random permutation of the registers, and a register keeps its least value.  Since a
@@ -11,9 +12,9 @@ so estimates vary less than those of independent minima, most of all for small s
 
 Bands of three registers, 24 of them: two documents at similarity 0.8 share no
 band with probability (1 - 0.8^3)^24 < 4e-8.  Documents of a band's bucket are
-compared with its least one; those that aren't linked to it are compared with all
-others that met the same one, in blocks, so no pair of a bucket stays unseen and no group is
-gathered in one task.
+compared with its least one, the centre; those that aren't in its component are compared with all
+others that met the same one, blocks of them against blocks of all, so no pair of a bucket stays unseen and no
+group is gathered in one task.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Words, distinct_in_groups, materialize, mix, slices, text_buffers, windows
+from .common import Words, distinct_in_groups, materialize, mix, scratch, slices, text_buffers, windows
 from .graph import connected_components
 
 REGISTERS, ROWS = 72, 3
 BANDS = REGISTERS // ROWS
 SHINGLE, SHARE = 4, 80
 BATCH_BYTES = 1 << 20
-#: Shingles of one block of documents that are compared with each other.
-BLOCK_SHINGLES = 50_000
+#: Shingles and documents of one block of documents that are compared with another one, about.
+BLOCK_SHINGLES, BLOCK_ROWS = 50_000, 200
 _U = np.uint64
 
 
@@ -136,12 +137,13 @@ def _as_sets(size: int):
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(0))
             for i, j in slices(offsets, BATCH_BYTES):
                 group, hashes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 cuts = np.searchsorted(group, np.arange(j - i + 1))
                 packed = [hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_digests(group, hashes, j - i)[0]), pa.array(packed, pa.binary())], names=["rep", "shingles"])
+                digest = set_digests(group, hashes, j - i)
+                yield pa.RecordBatch.from_arrays([pa.array(digest[0]), pa.array(digest[1]), pa.array(packed, pa.binary())], names=["d0", "d1", "shingles"])
 
     return run
 
@@ -166,20 +168,15 @@ def _verify(share: int):
 
 
 def _compare_blocks(share: int):
-    """Links between documents of different components within one pair of blocks, where one isn't linked to the centre."""
+    """Links between components: documents of one block (side 0) against those of another (side 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp = table["rep"].to_numpy(), table["component"].to_numpy()
-        loose, side = table["loose"].to_numpy(zero_copy_only=False), table["side"].to_numpy()
+        comp, side = table["component"].to_numpy(), table["side"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), _U) for x in table["shingles"]]
         sizes = np.array([len(x) for x in sets])
-        alone = (table["i"][0].as_py() == table["j"][0].as_py()) if len(ids) else True
-        found: list[tuple[int, int]] = []
-        for s in (0,) if alone else (0, 1):
-            rows = np.flatnonzero((side == s) & loose)
-            other = np.arange(len(ids)) if alone else np.flatnonzero(side != s)
-            if not len(rows) or not len(other):
-                continue
+        rows, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found: set[tuple[int, int]] = set()
+        if len(rows) and len(other):
             flat = np.concatenate([sets[k] for k in other])
             owner = np.repeat(np.arange(len(other)), sizes[other])
             order = np.argsort(flat, kind="stable")
@@ -190,32 +187,43 @@ def _compare_blocks(share: int):
                 at = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
                 same = np.bincount(owner[at], minlength=len(other))
                 hit = (100 * same >= share * (sizes[k] + sizes[other] - same)) & (comp[other] != comp[k])
-                found += [(int(comp[k]), int(c)) for c in np.unique(comp[other[hit]])]
-        found = sorted({(max(x), min(x)) for x in found})
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+                found.update((max(int(comp[k]), c), min(int(comp[k]), c)) for c in np.unique(comp[other[hit]]).tolist())
+        links = sorted(found)
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return run
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: int = SHARE, key: Column | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept (id = component_id), and ``key`` if given (a long).
+    """One row per input row: id, n_shingles, component_id, kept (id = component_id), and ``key`` if given.
 
     Sets hold the distinct shingles of ``shingle`` lower-cased words; shorter texts are one
     shingle; texts without words (null, empty) have none and are linked with nothing.
     Documents link when 100 * |intersection| >= share * |union|, on the full sets.
     Null ids come last: a group's component_id is null only if all its ids are, and then all
     its rows are kept.  Rows that repeat an id are judged by their own texts; of rows that repeat
-    id and text all carry the same result.  Other columns are ignored; an empty table
-    gives an empty result.
+    id and text all carry the same result.  A very long text is one set as others are, in memory by itself.  Other
+    columns are ignored; an empty table gives an empty result.
     """
-    ident = F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id")
-    rows = docs.select(ident, F.col(text_column).cast("string").alias("body"))
-    keyed = docs.select(ident, F.col(text_column).cast("string").alias("body"), (F.lit(0) if key is None else key).cast("long").alias("key"))
-    signed = materialize(keyed.mapInArrow(_signed(shingle), "id long, n_shingles long, d0 long, d1 long, bands array<long>, key long"), "near-signed")
-
-    # Of a class, its digest's first half is the node of the graph and its least id the document whose text is read.
-    classes = signed.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("x"))
-    classes = classes.select(F.col("d0").alias("rep"), "d1", F.col("x.id").alias("least"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.bands").alias("bands"))
+    spark = docs.sparkSession
+    ident, body = F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("body")
+    keyed = docs.select(ident, body, (F.lit(0) if key is None else key).alias("key"))
+    kind = dict(keyed.dtypes)["key"]
+    signed = materialize(keyed.mapInArrow(_signed(shingle), f"id long, n_shingles long, d0 long, d1 long, bands array<long>, key {kind}"), "near-signed")
+    with scratch(spark) as keep:
+        names = keep(_components(signed, docs.select(ident, body), share, shingle), "near-components")
+    named = signed.select("id", "n_shingles", "d0", "d1", "key").where("n_shingles > 0").join(names, ["d0", "d1"])
+    wordless = signed.where("n_shingles = 0").select("id", "n_shingles", "key", F.col("id").alias("component_id"))
+    out = named.select("id", "n_shingles", "key", "component_id").unionByName(wordless)
+    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *["key"] * (key is not None))
+
+
+def _components(signed: DataFrame, rows: DataFrame, share: int, shingle: int) -> DataFrame:
+    """(d0, d1, component_id: the least id) of every class of equal sets."""
+    # Of a class, the document of least id is the one whose text is read; its number is given when the table is written.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n_shingles", "bands")).alias("x")
+    classes = signed.where("n_shingles > 0").groupBy("d0", "d1").agg(first)
+    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "d0", "d1", F.col("x.id").alias("least"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.bands").alias("bands"))
     classes = materialize(classes, "near-classes")
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -225,41 +233,48 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs = materialize(pairs, "near-pairs")
 
     wanted = pairs.select("rep").unionByName(pairs.select(F.col("centre").alias("rep"))).distinct()
-    wanted = materialize(classes.join(wanted, "rep", "left_semi").select(F.col("least").alias("id")), "near-wanted")
-    sets = materialize(rows.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_as_sets(shingle), "rep long, shingles binary"), "near-sets")
+    wanted = materialize(classes.join(wanted, "rep", "left_semi").select("rep", "d0", "d1", F.coalesce("least", F.lit(0)).alias("at")), "near-wanted")
+    texts = rows.withColumn("at", F.coalesce("id", F.lit(0))).join(wanted.select("at").hint("merge"), "at", "left_semi")
+    sets = texts.select("body").mapInArrow(_as_sets(shingle), "d0 long, d1 long, shingles binary").join(wanted, ["d0", "d1"])
+    sets = materialize(sets.select("rep", "shingles"), "near-sets")
 
     left = sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("a"))
     right = sets.select("rep", F.col("shingles").alias("b"))
     both = pairs.join(right, "rep").join(left, "centre").select("centre", "rep", "a", "b")
     edges = materialize(both.mapInArrow(_verify(share), "a long, b long"), "near-edges")
-    parts = materialize(connected_components(edges), "near-parts")
+    parts = connected_components(edges)
 
     def with_part(df: DataFrame, column: str, name: str) -> DataFrame:
         own = parts.select(F.col("node").alias(column), F.col("component").alias(name))
         return df.join(own, column, "left").withColumn(name, F.coalesce(name, column))
 
-    # Whoever isn't linked to a centre it met is compared with all others that met that centre.
+    # Whoever isn't in the component of a centre it met is compared with all others that met that centre.
     met = with_part(with_part(pairs, "rep", "component"), "centre", "centre_part")
     met = met.join(classes.select("rep", "n_shingles"), "rep").withColumn("loose", F.col("component") != F.col("centre_part"))
     met = materialize(met.drop("centre_part"), "near-met")
-    per_centre = met.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.max("loose").alias("any"), F.sum("n_shingles").alias("total"))
-    open_ = per_centre.where("any and n > 1").select("centre", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    work = met.join(materialize(open_, "near-open"), "centre")
-    block = F.pmod(F.xxhash64("rep", "centre"), F.col("blocks")).cast("int")
-    work = work.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("centre", "rep", "component", "loose", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    work = materialize(work, "near-work").join(sets, "rep")
-    more = work.groupBy("centre", "i", "j").applyInArrow(_compare_blocks(share), "a long, b long")
-    more = materialize(more, "near-more")
-    whole = materialize(connected_components(more), "near-whole")
+
+    def blocks(of) -> object:
+        count, total = F.sum(F.when(of, 1).otherwise(0)), F.sum(F.when(of, F.col("n_shingles")).otherwise(0))
+        return F.ceil(F.greatest(total / BLOCK_SHINGLES, count / BLOCK_ROWS)).cast("int")
+
+    open_ = met.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), blocks(F.col("loose")).alias("loose_blocks"), blocks(F.lit(True)).alias("all_blocks"))
+    open_ = materialize(open_.where("loose_blocks > 0 AND n > 1").drop("n"), "near-open")
+    more = None
+    if not open_.isEmpty():
+        work = met.join(open_, "centre")
+        place = F.xxhash64("rep", "centre")
+        own = lambda count: F.pmod(place, F.col(count)).cast("int")
+        others = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        loose = work.where("loose").select("centre", "rep", "component", own("loose_blocks").alias("i"), others("all_blocks").alias("j"), F.lit(0).alias("side"))
+        every = work.select("centre", "rep", "component", others("loose_blocks").alias("i"), own("all_blocks").alias("j"), F.lit(1).alias("side"))
+        work = materialize(loose.unionByName(every), "near-work").join(sets, "rep")
+        more = materialize(work.groupBy("centre", "i", "j").applyInArrow(_compare_blocks(share), "a long, b long"), "near-more")
 
     # parts first, then the components that later links join.
-    names = with_part(classes.select("rep", "d1", "least"), "rep", "part")
-    names = names.join(whole.select(F.col("node").alias("part"), F.col("component").alias("joined")), "part", "left")
-    names = materialize(names.select(F.col("rep").alias("d0"), "d1", "least", F.coalesce("joined", "part").alias("part")), "near-names")
-    least = materialize(names.groupBy("part").agg(F.min("least").alias("component")), "near-least")
-    names = materialize(names.join(least, "part").select("d0", "d1", "component"), "near-components")
-    out = signed.select("id", "n_shingles", "d0", "d1", "key").join(names, ["d0", "d1"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
-    out = out.select(F.nullif("id", F.lit(NULL_ID)).alias("id"), "n_shingles", F.nullif(component, F.lit(NULL_ID)).alias("component_id"), *["key"] * (key is not None))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    names = with_part(classes.select("rep", "d0", "d1", "least"), "rep", "part")
+    if more is not None and not more.isEmpty():
+        whole = connected_components(more)
+        names = names.join(whole.select(F.col("node").alias("part"), F.col("component").alias("joined")), "part", "left").withColumn("part", F.coalesce("joined", "part"))
+    names = materialize(names.select("d0", "d1", "least", "part"), "near-names")
+    least = names.groupBy("part").agg(F.min("least").alias("component_id"))
+    return names.join(materialize(least, "near-least"), "part").select("d0", "d1", "component_id")

@@ -175,6 +175,7 @@ def test_near(spark, seed):
 def test_near_in_small_blocks_finds_chains(spark, monkeypatch):
     """A chain of documents, each near the next alone, whatever the blocks."""
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 150)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 2)
     line = words(400, 3)
     rows = [(k, " ".join(line[k * 8 : k * 8 + 120])) for k in range(30)]
     found = near_duplicates(frame(spark, rows)).collect()
@@ -182,6 +183,23 @@ def test_near_in_small_blocks_finds_chains(spark, monkeypatch):
     assert len({r.component_id for r in found}) == 1
 
 
+def test_near_ids_at_the_ends_of_their_range(spark):
+    """The largest id is no null, and a class's number is its own whatever its digest."""
+    text = " ".join(words(30, 1))
+    rows = [(None, text), (2**63 - 1, text), (-(2**63), "alone here in its own words"), (None, ""), (2**63 - 1, None), (None, "of nulls alone it is"), (None, "of nulls alone it is")]
+    found = near_duplicates(frame(spark, rows)).collect()
+    assert sorted([(r.id, r.n_shingles, r.component_id, r.kept) for r in found], key=str) == plain_near(rows)
+
+
+def test_near_with_digests_of_one_half(spark, monkeypatch):
+    """Classes whose digests share a half stay apart."""
+    plain = minhash.set_digests
+    monkeypatch.setattr(minhash, "set_digests", lambda *a: plain(*a) & np.array([[1], [-1]]))
+    rows = awkward(3)
+    found = near_duplicates(frame(spark, rows)).collect()
+    assert sorted([(r.id, r.n_shingles, r.component_id, r.kept) for r in found], key=str) == plain_near(rows)
+
+
 def test_near_of_nothing(spark):
     assert near_duplicates(frame(spark, []).limit(0)).count() == 0
     assert near_duplicates(frame(spark, [(1, None), (2, "")])).where("kept").count() == 2
