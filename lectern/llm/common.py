@@ -159,8 +159,8 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         self.hash = self._hashes(data, lower, block)
 
-    def _hashes(self, data: np.ndarray, lower: bool, block: int) -> np.ndarray:
-        """A sum over a word's bytes of pseudo-random values of (place, byte), mixed."""
+    def _hashes(self, data: np.ndarray, lower: bool, block: int, salt: int = 0) -> np.ndarray:
+        """A sum over a word's bytes of pseudo-random values of (place, byte), mixed; another salt gives independent hashes."""
         out = np.empty(len(self.start), _U)
         i = 0
         while i < len(out):
@@ -172,6 +172,7 @@ class Words:
             if lower:
                 byte = _LOWER[byte]
             x = (place.astype(_U) << _U(8)) | byte
+            x += _U(salt)
             x *= _K1
             x ^= x >> _U(29)
             x *= _K2

@@ -4,14 +4,18 @@ Texts are packed into batches, one row each, whose order never changes after.  A
 level each batch names the distinct hashes of its candidate windows; hashes are
 dealt out by range, each range finds which of them occur in several documents and answers
 every batch with one bit per hash.  Windows repeated at one length alone are
-extended to twice that length (clipped to the length asked for), until the
-length is reached or, with ``exhaust``, until no candidates survive.
+extended to twice that length (clipped to the length asked for on the way there), until no
+candidates survive.
 
 The first level, half the window, is thinned: of the half-windows inside a window only
 the least by a random order is named.  Equal windows have equal least
 half-windows, so none that repeats is lost; a quarter of all places is named.  Of copies
 inside one batch only the first document's hashes are sent on, so what a common passage
 sends grows with the batches, not with its copies.
+
+What is removed is decided at the second level, by 128 bits: two hashes of a window from two independent
+hashes of its words.  Later levels carry the places and hashes of what survived alone, and tell how long a
+document's repeats are.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Words, materialize, mix, slices, text_buffers, windows
+from .common import NULL_ID, Words, join_hashes, materialize, mix, scratch, slices, text_buffers, windows
 
 WINDOW = 13
 BATCH_BYTES = 4 << 20
@@ -32,15 +36,16 @@ BATCH_BYTES = 4 << 20
 RANGE_WORDS, MOST_RANGE_WORDS = 2_000_000, 32_000_000
 #: Ranges up to which ranges stay small, so that a batch's row per range holds some dozens of hashes.
 RANGES = 2_500
+#: What makes the second hash of a word another one.
+SECOND = 0xA0761D6478BD642F
 #: Bytes of a hash that the first level sends; it only thins candidates.
 SHORT_HASH = 6
 _U = np.uint64
 
 
 def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Rows (batch, n_words, ids, ends, body): compressed texts of about ``batch_bytes``."""
-    ident = F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID))
-    rows = docs.select(ident.alias("id"), F.col(text_column).cast("string").alias("body"))
+    """Rows (batch, n_words, ids, nulls, ends, body): compressed texts of about ``batch_bytes``."""
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("body"))
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -51,25 +56,26 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             words = int(np.count_nonzero(np.diff((data > 32) | (data < 9) | ((data > 13) & (data < 32)), prepend=False)) // 2 + 1)
             body = pa.compress(data.tobytes(), codec="zstd", asbytes=True)
             offsets = np.concatenate([[0], np.concatenate(ends)]).astype(np.int64)
-            values = [[number], [words], [np.concatenate(ids).tobytes()], [offsets.tobytes()], [body]]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["batch", "n_words", "ids", "ends", "body"])
+            known = pa.concat_arrays(ids)
+            values = [[number], [words], [known.fill_null(NULL_ID).to_numpy().tobytes()], [np.packbits(known.is_null().to_numpy(zero_copy_only=False)).tobytes()], [offsets.tobytes()], [body]]
+            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["batch", "n_words", "ids", "nulls", "ends", "body"])
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            own = batch.column(0).to_numpy(zero_copy_only=False)
+            own = batch.column(0)
             for i, j in slices(offsets, batch_bytes):
                 if size and size + offsets[j] - offsets[i] > batch_bytes:
                     yield row()
                     number, ids, ends, parts, size = number + 1, [], [], [], 0
-                ids.append(own[i:j])
+                ids.append(own.slice(i, j - i))
                 ends.append(offsets[i + 1 : j + 1] - offsets[i] + size)
                 parts.append(data[offsets[i] : offsets[j]])
                 size += int(offsets[j] - offsets[i])
         if ids:
             yield row()
 
-    return rows.mapInArrow(run, "batch long, n_words long, ids binary, ends binary, body binary")
+    return rows.mapInArrow(run, "batch long, n_words long, ids binary, nulls binary, ends binary, body binary")
 
 
 def _each(table: pa.RecordBatch):
@@ -97,6 +103,7 @@ class Batch:
         self.words = Words(np.frombuffer(self.raw, np.uint8), offsets)
         self.start = np.zeros(0, np.int64)
         self.hash = np.zeros(0, _U)
+        self.second: np.ndarray | None = None
 
     def first_level(self, length: int, window: int) -> None:
         """Candidates are the least half-windows of each window (all of equal ones)."""
@@ -133,35 +140,55 @@ class Batch:
         fits = place < len(at)
         fits[fits] = at[place[fits]] == starts[fits]
         self.start, self.hash = starts[fits], hashes[place[fits]]
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes, the index of each candidate's, the least id of each and whether several ids have it."""
-        keys, place = np.unique(self.hash, return_inverse=True)
-        own = self.ids[self.words.doc[self.start]]
-        low, high = np.full(len(keys), NULL_ID), np.full(len(keys), np.iinfo(np.int64).min)
-        np.minimum.at(low, place, own)
-        np.maximum.at(high, place, own)
-        return keys, place, low, high > low
+        # The second hash, of the words inside candidates alone.
+        inside = np.zeros(len(self.words.hash) + 1, np.int64)
+        np.add.at(inside, self.start, 1)
+        np.add.at(inside, self.start + length, -1)
+        inside = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        some = Words.__new__(Words)
+        some.start, some.end = self.words.start[inside], self.words.end[inside]
+        word = np.zeros(len(self.words.hash), _U)
+        word[inside] = some._hashes(np.frombuffer(self.raw, np.uint8), False, 1 << 20, SECOND)
+        self.second = np.full(len(self.start), _U(length))
+        for k in range(length):
+            self.second = mix(self.second * _U(0x9E3779B97F4A7C15) + word[self.start + k])
+
+    def distinct(self) -> Distinct:
+        return Distinct(self.hash, self.second, self.ids[self.words.doc[self.start]])
 
     def replay(self, lengths: list[int], answers: list[dict | None]) -> np.ndarray:
-        """Goes through the answered levels and stands at the next one; returns its candidates' starts."""
+        """Goes through the answered levels (the first at most) and stands at the next one; returns its candidates' starts."""
         self.first_level(lengths[0], lengths[1])
-        for k, answer in enumerate(answers):
-            if answer is None or not len(answer["repeated"]):
-                starts = np.zeros(0, np.int64)
-            elif k == 0:
-                starts = self.survivors(answer["repeated"])
-            else:
-                alive = np.zeros(len(self.words.hash) + 1, bool)
-                alive[self.start[answer["repeated"][np.searchsorted(np.unique(self.hash), self.hash)]]] = True
-                step = lengths[k + 1] - lengths[k]
-                starts = np.flatnonzero(alive[:-1])
-                starts = starts[starts + step < len(alive)]
-                starts = starts[alive[starts + step]]
-            self.level(starts, lengths[k + 1])
+        for answer in answers:
+            some = answer is not None and len(answer["repeated"])
+            self.level(self.survivors(answer["repeated"]) if some else np.zeros(0, np.int64), lengths[1])
         return self.start
 
 
+class Distinct:
+    """Distinct keys (of one or two hashes, sorted), the index of each row's, the least id of each and whether several ids have it."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray | None, ids: np.ndarray | None = None):
+        self.first, self.place, self.times = np.unique(first, return_inverse=True, return_counts=True)
+        self.second = None
+        if second is not None:
+            self.second = np.zeros(len(self.first), _U)
+            self.second[self.place] = second
+            if (self.second[self.place] != second).any():  # one first hash, several second ones
+                order = np.lexsort((second, first))
+                a, b = first[order], second[order]
+                head = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+                self.first, self.second = a[head], b[head]
+                self.place = np.empty(len(order), np.int64)
+                self.place[order] = np.cumsum(head) - 1
+                self.times = np.bincount(self.place)
+        if ids is not None:
+            self.low, self.high = np.full(len(self.first), NULL_ID), np.full(len(self.first), np.iinfo(np.int64).min)
+            np.minimum.at(self.low, self.place, ids)
+            np.maximum.at(self.high, self.place, ids)
+            self.several = self.high > self.low
+
+
 def _planes(values: np.ndarray, size: int) -> bytes:
     """The top ``size`` bytes of 64-bit numbers, one plane of bytes after another; sorted numbers then compress well."""
     return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
@@ -173,102 +200,187 @@ def _unplanes(raw: bytes, size: int) -> np.ndarray:
     return out.view(">u8").reshape(-1).astype(_U)
 
 
+NAMED = "range int, batch long, n int, keys binary, seconds binary, several binary, ids binary, which binary"
+
+
+def _ranges_of(batch: int, found: Distinct, ranges: int, size: int, with_ids: bool) -> pa.RecordBatch:
+    """Rows (range, batch, n, keys, seconds, several, ids, which) of a batch's distinct keys."""
+    part = ((found.first >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+    cuts = np.searchsorted(part, np.arange(ranges + 1))
+    rows = []
+    for r in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b = cuts[r], cuts[r + 1]
+        ids, which = np.unique(found.low[a:b], return_inverse=True) if with_ids else (np.zeros(0, np.int64),) * 2
+        packed = which.astype("<u2" if len(ids) < 65536 else "<u4").tobytes()
+        seconds = b"" if found.second is None else found.second[a:b].tobytes()
+        rows.append((r, batch, int(b - a), _planes(found.first[a:b], size), seconds, np.packbits(found.several[a:b]).tobytes(), ids.tobytes(), packed))
+    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in NAMED.split(", ")])
+
+
 def _named(lengths: list[int], level: int, ranges: int):
-    """For each batch: rows (range, batch, n, keys, several, ids, which) of its distinct candidate hashes."""
-    names = ["range", "batch", "n", "keys", "several", "ids", "which"]
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    """For each batch: its distinct candidates, by range."""
 
     def run(batches):
         for table in batches:
             for row in _each(table):
                 batch = Batch(row["ids"], row["ends"], row["body"])
-                batch.replay(lengths[: level + 1] if level else lengths[:2], [_bits(row[f"a{k}"]) for k in range(level)])
-                keys, _, low, several = batch.distinct()
-                if not len(keys):
-                    continue
-                part = ((keys >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
-                cuts = np.searchsorted(part, np.arange(ranges + 1))
-                found = []
-                for r in np.flatnonzero(np.diff(cuts)).tolist():
-                    a, b = cuts[r], cuts[r + 1]
-                    ids, which = np.unique(low[a:b], return_inverse=True) if level else (np.zeros(0, np.int64),) * 2
-                    size = SHORT_HASH if level == 0 else 8
-                    packed = which.astype("<u2" if len(ids) < 65536 else "<u4").tobytes()
-                    found.append((r, row["batch"], int(b - a), _planes(keys[a:b], size), np.packbits(several[a:b]).tobytes(), ids.tobytes(), packed))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], names=names)
+                batch.replay(lengths[:2], [_bits(row["a0"])] if level else [])
+                if len(batch.start):
+                    yield _ranges_of(row["batch"], batch.distinct(), ranges, SHORT_HASH if level == 0 else 8, level > 0)
 
     return run
 
 
-def _answered(level: int):
-    """For one range: which hashes occur in several documents, and which in one with a smaller id."""
+def _binaries(column: pa.ChunkedArray) -> list[memoryview]:
+    """Values of a binary column without copies."""
+    data, offsets = text_buffers(column)
+    view = memoryview(data)
+    return [view[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _answered(size: int, with_ids: bool):
+    """For one range: which keys occur in several documents, and which in one with a smaller id."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("batch").to_pylist()
-        size = SHORT_HASH if level == 0 else 8
-        keys = np.concatenate([_unplanes(x["keys"], size) for x in rows])
-        several = np.concatenate([np.unpackbits(np.frombuffer(x["several"], np.uint8), count=x["n"]).astype(bool) for x in rows])
-        distinct, place, times = np.unique(keys, return_inverse=True, return_counts=True)
-        if level:
-            own = np.concatenate([np.frombuffer(x["ids"], np.int64)[np.frombuffer(x["which"], "<u2" if len(x["ids"]) < 8 * 65536 else "<u4")] for x in rows])
-            low, high = np.full(len(distinct), NULL_ID), np.full(len(distinct), np.iinfo(np.int64).min)
-            np.minimum.at(low, place, own)
-            np.maximum.at(high, place, own)
-            later = own > low[place]
-            shared = np.zeros(len(distinct), bool)
-            shared[place[several]] = True
-            repeated = (high > low)[place] | shared[place]
+        table = table.sort_by("batch")
+        n = table["n"].to_numpy()
+        keys = np.concatenate([_unplanes(x, size) for x in _binaries(table["keys"])])
+        seconds = np.frombuffer(text_buffers(table["seconds"])[0].tobytes(), _U)
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool) for x, k in zip(_binaries(table["several"]), n.tolist(), strict=True)])
+        own = None
+        if with_ids:
+            own = np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(w, "<u2" if len(x) < 8 * 65536 else "<u4")] for x, w in zip(_binaries(table["ids"]), _binaries(table["which"]), strict=True)])
+        found = Distinct(keys, seconds if len(seconds) else None, own)
+        shared = np.zeros(len(found.first), bool)
+        shared[found.place[several]] = True
+        if with_ids:
+            repeated, later = (found.several | shared)[found.place], own > found.low[found.place]
         else:
-            later = np.zeros(len(keys), bool)
-            repeated = (times > 1)[place] | several
-        ends = np.cumsum([0, *[x["n"] for x in rows]])
+            repeated, later = ((found.times > 1) | shared)[found.place], np.zeros(len(keys), bool)
+        ends = np.cumsum(np.r_[0, n]).tolist()
         pieces = [(np.packbits(repeated[a:b]).tobytes(), np.packbits(later[a:b]).tobytes(), int(repeated[a:b].sum())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"batch": pa.array([x["batch"] for x in rows], pa.int64()), "range": pa.array([x["range"] for x in rows], pa.int32()), "n": pa.array([x["n"] for x in rows], pa.int32()), "repeated": pa.array([p[0] for p in pieces], pa.binary()), "later": pa.array([p[1] for p in pieces], pa.binary()), "hits": pa.array([p[2] for p in pieces], pa.int32())})
+        kinds = (pa.binary(), pa.binary(), pa.int32())
+        columns = {name: pa.array([p[k] for p in pieces], t) for k, (name, t) in enumerate(zip(("repeated", "later", "hits"), kinds, strict=True))}
+        return pa.table({"batch": table["batch"], "range": table["range"], "n": table["n"], **columns})
 
     return run
 
 
-def _fixed_order(docs: DataFrame) -> DataFrame:
-    """Batches must come out alike if a task runs again; rows that a shuffle dealt out are written first."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return materialize(docs, "substring-input") if "Exchange" in plan else docs
+def _ask(named: DataFrame, size: int, with_ids: bool, name: str) -> tuple[DataFrame, bool]:
+    """(batch, answers) of named candidates, and whether any is repeated."""
+    answers = named.groupBy("range").applyInArrow(_answered(size, with_ids), "batch long, range int, n int, repeated binary, later binary, hits int")
+    answers = materialize(answers, name)
+    per_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("range", "n", "repeated", "later")).alias(name.rsplit("-", 1)[1]))
+    return per_batch, not answers.where("hits > 0").isEmpty()
+
+
+#: What survived a level: first word of each text, places and hashes of repeated windows, the longest repeat of each text so far.
+SURVIVORS = "batch long, ids binary, first binary, start binary, hash binary, longest binary"
+
+
+def _first_survivors(lengths: list[int]):
+    """Places whose windows of the second length are repeated."""
+
+    def run(batches):
+        for table in batches:
+            for row in _each(table):
+                batch = Batch(row["ids"], row["ends"], row["body"])
+                batch.replay(lengths[:2], [_bits(row["a0"])])
+                longest = np.zeros(len(batch.ids), np.int32)
+                if len(batch.start):
+                    alive = _bits(row["a1"])["repeated"][batch.distinct().place]
+                    batch.start, batch.hash = batch.start[alive], batch.hash[alive]
+                    longest[batch.words.doc[batch.start]] = lengths[1]
+                yield _survivor_row(row["batch"], row["ids"], batch.words.first.tobytes(), batch.start, batch.hash, longest)
+
+    return run
+
+
+def _survivor_row(batch: int, ids: bytes, first: bytes, start: np.ndarray, hashes: np.ndarray, longest: np.ndarray) -> pa.RecordBatch:
+    values = ([batch], [ids], [first], [start.astype(np.int32).tobytes()], [hashes.tobytes()], [longest.tobytes()])
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == 0 else pa.binary()) for k, v in enumerate(values)], names=[c.split()[0] for c in SURVIVORS.split(", ")])
+
+
+def _doubled(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, hashes and texts of windows of twice ``length`` whose halves both survived."""
+    start, hashes, first = np.frombuffer(row["start"], np.int32).astype(np.int64), np.frombuffer(row["hash"], _U), np.frombuffer(row["first"], np.int64)
+    if not len(start):
+        return start, hashes, start
+    place = np.minimum(np.searchsorted(start, start + length), len(start) - 1)
+    doc = np.searchsorted(first, start, "right") - 1
+    at = np.flatnonzero((start[place] == start + length) & (doc[place] == doc))
+    return start[at], join_hashes(hashes[at], hashes[place[at]]), doc[at]
+
+
+def _named_doubled(length: int, ranges: int):
+    def run(batches):
+        for table in batches:
+            for row in _each(table):
+                start, hashes, doc = _doubled(row, length)
+                if len(start):
+                    yield _ranges_of(row["batch"], Distinct(hashes, None, np.frombuffer(row["ids"], np.int64)[doc]), ranges, 8, True)
+
+    return run
+
+
+def _next_survivors(length: int):
+    def run(batches):
+        for table in batches:
+            for row in _each(table):
+                start, hashes, doc = _doubled(row, length)
+                longest = np.frombuffer(row["longest"], np.int32).copy()
+                if len(start):
+                    alive = _bits(row["level"])["repeated"][np.unique(hashes, return_inverse=True)[1]]
+                    start, hashes = start[alive], hashes[alive]
+                    longest[doc[alive]] = 2 * length
+                yield _survivor_row(row["batch"], row["ids"], row["first"], start, hashes, longest)
+
+    return run
 
 
-def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, exhaust: bool = False) -> tuple[DataFrame, list[int]]:
-    """(id, n_words, n_removed, removed, kept_text) per row, and the lengths whose windows were compared.
+def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, exhaust: bool = True) -> tuple[DataFrame, list[int]]:
+    """(id, n_words, n_removed, removed, longest_repeat, kept_text) per row, and the lengths whose windows were compared.
 
     Words are maximal runs without separators; a word is removed if it lies in a window of
     ``window`` words that also begins in a row with a smaller id.  ``removed`` holds
     the removed ranges of words [from, to); kept words are joined by one space.  Texts
-    shorter than the window, null (no words) and empty ones lose nothing.  A null id is larger than
-    any other and equal to other nulls; rows that repeat an id never remove each other's words.
+    shorter than the window, null (no words) and empty ones lose nothing.  A null id counts as 2**63 - 1: it is
+    larger than any other and equal to other nulls; rows that repeat an id never remove each other's words.
+    A very long text is a batch of its own, with some hundred bytes of memory a word.
     Extra columns are ignored; an empty table gives an empty result.
 
     With ``exhaust`` the levels go on past ``window`` until no windows are repeated: the
-    last length is the longest that was tried, above half the longest repeat.
+    last length is the longest that was tried.  ``longest_repeat`` is the greatest of the lengths at which a window of the row also
+    stands in a row of another id (0 for none): its longest repeat has that many words, and less than twice as many.  Without
+    ``exhaust`` it is ``window`` or 0.
     """
+    spark = docs.sparkSession
     half = max(1, -(-window // 2))
     lengths = [half, window] if window > 1 else [1, 1]
-    packed = materialize(pack(_fixed_order(docs.select(id_column, text_column)), id_column, text_column), "substring-packed")
+    packed = materialize(pack(docs.select(id_column, text_column), id_column, text_column), "substring-packed")
     total = packed.agg(F.sum("n_words")).first()[0] or 0
     ranges = max(1, min(-(-int(total) // RANGE_WORDS), RANGES), -(-int(total) // MOST_RANGE_WORDS))
 
-    state = packed
-    level = 0
-    while level < len(lengths):
-        named = state.mapInArrow(_named(lengths, level, ranges), "range int, batch long, n int, keys binary, several binary, ids binary, which binary")
-        answers = named.groupBy("range").applyInArrow(_answered(level), "batch long, range int, n int, repeated binary, later binary, hits int")
-        answers = materialize(answers, f"substring-answers-{level}")
-        per_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("range", "n", "repeated", "later")).alias(f"a{level}"))
-        state = state.join(per_batch, "batch", "left")
-        level += 1
-        if exhaust and level == len(lengths) and not answers.where("hits > 0").isEmpty():
-            lengths = [*lengths, 2 * lengths[-1]]
-    return state.mapInArrow(_applied(lengths, window), "id long, n_words long, n_removed long, removed string, kept_text string"), lengths
+    state, some = packed, True
+    for level in (0, 1):
+        named = state.mapInArrow(_named(lengths, level, ranges), NAMED)
+        answers, some = _ask(named, SHORT_HASH if level == 0 else 8, level > 0, f"substring-a{level}")
+        state = state.join(answers, "batch", "left")
+    with scratch(spark) as keep:
+        last, length = materialize(state.mapInArrow(_first_survivors(lengths), SURVIVORS), "substring-survivors"), window
+        while exhaust and some:
+            answers, some = _ask(last.mapInArrow(_named_doubled(length, ranges), NAMED), 8, True, "substring-level")
+            last = materialize(last.join(answers, "batch", "left").mapInArrow(_next_survivors(length), SURVIVORS), "substring-survivors")
+            length *= 2
+            lengths = [*lengths, length]
+        longest = keep(last.select("batch", "longest"), "substring-longest")
+    found = state.join(longest, "batch", "left")
+    return found.mapInArrow(_applied(lengths, window), "id long, n_words long, n_removed long, removed string, longest_repeat long, kept_text string"), lengths
 
 
 def _applied(lengths: list[int], window: int):
-    names = ["id", "n_words", "n_removed", "removed", "kept_text"]
+    names = ["id", "n_words", "n_removed", "removed", "longest_repeat", "kept_text"]
 
     def run(batches):
         for table in batches:
@@ -279,8 +391,8 @@ def _applied(lengths: list[int], window: int):
                 words = batch.words
                 change = np.zeros(len(words.hash) + window + 1, np.int64)
                 if len(batch.start):
-                    _, place, low, _ = batch.distinct()
-                    gone = batch.start[answers[1]["later"][place] | (batch.ids[words.doc[batch.start]] > low[place])]
+                    found = batch.distinct()
+                    gone = batch.start[answers[1]["later"][found.place] | (batch.ids[words.doc[batch.start]] > found.low[found.place])]
                     np.add.at(change, gone, 1)
                     np.add.at(change, gone + window, -1)
                 covered = np.cumsum(change)[: len(words.hash)] > 0
@@ -298,8 +410,10 @@ def _applied(lengths: list[int], window: int):
                     else:
                         spans.append("")
                     kept.append(b" ".join(own))
-                ids = pa.array(batch.ids, mask=batch.ids == NULL_ID)
+                nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(batch.ids)).astype(bool)
+                ids = pa.array(batch.ids, mask=nulls)
                 text = pa.array(kept, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(removed), pa.array(spans, pa.string()), text], names=names)
+                longest = pa.array(np.frombuffer(row["longest"], np.int32).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(removed), pa.array(spans, pa.string()), longest, text], names=names)
 
     return run

@@ -263,6 +263,47 @@ def test_substring(spark, window, seed):
     assert sorted([(r.id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()], key=str) == plain_substring(rows, window)
 
 
+def plain_longest(rows, lengths):
+    """Of each row the greatest length at which a window of it stands in a row of another id."""
+    split, out = [WORD.findall(t or "") for _, t in rows], [0] * len(rows)
+    for n in lengths:
+        where = {}
+        for (i, _), w in zip(rows, split, strict=True):
+            for k in range(len(w) - n + 1):
+                where.setdefault(tuple(w[k : k + n]), set()).add(i)
+        for r, w in enumerate(split):
+            if any(len(where[tuple(w[k : k + n])]) > 1 for k in range(len(w) - n + 1)):
+                out[r] = n
+    return sorted(((i, n) for (i, _), n in zip(rows, out, strict=True)), key=str)
+
+
+def test_substring_tells_the_longest_repeats(spark):
+    rows = awkward(2)
+    found, lengths = substring_dedup(frame(spark, rows))
+    assert lengths[-1] >= 104
+    assert sorted([(r.id, r.longest_repeat) for r in found.collect()], key=str) == plain_longest(rows, lengths[1:])
+
+
+def test_substring_when_hashes_clash(spark, monkeypatch):
+    """First hashes of three bits: second hashes still tell windows apart."""
+    plain = substring.windows
+
+    def weak(*a):
+        hashes, at = plain(*a)
+        return hashes & np.uint64(7 << 61), at
+
+    monkeypatch.setattr(substring, "windows", weak)
+    rows = awkward(8)
+    found, _ = substring_dedup(frame(spark, rows), exhaust=False)
+    assert sorted([(r.id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()], key=str) == plain_substring(rows, 13)
+
+
+def test_substring_ids_at_the_end_of_their_range(spark):
+    text = " ".join(words(30, 1))
+    found, _ = substring_dedup(frame(spark, [(None, text), (2**63 - 1, text), (5, text)]))
+    assert sorted([(r.id, r.n_removed) for r in found.collect()], key=str) == [(5, 0), (2**63 - 1, 30), (None, 30)]
+
+
 def test_substring_spans_cover_what_is_removed(spark):
     found, _ = substring_dedup(frame(spark, awkward()))
     for r in found.collect():
@@ -275,6 +316,7 @@ def test_substring_doubles_until_nothing_survives(spark):
     rows = [(1, long), (2, f"a b {long} c"), (3, "short and alone in its words it is not repeated at all in any other text")]
     found, lengths = substring_dedup(frame(spark, rows), exhaust=True)
     assert lengths == [7, 13, 26, 52, 104]
+    assert {r.id: r.longest_repeat for r in found.collect()} == {1: 52, 2: 52, 3: 0}
     assert {r.id: r.n_removed for r in found.collect()} == {1: 0, 2: 100, 3: 0}
 
 
