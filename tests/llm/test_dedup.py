@@ -141,8 +141,8 @@ def sets_of(rows, size=4):
     return out
 
 
-def plain_near(rows):
-    sets, group = sets_of(rows), list(range(len(rows)))
+def plain_near(rows, size=4):
+    sets, group = sets_of(rows, size), list(range(len(rows)))
 
     def find(x):
         while group[x] != x:
