@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of words in every contract: the space and the bytes 9 to 13.
@@ -41,6 +42,21 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}"
 
 
+#: Spark removes an execution's shuffle files when it ends, where this is set.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, **options: str) -> None:
+    """Writes a table as Parquet.  Its shuffle files go with the write: whoever needs the rows again reads the table."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN_UP, "false")
+    conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.set(_CLEAN_UP, before)
+
+
 #: Tables of the open scopes, innermost last.
 _SCOPES: list[list[str]] = []
 
@@ -52,10 +68,17 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    write(df, path, **options)
     if _SCOPES:
         _SCOPES[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table that ``materialize`` gave, once nothing that reads it is still to be computed."""
+    delete(table.sparkSession, table.written_at)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -89,6 +112,39 @@ def release(spark: SparkSession) -> None:
     delete(spark, run_dir(spark))
 
 
+#: Bits of a filter for each value, and bits of one bitmap (as Spark's bitmap functions have them).
+FILTER_BITS, BITMAP_BITS = 16, 32768
+#: A filter has at most so many bitmaps of 4 KiB (64 MiB); fuller ones pass more, never less.
+MOST_BITMAPS = 1 << 14
+
+
+def bitmaps_for(values: int) -> int:
+    """A power of two of bitmaps with FILTER_BITS bits a value, within the bound."""
+    wanted = max(1, values * FILTER_BITS // BITMAP_BITS)
+    return min(MOST_BITMAPS, 1 << math.ceil(math.log2(wanted)))
+
+
+def _slot(value: Column, bitmaps: int) -> tuple[Column, Column]:
+    """Which bitmap a value falls into, and which of its bits."""
+    h = F.xxhash64(value)
+    return F.pmod(F.shiftrightunsigned(h, 20), F.lit(bitmaps)).cast("int"), F.pmod(h, F.lit(BITMAP_BITS))
+
+
+def make_filter(rows: DataFrame, bitmaps: int, column: str = "digest") -> DataFrame:
+    """(slot, bits) of a column's values: at most MOST_BITMAPS rows of 4 KiB."""
+    slot, bit = _slot(F.col(column), bitmaps)
+    return rows.groupBy(slot.alias("slot")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+
+
+def may_hold(rows: DataFrame, filter_: DataFrame, bitmaps: int, column: str = "digest") -> DataFrame:
+    """Adds ``may_hold``: whether the filter may hold a row's value; none that it was made from is denied."""
+    slot, bit = _slot(F.col(column), bitmaps)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    told = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+    held = F.broadcast(filter_.select(F.col("slot").alias("_slot"), F.col("bits").alias("_bits")))  # MOST_BITMAPS rows of 4 KiB
+    return rows.join(held, slot == F.col("_slot"), "left").withColumn("may_hold", F.coalesce(told, F.lit(False))).drop("_slot", "_bits")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

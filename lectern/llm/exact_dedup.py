@@ -18,53 +18,21 @@ texts to compare with are repeated once per salt.
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, run_dir, text_or_empty
+from .common import bitmaps_for, make_filter, materialize, may_hold, run_dir, text_or_empty, write
 
 #: One in so many rows makes a digest hot; also the most hot digests there can be.
 HOT_SHARE = 1000
 SALTS = 64
 #: Runs of a level that are merged into one of the next.
 FAN_IN = 4
-#: Bits of a filter for each digest, and bits of one bitmap (as Spark's bitmap functions have them).
-FILTER_BITS, BITMAP_BITS = 16, 32768
-#: A filter has at most so many bitmaps of 4 KiB (64 MiB); fuller ones pass more, never less.
-MOST_BITMAPS = 1 << 14
 ENTRY = "digest binary, least long, most long, n long, n_ids long"
 
 
-def bitmaps_for(digests: int) -> int:
-    """A power of two of bitmaps with FILTER_BITS bits a digest, within the bound."""
-    wanted = max(1, digests * FILTER_BITS // BITMAP_BITS)
-    return min(MOST_BITMAPS, 1 << math.ceil(math.log2(wanted)))
-
-
-def _slot(digest: Column, bitmaps: int) -> tuple[Column, Column]:
-    """Which bitmap a digest falls into, and which of its bits."""
-    h = F.xxhash64(digest)
-    return F.pmod(F.shiftrightunsigned(h, 20), F.lit(bitmaps)).cast("int"), F.pmod(h, F.lit(BITMAP_BITS))
-
-
-def make_filter(digests: DataFrame, bitmaps: int) -> DataFrame:
-    """(slot, bits) of a column ``digest``: at most MOST_BITMAPS rows of 4 KiB."""
-    slot, bit = _slot(F.col("digest"), bitmaps)
-    return digests.groupBy(slot.alias("slot")).agg(F.bitmap_construct_agg(bit).alias("bits"))
-
-
-def may_hold(rows: DataFrame, filter_: DataFrame, bitmaps: int, name: str = "may_hold") -> DataFrame:
-    """Adds whether the filter may hold a row's ``digest``; no digest that it was made from is denied."""
-    slot, bit = _slot(F.col("digest"), bitmaps)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    told = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
-    held = F.broadcast(filter_.select(F.col("slot").alias("_slot"), F.col("bits").alias("_bits")))  # MOST_BITMAPS rows of 4 KiB
-    return rows.join(held, slot == F.col("_slot"), "left").withColumn(name, F.coalesce(told, F.lit(False))).drop("_slot", "_bits")
-
-
 def entries(runs: DataFrame) -> DataFrame:
     """Merges the entries of runs: one per digest.  Partial aggregates come before the shuffle, so a hot digest sends one entry a task."""
     return runs.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"), F.sum("n_ids").alias("n_ids"))
@@ -94,11 +62,11 @@ class LsmIndex:
 
     def _write(self, table: DataFrame, level: int) -> str:
         run = f"run-{uuid.uuid4().hex}"
-        table.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.path}/{run}/entries")
+        write(table, f"{self.path}/{run}/entries", **{"parquet.bloom.filter.enabled#digest": "true"})
         whole = self._read(run)
         facts = whole.agg(F.count(F.lit(1)), F.hex(F.min("digest")), F.hex(F.max("digest"))).first()
         bitmaps = bitmaps_for(facts[0])
-        make_filter(whole, bitmaps).write.parquet(f"{self.path}/{run}/filter")
+        write(make_filter(whole, bitmaps), f"{self.path}/{run}/filter")
         self.runs = [*self.runs, (level, run, facts[0], bitmaps, facts[1] or "", facts[2] or "")]
         return run
 

@@ -28,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Words, join_hashes, materialize, mix, scratch, slices, text_buffers, windows
+from .common import NULL_ID, Words, discard, join_hashes, materialize, mix, slices, text_buffers, windows
 
 WINDOW = 13
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Words of all texts per range of hashes: at least, and at most (a range is one task's work).
 RANGE_WORDS, MOST_RANGE_WORDS = 2_000_000, 32_000_000
 #: Ranges up to which ranges stay small, so that a batch's row per range holds some dozens of hashes.
@@ -267,16 +267,20 @@ def _answered(size: int, with_ids: bool):
     return run
 
 
-def _ask(named: DataFrame, size: int, with_ids: bool, name: str) -> tuple[DataFrame, bool]:
-    """(batch, answers) of named candidates, and whether any is repeated."""
+def _ask(named: DataFrame, size: int, with_ids: bool, name: str) -> DataFrame:
+    """The ranges' answers to named candidates, as a table."""
     answers = named.groupBy("range").applyInArrow(_answered(size, with_ids), "batch long, range int, n int, repeated binary, later binary, hits int")
-    answers = materialize(answers, name)
-    per_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("range", "n", "repeated", "later")).alias(name.rsplit("-", 1)[1]))
-    return per_batch, not answers.where("hits > 0").isEmpty()
+    return materialize(answers, f"substring-{name}")
+
+
+def _told(state: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+    """Batches with the answers to each.  Both sides are dealt out by batch at any size."""
+    per_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("range", "n", "repeated", "later")).alias(name))
+    return state.join(per_batch.hint("merge"), "batch", "left")
 
 
 #: What survived a level: first word of each text, places and hashes of repeated windows, the longest repeat of each text so far.
-SURVIVORS = "batch long, ids binary, first binary, start binary, hash binary, longest binary"
+SURVIVORS = "batch long, first binary, start binary, hash binary, longest binary"
 
 
 def _first_survivors(lengths: list[int]):
@@ -292,13 +296,13 @@ def _first_survivors(lengths: list[int]):
                     alive = _bits(row["a1"])["repeated"][batch.distinct().place]
                     batch.start, batch.hash = batch.start[alive], batch.hash[alive]
                     longest[batch.words.doc[batch.start]] = lengths[1]
-                yield _survivor_row(row["batch"], row["ids"], batch.words.first.tobytes(), batch.start, batch.hash, longest)
+                yield _survivor_row(row["batch"], batch.words.first.tobytes(), batch.start, batch.hash, longest)
 
     return run
 
 
-def _survivor_row(batch: int, ids: bytes, first: bytes, start: np.ndarray, hashes: np.ndarray, longest: np.ndarray) -> pa.RecordBatch:
-    values = ([batch], [ids], [first], [start.astype(np.int32).tobytes()], [hashes.tobytes()], [longest.tobytes()])
+def _survivor_row(batch: int, first: bytes, start: np.ndarray, hashes: np.ndarray, longest: np.ndarray) -> pa.RecordBatch:
+    values = ([batch], [first], [start.astype(np.int32).tobytes()], [hashes.tobytes()], [longest.tobytes()])
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == 0 else pa.binary()) for k, v in enumerate(values)], names=[c.split()[0] for c in SURVIVORS.split(", ")])
 
 
@@ -319,7 +323,7 @@ def _named_doubled(length: int, ranges: int):
             for row in _each(table):
                 start, hashes, doc = _doubled(row, length)
                 if len(start):
-                    yield _ranges_of(row["batch"], Distinct(hashes, None, np.frombuffer(row["ids"], np.int64)[doc]), ranges, 8, True)
+                    yield _ranges_of(row["batch"], Distinct(hashes, None, doc), ranges, 8, False)
 
     return run
 
@@ -334,7 +338,7 @@ def _next_survivors(length: int):
                     alive = _bits(row["level"])["repeated"][np.unique(hashes, return_inverse=True)[1]]
                     start, hashes = start[alive], hashes[alive]
                     longest[doc[alive]] = 2 * length
-                yield _survivor_row(row["batch"], row["ids"], row["first"], start, hashes, longest)
+                yield _survivor_row(row["batch"], row["first"], start, hashes, longest)
 
     return run
 
@@ -352,30 +356,30 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     With ``exhaust`` the levels go on past ``window`` until no windows are repeated: the
     last length is the longest that was tried.  ``longest_repeat`` is the greatest of the lengths at which a window of the row also
-    stands in a row of another id (0 for none): its longest repeat has that many words, and less than twice as many.  Without
+    stands in another row (at ``window`` itself: in a row of another id; 0 for none): its longest repeat has that many words, and less than twice as many.  Without
     ``exhaust`` it is ``window`` or 0.
     """
-    spark = docs.sparkSession
     half = max(1, -(-window // 2))
     lengths = [half, window] if window > 1 else [1, 1]
     packed = materialize(pack(docs.select(id_column, text_column), id_column, text_column), "substring-packed")
     total = packed.agg(F.sum("n_words")).first()[0] or 0
     ranges = max(1, min(-(-int(total) // RANGE_WORDS), RANGES), -(-int(total) // MOST_RANGE_WORDS))
 
-    state, some = packed, True
+    state = packed
     for level in (0, 1):
         named = state.mapInArrow(_named(lengths, level, ranges), NAMED)
-        answers, some = _ask(named, SHORT_HASH if level == 0 else 8, level > 0, f"substring-a{level}")
-        state = state.join(answers, "batch", "left")
-    with scratch(spark) as keep:
-        last, length = materialize(state.mapInArrow(_first_survivors(lengths), SURVIVORS), "substring-survivors"), window
-        while exhaust and some:
-            answers, some = _ask(last.mapInArrow(_named_doubled(length, ranges), NAMED), 8, True, "substring-level")
-            last = materialize(last.join(answers, "batch", "left").mapInArrow(_next_survivors(length), SURVIVORS), "substring-survivors")
-            length *= 2
-            lengths = [*lengths, length]
-        longest = keep(last.select("batch", "longest"), "substring-longest")
-    found = state.join(longest, "batch", "left")
+        answers = _ask(named, SHORT_HASH if level == 0 else 8, level > 0, f"answers-{level}")
+        state = _told(state, answers, f"a{level}")
+    last, length = materialize(state.mapInArrow(_first_survivors(lengths), SURVIVORS), "substring-survivors"), window
+    while exhaust and not answers.where("hits > 0").isEmpty():
+        answers = _ask(last.mapInArrow(_named_doubled(length, ranges), NAMED), 8, False, "answers-level")
+        fresh = materialize(_told(last, answers, "level").mapInArrow(_next_survivors(length), SURVIVORS), "substring-survivors")
+        discard(last)
+        last, length = fresh, 2 * length
+        lengths = [*lengths, length]
+    longest = materialize(last.select("batch", "longest"), "substring-longest")
+    discard(last)
+    found = state.join(longest.hint("merge"), "batch", "left")
     return found.mapInArrow(_applied(lengths, window), "id long, n_words long, n_removed long, removed string, longest_repeat long, kept_text string"), lengths
 
 

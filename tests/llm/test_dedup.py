@@ -10,8 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup as exact
-from lectern.llm import minhash
+from lectern.llm import common, minhash
 from lectern.llm import substring_dedup as substring
 from lectern.llm.exact_dedup import LsmIndex, exact_dedup
 from lectern.llm.graph import connected_components
@@ -126,8 +125,8 @@ def test_lookups_read_the_runs_that_filters_allow_alone(spark, tmp_path):
 
 def test_exact_with_a_full_filter(spark, monkeypatch):
     """A filter of one bitmap passes rows that have no copy; they come out alike."""
-    monkeypatch.setattr(exact, "FILTER_BITS", 0)
-    monkeypatch.setattr(exact, "BITMAP_BITS", 8)
+    monkeypatch.setattr(common, "FILTER_BITS", 0)
+    monkeypatch.setattr(common, "BITMAP_BITS", 8)
     rows = awkward()
     found = exact_dedup(frame(spark, rows), keep="largest").withColumn("digest", F.lower(F.hex("digest"))).collect()
     assert sorted([(r.id, r.keep_id, r.group_size, r.digest) for r in found], key=str) == plain_exact(rows)
@@ -264,13 +263,13 @@ def test_substring(spark, window, seed):
 
 
 def plain_longest(rows, lengths):
-    """Of each row the greatest length at which a window of it stands in a row of another id."""
+    """Of each row the greatest length at which a window of it stands in another row, of another id at the first length."""
     split, out = [WORD.findall(t or "") for _, t in rows], [0] * len(rows)
     for n in lengths:
         where = {}
-        for (i, _), w in zip(rows, split, strict=True):
+        for r, w in enumerate(split):
             for k in range(len(w) - n + 1):
-                where.setdefault(tuple(w[k : k + n]), set()).add(i)
+                where.setdefault(tuple(w[k : k + n]), set()).add(rows[r][0] if n == lengths[0] else r)
         for r, w in enumerate(split):
             if any(len(where[tuple(w[k : k + n])]) > 1 for k in range(len(w) - n + 1)):
                 out[r] = n
