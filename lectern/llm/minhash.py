@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, distinct_in_groups, materialize, mix, scratch, slices, text_buffers, windows
+from .common import Words, bitmaps_for, distinct_in_groups, make_filter, materialize, may_hold, mix, scratch, slices, text_buffers, windows
 from .graph import connected_components
 
 REGISTERS, ROWS = 72, 3
@@ -32,7 +32,7 @@ BANDS = REGISTERS // ROWS
 SHINGLE, SHARE = 4, 80
 BATCH_BYTES = 1 << 20
 #: Shingles and documents of one block of documents that are compared with another one, about.
-BLOCK_SHINGLES, BLOCK_ROWS = 50_000, 200
+BLOCK_SHINGLES, BLOCK_ROWS = 120_000, 600
 _U = np.uint64
 
 
@@ -234,13 +234,16 @@ def _components(signed: DataFrame, rows: DataFrame, share: int, shingle: int) ->
 
     wanted = pairs.select("rep").unionByName(pairs.select(F.col("centre").alias("rep"))).distinct()
     wanted = materialize(classes.join(wanted, "rep", "left_semi").select("rep", "d0", "d1", F.coalesce("least", F.lit(0)).alias("at")), "near-wanted")
-    texts = rows.withColumn("at", F.coalesce("id", F.lit(0))).join(wanted.select("at").hint("merge"), "at", "left_semi")
-    sets = texts.select("body").mapInArrow(_as_sets(shingle), "d0 long, d1 long, shingles binary").join(wanted, ["d0", "d1"])
+    # Texts that no pair needs are mostly held back by a filter of bounded size, before the shuffle.
+    bitmaps = bitmaps_for(wanted.count())
+    texts = may_hold(rows.withColumn("at", F.coalesce("id", F.lit(0))), materialize(make_filter(wanted, bitmaps, "at"), "near-filter"), bitmaps, "at")
+    texts = texts.where("may_hold").join(wanted.select("at").hint("merge"), "at", "left_semi")
+    sets = texts.select("body").mapInArrow(_as_sets(shingle), "d0 long, d1 long, shingles binary").join(wanted.hint("merge"), ["d0", "d1"])
     sets = materialize(sets.select("rep", "shingles"), "near-sets")
 
     left = sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("a"))
     right = sets.select("rep", F.col("shingles").alias("b"))
-    both = pairs.join(right, "rep").join(left, "centre").select("centre", "rep", "a", "b")
+    both = pairs.hint("merge").join(right, "rep").hint("merge").join(left, "centre").select("centre", "rep", "a", "b")
     edges = materialize(both.mapInArrow(_verify(share), "a long, b long"), "near-edges")
     parts = connected_components(edges)
 
@@ -267,7 +270,7 @@ def _components(signed: DataFrame, rows: DataFrame, share: int, shingle: int) ->
         others = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
         loose = work.where("loose").select("centre", "rep", "component", own("loose_blocks").alias("i"), others("all_blocks").alias("j"), F.lit(0).alias("side"))
         every = work.select("centre", "rep", "component", others("loose_blocks").alias("i"), own("all_blocks").alias("j"), F.lit(1).alias("side"))
-        work = materialize(loose.unionByName(every), "near-work").join(sets, "rep")
+        work = materialize(loose.unionByName(every), "near-work").hint("merge").join(sets, "rep")
         more = materialize(work.groupBy("centre", "i", "j").applyInArrow(_compare_blocks(share), "a long, b long"), "near-more")
 
     # parts first, then the components that later links join.
