@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def sentences(text: Column) -> Column:
     low, high = fixed.SENTENCE_CHARS
     pieces = F.filter(F.split(text, r"(?U)(?<=[.!?])\s+|\n+"), lambda s: F.contains(s, F.lit(" ")))
     pieces = F.transform(pieces, strip)
-    clean = lambda s: ~s.rlike("|".join(["<br>", "<!--", r"\|"]))
+    clean = lambda s: ~reduce(lambda a, b: a | b, [F.contains(s, F.lit(mark)) for mark in fixed.NOT_PROSE])
     return F.filter(pieces, lambda s: F.length(s).between(low, high) & clean(s))
 
 

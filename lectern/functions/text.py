@@ -98,9 +98,8 @@ def front_authors(text: Column) -> Column:
 def split_authors(raw: Column) -> Column:
     """Names of an author line, without affiliation marks, placeholders and single letters."""
     parts = F.split(F.coalesce(raw, F.lit("")), r"(?i)\s*(?:,|;|\band\b|&)\s*")
-    names = F.transform(parts, lambda p: strip(F.regexp_replace(strip(p), r"[\d*†‡§¶,\s]+$", "")))
-    holder = r"(?i)^(?:lastname|surname|firstname|forename|author|name|anonymous|unknown|title|your\s+name|enter)\b"
-    return F.filter(names, lambda n: (F.length(n) > 1) & ~n.rlike(holder))
+    names = F.transform(parts, lambda p: strip(F.regexp_replace(strip(p), fixed.AUTHOR_MARKS, "")))
+    return F.filter(names, lambda n: (F.length(n) > 1) & ~n.rlike(fixed.PLACEHOLDER_AUTHOR))
 
 
 def approx_tokens(text: Column) -> Column:
@@ -188,7 +187,7 @@ def is_furniture(text: Column) -> Column:
         F.substring(text, 1, 200).rlike(fixed.NOTICE)
         | text.rlike(r"^\[Document truncated at \d+ of \d+ pages")
         | text.rlike(fixed.CAPTION)
-        | text.rlike(r"\|.*\|.*\|")
+        | text.rlike(fixed.TABLE_ROW)
         | text.rlike(r"^\p{Ll}")
     )
 
@@ -261,14 +260,14 @@ def full_length(markdown: Column) -> Column:
 
 def is_code(text: Column) -> Column:
     """A report number: one or two words with digits and no small ASCII letters."""
-    return (F.size(F.split(strip(text), r"(?U)\s+")) <= 2) & text.rlike(r"^(?=.*\d)[^a-z]+$")
+    return (F.size(F.split(strip(text), r"(?U)\s+")) <= 2) & text.rlike(fixed.REPORT_CODE)
 
 
 def without_markup(line: Column) -> Column:
     """A line without heading marks, emphasis and tags."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(strip(line), "^#+", ""), r"</?[A-Za-z][^>]*>", ""))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(strip(line), "^#+", ""), fixed.TAG, ""))
     for _ in range(3):
-        bare = F.regexp_replace(bare, r"(\*{1,3}|_{1,3})(.+?)\1", "$2")
+        bare = F.regexp_replace(bare, fixed.EMPHASIS, "$2")
     return strip(F.regexp_replace(strip(bare), r"^[*_]+|[*_]+$", ""))
 
 
@@ -302,7 +301,7 @@ def citations(text: Column) -> Column:
 
 
 def boilerplate_heading(title: Column) -> Column:
-    return F.coalesce(title.rlike(r"(?i)^\s*(?:" + "|".join(fixed.BOILERPLATE_HEADINGS) + ")"), F.lit(False))
+    return F.coalesce(title.rlike(fixed.BOILERPLATE_HEADING), F.lit(False))
 
 
 def first_match(text: Column, pattern: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,20 +35,31 @@ def sections(markdown: Column) -> Column:
     return F.transform(parts, part)
 
 
+#: Where a text may be cut, best first: after the last of these in the second half of a piece.
+BREAKS = ("\n\n", ". ", "\n")
+
+
 def split_long(text: str, size: int = fixed.CHUNK_CHARS, overlap: int = fixed.CHUNK_OVERLAP) -> list[str]:
-    """Pieces of at most ``size`` characters that overlap, cut after a paragraph, sentence or line of the second half if there is one."""
-    pieces, start, n = [], 0, len(text)
-    while True:
-        end = start + size
-        if end >= n:
-            return [*pieces, text[start:]]
-        for mark in ("\n\n", ". ", "\n"):
-            at = text.rfind(mark, start + size // 2, end)
-            if at >= 0:
-                end = at + len(mark)
-                break
-        pieces.append(text[start:end])
+    """Pieces of at most ``size`` characters that overlap, cut after a paragraph, sentence or line of the second half if there is one.
+
+    All places where each mark ends are found in one scan; pieces then are slices between places that are looked up.
+    """
+    ends = {mark: np.array([m.start() + len(mark) for m in re.finditer(f"(?={re.escape(mark)})", text)], int) for mark in BREAKS}
+
+    def last_break(low: int, high: int) -> int:
+        """The end of the best mark that lies whole between two places, else the upper one."""
+        for mark, places in ends.items():
+            k = int(places.searchsorted(high, "right"))
+            if k and places[k - 1] >= low + len(mark):
+                return int(places[k - 1])
+        return high
+
+    cuts, start = [], 0
+    while start + size < len(text):
+        end = last_break(start + size // 2, start + size)
+        cuts.append((start, end))
         start = max(end - overlap, start + 1)
+    return [text[a:b] for a, b in [*cuts, (start, len(text))]]
 
 
 @udtf(returnType=StructType([StructField("ord", IntegerType()), StructField("text", StringType())]))

@@ -15,16 +15,14 @@ def document_kind(path: Column, content: Column) -> Column:
 
     Zip containers are told apart by extension.  Unreadable files (null content) go by extension alone.
     """
-    start = F.hex(F.substring(content, 1, 8))
     suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    book = F.hex(F.substring(content, 61, 8)).isin("424F4F4B4D4F4249", "5445587452456164")
+    begins = lambda magic, at=1: F.substring(content, at, len(magic)) == F.lit(magic)
     by_name = F.when(suffix == "pdf", "pdf").when(suffix.isin("djvu", "djv"), "djvu").when(suffix == "docx", "docx").when(suffix == "epub", "epub").when(suffix.isin("mobi", "azw", "azw3", "prc"), "mobi").when(suffix.isin("txt", "text"), "text").when(suffix.isin("md", "markdown"), "markdown")
     by_content = (
-        F.when(start.startswith("255044462D"), "pdf")
-        .when(start.startswith("4154265446"), "djvu")
-        .when(start.startswith("41542654"), "djvu")
-        .when(book, "mobi")
-        .when(start.startswith("504B0304") & suffix.isin("docx", "epub"), suffix)
+        F.when(begins(b"%PDF-"), "pdf")
+        .when(begins(b"AT&T"), "djvu")
+        .when(begins(b"BOOKMOBI", 61) | begins(b"TEXtREAd", 61), "mobi")
+        .when(begins(b"PK\x03\x04") & suffix.isin("docx", "epub"), suffix)
         .when(suffix.isin("txt", "text", "md", "markdown"), by_name)
     )
     return F.when(content.isNull(), by_name).otherwise(by_content)

@@ -105,7 +105,7 @@ def test_synopsis_ladder():
 def test_prose_agrees_in_both_engines(spark):
     texts = [PROSE, "lower start. " + PROSE, "Figure 1. " + PROSE, "| a | b | c | " + PROSE, "All rights reserved. " + PROSE, "Short. Text.", "A B C D " * 60 + ". . .", ""]
     got = [r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce(tx.is_prose(F.col("t")), F.lit(False)).alias("p")).collect()]
-    assert got == [metadata.prose(t) for t in texts]
+    assert got == [metadata.Block(t).prose for t in texts]
 
 
 SENTENCES = [
