@@ -1,8 +1,12 @@
 """Density clustering of document vectors: scale rules, HDBSCAN, choosing the smallest cluster.
 
-HDBSCAN (Campello, Moulavi, Sander 2013; McInnes, Healy 2017) is global and sequential: its tree is
-built in one task, for corpora of some thousand vectors, as the layout it serves.  K-means in
-MLlib stands beside it for larger ones and is labelled so.
+HDBSCAN (Campello, Moulavi, Sander 2013; McInnes, Healy 2017) needs a minimum spanning tree by mutual
+reachability.  Up to DENSITY_ROWS vectors one task builds it (Prim); beyond, pairs of blocks of vectors are compared for
+core distances, and then for the least edge out of every component, round by round (Boruvka).  Edges are ordered
+by weight and ends, so there is one tree and both ways give the same rows.  What follows the tree, condensing and choosing
+clusters, is linear in the vectors and runs in one task on some tens of bytes a vector.
+
+Comparing all pairs is quadratic in the vectors by nature.  K-means in MLlib stands beside it for whoever asks for it.
 """
 
 from __future__ import annotations
@@ -11,10 +15,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_ROWS, SMALLEST = 30, 3
+from ..functions.tables import settled
+from ..functions.vectors import unit
+
+MIN_ROWS, SMALLEST, PARTS = 30, 3, 10
+#: Vectors up to which one task builds the tree, and vectors of a block beyond.
+DENSITY_ROWS, BLOCK_ROWS = 5000, 2048
 
 
 def floor_candidates(rows: int) -> list[int]:
@@ -40,24 +50,37 @@ def dominant_share(labels: np.ndarray) -> float:
 
 
 def spanning_tree(points: np.ndarray, samples: int) -> np.ndarray:
-    """Edges (a, b, weight) of a minimum spanning tree by mutual reachability, lightest first (Prim)."""
+    """Edges (a, b, weight), a below b, of the minimum spanning tree by mutual reachability, lightest first (Prim)."""
     n = len(points)
-    square = (points**2).sum(axis=1)
-    away = lambda i: np.sqrt(np.maximum(square + square[i] - 2 * points @ points[i], 0))
-    core = np.array([np.partition(away(i), min(samples, n - 1))[min(samples, n - 1)] for i in range(n)])
-    best, source = np.full(n, np.inf), np.zeros(n, int)
+    core = np.array([np.partition(distances(points[i : i + 1], points)[0], min(samples, n - 1))[min(samples, n - 1)] for i in range(n)])
+    index = np.arange(n)
+    best, low, high = np.full(n, np.inf), np.full(n, n), np.full(n, n)
     outside = np.ones(n, bool)
     here, edges = 0, []
     outside[0] = False
     for _ in range(n - 1):
-        reach = np.maximum(np.maximum(away(here), core), core[here])
-        closer = outside & (reach < best)
-        best[closer], source[closer] = reach[closer], here
-        here = int(np.where(outside, best, np.inf).argmin())
-        edges.append((source[here], here, best[here]))
+        reach = np.maximum(np.maximum(distances(points[here : here + 1], points)[0], core), core[here])
+        a, b = np.minimum(index, here), np.maximum(index, here)
+        closer = outside & ((reach < best) | ((reach == best) & ((a < low) | ((a == low) & (b < high)))))
+        best[closer], low[closer], high[closer] = reach[closer], a[closer], b[closer]
+        least = np.where(outside, best, np.inf)
+        ties = np.flatnonzero(least == least.min())
+        here = int(ties[np.lexsort((high[ties], low[ties]))[0]])
+        edges.append((low[here], high[here], best[here]))
         outside[here] = False
-    tree = np.array(edges, float).reshape(-1, 3)
-    return tree[np.argsort(tree[:, 2], kind="stable")]
+    return sorted_tree(np.array(edges, float).reshape(-1, 3))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Between all rows of two matrices, summed axis by axis: the same numbers whatever the blocks are."""
+    square = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):
+        square += (a[:, k, None] - b[None, :, k]) ** 2
+    return np.sqrt(square)
+
+
+def sorted_tree(tree: np.ndarray) -> np.ndarray:
+    return tree[np.lexsort((tree[:, 1], tree[:, 0], tree[:, 2]))]
 
 
 def condensed_tree(tree: np.ndarray, n: int, floor: int) -> list[tuple[int, int, float, int]]:
@@ -106,8 +129,11 @@ def condensed_tree(tree: np.ndarray, n: int, floor: int) -> list[tuple[int, int,
 
 def hdbscan(points: np.ndarray, floor: int, samples: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Labels (-1: noise), strengths and relative validity, by excess of mass."""
-    n = len(points)
-    tree = spanning_tree(points, samples)
+    return clusters_of(spanning_tree(points, samples), len(points), floor)
+
+
+def clusters_of(tree: np.ndarray, n: int, floor: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """As hdbscan, from the tree."""
     rows = condensed_tree(tree, n, floor)
     born = {n: 0.0} | {c: d for _, c, d, s in rows if c >= n}
     stability = dict.fromkeys(born, 0.0)
@@ -168,46 +194,184 @@ def relative_validity(tree: np.ndarray, labels: np.ndarray) -> float:
     return float((share * (outer - inner) / top).sum())
 
 
-def choose_floor(points: np.ndarray) -> int:
-    """The smallest cluster size of best validity whose largest cluster isn't too large; else the best of all; else 3."""
-    n = len(points)
+def choose_floor(trees: dict[int, np.ndarray], n: int) -> int:
+    """The smallest cluster size of best validity whose largest cluster isn't too large; else the best of all; else 3.  Trees are by samples."""
     fits, others = [], []
     for floor in floor_candidates(n):
-        labels, _, validity = hdbscan(points, floor, min_samples_for(n, floor))
+        labels, _, validity = clusters_of(trees[min_samples_for(n, floor)], n, floor)
         if labels.max() >= 1:
             (fits if dominant_share(labels) <= max_cluster_share(n) else others).append((validity, -floor))
     best = max(fits or others, default=(0, -SMALLEST))
     return -best[1]
 
 
-def reduced(matrix: np.ndarray, parts: int = 10) -> np.ndarray:
-    """Unit vectors on their leading components."""
-    unit = matrix / np.clip(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12, None)
-    centred = unit - unit.mean(axis=0)
-    _, _, vt = np.linalg.svd(centred, full_matrices=False)
-    return centred @ vt[: min(parts, len(vt))].T
+def _samples(n: int, floor: int | None) -> list[int]:
+    """How many samples trees are needed for."""
+    floors = floor_candidates(n) if floor is None else []
+    limit = lambda f: max(2, min(f, n // 4))
+    return sorted({min_samples_for(n, f) for f in floors} | {min_samples_for(n, limit(f)) for f in [*floors, SMALLEST, *([floor] if floor else [])]})
+
+
+def _labels(trees: dict[int, np.ndarray], ids: np.ndarray, floor: int | None) -> pd.DataFrame:
+    n = len(ids)
+    size = choose_floor(trees, n) if floor is None else floor
+    size = max(2, min(size, n // 4))
+    labels, strength, _ = clusters_of(trees[min_samples_for(n, size)], n, size)
+    return pd.DataFrame({"id": ids, "cluster": labels, "strength": strength})
+
+
+def reduced(vectors: DataFrame) -> DataFrame:
+    """(id, p): unit vectors on their leading components."""
+    from . import maps
+
+    units = vectors.select("id", unit(F.col("v")).alias("v"))
+    first = units.first()
+    mean, components = maps.fit_pca(units, len(first["v"]), min(PARTS, len(first["v"])))
+    moved = F.zip_with("v", F.lit(mean.tolist()), lambda x, m: x - m)
+    axes = [F.aggregate(F.zip_with("_v", F.lit(components[:, k].tolist()), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x) for k in range(components.shape[1])]
+    return units.withColumn("_v", moved).select("id", F.array(*axes).alias("p"))
 
 
 def cluster_vectors(vectors: DataFrame, floor: int | None = None) -> DataFrame:
     """(id, cluster, strength): fewer than 30 vectors are all noise."""
+    n = vectors.count()
+    if n < MIN_ROWS:
+        return vectors.select(F.col("id").cast("long").alias("id"), F.lit(-1).cast("long").alias("cluster"), F.lit(0.0).alias("strength"))
+    points = reduced(vectors)
+    if n > DENSITY_ROWS:
+        return _cluster_by_blocks(points, n, floor)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        n = len(rows)
-        if n < MIN_ROWS:
-            labels, strength = np.full(n, -1), np.zeros(n)
-        else:
-            points = reduced(np.stack(rows["v"].to_numpy()).astype(float))
-            size = choose_floor(points) if floor is None else floor
-            size = max(2, min(size, n // 4))
-            labels, strength, _ = hdbscan(points, size, min_samples_for(n, size))
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "cluster": labels, "strength": strength})
+        matrix = np.stack(rows["p"].to_numpy())
+        return _labels({s: spanning_tree(matrix, s) for s in _samples(n, floor)}, rows["id"].to_numpy(), floor)
+
+    return points.withColumn("corpus", F.lit(0)).groupBy("corpus").applyInPandas(run, "id long, cluster long, strength double")  # DENSITY_ROWS at most
+
+
+def _cluster_by_blocks(points: DataFrame, n: int, floor: int | None) -> DataFrame:
+    """As the one task's, where pairs of blocks are compared in many."""
+    spark = points.sparkSession
+    blocks = -(-n // BLOCK_ROWS)
+    # Places 0 to n - 1 in the order of ids, as one task has them: counts of ranges first, then places inside.
+    ranged = settled(points.repartitionByRange(blocks, "id").sortWithinPartitions("id").withColumn("range", F.spark_partition_id()))
+    counts = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}  # one row per block
+    before, total = {}, 0
+    for r in sorted(counts):
+        before[r], total = total, total + counts[r]
+    offsets = spark.createDataFrame(list(before.items()), "range int, before long")
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1
+    placed = settled(ranged.withColumn("inside", inside).join(F.broadcast(offsets), "range").select((F.col("before") + F.col("inside")).alias("place"), "id", "p"))
+    trees = {}
+    for samples in _samples(n, floor):
+        trees[samples] = _tree_by_blocks(placed, min(samples, n - 1), blocks)
+
+    edges = None
+    for samples, tree in trees.items():
+        rows = tree.select(F.lit(samples).alias("samples"), "a", "b", "w", F.lit(None).cast("long").alias("id"))
+        edges = rows if edges is None else edges.unionByName(rows)
+    named = placed.select(F.lit(0).alias("samples"), F.col("place").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("w"), "id")
 
-    return vectors.select("id", "v", F.lit(0).alias("corpus")).groupBy("corpus").applyInPandas(run, "id long, cluster long, strength double")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows["id"].notna()
+        ids = rows[known].sort_values("a")["id"].to_numpy().astype(np.int64)
+        own = {int(s): sorted_tree(part[["a", "b", "w"]].to_numpy(float)) for s, part in rows[~known].groupby("samples")}
+        return _labels(own, ids, floor)
+
+    return edges.unionByName(named).withColumn("corpus", F.lit(0)).groupBy("corpus").applyInPandas(run, "id long, cluster long, strength double")  # some tens of bytes a vector
+
+
+def _pack(placed: DataFrame, blocks: int, *columns: str) -> DataFrame:
+    """(block, places, matrix, and the named columns): packed rows of a block."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        values = {"places": table["place"].to_numpy(), "matrix": table["p"].combine_chunks().flatten().to_numpy()} | {c: table[c].to_numpy() for c in columns}
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in values.items()})
+
+    dealt = placed.withColumn("block", F.pmod("place", F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(pack, ", ".join(["block long", "places binary", "matrix binary", *(f"{c} binary" for c in columns)]))
+
+
+def _pairs(packed: DataFrame, blocks: int) -> DataFrame:
+    """Every pair of blocks, side by side: columns with _a and _b."""
+    packed = settled(packed)
+    side = lambda s: packed.select(*[F.col(c).alias(f"{c}_{s}") for c in packed.columns])
+    pairs = packed.sparkSession.range(blocks * blocks).select((F.col("id") % blocks).alias("block_a"), F.floor(F.col("id") / blocks).alias("block_b"))
+    return pairs.join(side("a"), "block_a").join(side("b"), "block_b")
+
+
+def _arrays(row: dict, side: str, **kinds) -> list[np.ndarray]:
+    places = np.frombuffer(row[f"places_{side}"], np.int64)
+    return [places, np.frombuffer(row[f"matrix_{side}"]).reshape(len(places), -1), *[np.frombuffer(row[f"{c}_{side}"], t) for c, t in kinds.items()]]
+
+
+def _tree_by_blocks(placed: DataFrame, samples: int, blocks: int) -> DataFrame:
+    """(a, b, w): the tree's edges."""
+
+    def nearest(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                (places, a), (_, b) = _arrays(row, "a"), _arrays(row, "b")
+                away = distances(a, b)
+                k = min(samples + 1, away.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(list(np.partition(away, k - 1, axis=1)[:, :k]), pa.list_(pa.float64()))], names=["place", "near"])
+
+    near = _pairs(_pack(placed, blocks), blocks).mapInArrow(nearest, "place long, near array<double>")
+    # Itself is among them, at 0.
+    core = near.groupBy("place").agg(F.get(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(samples)).alias("core"))
+    state = settled(placed.join(core, "place").select("place", "p", "core", F.col("place").alias("part")))
+
+    def least_out(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                (at, a, core_a, part_a), (to, b, core_b, part_b) = (_arrays(row, s, core=np.float64, part=np.int64) for s in "ab")
+                reach = np.maximum(np.maximum(distances(a, b), core_a[:, None]), core_b[None, :])
+                reach[part_a[:, None] == part_b[None, :]] = np.inf
+                best = reach.min(axis=1)
+                some = np.flatnonzero(np.isfinite(best))
+                # Of equally short edges the one with the lower lower end, then the lower upper end.
+                tied = reach[some] == best[some, None]
+                low, high = np.minimum(at[some, None], to[None, :]), np.maximum(at[some, None], to[None, :])
+                low = np.where(tied, low, np.iinfo(np.int64).max)
+                first = low.min(axis=1)
+                second = np.where(tied & (low == first[:, None]), high, np.iinfo(np.int64).max).min(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(part_a[some]), pa.array(best[some]), pa.array(first), pa.array(second)], names=["part", "w", "a", "b"])
+
+    def join_parts(table: pa.Table) -> pa.Table:
+        """Which part each becomes: union-find over one edge per part."""
+        x, y = (table[c].to_numpy() for c in ("x", "y"))
+        parts, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+        parent = list(range(len(parts)))
+        for u, v in zip(place[: len(x)].tolist(), place[len(x) :].tolist(), strict=True):
+            while parent[u] != u:
+                parent[u] = u = parent[parent[u]]
+            while parent[v] != v:
+                parent[v] = v = parent[parent[v]]
+            parent[max(u, v)] = min(u, v)
+        root = []
+        for u in range(len(parts)):
+            while parent[u] != u:
+                parent[u] = u = parent[parent[u]]
+            root.append(u)
+        return pa.table({"part": pa.array(parts), "whole": pa.array(parts[root])})
+
+    tree = None
+    while True:
+        found = _pairs(_pack(state, blocks, "core", "part"), blocks).mapInArrow(least_out, "part long, w double, a long, b long")
+        found = found.groupBy("part").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct()
+        found = settled(found)
+        if found.isEmpty():
+            return tree
+        tree = found if tree is None else tree.unionByName(found)
+        own = lambda end, name: state.select(F.col("place").alias(end), F.col("part").alias(name))  # noqa: E731, B023
+        ends = found.join(own("a", "x"), "a").join(own("b", "y"), "b").select("x", "y")
+        wholes = ends.withColumn("corpus", F.lit(0)).groupBy("corpus").applyInArrow(join_parts, "part long, whole long")  # two numbers for each part of the round
+        state = settled(state.join(wholes, "part").select("place", "p", "core", F.col("whole").alias("part")))
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, with_strength: bool = False) -> DataFrame:
-    """(id, cluster) by MLlib k-means: the distributed stand-in for corpora beyond one task.
+    """(id, cluster) by MLlib k-means: linear in the vectors, without noise, for whoever asks for it.
 
     ``strength``, if wanted, is 1 - distance to the own centre / distance to the next one: 1 at the centre, 0 halfway between two.
     """

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from . import bridges, catalog, clustering, maps, neighbours
 
-#: Vectors up to which the density clustering runs in one task; above it, k-means stands in and says so.
-DENSITY_ROWS = 5000
 MIN_SHARED = 4
 
 
@@ -90,13 +88,15 @@ def _aligned(store: MapStore, run_id: int, rows: DataFrame) -> DataFrame:
     return rows.select("id", *moved, *[c for c in rows.columns if c not in ("id", *maps.AXES)])
 
 
-def write_clusters(vectors: DataFrame, titles: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(members: id, cluster, strength; clusters: cluster, size, label, method, centroid's first 32 values, terms)."""
-    n = vectors.count()
-    if n <= DENSITY_ROWS:
-        members, method = clustering.cluster_vectors(vectors), "density"
+def write_clusters(vectors: DataFrame, titles: DataFrame, dim: int, method: str = "density") -> tuple[DataFrame, DataFrame]:
+    """(members: id, cluster, strength; clusters: cluster, size, label, method, centroid's first 32 values, terms).
+
+    ``method`` is "density" or, where comparing all pairs is too much, "k-means": the caller's choice at any size.
+    """
+    if method == "density":
+        members = clustering.cluster_vectors(vectors)
     else:
-        members, method = clustering.kmeans(vectors, max(2, round((n / 2) ** 0.5)), with_strength=True), "k-means"
+        members = clustering.kmeans(vectors, max(2, round((vectors.count() / 2) ** 0.5)), with_strength=True)
     from ..functions.vectors import centroids
 
     own = vectors.join(members.where("cluster <> -1"), "id")
@@ -115,7 +115,7 @@ def write_links(vectors: DataFrame, members: DataFrame, clusters: DataFrame, dim
     return found.join(left, "source_id", "left").join(right, "target_id", "left").select("source_id", "target_id", "similarity", "paper_ids", catalog.shared_terms(F.col("a"), F.col("b")).alias("shared_terms"))
 
 
-def project_corpus(store: MapStore, vectors: DataFrame, titles: DataFrame, dim: int, force: bool = False) -> Outcome:
+def project_corpus(store: MapStore, vectors: DataFrame, titles: DataFrame, dim: int, force: bool = False, method: str = "density") -> Outcome:
     """Places new vectors, and refits once too many were only placed or drifted, or on request.
 
     A refit goes into a new run, is turned onto the last one by the papers they share (four at least), and is
@@ -146,7 +146,7 @@ def project_corpus(store: MapStore, vectors: DataFrame, titles: DataFrame, dim:
     if run is not None:
         displacement = catalog.mean_displacement(store.read(run, "places"), rows).first()["displacement"]
     store.write(new, "skeleton", neighbours.skeleton(vectors))
-    members, clusters = write_clusters(vectors, titles, dim)
+    members, clusters = write_clusters(vectors, titles, dim, method)
     members, clusters = store.write(new, "members", members), store.write(new, "clusters", clusters)
     store.write(new, "links", write_links(vectors, members, clusters, dim))
     store.activate(new)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.tables import settled
 
 #: Edges up to which one task searches the graph by a heap; beyond, distances are relaxed in DataFrames.
 HEAP_EDGES = 2_000_000
@@ -90,31 +90,24 @@ def find_paths(edges: DataFrame, vectors: DataFrame, ends: DataFrame) -> DataFra
     return nodes.unionByName(links).groupBy("trail").applyInPandas(search, f"trail {kind}, place int, id long, complete boolean, hops int")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Writes rows below the checkpoint folder and reads them again: plans of later rounds don't grow with earlier ones."""
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/trails-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def relax_paths(edges: DataFrame, ends: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """As find_paths, by joins alone, for graphs that no task can hold.
 
     Trails that find no way walk greedily over ``vectors``; without these they are reported by their two ends.
     """
-    edges = _settled(edges.select("a", "b", "distance"))
+    edges = settled(edges.select("a", "b", "distance"))
     found = _cheapest(edges, ends)
-    lost = _settled(ends.join(found.select("trail"), "trail", "left_anti").select("trail", "start", "goal"))
+    lost = settled(ends.join(found.select("trail"), "trail", "left_anti").select("trail", "start", "goal"))
     route = F.array("start", "goal")
     if vectors is not None:
         lost = lost.join(_walks(edges, vectors, lost), "trail", "left")
         route = F.coalesce("route", route)
     every = found.withColumn("complete", F.lit(True)).unionByName(lost.select("trail", route.alias("route"), F.lit(False).alias("complete")))
-    return every.select("trail", F.posexplode(_thinned(F.col("route"))).alias("place", "id"), "complete", (F.size("route") - 1).alias("hops"))
+    return every.select("trail", F.posexplode(thinned(F.col("route"))).alias("place", "id"), "complete", (F.size("route") - 1).alias("hops"))
 
 
-def _thinned(stops: Column, limit: int = fixed.MAX_STOPS) -> Column:
-    """As thin."""
+def thinned(stops: Column, limit: int = fixed.MAX_STOPS) -> Column:
+    """As thin, of a column of stops."""
     n = max(limit, 2)
     places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.bround(k * (F.size(stops) - 1) / (n - 1)).cast("int")))
     return F.when(F.size(stops) <= limit, stops).otherwise(F.transform(places, lambda p: F.get(stops, p)))
@@ -126,21 +119,21 @@ def _cheapest(edges: DataFrame, ends: DataFrame) -> DataFrame:
     A round extends all nodes that improved, as long as they cost less than the goal does so far; the last one improves
     none.  Distances are positive.  Of equal ways that over the earlier and lower predecessor stands, as the heap has it.
     """
-    best = _settled(ends.select("trail", "goal", F.col("start").alias("node"), F.lit(0.0).alias("cost")))
+    best = settled(ends.select("trail", "goal", F.col("start").alias("node"), F.lit(0.0).alias("cost")))
     front = best
     while not front.isEmpty():
         bound = F.broadcast(best.where("node = goal").select("trail", F.col("cost").alias("bound")))  # one row per trail
         step = front.join(bound, "trail", "left").where("bound IS NULL OR cost < bound").join(edges, F.col("node") == F.col("a"))
         step = step.select("trail", "goal", F.col("b").alias("node"), (F.col("cost") + F.col("distance")).alias("cost"), "bound").where("bound IS NULL OR cost <= bound")
         merged = best.withColumn("old", F.col("cost")).unionByName(step.drop("bound").withColumn("old", F.lit(None).cast("double")))
-        chosen = _settled(merged.groupBy("trail", "goal", "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old")))
+        chosen = settled(merged.groupBy("trail", "goal", "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old")))
         front = chosen.where("old IS NULL OR cost < old").drop("old")
         best = chosen.drop("old")
 
     into = edges.select(F.col("a").alias("before"), F.col("b").alias("node"), "distance")
     costs = best.select("trail", F.col("node").alias("before"), F.col("cost").alias("before_cost"))
     here = best.where("node = goal").join(ends.select("trail", "start"), "trail").select("trail", "start", "node", "cost", F.array("node").alias("route"))
-    here = _settled(here)
+    here = settled(here)
     while not here.where("node <> start").isEmpty():
         step = here.where("node <> start").join(into, "node").join(costs, ["trail", "before"]).where("before_cost + distance = cost")
         step = step.groupBy("trail").agg(F.min(F.struct("before_cost", "before")).alias("m"))
@@ -152,7 +145,7 @@ def _cheapest(edges: DataFrame, ends: DataFrame) -> DataFrame:
             F.when(moved, F.col("m.before_cost")).otherwise(F.col("cost")).alias("cost"),
             F.when(moved, F.concat(F.array("m.before"), "route")).otherwise(F.col("route")).alias("route"),
         )
-        here = _settled(here)
+        here = settled(here)
     return here.select("trail", "route")
 
 
@@ -163,7 +156,7 @@ def _walks(edges: DataFrame, vectors: DataFrame, ends: DataFrame, steps: int = f
     units = vectors.select(F.col("id").alias("node"), unit(F.col("v")).alias("u"))
     here = ends.select("trail", F.col("start").alias("node"), "goal").join(units.select(F.col("node").alias("goal"), F.col("u").alias("g")), "goal").join(units, "node")
     here = here.select("trail", "goal", "g", "node", dot(F.col("u"), F.col("g")).alias("likeness"), F.array("node").alias("route"), (F.col("node") != F.col("goal")).alias("open"))
-    here = _settled(here)
+    here = settled(here)
     for _ in range(steps):
         if here.where("open").isEmpty():
             break
@@ -180,5 +173,5 @@ def _walks(edges: DataFrame, vectors: DataFrame, ends: DataFrame, steps: int = f
             F.when(moved, F.concat("route", F.array("next"))).otherwise(F.col("route")).alias("route"),
             (moved & (F.col("next") != F.col("goal"))).alias("open"),
         )
-        here = _settled(here)
+        here = settled(here)
     return here.select("trail", F.when(F.col("node") == F.col("goal"), F.col("route")).otherwise(F.concat("route", F.array("goal"))).alias("route"))

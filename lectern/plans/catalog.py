@@ -28,9 +28,9 @@ def f2_trusted_quantities(spark, d):
     return op.trusted(library(spark, d, Q)).groupBy("quantity_kind").agg(F.count(F.lit(1)).alias("n"), F.sum("value_si").alias("total"))
 
 
-@query(cte(Q) + "SELECT id, value_si FROM quantities WHERE value_si >= 12000 AND value_si <= 14000 ORDER BY value_si, id LIMIT 500")
+@query(cte(Q) + "SELECT id, value_si FROM quantities WHERE value_si >= 12000 AND value_si <= 14000 ")
 def f3_value_range(spark, d):
-    return op.within(library(spark, d, Q), "value_si", 12000, 14000).select("id", "value_si").orderBy("value_si", "id").limit(500)
+    return op.within(library(spark, d, Q), "value_si", 12000, 14000).select("id", "value_si")
 
 
 @query(cte(Q) + "SELECT unit_original, count(*) AS n FROM quantities WHERE lower(unit_original) = 'khz' OR lower(unit_si) = 'khz' GROUP BY 1")
@@ -412,15 +412,15 @@ def t1_order_limit(spark, d):
     return library(spark, d, P).select("id", "n_chars").orderBy(F.desc("n_chars"), "id").offset(10).limit(25)
 
 
-@query(cte(P) + "SELECT id, confidence, title FROM papers WHERE lang = 'de' ORDER BY coalesce(confidence, 0) DESC, lower(title) ASC NULLS FIRST, id LIMIT 60")
+@query(cte(P) + "SELECT id, confidence, title FROM papers WHERE lang = 'de' ORDER BY coalesce(confidence, 0) DESC, lower(title) ASC NULLS FIRST, id")
 def t3_cluster_members(spark, d):
-    return library(spark, d, P).where("lang = 'de'").select("id", "confidence", "title").orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), F.asc_nulls_first(F.lower("title")), "id").limit(60)
+    return library(spark, d, P).where("lang = 'de'").select("id", "confidence", "title").orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), F.asc_nulls_first(F.lower("title")), "id")
 
 
-@query(cte(P) + "SELECT id, year, title FROM papers ORDER BY year DESC NULLS LAST, title NULLS LAST, id LIMIT 100")
+@query(cte(P) + "SELECT id, year, title FROM papers ORDER BY year DESC NULLS LAST, title NULLS LAST, id")
 def t5_sorted_list(spark, d):
     p = library(spark, d, P).select("id", "year", "title")
-    return p.orderBy(*op.sort_papers(p, "year", False)).limit(100)
+    return p.orderBy(*op.sort_papers(p, "year", False))
 
 
 @query(
@@ -451,9 +451,9 @@ def t9_semantic_limit(spark, d):
     return table(spark, d, "nation").select(n.alias("n"), op.semantic_limit(n).alias("most"))
 
 
-@query(cte(T) + "SELECT DISTINCT slug FROM paper_tags ORDER BY slug LIMIT 3")
+@query(cte(T) + "SELECT DISTINCT slug FROM paper_tags ORDER BY slug")
 def t10_slugs(spark, d):
-    return library(spark, d, T).select("slug").distinct().orderBy("slug").limit(3)
+    return library(spark, d, T).select("slug").distinct().orderBy("slug")
 
 
 @query(

@@ -232,6 +232,5 @@ def w4_similarity_to_next(spark, d):
 
 @query("SELECT n, array_to_string(list(CAST(p AS VARCHAR) ORDER BY p), ',') AS places FROM (SELECT DISTINCT n, CAST(round_even(k * (n - 1) / 13, 0) AS BIGINT) AS p FROM (SELECT n_nationkey + 15 AS n FROM nation), range(14) r(k)) GROUP BY 1")
 def w7_thin(spark, d):
-    n = F.col("n_nationkey") + 15
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(13)), lambda k: F.bround(k * (n - 1) / 13).cast("long").cast("string")))
-    return table(spark, d, "nation").select(n.alias("n"), F.array_join(places, ",").alias("places"))
+    stops = F.sequence(F.lit(0).cast("long"), F.col("n_nationkey") + 14)
+    return table(spark, d, "nation").select((F.col("n_nationkey") + 15).alias("n"), F.array_join(trails.thinned(stops).cast("array<string>"), ",").alias("places"))

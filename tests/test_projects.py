@@ -42,13 +42,12 @@ def test_map_life(spark, tmp_path):
     assert sorted(r.node_index for r in rows.values()) == list(range(60))
 
 
-def test_links_beyond_the_density_clustering(spark, monkeypatch):
-    monkeypatch.setattr(projects, "DENSITY_ROWS", 10)
+def test_links_of_k_means_clusters(spark):
     rng = np.random.default_rng(5)
     shared = np.ones(16) * 0.6
     matrix = np.concatenate([shared + side * np.eye(16)[0] + rng.normal(size=(12, 16)) * 0.25 for side in (1, -1)])
     vectors, titles = frame(spark, matrix), spark.createDataFrame([(k, f"paper number{k}") for k in range(24)], "id long, title string")
-    members, clusters = (df.cache() for df in projects.write_clusters(vectors, titles, 16))
+    members, clusters = (df.cache() for df in projects.write_clusters(vectors, titles, 16, "k-means"))
     strength = [r.strength for r in members.collect()]
     assert {r.method for r in clusters.collect()} == {"k-means"} and len(strength) == 24
     assert 0 <= min(strength) < max(strength) <= 1 and min(strength) <= 0.75

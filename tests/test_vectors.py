@@ -91,6 +91,29 @@ def test_thin_keeps_ends():
     assert trails.thin([1, 2]) == [1, 2]
 
 
+def test_thin_is_alike_in_both_engines(spark):
+    for n in (1, 2, 13, 14, 15, 27, 40, 41, 100):
+        stops = list(range(100, 100 + n))
+        for limit in (2, 5, 14):
+            assert spark.createDataFrame([(stops,)], "s array<long>").select(trails.thinned(F.col("s"), limit)).first()[0] == trails.thin(stops, limit)
+
+
+def test_density_clusters_are_alike_in_one_task_and_by_blocks(spark, monkeypatch):
+    """Three sizes of spread, ties by copies, noise; blocks of a few points."""
+    rng = np.random.default_rng(9)
+    matrix = np.concatenate([blobs(3, 18, dim=12, spread=0.8, seed=2)[0], rng.normal(size=(14, 12)) * 6])
+    matrix[5] = matrix[6] = matrix[7]
+    v = frame(spark, matrix).coalesce(2).cache()
+    rows = lambda: sorted((r.id, r.cluster, round(r.strength, 6)) for r in clustering.cluster_vectors(v).collect())
+    want = rows()
+    assert len({c for _, c, _ in want if c >= 0}) >= 3
+    monkeypatch.setattr(clustering, "DENSITY_ROWS", 0)
+    monkeypatch.setattr(clustering, "BLOCK_ROWS", 25)
+    assert rows() == want
+    few = frame(spark, matrix[:10])
+    assert all(r.cluster == -1 for r in clustering.cluster_vectors(few).collect())
+
+
 def test_bridges_need_a_paper_between(spark):
     rng = np.random.default_rng(5)
     shared = np.ones(16) * 0.6
