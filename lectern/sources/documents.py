@@ -1,4 +1,4 @@
-"""Texts out of files: plain text, DOCX, EPUB, DjVu text layers; what can't be read becomes a row that says why."""
+"""Texts out of files: plain text, DOCX, EPUB, MOBI, PDF and DjVu text layers; what can't be read becomes a row that says why."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import posixpath
 import re
 import struct
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .html import html_to_markdown
+from .mobi import read_mobi
+from .pdf import read_pdf
 
 MOST_UNPACKED, CHARS_PER_PAGE = 40 << 20, 2100
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -133,11 +136,14 @@ def parse(kind: str | None, raw: bytes | None, page_limit: int = 0) -> dict:
         elif kind == "djvu":
             out["markdown"], out["pages"] = read_djvu(raw, page_limit)
         elif kind == "mobi":
-            encrypted = struct.unpack_from(">H", raw, struct.unpack_from(">I", raw, 78)[0] + 12)[0]
-            out["problem"] = "protected by DRM" if encrypted else "no reader for this format is installed"
+            out |= read_mobi(raw)
+        elif kind == "pdf":
+            out |= read_pdf(raw, page_limit)
         else:
             out["problem"] = "no reader for this format is installed"
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, TypeError, struct.error) as error:
+    except PermissionError as error:
+        out["problem"] = str(error)
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, TypeError, AttributeError, IndexError, OverflowError, RecursionError, struct.error, zlib.error) as error:
         out["problem"] = f"{type(error).__name__}: {error}"
     if out["markdown"] is not None and not out["pages"]:
         out["pages"] = max(1, round(len(out["markdown"]) / 1800))

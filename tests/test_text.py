@@ -191,6 +191,104 @@ def test_djvu_layers():
     assert sources.read_djvu(raw) == ("page text\n\npage text", 2)
 
 
+def small_pdf(packed: bool, contents: bytes, unicode_map: bytes | None = None, extra: bytes = b"") -> bytes:
+    """A file of two equal pages; with ``packed`` streams are deflated and dictionaries stand in an object stream."""
+    import zlib
+
+    def stream(facts, data):
+        data = zlib.compress(data) if packed else data
+        return b"<<" + facts + (b"/Filter/FlateDecode" if packed else b"") + b"/Length %d>>\nstream\n" % len(data) + data + b"\nendstream"
+
+    font = b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding<</Differences[1/fi/eacute/uni2192]>>" + (b"/ToUnicode 7 0 R" if unicode_map else b"") + b">>"
+    plain = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R 4 0 R]/Count 2/Resources<</Font<</F1 6 0 R>>>>>>", 3: b"<</Type/Page/Parent 2 0 R/Contents[5 0 R]>>", 4: b"<</Type/Page/Parent 2 0 R/Contents 5 0 R>>", 6: font, 8: b"<</Title(A \\(short\\) title)/Author<feff00c9>/CreationDate(D:20190102)>>"}
+    streams = {5: stream(b"", contents)} | ({7: stream(b"", unicode_map)} if unicode_map else {})
+    if packed:
+        body, places = b"", []
+        for n, x in plain.items():
+            places.append(b"%d %d" % (n, len(body)))
+            body += x + b" "
+        head = b" ".join(places) + b" "
+        streams[9] = stream(b"/Type/ObjStm/N %d/First %d" % (len(plain), len(head)), head + body)
+        plain = {}
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n" % n + x + b"\nendobj\n" for n, x in (plain | streams).items()) + extra + b"trailer<</Root 1 0 R/Info 8 0 R>>\n%%EOF"
+
+
+PAGE = rb"""BT /F1 20 Tf 72 700 Td (Heading of it) Tj /F1 10 Tf 0 -40 Td [(Some)-300(text) 20 (s of the \1rst)] TJ
+0 -12 Td (line, caf\002 \(and\051 the sec-) Tj 12 TL (ond one \003 x) ' 0 -60 Td (A new paragraph) Tj 80 0 Td (on one line) Tj 1 0 0 1 72 300 Tm <426f6479> Tj ET"""
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_text_layers(packed):
+    found = sources.parse("pdf", small_pdf(packed, PAGE))
+    assert found["problem"] is None, found
+    page = "# Heading of it\n\nSome texts of the first\nline, café (and) the second one → x\n\nA new paragraph on one line\n\nBody"
+    assert found["markdown"] == f"{page}\n\n{page}" and found["pages"] == 2
+    assert (found["title"], found["authors"], found["year"]) == ("A (short) title", "É", 2019)
+    assert sources.parse("pdf", small_pdf(packed, PAGE), 1)["markdown"] == page
+
+
+def test_pdf_unicode_maps_and_problems():
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <00660069> endbfchar 2 beginbfrange <0002> <0004> <0041> <0005> <0006> [<4e2d> <6587>] endbfrange"
+    raw = small_pdf(True, b"BT /F1 10 Tf 10 10 Td <00010002000300040005000600ff> Tj ET", cmap)
+    assert sources.parse("pdf", raw, 1)["markdown"] == "fiABC中文\ufffd"
+    assert "no text layer" in sources.parse("pdf", small_pdf(False, b"0 0 10 10 re f"))["problem"]
+    assert "protected" in sources.parse("pdf", small_pdf(False, PAGE, extra=b"trailer<</Encrypt 3 0 R>>"))["problem"]
+    rng = np.random.default_rng(3)
+    whole = small_pdf(True, PAGE)
+    for _ in range(300):  # damaged files are rows with a problem, or with what is left of their text
+        broken = bytearray(whole)
+        for k in rng.integers(0, len(broken), 8):
+            broken[k] = rng.integers(0, 256)
+        found = sources.parse("pdf", bytes(broken[: rng.integers(9, len(broken))]))
+        assert (found["problem"] is None) != (found["markdown"] is None)
+
+
+def mobi(text: bytes, packing: int = 2, drm: int = 0) -> bytes:
+    """A book of one record per 4,000 bytes, packed by letters, copies and spaces."""
+    def pack(record):
+        out, at = b"", 0
+        while at < len(record):
+            back = record.rfind(record[at : at + 5], max(0, at - 2000), at) if at + 5 <= len(record) else -1
+            if back >= 0:
+                out += (0x8000 | (at - back) << 3 | 2).to_bytes(2, "big")
+                at += 5
+            elif record[at] == 32 and at + 1 < len(record) and 64 <= record[at + 1] < 128:
+                out += bytes([record[at + 1] | 0x80])
+                at += 2
+            elif 9 <= record[at] < 128 or record[at] == 0:
+                out += record[at : at + 1]
+                at += 1
+            else:
+                out += b"\x01" + record[at : at + 1]
+                at += 1
+        return out
+
+    import struct
+
+    parts = [text[k : k + 4000] for k in range(0, len(text), 4000)]
+    title = "A Bóok".encode()
+    head = struct.pack(">HHIHHH", packing, 0, len(text), len(parts), 4096, drm) + b"\0\0" + b"MOBI" + struct.pack(">III", 228, 2, 65001) + b"\0" * 52 + struct.pack(">II", 248, len(title)) + b"\0" * 156
+    head = head[:248].ljust(248, b"\0") + title
+    records = [head, *[pack(p) if packing == 2 else p for p in parts]]
+    at = 78 + 8 * len(records)
+    index = b""
+    for r in records:
+        index += struct.pack(">II", at, 0)
+        at += len(r)
+    return b"A_Book".ljust(32, b"\0") + b"\0" * 28 + b"BOOKMOBI" + b"\0" * 8 + struct.pack(">H", len(records)) + index + b"".join(records)
+
+
+@pytest.mark.parametrize("packing", [1, 2])
+def test_mobi(packing):
+    text = "<html><body><h1>One é</h1><p>" + "Words and words again, and words. " * 400 + "</p></body></html>"
+    found = sources.parse("mobi", mobi(text.encode(), packing))
+    assert found["problem"] is None and found["title"] == "A Bóok"
+    assert found["markdown"] == html_to_markdown(text)
+    assert sources.parse("mobi", mobi(text.encode(), packing, 2))["problem"] == "protected by DRM"
+    assert "compression" in sources.parse("mobi", mobi(b"x", 17480))["problem"]
+    assert sources.parse("mobi", b"BOOK")["problem"]
+
+
 def test_decoding():
     assert sources.decode_text("é".encode()) == "é"
     assert sources.decode_text(b"\xef\xbb\xbfx") == "x"
