@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions.partitions import spread
 from ..operators import catalog, chunks, jobs, metadata, review, search
 from ..sources import html, library as files
+from ..sources.documents import parse_documents
 from ..streaming import ingest
 from .base import cte, library, query, table
 
@@ -419,6 +420,18 @@ def n1_json_fields(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query("SELECT p_partkey, p_name || chr(10) || chr(10) || 'size ' || p_size AS markdown, 1 AS pages, p_brand AS title, NULL AS problem FROM part")
+def s9_pdf_text_layers(spark, d):
+    # A file of one page per part, put together in the JVM and read like any other.
+    said = lambda c: F.regexp_replace(F.col(c), r"([\\\\()])", r"\\\\$1")
+    content = F.concat(F.lit("BT /F 10 Tf 72 700 Td ("), said("p_name"), F.lit(") Tj 0 -40 Td [(si) 10 (ze) -400 ("), F.col("p_size").cast("string"), F.lit(")] TJ ET"))
+    objects = ("<</Type/Catalog/Pages 2 0 R>>", "<</Type/Pages/Kids[3 0 R]/Count 1>>", "<</Type/Page/Parent 2 0 R/Contents 4 0 R>>")
+    head = "%PDF-1.4\n" + "".join(f"{k} 0 obj\n{x}\nendobj\n" for k, x in enumerate(objects, 1))
+    file = F.concat(F.lit(head + "4 0 obj\n<<>>stream\n"), content, F.lit("\nendstream\nendobj\n5 0 obj\n<</Title("), said("p_brand"), F.lit(")>>\nendobj\ntrailer<</Root 1 0 R/Info 5 0 R>>"))
+    files = spread(table(spark, d, "part").select("p_partkey", F.lit("pdf").alias("kind"), file.cast("binary").alias("content")))
+    return parse_documents(files).select("p_partkey", "markdown", "pages", "title", "problem")
+
+
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'pdf' WHEN page_id % 4 = 1 THEN 'djvu' WHEN page_id % 4 = 2 THEN 'markdown' END AS kind, CASE WHEN page_id % 4 = 3 THEN 'not a document' END AS problem FROM pages")
 def s2_document_kinds(spark, d):
     k = F.col("page_id") % 4
