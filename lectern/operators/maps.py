@@ -95,18 +95,14 @@ def provisional_halo(provisional: Column, drift: Column) -> Column:
 
 
 def fit_pca(vectors: DataFrame, dim: int, axes: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and leading components of ``v``; the moments are aggregates, the dim x dim eigenproblem is the driver's."""
+    """Mean and leading components of ``v``; all sums are made in the JVM."""
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
     rows = vectors.select(array_to_vector(F.col("v").cast("array<double>")).alias("v"))
     mean = np.asarray(rows.select(Summarizer.mean(F.col("v"))).first()[0].toArray())
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    covariance = RowMatrix(rows.rdd.map(lambda r: r[0].toArray().tolist())).computeCovariance().toArray()
-    values, components = np.linalg.eigh(covariance)
-    order = np.argsort(-values)[:axes]
-    chosen = components[:, order]
+    chosen = PCA(k=min(axes, dim), inputCol="v", outputCol="p").fit(rows).pc.toArray()
     sign = np.sign(chosen[np.abs(chosen).argmax(axis=0), np.arange(chosen.shape[1])])
     return mean, np.pad(chosen * sign, ((0, 0), (0, axes - chosen.shape[1])))
 

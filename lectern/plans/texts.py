@@ -162,7 +162,12 @@ def x22_prose_candidates(spark, d):
     return docs.select("doc_id", ((F.length("text") >= 200) & ~tx.squeeze(F.col("text")).rlike(r"^(#|>|- |\p{Ll})")).alias("candidate"))
 
 
-@query()
+@query(
+    rf"""WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), w AS (SELECT *, string_split(t, ' ') AS ws FROM s)
+    SELECT doc_id, coalesce(length(t) >= 200 AND NOT regexp_matches(t, '^(?:#|>|- )') AND NOT regexp_matches(substr(t, 1, 200), '{fixed.NOTICE}') AND NOT regexp_matches(t, '{fixed.CAPTION}')
+      AND NOT regexp_matches(t, '{fixed.TABLE_ROW}') AND NOT regexp_matches(t, '^\p{{Ll}}') AND len(regexp_extract_all(t, '{fixed.SENTENCE_END}')) >= 2
+      AND len(list_filter(ws, lambda x: regexp_matches(x, '^\p{{Lu}}')))::DOUBLE / len(ws) < 0.4 AND len(list_filter(ws, lambda x: regexp_matches(x, '\p{{Nd}}')))::DOUBLE / len(ws) < 0.15, FALSE) AS prose FROM w"""
+)
 def x22_is_prose(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.coalesce(tx.is_prose(F.col("text")), F.lit(False)).alias("prose"))
 
