@@ -11,6 +11,7 @@ from ..operators import catalog, chunks, jobs, metadata, review, search
 from ..sources import html, library as files
 from ..sources.documents import parse_documents
 from ..streaming import ingest
+from . import sql
 from .base import cte, library, query, table
 
 P, J, Q = "papers", "jobs", "quantities"
@@ -46,6 +47,13 @@ def x3_chunks_of_documents(spark, d):
     return chunks.chunk_markdown(docs, "doc_id").select("doc_id", "ord", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
+@query()
+def x3_split_long_texts(spark, d):
+    """Overlapping pieces of every whole text, in SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, p.ord, p.text FROM {docs} AS t, LATERAL split_long(t.text) AS p", docs=spread(table(spark, d, "documents").select("doc_id", "text")))
+
+
 @query()
 def x5_document_texts(spark, d):
     pages = _markdown(spark, d).withColumn("title", F.concat(F.lit(" Page "), F.col("page_id").cast("string"))).withColumn("abstract", F.lit(None).cast("string")).withColumn("summary", F.lit(""))

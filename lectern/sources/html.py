@@ -72,10 +72,10 @@ def html_to_markdown(html: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def _markdown(pages: pd.Series) -> pd.Series:
+def markdown_of(pages: pd.Series) -> pd.Series:
     return pages.map(html_to_markdown)
 
 
 def markdown(html: str | Column) -> Column:
     """A column of pages as Markdown."""
-    return _markdown(html)
+    return markdown_of(html)

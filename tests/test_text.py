@@ -59,6 +59,18 @@ def test_split_long_overlaps_and_ends():
     assert all(len(p) <= fixed.CHUNK_CHARS for p in pieces)
 
 
+def test_functions_have_names_in_sql(spark):
+    from lectern.plans import sql
+
+    sql.register(spark)
+    texts = {1: "word. " * 900, 2: "short", 3: None, 4: "", 5: "para\n\n" * 1000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = spark.sql("SELECT doc_id, p.ord, p.text FROM {docs} AS t, LATERAL split_long(t.text) AS p", docs=docs).collect()
+    assert sorted((r.doc_id, r.ord, r.text) for r in found) == [(i, k, x) for i, t in texts.items() if t is not None for k, x in enumerate(chunks.split_long(t))]
+    row = spark.sql("SELECT html_markdown('<h1>A</h1>') AS m, title_of('# A title long enough') AS t, synopsis_of('x').text AS s, excerpt_of('x') AS e").first()
+    assert (row.m, row.t, row.s, row.e) == ("# A", "A title long enough", None, None)
+
+
 def test_work_keys(spark):
     key = lambda **k: one(spark, tx.work_key(*[F.lit(k.get(n)).cast("string") for n in ("doi", "arxiv", "title", "author", "digest")]))
     assert key(doi="https://doi.org/10.1000/AbC.1).") == "doi:10.1000/abc.1"
