@@ -113,7 +113,7 @@ def set_digests(group: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _signed(size: int):
-    """id, n_shingles, a digest of the set in two numbers, and the keys of all bands."""
+    """id, n_shingles, a digest of the set in two numbers, the keys of all bands, and what else the rows carry."""
 
     def run(batches):
         for batch in batches:
@@ -127,7 +127,7 @@ def _signed(size: int):
                 if len(some):
                     keys[some] = band_keys(superminhash(np.searchsorted(some, group), hashes, len(some)))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(digest[0]), pa.array(digest[1]), bands, batch.column(2).slice(i, j - i)], names=["id", "n_shingles", "d0", "d1", "bands", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(digest[0]), pa.array(digest[1]), bands, *(c.slice(i, j - i) for c in batch.columns[2:])], names=["id", "n_shingles", "d0", "d1", "bands", "at", "key"])
 
     return run
 
@@ -205,40 +205,52 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     id and text all carry the same result.  A very long text is one set as others are, in memory by itself.  Other
     columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    ident, body = F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("body")
-    keyed = docs.select(ident, body, (F.lit(0) if key is None else key).alias("key"))
-    kind = dict(keyed.dtypes)["key"]
-    signed = materialize(keyed.mapInArrow(_signed(shingle), f"id long, n_shingles long, d0 long, d1 long, bands array<long>, key {kind}"), "near-signed")
-    with scratch(spark) as keep:
-        names = keep(_components(signed, docs.select(ident, body), share, shingle), "near-components")
+    rows = numbered(docs, id_column, text_column, key)
+    kind = dict(rows.dtypes)["key"]
+    signed = materialize(rows.mapInArrow(_signed(shingle), f"id long, n_shingles long, d0 long, d1 long, bands array<long>, at long, key {kind}"), "near-signed")
+    out = with_components(signed, rows, share, shingle)
+    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *["key"] * (key is not None))
+
+
+def numbered(docs: DataFrame, id_column: str, text_column: str, key: Column | None = None) -> DataFrame:
+    """id, body, at: a hash of both that finds a row again, whatever ids repeat or are null, and key."""
+    ident, body = F.col(id_column).cast("long"), F.col(text_column).cast("string")
+    return docs.select(ident.alias("id"), body.alias("body"), F.xxhash64(ident, body).alias("at"), (F.lit(0) if key is None else key).alias("key"))
+
+
+def with_components(signed: DataFrame, rows: DataFrame, share: int, shingle: int) -> DataFrame:
+    """``signed`` (id, n_shingles, d0, d1, bands: keys one of which any two linked sets share, at, key) as id, n_shingles, key, component_id.
+
+    ``rows`` holds the texts under the same ``at``.
+    """
+    with scratch(signed.sparkSession) as keep:
+        names = keep(_components(signed, rows, share, shingle), "near-components")
     named = signed.select("id", "n_shingles", "d0", "d1", "key").where("n_shingles > 0").join(names, ["d0", "d1"])
     wordless = signed.where("n_shingles = 0").select("id", "n_shingles", "key", F.col("id").alias("component_id"))
-    out = named.select("id", "n_shingles", "key", "component_id").unionByName(wordless)
-    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *["key"] * (key is not None))
+    return named.select("id", "n_shingles", "key", "component_id").unionByName(wordless)
 
 
 def _components(signed: DataFrame, rows: DataFrame, share: int, shingle: int) -> DataFrame:
     """(d0, d1, component_id: the least id) of every class of equal sets."""
     # Of a class, the document of least id is the one whose text is read; its number is given when the table is written.
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n_shingles", "bands")).alias("x")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n_shingles", "at", "bands")).alias("x")
     classes = signed.where("n_shingles > 0").groupBy("d0", "d1").agg(first)
-    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "d0", "d1", F.col("x.id").alias("least"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.bands").alias("bands"))
+    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "d0", "d1", F.col("x.id").alias("least"), "x.n_shingles", "x.at", "x.bands")
     classes = materialize(classes, "near-classes")
 
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre <> last")
+    banded = classes.select("rep", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre <> last")
     buckets = materialize(buckets.drop("last"), "near-buckets")
-    pairs = banded.join(buckets, ["band", "key"]).where("rep <> centre").select("centre", "rep").distinct()
+    pairs = banded.join(buckets, "key").where("rep <> centre").select("centre", "rep").distinct()
     pairs = materialize(pairs, "near-pairs")
 
     wanted = pairs.select("rep").unionByName(pairs.select(F.col("centre").alias("rep"))).distinct()
-    wanted = materialize(classes.join(wanted, "rep", "left_semi").select("rep", "d0", "d1", F.coalesce("least", F.lit(0)).alias("at")), "near-wanted")
-    # Texts that no pair needs are mostly held back by a filter of bounded size, before the shuffle.
+    wanted = materialize(classes.join(wanted, "rep", "left_semi").select("rep", "d0", "d1", "at"), "near-wanted")
+    # Texts that no pair needs are mostly held back by a filter of bounded size.  Rows of equal texts meet as one set per task before the shuffle.
     bitmaps = bitmaps_for(wanted.count())
-    texts = may_hold(rows.withColumn("at", F.coalesce("id", F.lit(0))), materialize(make_filter(wanted, bitmaps, "at"), "near-filter"), bitmaps, "at")
-    texts = texts.where("may_hold").join(wanted.select("at").hint("merge"), "at", "left_semi")
-    sets = texts.select("body").mapInArrow(_as_sets(shingle), "d0 long, d1 long, shingles binary").join(wanted.hint("merge"), ["d0", "d1"])
+    texts = may_hold(rows.select("body", "at"), materialize(make_filter(wanted, bitmaps, "at"), "near-filter"), bitmaps, "at")
+    sets = texts.where("may_hold").select("body").mapInArrow(_as_sets(shingle), "d0 long, d1 long, shingles binary")
+    sets = sets.groupBy("d0", "d1").agg(F.first("shingles").alias("shingles")).hint("merge").join(wanted.select("rep", "d0", "d1").hint("merge"), ["d0", "d1"])
     sets = materialize(sets.select("rep", "shingles"), "near-sets")
 
     left = sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("a"))

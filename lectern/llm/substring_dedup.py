@@ -43,13 +43,17 @@ SHORT_HASH = 6
 _U = np.uint64
 
 
-def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Rows (batch, n_words, ids, nulls, ends, body): compressed texts of about ``batch_bytes``."""
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("body"))
+def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", batch_bytes: int = BATCH_BYTES, number: str | None = None) -> DataFrame:
+    """Rows (batch, n_words, ids, nulls, ends, body): compressed texts of about ``batch_bytes``.
+
+    ``number`` names a column of 64-bit numbers that goes along under its name, without nulls.
+    """
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("body"), *[number] * (number is not None))
+    extra = [number] * (number is not None)
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
-        ids, ends, parts, size = [], [], [], 0
+        place = TaskContext.get().partitionId() << 32
+        ids, numbers, ends, parts, size = [], [], [], [], 0
 
         def row():
             data = np.concatenate(parts)
@@ -57,9 +61,9 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             body = pa.compress(data.tobytes(), codec="zstd", asbytes=True)
             offsets = np.concatenate([[0], np.concatenate(ends)]).astype(np.int64)
             known = pa.concat_arrays(ids)
-            values = [[number], [words], [known.fill_null(NULL_ID).to_numpy().tobytes()], [np.packbits(known.is_null().to_numpy(zero_copy_only=False)).tobytes()], [offsets.tobytes()], [body]]
-            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["batch", "n_words", "ids", "nulls", "ends", "body"])
+            values = [[place], [words], [known.fill_null(NULL_ID).to_numpy().tobytes()], [np.packbits(known.is_null().to_numpy(zero_copy_only=False)).tobytes()], [offsets.tobytes()], [body], *[[pa.concat_arrays(numbers).to_numpy().tobytes()] for _ in extra]]
+            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * (4 + len(extra)))
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["batch", "n_words", "ids", "nulls", "ends", "body", *extra])
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
@@ -67,15 +71,16 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             for i, j in slices(offsets, batch_bytes):
                 if size and size + offsets[j] - offsets[i] > batch_bytes:
                     yield row()
-                    number, ids, ends, parts, size = number + 1, [], [], [], 0
+                    place, ids, numbers, ends, parts, size = place + 1, [], [], [], [], 0
                 ids.append(own.slice(i, j - i))
+                numbers += [batch.column(2).slice(i, j - i) for _ in extra]
                 ends.append(offsets[i + 1 : j + 1] - offsets[i] + size)
                 parts.append(data[offsets[i] : offsets[j]])
                 size += int(offsets[j] - offsets[i])
         if ids:
             yield row()
 
-    return rows.mapInArrow(run, "batch long, n_words long, ids binary, nulls binary, ends binary, body binary")
+    return rows.mapInArrow(run, ", ".join(["batch long, n_words long, ids binary, nulls binary, ends binary, body binary", *(f"{c} binary" for c in extra)]))
 
 
 def _each(table: pa.RecordBatch):
