@@ -10,6 +10,7 @@ from .bpe import BpeModel, token_digests
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
 from .media import text_images
+from .merkle import merkle_manifest
 from .minhash import near_duplicates
 from .mixing import mix
 from .ngram_join import jaccard_join
@@ -82,11 +83,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_media_columns, op4_license_scan, op5_mix_sources, op6_pii, op7_minhash_dedup, op8_quality_classifier, op9_exact_dedup, op10_token_counts, op13_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_media_columns, op4_license_scan, op5_mix_sources, op6_pii, op7_minhash_dedup, op8_quality_classifier, op9_exact_dedup, op10_token_counts, op12_merkle_manifest, op13_ngram_join)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,6 +110,18 @@ def _linked_sql(size: int, more: str = "") -> str:
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
+#: CRC-32 of an id's digits: the reflected polynomial, a bit at a time.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"""
+#: Every 16 consecutive nodes of a list become the hash of them.
+_PARENTS = "list_transform(range(0, (len(nodes) + 15) // 16), lambda i: sha256(array_to_string(list_slice(nodes, 16 * i + 1, 16 * i + 16), '')))"
+
+
+def _fields(text: str) -> str:
+    """All columns, each with its length in bytes before it."""
+    return " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+
+
 ORACLE_SQL = {
     "op1_substring_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -119,5 +136,21 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE tampered AS (SELECT *, CASE WHEN {_CRC32} % 5 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END AS other FROM documents),
+        leaves AS (SELECT doc_id, source, sha256({_fields("text")}) AS leaf, sha256({_fields("other")}) AS changed FROM tampered),
+        first AS (SELECT coalesce('=' || source, '') AS tree, list(leaf ORDER BY doc_id, leaf) AS nodes FROM leaves GROUP BY 1),
+        below(tree, level, nodes) AS (SELECT tree, 0, nodes FROM first UNION ALL SELECT tree, level + 1, {_PARENTS} FROM below WHERE len(nodes) > 1),
+        tops AS (SELECT tree, nodes[1] AS subroot FROM below WHERE len(nodes) = 1),
+        above(level, nodes) AS (SELECT 0, list(subroot ORDER BY encode(tree)) FROM tops UNION ALL SELECT level + 1, {_PARENTS} FROM above WHERE len(nodes) > 1),
+        levels AS (SELECT t.tree, s.part, s.level, s.nodes FROM tops t JOIN (SELECT tree, 0 AS part, level, nodes FROM below WHERE len(nodes) > 1 UNION ALL SELECT NULL, 1, level, nodes FROM above WHERE len(nodes) > 1) s ON s.tree IS NULL OR s.tree = t.tree),
+        placed AS (SELECT doc_id, leaf, changed, coalesce('=' || source, '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS p0 FROM leaves),
+        ranked AS (SELECT tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS p1 FROM tops),
+        steps AS (SELECT doc_id, leaf, changed, tree, part, level, (CASE part WHEN 0 THEN p0 ELSE p1 END) // (16 ** level)::BIGINT AS p, nodes, row_number() OVER (PARTITION BY doc_id, leaf ORDER BY part, level) AS k FROM placed JOIN ranked USING (tree) LEFT JOIN levels USING (tree)),
+        sides AS (SELECT doc_id, leaf, changed, tree, k, coalesce(array_to_string(list_slice(nodes, p // 16 * 16 + 1, p), ''), '') AS l, coalesce(array_to_string(list_slice(nodes, p + 2, p // 16 * 16 + 16), ''), '') AS r, nodes IS NULL AS bare FROM steps),
+        proofs AS (SELECT doc_id, leaf, sha256(string_agg(l || r, '' ORDER BY k)) AS proof_sha256, count(*) AS n FROM sides GROUP BY 1, 2),
+        folded(doc_id, leaf, k, h) AS (SELECT doc_id, leaf, 0, changed FROM placed UNION ALL SELECT f.doc_id, f.leaf, f.k + 1, CASE WHEN bare THEN h ELSE sha256(l || h || r) END FROM folded f JOIN sides s ON s.doc_id = f.doc_id AND s.leaf = f.leaf AND s.k = f.k + 1)
+        SELECT p.doc_id, p.leaf, subroot, root, proof_sha256, h AS folded_root, h = root AS verified
+        FROM placed p JOIN tops USING (tree) JOIN (SELECT nodes[1] AS root FROM above WHERE len(nodes) = 1) ON true JOIN proofs q ON q.doc_id = p.doc_id AND q.leaf = p.leaf JOIN folded f ON f.doc_id = p.doc_id AND f.leaf = p.leaf AND f.k = q.n""",
     "op13_ngram_join": _linked_sql(5),
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from lectern.llm import minhash, ngram_join
+from lectern.llm import merkle, minhash, ngram_join
+from lectern.llm.merkle import merkle_manifest
 from lectern.llm.ngram_join import boundary, count_class, jaccard_join, overlaps, prefix, subset_keys, subsets
 
 from .test_dedup import LOWER, WORD, awkward, frame
@@ -119,3 +122,109 @@ def test_boundary_follows_cost():
     assert boundary({}) == 0
     steps = count_class(np.arange(1, 10**6, 37))
     assert (np.diff(steps.astype(int)) >= 0).all() and steps[-1] < 255
+
+
+def H(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_leaf(*values):
+    return H("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def plain_tree(nodes):
+    """The root, and for each leaf the [left, right] siblings of each level."""
+    sides = [[] for _ in nodes]
+    place = list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, p in enumerate(place):
+            run = nodes[p // 16 * 16 : p // 16 * 16 + 16]
+            sides[k].append(("".join(run[: p % 16]), "".join(run[p % 16 + 1 :])))
+        nodes, place = [H("".join(nodes[k : k + 16])) for k in range(0, len(nodes), 16)], [p // 16 for p in place]
+    return nodes[0], sides
+
+
+def plain_manifest(rows):
+    """Rows (doc_id, source, lang, n_chars, text); ids are distinct within a source, or leaves equal."""
+    trees = {}
+    for r in rows:
+        trees.setdefault(r[1], []).append(r)
+    names = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    built, out = [], []
+    for name in names:
+        own = sorted(trees[name], key=lambda r: (r[0] is None, r[0] or 0, plain_leaf(*r)))
+        built.append((own, *plain_tree([plain_leaf(*r) for r in own])))
+    if not rows:
+        return []
+    root, upper = plain_tree([b[1] for b in built])
+    for (own, subroot, sides), above in zip(built, upper, strict=True):
+        for r, side in zip(own, sides, strict=True):
+            changed = r[4]
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 and changed is not None:
+                changed = changed.translate(LOWER)
+            node = plain_leaf(*r[:4], changed)
+            for left, right in side + above:
+                node = H(left + node + right)
+            out.append((r[0], plain_leaf(*r), subroot, root, H("".join(a + b for a, b in side + above)), node, node == root))
+    return sorted(out, key=str)
+
+
+def manifest_rows(seed):
+    """Sources of one row, of 16, 17, 256, 257 and several hundred, a null one, one that reads like another's mark, repeats and odd texts."""
+    rng = random.Random(seed)
+    sizes = {None: 3, "": 1, "=": 2, "a": 1, "b": 16, "c": 17, "\ud55c\uad6d": 256, "d": 257, "\U0001f600": 40, "hot": 700, **{f"s{k}": 2 for k in range(20)}}
+    rows = []
+    for name, n in sizes.items():
+        for i in rng.sample(range(-500, 5000), n):
+            rows.append((i, name, rng.choice(["en", None, ""]), rng.choice([None, 3, -1]), rng.choice([None, "", "Abc", "ABC déf É", "x" * 3000, f"t{i}"])))
+    rows += [(7, "twice", "en", 1, "Same")] * 2 + [(None, "none", None, None, f"T{k}") for k in range(20)] + [(None, "none", None, None, None)] * 3
+    rng.shuffle(rows)
+    return rows
+
+
+def manifest(spark, rows, parts=3):
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, source string, lang string, n_chars long, text string, tree string, index int").repartition(parts)
+    return sorted(map(tuple, merkle_manifest(df).collect()), key=str)
+
+
+@pytest.mark.parametrize("leaves", [90, 10**6])
+def test_manifest_equals_a_plain_one(spark, monkeypatch, leaves):
+    """In many partitions, whose edges are unaligned, and in one."""
+    monkeypatch.setattr(merkle, "PART_LEAVES", leaves)
+    rows = manifest_rows(leaves % 7)
+    found = manifest(spark, rows)
+    assert found == plain_manifest(rows)
+    assert {x[-1] for x in found} == {True, False}
+
+
+def test_manifest_of_little(spark):
+    assert manifest(spark, []) == []
+    one = [(5, "s", "en", 1, "Text")]
+    assert manifest(spark, one) == plain_manifest(one)
+    assert manifest(spark, one)[0][4] == H("")
+    alone = [(k, f"s{k:03}", None, None, None) for k in range(300)]
+    assert manifest(spark, alone) == plain_manifest(alone)
+
+
+def test_mountains_meet_wherever_a_tree_is_cut():
+    rng = random.Random(1)
+    for _ in range(200):
+        n = rng.choice([1, 2, 15, 16, 17, 255, 256, 257, 300, 700, 4097])
+        nodes = [H(str(k)) for k in range(n)]
+        cuts = sorted({0, n, *(rng.randrange(n) for _ in range(rng.randint(0, 5)))})
+        runs, edges = {}, {}
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            m = merkle.Mountains(n, a)
+            for x in nodes[a:b]:
+                m.add(x)
+            m.close()
+            assert all(len(x) == merkle.HEX * min(16, merkle.sizes_of_levels(n)[level] - 16 * at) for level, at, x in m.runs)
+            runs |= {(level, at): x for level, at, x in m.runs}
+            edges |= {(level, at): x for level, at, x in m.edges}
+            assert len(m.edges) <= 30 * len(m.sizes)
+        for level, size in enumerate(merkle.sizes_of_levels(n)[:-1]):
+            for at in range(-(-size // 16)):
+                own = [edges.get((level, k)) for k in range(16 * at, min(size, 16 * at + 16))]
+                assert all(own) if (level, at) not in runs else not any(own)
+                edges.setdefault((level + 1, at), H("".join(own))) if all(own) else None
+        assert edges[len(merkle.sizes_of_levels(n)) - 1, 0] == plain_tree(nodes)[0]
