@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.partitions import spread
+from .alignment import PieceModel, align_tokenizers
 from .bpe import BpeModel, token_digests
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
@@ -83,6 +84,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = align_tokenizers(_table(spark, sf_dir, "documents"), BpeModel(tokenizer_path()), PieceModel(tokenizer_path("piece_bpe_32k.model")))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -91,7 +97,7 @@ def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_media_columns, op4_license_scan, op5_mix_sources, op6_pii, op7_minhash_dedup, op8_quality_classifier, op9_exact_dedup, op10_token_counts, op12_merkle_manifest, op13_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_media_columns, op4_license_scan, op5_mix_sources, op6_pii, op7_minhash_dedup, op8_quality_classifier, op9_exact_dedup, op10_token_counts, op11_tokenizer_alignment, op12_merkle_manifest, op13_ngram_join)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -9,10 +9,15 @@ import zlib
 import numpy as np
 import pytest
 
-from lectern.llm import merkle, minhash, ngram_join
+from lectern.llm import alignment, merkle, minhash, ngram_join
+
+from lectern.llm.alignment import Aligned, PieceModel, align_tokenizers
+from lectern.llm.bpe import BpeModel
 from lectern.llm.merkle import merkle_manifest
 from lectern.llm.ngram_join import boundary, count_class, jaccard_join, overlaps, prefix, subset_keys, subsets
 
+from lectern.llm.queries import tokenizer_path
+
 from .test_dedup import LOWER, WORD, awkward, frame
 
 
@@ -228,3 +233,93 @@ def test_mountains_meet_wherever_a_tree_is_cut():
                 assert all(own) if (level, at) not in runs else not any(own)
                 edges.setdefault((level + 1, at), H("".join(own))) if all(own) else None
         assert edges[len(merkle.sizes_of_levels(n)) - 1, 0] == plain_tree(nodes)[0]
+
+
+@pytest.fixture(scope="module")
+def models():
+    return BpeModel(tokenizer_path()), PieceModel(tokenizer_path("piece_bpe_32k.model"))
+
+
+def plain_alignment(rows):
+    """Whole texts through both libraries, links one by one."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(tokenizer_path())
+    one.encode_special_tokens = True
+    two = SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    letters = {c: bytes([k]) for k, c in enumerate(alignment_letters())}
+    docs, counts = [], {}
+    for _, t in rows:
+        groups, text = [], b" " + (t or "").encode()
+        a = one.encode(" " + t, add_special_tokens=False).ids if t else []
+        b = two.encode(t) if t else []
+        a_bytes = [b"".join(letters[c] for c in one.id_to_token(i)) for i in a]
+        names = [two.id_to_piece(i) for i in b]
+        b_bytes = [bytes([int(x[3:5], 16)]) if two.is_byte(i) else x.replace("\u2581", " ").encode() for i, x in zip(b, names, strict=True)]
+        if not t or b"".join(a_bytes) != text or b"".join(b_bytes) != text:
+            a, b = [], []
+        x = y = p = q = 0
+        while x < len(a):
+            left, right = [a[x]], []
+            p, x = p + len(a_bytes[x]), x + 1
+            while q != p:
+                if q < p:
+                    right.append(b[y])
+                    q, y = q + len(b_bytes[y]), y + 1
+                else:
+                    left.append(a[x])
+                    p, x = p + len(a_bytes[x]), x + 1
+            groups.append((left, right))
+        links = [(i, j) for g in groups for i in g[0] for j in g[1]]
+        for pair in set(links):
+            counts[pair] = counts.get(pair, 0) + 1
+        docs.append((a, b, groups, links))
+    most = {}
+    for (i, _), n in counts.items():
+        most[i] = max(most.get(i, 0), n)
+    out = []
+    for (i, _), (a, b, groups, links) in zip(rows, docs, strict=True):
+        shown = ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in groups)
+        out.append((i, len(a), len(b), len(groups), len(links), sum(counts[x] == most[x[0]] for x in links), sum(counts[x] for x in links), H(shown) if groups else ""))
+    return sorted(out, key=str), counts, most
+
+
+def alignment_letters():
+    from lectern.llm.bpe import byte_letters
+
+    return byte_letters()
+
+
+def test_alignment_equals_the_libraries(spark, models, monkeypatch):
+    rng = random.Random(3)
+    pieces = [*"abc  '\n\t stredvml' é漢字😀1²_-.,\x1c\x85 ́ſ\u3000ﬁ", "<|endoftext|>", "<s>", "<0x41>", "'re", "  ", "\r\n", "aaaa", "The ", "\u2581", "\x00", "한국어"]
+    rows = awkward(4)[-25:] + [(None if k % 50 == 0 else 1000 + k, "".join(rng.choices(pieces, k=rng.randint(0, 40)))) for k in range(300)]
+    rows += [(2000 + k, t) for k, t in enumerate([" ", "  ", "a ", " a", "\u2581", "x\u2581y", "😀" * 400, "é" * 3000, "\n" * 500, "word  " * 50])]
+    found, pairs = align_tokenizers(frame(spark, rows), *models)
+    want, counts, most = plain_alignment(rows)
+    assert sorted(map(tuple, found.collect()), key=str) == want
+    assert {(r.a, r.b): (r.documents, r.best) for r in pairs.collect()} == {x: (n, n == most[x[0]]) for x, n in counts.items()}
+
+
+def test_alignment_of_nothing(spark, models):
+    found, pairs = align_tokenizers(frame(spark, []).limit(0), *models)
+    assert found.count() == pairs.count() == 0
+    found, pairs = align_tokenizers(frame(spark, [(1, None), (None, ""), (2, "\u2581")]), *models)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, ""), (None, 0, 0, 0, 0, 0, 0, "")]
+    assert pairs.count() == 0
+
+
+def test_wide_groups_are_expanded_from_distinct_tokens(monkeypatch):
+    """One side's tokens end at odd places, the other's at even ones, up to the end of the text."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 4, 61), rng.integers(0, 3, 61)
+    sizes = np.full(4, 2)
+    a_sizes, b_sizes = sizes.copy(), np.r_[sizes, 1]
+    a, b = np.r_[a, 0], np.r_[4, b, 4]
+    many = Aligned(a, np.array([0, len(a)]), a_sizes, b, np.array([0, len(b)]), b_sizes)
+    assert many.in_a.tolist() == [62]
+    few = many.distinct()
+    monkeypatch.setattr(alignment, "WIDE", 10**9)
+    assert all((x == y).all() for x, y in zip(few, many.distinct(), strict=True))
+    assert few[2].sum() == 62 * 63
