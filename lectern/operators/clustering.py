@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import settled
+from ..functions.tables import scratch, settled, shared_dir
 from ..functions.vectors import unit
 
 MIN_ROWS, SMALLEST, PARTS = 30, 3, 10
@@ -220,10 +220,12 @@ def _labels(trees: dict[int, np.ndarray], ids: np.ndarray, floor: int | None) ->
     return pd.DataFrame({"id": ids, "cluster": labels, "strength": strength})
 
 
-def reduced(vectors: DataFrame) -> DataFrame:
-    """(id, p): unit vectors on their leading components."""
-    from . import maps
+def reduced(vectors: DataFrame, by: str = "pca") -> DataFrame:
+    """(id, p): unit vectors on their leading components, or laid out on as many axes by their neighbourhoods (``by`` "umap")."""
+    from . import maps, umap
 
+    if by == "umap":
+        return umap.layout(vectors, axes=PARTS, min_dist=0.0)
     units = vectors.select("id", unit(F.col("v")).alias("v"))
     first = units.first()
     mean, components = maps.fit_pca(units, len(first["v"]), min(PARTS, len(first["v"])))
@@ -232,14 +234,20 @@ def reduced(vectors: DataFrame) -> DataFrame:
     return units.withColumn("_v", moved).select("id", F.array(*axes).alias("p"))
 
 
-def cluster_vectors(vectors: DataFrame, floor: int | None = None) -> DataFrame:
-    """(id, cluster, strength): fewer than 30 vectors are all noise."""
+def cluster_vectors(vectors: DataFrame, floor: int | None = None, by: str = "pca") -> DataFrame:
+    """(id, cluster, strength): fewer than 30 vectors are all noise.
+
+    Density is that of the ``reduced`` vectors.  The shared folder is asked for at any size, though few vectors write nothing there; tables go when
+    the result is written.
+    """
+    shared_dir(vectors.sparkSession)
     n = vectors.count()
     if n < MIN_ROWS:
         return vectors.select(F.col("id").cast("long").alias("id"), F.lit(-1).cast("long").alias("cluster"), F.lit(0.0).alias("strength"))
-    points = reduced(vectors)
+    points = reduced(vectors, by)
     if n > DENSITY_ROWS:
-        return _cluster_by_blocks(points, n, floor)
+        with scratch(vectors.sparkSession) as keep:
+            return keep(_cluster_by_blocks(points, n, floor), "clusters")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")

@@ -1,8 +1,8 @@
-"""Nearest neighbours by cosine, exact, in blocks.
+"""Nearest neighbours by cosine, exact.
 
-Vectors are packed into blocks of rows; every pair of blocks is one unit of work, a matrix
-product that keeps k candidates per row.  No side is broadcast and no task holds more than
-two blocks; what is gathered per row is k candidates per block.
+Up to PAIRS pairs of blocks of vectors every pair is compared, a matrix product that keeps k candidates per row.  Beyond, vectors are
+kept in cells (``cells``), and pairs that can't hold a neighbour are left out; the rows are the same.  No side is broadcast and no
+task holds more than two blocks; what is gathered per row is k candidates per block.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.vectors import dot, norm, unit
+from . import cells
 
 BLOCK_ROWS = 1024
+#: Pairs of blocks up to which comparing all of them costs less than fitting centres.
+PAIRS = 1024
 
 
 def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
@@ -35,23 +38,14 @@ def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
 def _compare(k: int, least: float | None, skip_self: bool):
     def run(batches):
         for batch in batches:
-            i_out, j_out, s_out = [], [], []
+            parts = []
             for r in range(len(batch)):
                 ids_a, a, ids_b, b = (batch.column(c)[r].as_py() for c in range(4))
                 ids_a, ids_b = np.frombuffer(ids_a, np.int64), np.frombuffer(ids_b, np.int64)
                 a, b = np.frombuffer(a).reshape(len(ids_a), -1), np.frombuffer(b).reshape(len(ids_b), -1)
-                s = a @ b.T
-                if skip_self:
-                    s[ids_a[:, None] == ids_b[None, :]] = -np.inf
-                # By falling similarity, then rising id: ids rise within a block, and the sort is stable.
-                order = np.argsort(-s, axis=1, kind="stable")[:, :k] if k < s.shape[1] else np.argsort(-s, axis=1, kind="stable")
-                best = np.take_along_axis(s, order, axis=1)
-                keep = best >= (-2 if least is None else least)
-                i_out.append(np.repeat(ids_a, keep.sum(axis=1)))
-                j_out.append(ids_b[order[keep]])
-                s_out.append(best[keep])
-            join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array(join(i_out, np.int64)), pa.array(join(j_out, np.int64)), pa.array(join(s_out, float))], names=["i", "j", "similarity"])
+                parts.append(cells.best_of(ids_a, ids_b, a @ b.T, k, least, skip_self))
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "similarity"])
 
     return run
 
@@ -63,6 +57,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None =
     """
     left, n_left = _blocks(queries, block_rows)
     right, n_right = _blocks(vectors, block_rows)
+    if n_left * n_right > PAIRS:
+        index = cells.build(vectors, n_right * block_rows, block_rows=block_rows)
+        asked = index if queries is vectors else cells.assign(queries, index.centres, block_rows)
+        return cells.top_k(asked, index, k, least, skip_self)
     left = left.select(F.col("block").alias("a"), F.col("ids").alias("ids_a"), F.col("matrix").alias("m_a"))
     right = right.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("matrix").alias("m_b"))
     # One row per unit of work: a pair of block numbers.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.tables import settled
+from ..functions.tables import scratch, settled, shared_dir
 
 #: Edges up to which one task searches the graph by a heap; beyond, distances are relaxed in DataFrames.
 HEAP_EDGES = 2_000_000
@@ -61,10 +61,12 @@ def find_paths(edges: DataFrame, vectors: DataFrame, ends: DataFrame) -> DataFra
     """(trail, place, id, complete, hops) for each (trail, start, goal).
 
     The graph is gathered for one task per trail only while it is small (HEAP_EDGES, checked);
-    larger graphs are searched by joins, with the same rows.
+    larger graphs are searched by joins, with the same rows.  The shared folder is asked for at any size; tables go when the result is written.
     """
+    shared_dir(edges.sparkSession)
     if edges.count() > HEAP_EDGES:
-        return relax_paths(edges, ends, vectors)
+        with scratch(edges.sparkSession) as keep:
+            return keep(relax_paths(edges, ends, vectors), "trails")
     from ..functions.vectors import dot, unit
 
     goals = ends.join(vectors.select(F.col("id").alias("goal"), unit(F.col("v")).alias("g")), "goal")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm, unit
-from ..operators import bridges, clustering, maps, neighbours, reading, trails
+from ..operators import bridges, cells, clustering, maps, neighbours, reading, trails, umap
 from .base import cte, library, query, table
 
 V, P = "vectors", "papers"
@@ -56,6 +56,14 @@ def v5_routing_edges(spark, d):
     return neighbours.routing_edges(_vectors(spark, d)).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
+@query(f"WITH {PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(s, 12) DESC, j) AS r FROM pairs) SELECT i, j, round(s, 6) AS similarity, CAST(r AS INTEGER) AS rank FROM t WHERE r <= 10")
+def v2_cells(spark, d):
+    """Exact neighbours over cells, whatever the size."""
+    v = _vectors(spark, d)
+    index = cells.build(v, v.count())
+    return cells.top_k(index, index, 10).select("i", "j", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query()
 def v8_trails(spark, d):
     v = _vectors(spark, d)
@@ -91,6 +99,11 @@ def c6_density_clusters(spark, d):
     return clustering.cluster_vectors(_vectors(spark, d))
 
 
+@query()
+def c6_neighbourhood_clusters(spark, d):
+    return clustering.cluster_vectors(_vectors(spark, d), by="umap")
+
+
 @query()
 def c6_kmeans(spark, d):
     return clustering.kmeans(_vectors(spark, d), 10)
@@ -113,6 +126,16 @@ def m1_projection(spark, d):
     return maps.project(v, mean, components).select("id", *[F.round(c, 5).alias(c) for c in "xyz"])
 
 
+@query()
+def m1_umap_layout(spark, d):
+    """All vectors but those of cluster 0 are laid out; these are placed among them (M2)."""
+    v = _vectors(spark, d)
+    fitted, new = v.where("cluster <> 0"), v.where("cluster = 0")
+    places = umap.layout(fitted)
+    every = places.withColumn("placed", F.lit(False)).unionByName(umap.place(new, fitted, places).withColumn("placed", F.lit(True)))
+    return every.select("id", *[F.round(F.col("p")[k], 5).alias(c) for k, c in enumerate("xyz")], "placed")
+
+
 @query("SELECT vec_id AS id, round(embedding[1]::DOUBLE, 4) AS x, round(embedding[2]::DOUBLE, 4) AS y, round(embedding[3]::DOUBLE, 4) AS z FROM embeddings")
 def m4_procrustes(spark, d):
     # A layout turned by 90 degrees, mirrored, scaled and moved comes back to where it was.

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import bridges, clustering, maps, neighbours, reading, trails
+from lectern.operators import bridges, cells, clustering, maps, neighbours, reading, trails, umap
 
 
 def frame(spark, matrix, **extra):
@@ -32,6 +32,82 @@ def test_top_k_equals_brute_force_in_any_blocks(spark):
         assert {(r.i, r.j) for r in neighbours.top_k(v, v, 4, block_rows=rows).collect()} == want
 
 
+def _all_pairs(u, k):
+    s = u @ u.T
+    np.fill_diagonal(s, -np.inf)
+    return {(i, int(j)) for i in range(len(u)) for j in np.lexsort((np.arange(len(u)), -np.round(s[i], 12)))[:k]}
+
+
+def _rows(df):
+    return {(r.i, r.j) for r in df.collect()}
+
+
+def test_cells_leave_out_what_cannot_be_near(spark, monkeypatch):
+    """Clustered vectors, equal ones, and one of no length: the rows of all pairs, from a part of the blocks."""
+    matrix, _ = blobs(groups=12, each=30, dim=16, spread=0.4, seed=4)
+    matrix = np.concatenate([matrix, np.repeat(matrix[:1], 40, axis=0), np.zeros((1, 16))])
+    u = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    v = frame(spark, matrix)
+    index = cells.build(v, len(matrix), cells=12, block_rows=16)
+    made = cells.plan(index, index, 5, None, True, None).collect()
+    compared = sum(len(r.rows) // 4 for r in made)
+    assert _rows(cells.top_k(index, index, 5)) == _all_pairs(u, 5)
+    assert compared < 0.35 * len(matrix) * 12
+    sizes = {(r.cell, r.block): r.n for r in index.rows.groupBy("cell", "block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(sizes.values()) < 45
+    monkeypatch.setattr(neighbours, "PAIRS", 4)
+    assert _rows(neighbours.top_k(v, v, 5, block_rows=32)) == _all_pairs(u, 5)
+
+
+def test_probes_find_nine_of_ten(spark):
+    matrix, _ = blobs(groups=20, each=25, dim=24, spread=2.5, seed=8)
+    u = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    index = cells.build(frame(spark, matrix), len(matrix))
+    want = _all_pairs(u, 10)
+    found = _rows(cells.top_k(index, index, 10, probes=6))
+    assert len(found & want) >= 0.9 * len(want)
+    made = cells.plan(index, index, 10, None, True, 6).collect()
+    assert sum(len(r.rows) // 4 for r in made) == 6 * len(matrix)
+
+
+def silhouette(points, labels):
+    d = np.linalg.norm(points[:, None] - points[None], axis=2)
+    out = []
+    for i in range(len(points)):
+        means = [d[i, (labels == g) & (np.arange(len(points)) != i)].mean() for g in np.unique(labels)]
+        own = means.pop(int(labels[i]))
+        out.append((min(means) - own) / max(own, min(means)))
+    return float(np.mean(out))
+
+
+def test_layout_keeps_planted_groups_apart(spark, monkeypatch):
+    """Twelve groups in 32 dimensions on three axes: clearer than by PCA, in one block and in several, and the same when it is run again."""
+    matrix, labels = blobs(groups=12, each=20, dim=32, spread=2.0, seed=6)
+    v = frame(spark, matrix)
+    as_matrix = lambda df: np.array([r.p for r in df.orderBy("id").collect()])
+    found = as_matrix(umap.layout(v))
+    mean, components = maps.fit_pca(v, 32)
+    flat = np.array([[r.x, r.y, r.z] for r in maps.project(v, mean, components).orderBy("id").collect()])
+    by_pca, by_umap = silhouette(flat, labels), silhouette(found, labels)
+    print("silhouette", by_pca, by_umap)
+    assert by_umap > by_pca + 0.1
+    assert (as_matrix(umap.layout(v)) == found).all()
+    new = frame(spark, matrix[::7] + 0.01)
+    moved = as_matrix(umap.place(new, v, frame(spark, found).select("id", F.col("v").alias("p"))))
+    monkeypatch.setattr(umap, "BLOCK_POINTS", 64)
+    monkeypatch.setattr(umap, "POOL", 32)
+    assert silhouette(as_matrix(umap.layout(v)), labels) > by_pca + 0.1
+    assert moved.shape == (len(matrix[::7]), 3) and np.isfinite(moved).all()
+
+
+def test_layout_of_few_vectors(spark):
+    few = umap.layout(frame(spark, np.random.default_rng(0).normal(size=(9, 5))))
+    assert few.count() == 9
+    assert umap.layout(frame(spark, np.eye(3)).limit(0)).count() == 0
+    a, b = umap.curve(0.05)
+    assert 1.5 < a < 2.1 and 0.75 < b < 0.95
+
+
 def test_nearest_of_no_length_is_empty(spark):
     v = frame(spark, np.eye(4))
     assert neighbours.nearest(v, [0.0] * 4, 3).count() == 0
