@@ -300,6 +300,14 @@ def citations(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[#(\d+)\]"), F.lit(1)), lambda x: x.cast("long"))
 
 
+def canonical_json(payload: Column) -> Column:
+    """A JSON value in one form whatever the order of its objects' keys, at any depth, and its spaces; null for what is no JSON.
+
+    Two payloads are equal if these are; arrays keep their order.
+    """
+    return F.to_json(F.try_parse_json(payload))
+
+
 def boilerplate_heading(title: Column) -> Column:
     return F.coalesce(title.rlike(fixed.BOILERPLATE_HEADING), F.lit(False))
 

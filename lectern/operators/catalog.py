@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..functions.keyed import KeyedTable
+from ..functions.partitions import indexed
 
 # --- filters --------------------------------------------------------------------
 
@@ -240,7 +242,7 @@ def clustering_scores(rows: DataFrame, drop_noise: bool = False) -> DataFrame:
 def tag_vocabulary(paper_tags: DataFrame) -> DataFrame:
     """Per paper the sorted numbers of its tags in the sorted vocabulary."""
     slugs = paper_tags.select("slug").distinct()
-    numbered = slugs.withColumn("tag_id", F.row_number().over(Window.orderBy("slug")) - 1)  # the vocabulary: one row per tag
+    numbered = indexed(slugs, "slug", name="tag_id").select("slug", F.col("tag_id").cast("int").alias("tag_id"))
     pairs = paper_tags.select("paper_id", "slug").distinct().join(numbered, "slug")
     return pairs.groupBy("paper_id").agg(F.sort_array(F.collect_list("tag_id")).alias("tag_ids"))
 
@@ -373,6 +375,15 @@ def upsert_vectors(store: DataFrame, fresh: DataFrame, model_id: str, dim: int)
     return store.join(checked.select("id"), "id", "left_anti").unionByName(checked)
 
 
+def write_vectors(table: KeyedTable, fresh: DataFrame, model_id: str, dim: int) -> list[int]:
+    """As upsert_vectors, into a table by id: the buckets that the ids fall into are written anew, all others keep their files.
+
+    A vector of another model or length fails the write, which is then not seen.  Of rows that repeat an id in one write one stands.
+    """
+    right = (F.col("model_id") == model_id) & (F.size("v") == dim)
+    return table.upsert(fresh.dropDuplicates(["id"]).withColumn("v", F.when(right, F.col("v")).otherwise(F.raise_error(F.lit("a vector of another model or length")))))
+
+
 def keep_latest(events: DataFrame, key: str, order: str, most: int = 256) -> DataFrame:
     """The last ``most`` events of each subscriber; older ones are dropped."""
     w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("event_id"))

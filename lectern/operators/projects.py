@@ -8,9 +8,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.partitions import indexed
 from . import bridges, catalog, clustering, maps, neighbours
 
 MIN_SHARED = 4
@@ -170,15 +172,31 @@ def graph_payload(store: MapStore, papers: DataFrame, paper_tags: DataFrame) ->
     """One row per place: node index, position as packed 32-bit floats, and what the list shows; and the ETag of the whole."""
     run = store.active()
     places = store.read(run, "places")
-    from pyspark.sql import Window
-
-    nodes = places.withColumn("node_index", F.row_number().over(Window.orderBy("id")) - 1)  # indices are global by nature
+    nodes = indexed(places, "id", name="node_index")
     edges = store.read(run, "skeleton")
     index = nodes.select("id", "node_index")
     pairs = edges.join(index.select(F.col("id").alias("a"), F.col("node_index").alias("i")), "a").join(index.select(F.col("id").alias("b"), F.col("node_index").alias("j")), "b").count()
     tags = catalog.tag_vocabulary(paper_tags).withColumnRenamed("paper_id", "id")
     members = store.read(run, "members")
     rows = nodes.join(papers.select("id", "title", "year", "pages"), "id", "left").join(members, "id", "left").join(tags, "id", "left")
-    out = rows.select("node_index", "id", "title", "year", "pages", F.col("cluster"), F.coalesce("tag_ids", F.array().cast("array<int>")).alias("tags"), F.round("strength", 3).alias("confidence"), F.col("is_transformed").alias("provisional"), F.round(F.coalesce("off_manifold", F.lit(0.0)), 2).alias("drift"), F.array(*[F.col(c).cast("float") for c in maps.AXES]).alias("position"))
+    out = rows.select("range", "node_index", "id", "title", "year", "pages", F.col("cluster"), F.coalesce("tag_ids", F.array().cast("array<int>")).alias("tags"), F.round("strength", 3).alias("confidence"), F.col("is_transformed").alias("provisional"), F.round(F.coalesce("off_manifold", F.lit(0.0)), 2).alias("drift"), F.array(*[F.col(c).cast("float") for c in maps.AXES]).alias("position"))
     return out, f'W/"run-{run}-{places.count()}-s{pairs}"'
 
+
+
+def payload_blocks(nodes: DataFrame) -> DataFrame:
+    """(range, first, n, positions, clusters, flags): the payload's numbers as packed little-endian blocks, one for each range of node indices.
+
+    Positions are three 32-bit floats a node, clusters 32-bit integers (-1: none), flags a byte (1: provisional).  Blocks one after the other, by ``first``,
+    are the arrays of the whole.
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node_index")
+        places = table["position"].combine_chunks().flatten().to_numpy().astype("<f4")
+        clusters = table["cluster"].fill_null(-1).to_numpy().astype("<i4")
+        flags = table["provisional"].fill_null(False).to_numpy(zero_copy_only=False).astype("u1")
+        packed = {k: pa.array([v.tobytes()], pa.binary()) for k, v in (("positions", places), ("clusters", clusters), ("flags", flags))}
+        return pa.table({"range": pa.array([table["range"][0].as_py()], pa.int32()), "first": pa.array([table["node_index"][0].as_py()], pa.int64()), "n": pa.array([len(table)], pa.int64())} | packed)
+
+    return nodes.select("range", "node_index", "position", "cluster", "provisional").groupBy("range").applyInArrow(pack, "range int, first long, n long, positions binary, clusters binary, flags binary")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import measures, text as tx
+from ..functions.keyed import KeyedTable
+from ..functions.partitions import indexed
+from ..functions.tables import run_dir
 from ..operators import catalog as op
 from .base import cte, library, query, table
 
@@ -221,9 +226,7 @@ def j13_models_overview(spark, d):
 )
 def j14_trail_indices(spark, d):
     stops = table(spark, d, "events").selectExpr("event_type AS trail", "event_id AS place", "user_id AS paper_id", "event_type > 'm' AS complete")
-    from pyspark.sql import Window
-
-    nodes = table(spark, d, "documents").select(F.col("doc_id").alias("id")).withColumn("node_index", (F.row_number().over(Window.orderBy("id")) - 1).cast("long"))
+    nodes = indexed(table(spark, d, "documents").select(F.col("doc_id").alias("id")), "id", name="node_index").select("id", "node_index")
     return op.trail_indices(stops, nodes).select("trail", "place", "paper_id", "node_index", "is_jump")
 
 
@@ -512,7 +515,21 @@ def s24_plan_fetch(spark, d):
     return op.plan_fetch(wanted, kept.unionByName(spark.createDataFrame([(-1, "z")], "file long, digest string")))
 
 
-@query("SELECT vec_id AS id, CASE WHEN label = 0 THEN 'new' ELSE 'old' END AS version FROM embeddings UNION ALL SELECT vec_id + 100000, 'new' FROM embeddings WHERE label = 1")
+UPSERTED = "SELECT vec_id AS id, CASE WHEN label = 0 THEN 'new' ELSE 'old' END AS version FROM embeddings UNION ALL SELECT vec_id + 100000, 'new' FROM embeddings WHERE label = 1"
+
+
+@query(UPSERTED)
+def s16_write_vectors(spark, d):
+    """As s16_upsert_vectors, through a table on disk that is written by key."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"), F.lit("m").alias("model_id"))
+    stored = KeyedTable(spark, f"{run_dir(spark)}/vectors-{uuid.uuid4().hex}", "id")
+    op.write_vectors(stored, v.withColumn("version", F.lit("old")), "m", 64)
+    fresh = v.where("label = 0").unionByName(v.where("label = 1").withColumn("id", F.col("id") + 100000)).withColumn("version", F.lit("new"))
+    op.write_vectors(stored, fresh, "m", 64)
+    return stored.read().select("id", "version")
+
+
+@query(UPSERTED)
 def s16_upsert_vectors(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"), F.lit("m").alias("model_id"))
     fresh = v.where("label = 0").unionByName(v.where("label = 1").withColumn("id", F.col("id") + 100000)).withColumn("version", F.lit("new"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed, measures
 from ..functions import text as tx
 from ..functions.partitions import spread
-from ..operators import catalog, chunks, jobs, metadata, review, search
+from ..functions.tables import run_dir
+from ..operators import catalog, chunks, index, jobs, metadata, review, search
 from ..sources import html, library as files
 from ..sources.documents import parse_documents
 from ..streaming import ingest
@@ -278,6 +279,13 @@ def l2_inverted_index(spark, d):
     return search.search(search.postings(_chunks(spark, d)), "ther* and").select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {BM25}, t AS (SELECT chunk_id, round(score, 4) AS score FROM h) SELECT chunk_id, score FROM t ORDER BY score DESC, chunk_id LIMIT 50")
+def l2_index_top(spark, d):
+    """The 50 best chunks from a written index."""
+    made = index.build(_chunks(spark, d), f"{run_dir(spark)}/index")
+    return index.top(made, "ther* and", 50)
+
+
 @query(cte(P) + ", w AS (SELECT id, regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]+') AS t FROM papers) SELECT id, 1 AS matches FROM w WHERE len(list_filter(t, lambda x: starts_with(x, 'theing') OR levenshtein(x, 'theing') <= 1)) > 0")
 def l3_title_search(spark, d):
     return search.search_titles(library(spark, d, P), "theing").select("id", "matches")
@@ -433,6 +441,20 @@ def n1_json_fields(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query("""SELECT event_id, '{"a":"' || event_type || '","n":{"p":' || replace(props, ' ', '') || ',"x":[1,' || user_id || ']}}' AS canonical, true AS same, user_id = 1 AS lists_alike, json_valid(props) AS valid FROM events""")
+def n1_payload_equality(spark, d):
+    """Payloads of events: objects in two orders of keys are one payload, lists in two orders aren't, half a payload is none."""
+    rows = table(spark, d, "events")
+    said = F.concat(F.lit('"a": "'), "event_type", F.lit('"'))
+    inner = [F.concat(F.lit('"p": '), "props"), F.concat(F.lit('"x": [1, '), F.col("user_id").cast("string"), F.lit("]"))]
+    one = F.concat(F.lit("{"), said, F.lit(', "n": {'), inner[0], F.lit(", "), inner[1], F.lit("}}"))
+    two = F.concat(F.lit('{"n":{'), inner[1], F.lit(","), inner[0], F.lit("},  "), said, F.lit("}"))
+    lists = [F.concat(F.lit("["), a, F.lit(","), b, F.lit("]")) for a, b in ((F.lit("1"), F.col("user_id").cast("string")), (F.col("user_id").cast("string"), F.lit("1")))]
+    canonical = tx.canonical_json
+    half = canonical(F.expr("substr(props, 1, length(props) - 1)")).isNull()
+    return rows.select("event_id", canonical(one).alias("canonical"), canonical(one).eqNullSafe(canonical(two)).alias("same"), canonical(lists[0]).eqNullSafe(canonical(lists[1])).alias("lists_alike"), (canonical(F.col("props")).isNotNull() & half).alias("valid"))
+
+
 @query("SELECT p_partkey, p_name || chr(10) || chr(10) || 'size ' || p_size AS markdown, 1 AS pages, p_brand AS title, NULL AS problem FROM part")
 def s9_pdf_text_layers(spark, d):
     # A file of one page per part, put together in the JVM and read like any other.

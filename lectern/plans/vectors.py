@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.keyed import KeyedTable
+from ..functions.tables import materialize, run_dir
 from ..functions.vectors import norm, unit
-from ..operators import bridges, cells, clustering, maps, neighbours, reading, trails, umap
+from ..operators import bridges, cells, clustering, edges, maps, neighbours, reading, trails, umap
 from .base import cte, library, query, table
 
 V, P = "vectors", "papers"
@@ -46,12 +50,13 @@ def v4_skeleton(spark, d):
     return neighbours.skeleton(_vectors(spark, d))
 
 
-@query(
-    f"""WITH {PAIRS}, k AS (SELECT least(greatest(5, least(60, round_even(least(count(*) / 8, sqrt(count(*))), 0))), count(*) - 1) AS k FROM embeddings),
+ROUTING = f"""WITH {PAIRS}, k AS (SELECT least(greatest(5, least(60, round_even(least(count(*) / 8, sqrt(count(*))), 0))), count(*) - 1) AS k FROM embeddings),
     t AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(s, 12) DESC, j) AS r FROM pairs),
     e AS (SELECT i, j, (1 - s) + 0.05 AS distance FROM t, k WHERE r <= k AND s >= 0.35), b AS (SELECT i AS a, j AS b, distance FROM e UNION ALL SELECT j, i, distance FROM e)
     SELECT a, b, round(max(distance), 6) AS distance FROM b GROUP BY 1, 2"""
-)
+
+
+@query(ROUTING)
 def v5_routing_edges(spark, d):
     return neighbours.routing_edges(_vectors(spark, d)).select("a", "b", F.round("distance", 6).alias("distance"))
 
@@ -64,12 +69,23 @@ def v2_cells(spark, d):
     return cells.top_k(index, index, 10).select("i", "j", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query(ROUTING)
+def v10_edge_table(spark, d):
+    """The graph from a table of neighbours that follows the vectors: a first part, then a part of it turned, then all."""
+    v = _vectors(spark, d)
+    kept = KeyedTable(spark, f"{run_dir(spark)}/edges-{uuid.uuid4().hex}", "id")
+    turned = F.when(F.col("cluster") == 1, F.reverse("v")).otherwise(F.col("v"))
+    edges.update(kept, v.where("cluster <> 0").withColumn("v", turned))
+    edges.update(kept, v)
+    return edges.routing_edges(kept).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
 @query()
 def v8_trails(spark, d):
     v = _vectors(spark, d)
-    edges = neighbours.routing_edges(v).cache()
+    links = materialize(neighbours.routing_edges(v), "links")
     ends = spark.createDataFrame([(k, k, 100 + 3 * k) for k in range(12)] + [(12, 5, 5)], "trail long, start long, goal long")
-    return trails.find_paths(edges, v, ends)
+    return trails.find_paths(links, v, ends)
 
 
 @query(
