@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import math
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import delete, discard, materialize, release, run_dir, scratch, shared_dir, write
+
+__all__ = ["delete", "discard", "materialize", "release", "run_dir", "scratch", "shared_dir", "write"]
+
 #: Separators of words in every contract: the space and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = 2**63 - 1
@@ -22,96 +22,6 @@ _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Where the session names none, a folder of this machine serves a local master alone; a cluster's
-    executors wouldn't see each other's files there, so that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def run_dir(spark: SparkSession) -> str:
-    """This application's own folder in the shared one; other applications' tables stand beside it."""
-    return f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}"
-
-
-#: Spark removes an execution's shuffle files when it ends, where this is set.
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def write(df: DataFrame, path: str, **options: str) -> None:
-    """Writes a table as Parquet.  Its shuffle files go with the write: whoever needs the rows again reads the table."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEAN_UP, "false")
-    conf.set(_CLEAN_UP, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        conf.set(_CLEAN_UP, before)
-
-
-#: Tables of the open scopes, innermost last.
-_SCOPES: list[list[str]] = []
-
-
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it again.
-
-    Cuts the lineage: a lost executor costs nothing that was written before.
-    """
-    spark = df.sparkSession
-    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    write(df, path, **options)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.written_at = path
-    return table
-
-
-def discard(table: DataFrame) -> None:
-    """Removes a table that ``materialize`` gave, once nothing that reads it is still to be computed."""
-    delete(table.sparkSession, table.written_at)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Tables that ``materialize`` writes inside go at the end, but for those written by the function it yields.
-
-    Nothing that is still to be computed may read the others then.
-    """
-    outer = _SCOPES[-1] if _SCOPES else []
-    _SCOPES.append([])
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        table = materialize(df, name)
-        outer.append(_SCOPES[-1].pop())
-        return table
-
-    try:
-        yield keep
-    finally:
-        for path in _SCOPES.pop():
-            delete(spark, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Removes the tables that this application's operators wrote, once no result that reads them is needed any more."""
-    delete(spark, run_dir(spark))
-
-
 #: Bits of a filter for each value, and bits of one bitmap (as Spark's bitmap functions have them).
 FILTER_BITS, BITMAP_BITS = 16, 32768
 #: A filter has at most so many bitmaps of 4 KiB (64 MiB); fuller ones pass more, never less.

@@ -40,9 +40,9 @@ def quality_weight(text_column: str = "text") -> Column:
     return F.greatest(share * share, F.lit(LEAST_WEIGHT))
 
 
-def uniform(column: str, seed: int) -> Column:
-    """A number in (0, 1) that depends on the id and the seed alone."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(column)), 12)
+def uniform(column: str, seed: int, *more: Column) -> Column:
+    """A number in (0, 1) that depends on the id, the seed and what else is given alone."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(column), *more), 12)
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
@@ -84,20 +84,21 @@ def mix(
     Sizes count words; null text has none and is never taken.  Null sources are
     one source, after all others.  ``quality`` is the sampling weight (positive; null
     or less counts as LEAST_WEIGHT).  Ties of keys fall by id, then size; rows that
-    repeat an id are rows like others, null ids too.  Keys depend on id and seed, so reruns
-    agree.  A very long text is a size like others; the one on the border is taken in part.  Other columns are
+    repeat an id are rows like others, null ids too.  Keys depend on id, text and seed, so reruns
+    agree, and rows of one id (or none) have keys of their own unless their texts are equal, too.  A very long text is a size like others; the one on the border is taken in part.  Other columns are
     ignored; an empty table gives an empty result.
     """
     quality = quality_weight(text_column) if quality is None else quality
-    key = -F.ln(uniform("id", seed)) / F.greatest(F.coalesce("q", F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
+    key = -F.ln(uniform("id", seed, F.col("salt"))) / F.greatest(F.coalesce("q", F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
     rows = docs.select(
         F.col(id_column).alias("id"),
         F.col(source_column).isNull().alias("src_null"),
         F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("src"),
         size_in_words(text_column).alias("size"),
         quality.cast("double").alias("q"),
+        F.xxhash64(F.col(text_column)).alias("salt"),
     )
-    rows = materialize(rows.withColumn("key", key).drop("q"), "mix-keys")
+    rows = materialize(rows.withColumn("key", key).drop("q", "salt"), "mix-keys")
 
     sizes = rows.groupBy("src_null", "src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sizes = materialize(sizes, "mix-sizes")

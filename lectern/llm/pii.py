@@ -46,8 +46,8 @@ _KEY = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{35}"
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])"
 )
-#: What every candidate needs somewhere in its text (Java).
-WORTH_A_LOOK = r"[0-9@=:]|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\b"
+#: What every candidate needs somewhere in its text: an @, a digit, what a secret is set with, letters that may be a hash, a key or a titled name.
+WORTH_A_LOOK = "|".join(["[0-9@=:]", "[a-f]{32}", _KEY.pattern, _PERSON.pattern])
 
 #: Gazetteers: given names, endings of mail domains, calling codes, lengths of IBANs by country.
 GIVEN = frozenset(
@@ -146,8 +146,8 @@ def candidates(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
         spans += [("secret", *m.span(1), 1, 0) for m in _SECRET.finditer(text)]
     spans += [("secret", *m.span(), 1, 1) for m in _KEY.finditer(text) if not any(k == "secret" and a < m.end() and m.start() < b for k, a, b, _, _ in spans)]
     taken = {(a, b) for k, a, b, _, _ in spans if k == "secret"}
+    spans += [("secret", *m.span(), 0, 0) for m in _HEX.finditer(text) if m.span() not in taken]
     if re.search("[0-9]", text):
-        spans += [("secret", *m.span(), 0, 0) for m in _HEX.finditer(text) if m.span() not in taken]
         spans += [("iban", *m.span(), 1, 1 if mod97(m[0]) else -1) for m in _IBAN.finditer(text)]
         spans += [("national_id", *m.span(), 1, 1 if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000" else -1) for m in _NATIONAL.finditer(text)]
         inside = [(a, b) for k, a, b, _, _ in spans if k == "phone"]

@@ -263,14 +263,15 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     The sample is the first ones in the order of a hash of the id, as far as their lines are SAMPLE_LINES together.  Of a
     longer document DOC_LINES lines count, in runs of RUN_LINES spread evenly over it; their
     features are those of the whole text.  Labels that are
-    null, or whose id is, are left out; of several labels of one id the least counts.
+    null, or whose id is, are left out; of several labels of one id the least counts, and of several texts the least.
     """
     ident = F.col(id_column)
     usable = labels.where(ident.isNotNull() & F.col(label_column).isin(0, 1)).where(F.pmod(F.crc32(ident.cast("string")), F.lit(FOLDS)) != HELD_OUT)
     usable = usable.groupBy(ident.alias("id")).agg(F.min(label_column).cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     rows = docs.select(ident.alias("id"), F.col(text_column).cast("string").alias("body")).join(F.broadcast(chosen), "id")  # at most sample_docs rows of two numbers
-    rows = rows.select("id", "body", "label")
+    # Rows that repeat an id meet before anything is gathered.
+    rows = rows.groupBy("id", "label").agg(F.min("body").alias("body")).select("id", "body", "label")
 
     def run(batches):
         for batch in batches:

@@ -38,7 +38,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = substring_dedup(_table(spark, sf_dir, "documents"))
-    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "longest_repeat")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,13 +130,17 @@ def _fields(text: str) -> str:
 
 ORACLE_SQL = {
     "op1_substring_dedup": r"""
-        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         g AS (SELECT doc_id, s, array_to_string(list_slice(ws, s, s + 12), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS s FROM t)),
         f AS (SELECT k, min(doc_id) AS least FROM g GROUP BY 1),
         c AS (SELECT DISTINCT doc_id, s + j AS p FROM g JOIN f USING (k), range(13) r(j) WHERE doc_id > least),
         w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM t),
+        l(n, doc_id, s, h) AS (SELECT n, doc_id, s, h FROM (SELECT 13 AS n, doc_id, s, md5(k) AS h, min(doc_id) OVER (PARTITION BY k) < max(doc_id) OVER (PARTITION BY k) AS again FROM g) WHERE again
+            UNION ALL SELECT n, doc_id, s, h FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) < max(doc_id) OVER (PARTITION BY h) AS again
+                FROM (SELECT 2 * a.n AS n, a.doc_id, a.s, md5(a.h || b.h) AS h FROM l a JOIN l b ON b.doc_id = a.doc_id AND b.s = a.s + a.n)) WHERE again),
+        m AS (SELECT doc_id, max(n) AS longest FROM l GROUP BY 1),
         q AS (SELECT w.doc_id, count(*) AS n_words, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (c.p IS NULL) AS kept FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.p = w.p GROUP BY 1)
-        SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN q USING (doc_id)""",
+        SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(longest, 0) AS longest_repeat FROM t LEFT JOIN q USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op7_minhash_dedup": _linked_sql(4, ", coalesce(least, d.doc_id) = d.doc_id AS kept"),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

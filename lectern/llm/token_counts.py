@@ -33,6 +33,8 @@ def pack_streams(docs: DataFrame, model: BpeModel, separator: int, id_column: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary file
     kind = WIDTHS[width]
+    if max(len(model.table) - 1, separator) >= 1 << 8 * width:
+        raise ValueError(f"ids of this vocabulary don't fit into {width} bytes")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("body"))
     names = ["file", "place", "id", "payload"]
 
