@@ -3,8 +3,8 @@
 HDBSCAN (Campello, Moulavi, Sander 2013; McInnes, Healy 2017) needs a minimum spanning tree by mutual
 reachability.  Up to DENSITY_ROWS vectors one task builds it (Prim); beyond, pairs of blocks of vectors are compared for
 core distances, and then for the least edge out of every component, round by round (Boruvka).  Edges are ordered
-by weight and ends, so there is one tree and both ways give the same rows.  What follows the tree, condensing and choosing
-clusters, is linear in the vectors and runs in one task on some tens of bytes a vector.
+by weight and ends, so there is one tree and both ways give the same rows.  What follows the tree is ``clusters_of`` in one task, and tables
+(``condensing``) beyond.
 
 Comparing all pairs is quadratic in the vectors by nature.  K-means in MLlib stands beside it for whoever asks for it.
 """
@@ -12,6 +12,7 @@ Comparing all pairs is quadratic in the vectors by nature.  K-means in MLlib sta
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import scratch, settled, shared_dir
 from ..functions.vectors import unit
+from . import condensing
 
 MIN_ROWS, SMALLEST, PARTS = 30, 3, 10
 #: Vectors up to which one task builds the tree, and vectors of a block beyond.
@@ -158,15 +160,18 @@ def clusters_of(tree: np.ndarray, n: int, floor: int) -> tuple[np.ndarray, np.nd
                 stack += below[k]
     up = {c: p for p, c, _, _ in rows if c >= n}
     labels, strength = np.full(n, -1), np.zeros(n)
-    number = {c: k for k, c in enumerate(sorted(c for c in born if chosen[c]))}
+    number: dict[int, int] = {}
     left_at = np.zeros(n)
+    owner: dict[int, int] = {}
     for p, c, d, _ in rows:
         if c < n:
             own = p
             while own in up and not chosen[own]:
                 own = up[own]
             if chosen[own]:
-                labels[c], left_at[c] = number[own], min(d, 1e12)
+                owner[c], left_at[c] = own, min(d, 1e12)
+    for c in sorted(owner):  # clusters are numbered by their least point
+        labels[c] = number.setdefault(owner[c], len(number))
     for k in range(len(number)):
         own = labels == k
         most = left_at[own].max()
@@ -274,19 +279,30 @@ def _cluster_by_blocks(points: DataFrame, n: int, floor: int | None) -> DataFram
     for samples in _samples(n, floor):
         trees[samples] = _tree_by_blocks(placed, min(samples, n - 1), blocks)
 
-    edges = None
-    for samples, tree in trees.items():
-        rows = tree.select(F.lit(samples).alias("samples"), "a", "b", "w", F.lit(None).cast("long").alias("id"))
-        edges = rows if edges is None else edges.unionByName(rows)
-    named = placed.select(F.lit(0).alias("samples"), F.col("place").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("w"), "id")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known = rows["id"].notna()
-        ids = rows[known].sort_values("a")["id"].to_numpy().astype(np.int64)
-        own = {int(s): sorted_tree(part[["a", "b", "w"]].to_numpy(float)) for s, part in rows[~known].groupby("samples")}
-        return _labels(own, ids, floor)
-
-    return edges.unionByName(named).withColumn("corpus", F.lit(0)).groupBy("corpus").applyInPandas(run, "id long, cluster long, strength double")  # some tens of bytes a vector
+    floors = {min(max(2, f), max(2, n // 4)) for f in ([floor] if floor is not None else [])} or None
+    tried = sorted(floors) if floors else floor_candidates(n)
+    made = {s: condensing.merges(tree, n).withColumn("tree", F.lit(s)) for s, tree in trees.items()}
+    nodes, edges = (reduce(DataFrame.unionByName, x) for x in (made.values(), [t.select(F.lit(s).alias("tree"), "a", "b", "w") for s, t in trees.items()]))
+
+    def found_for(sizes: list[int]) -> tuple[DataFrame, DataFrame]:
+        keys = spark.createDataFrame([(f, min_samples_for(n, f), f, n) for f in sizes], "key long, tree int, floor long, n long")
+        clusters, points = condensing.condensed(nodes, keys)
+        return keys, settled(condensing.members(points, condensing.chosen(clusters, points)))
+
+    if floors is None:
+        keys, found = found_for(tried)
+        fits, others = [], []
+        for r in condensing.validities(edges, keys, found).collect():  # a row for each floor, eight at most
+            if r["clusters"] >= 2:
+                (fits if r["share"] <= max_cluster_share(n) else others).append((r["validity"], -r["key"]))
+        size = -max(fits or others, default=(0, -SMALLEST))[1]
+        size = max(2, min(size, n // 4))
+        found = found.where(F.col("key") == size) if size in tried else found_for([size])[1]
+    else:
+        found = found_for(tried)[1]
+    named = condensing.labelled(found)
+    out = placed.select(F.col("place").alias("point"), "id").join(named, "point", "left")
+    return out.select(F.col("id").cast("long").alias("id"), F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
 
 
 def _pack(placed: DataFrame, blocks: int, *columns: str) -> DataFrame:

@@ -251,3 +251,32 @@ def test_reading_order_starts_at_the_entry_point(spark):
     assert all(r.id == best[r.cluster] for r in order if r.step == 0)
     assert len({(r.cluster, r.id) for r in order}) == 10
     assert best[0] == 3
+
+
+def test_condensing_by_tables_equals_one_task(spark, monkeypatch):
+    """Stretches of a few edges, several floors at once: the clusters, strengths and validities of clusters_of."""
+    from lectern.operators import condensing
+
+    monkeypatch.setattr(condensing, "CHUNK", 20)
+    points, _ = blobs(groups=5, each=26, dim=4, spread=1.2, seed=11)
+    points = np.concatenate([points, np.random.default_rng(1).normal(size=(30, 4)) * 5, points[:3]])
+    n = len(points)
+    tree = clustering.spanning_tree(points, 3)
+    edges = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in tree], "a long, b long, w double").repartition(3)
+    nodes = condensing.merges(edges, n)
+    sizes = {r.node: (r.left_size + r.right_size) for r in nodes.collect()}
+    assert len(sizes) == n - 1 and sizes[2 * n - 2] == n
+    for r in nodes.collect():
+        assert sizes.get(r.left, 1) == r.left_size and sizes.get(r.right, 1) == r.right_size and r.node > max(r.left, r.right)
+    floors = [3, 6, 12]
+    keys = spark.createDataFrame([(f, 0, f, n) for f in floors], "key long, tree int, floor long, n long")
+    clusters, out = condensing.condensed(nodes.withColumn("tree", F.lit(0)), keys)
+    found = condensing.members(out, condensing.chosen(clusters, out)).cache()
+    told = {r.key: r for r in condensing.validities(edges.withColumn("tree", F.lit(0)), keys, found).collect()}
+    for floor in floors:
+        labels, strength, validity = clustering.clusters_of(tree, n, floor)
+        got = {r.point: (r.cluster, r.strength) for r in condensing.labelled(found.where(F.col("key") == floor)).collect()}
+        assert [got.get(k, (-1, 0.0))[0] for k in range(n)] == labels.tolist() and labels.max() >= 1
+        assert [got.get(k, (-1, 0.0))[1] for k in range(n)] == pytest.approx(strength.tolist())
+        assert told[floor].validity == pytest.approx(validity) and told[floor].share == pytest.approx(clustering.dominant_share(labels))
+    found.unpersist()
