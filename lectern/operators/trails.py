@@ -5,11 +5,12 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.partitions import spread
 from ..functions.tables import scratch, settled, shared_dir
 
 #: Edges up to which one task searches the graph by a heap; beyond, distances are relaxed in DataFrames.
@@ -60,54 +61,67 @@ def thin(stops: list[int], limit: int = fixed.MAX_STOPS) -> list[int]:
 def find_paths(edges: DataFrame, vectors: DataFrame, ends: DataFrame) -> DataFrame:
     """(trail, place, id, complete, hops) for each (trail, start, goal).
 
-    The graph is gathered for one task per trail only while it is small (HEAP_EDGES, checked);
-    larger graphs are searched by joins, with the same rows.  The shared folder is asked for at any size; tables go when the result is written.
+    A graph of at most HEAP_EDGES (checked) is packed once, sent to the executors once, and searched there by a heap, trail by trail; a larger one is
+    searched by joins, with the same rows.  The shared folder is asked for at any size; tables go when the result is written.
     """
-    shared_dir(edges.sparkSession)
-    if edges.count() > HEAP_EDGES:
-        with scratch(edges.sparkSession) as keep:
-            return keep(relax_paths(edges, ends, vectors), "trails")
-    from ..functions.vectors import dot, unit
-
-    goals = ends.join(vectors.select(F.col("id").alias("goal"), unit(F.col("v")).alias("g")), "goal")
-    likeness = vectors.select("id", unit(F.col("v")).alias("u")).crossJoin(F.broadcast(goals.select("trail", "start", "goal", "g")))
-    nodes = likeness.select("trail", "start", "goal", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), dot(F.col("u"), F.col("g")).alias("w"))
-    links = edges.crossJoin(F.broadcast(ends)).select("trail", "start", "goal", "a", "b", F.col("distance").alias("w"))
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        trail, start, goal = (rows[c].iloc[0] for c in ("trail", "start", "goal"))
-        known = rows["b"].isna()
-        like = dict(zip(rows.loc[known, "a"].tolist(), rows.loc[known, "w"].tolist(), strict=True))
-        graph: dict[int, list[tuple[int, float]]] = {}
-        real = rows[~known].sort_values(["a", "b"])
-        for a, b, w in zip(real["a"].tolist(), real["b"].astype("int64").tolist(), real["w"].tolist(), strict=True):
-            graph.setdefault(a, []).append((b, w))
-        route = [int(start)] if start == goal else dijkstra(graph, int(start), int(goal))
-        complete = route is not None
-        route = route or greedy_walk(graph, like, int(start), int(goal))
-        shown = thin(route)
-        return pd.DataFrame({"trail": trail, "place": range(len(shown)), "id": shown, "complete": complete, "hops": len(route) - 1})
+    spark = edges.sparkSession
+    shared_dir(spark)
+    with scratch(spark) as keep:
+        links = settled(edges.select("a", "b", "distance"))
+        found = _by_heap(links, ends) if links.count() <= HEAP_EDGES else _cheapest(links, ends)
+        return keep(_shown(links, found, ends, vectors), "trails")
+
+
+def _by_heap(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """(trail, route) of the trails whose goal can be reached."""
+    spark = edges.sparkSession
+    packed = edges.orderBy("a", "b").toArrow()  # HEAP_EDGES rows of three numbers
+    shared = spark.sparkContext.broadcast(tuple(packed[c].to_numpy() for c in ("a", "b", "distance")))
+
+    def search(batches):
+        source, target, weight = shared.value
+        nodes, first = np.unique(source, return_index=True)
+        last = np.r_[first[1:], len(source)]
+        place = {int(x): k for k, x in enumerate(nodes)}
+
+        class Neighbours:
+            """Edges of a node, read off the packed arrays."""
+
+            def get(self, node, _):
+                k = place.get(node)
+                return () if k is None else zip(target[first[k] : last[k]].tolist(), weight[first[k] : last[k]].tolist(), strict=True)
+
+        for batch in batches:
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            routes = pa.array([[s] if s == g else dijkstra(Neighbours(), s, g) for s, g in pairs], pa.list_(pa.int64()))
+            known = routes.is_valid()
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(known), routes.filter(known)], names=["trail", "route"])
 
     kind = dict(ends.dtypes)["trail"]
-    return nodes.unionByName(links).groupBy("trail").applyInPandas(search, f"trail {kind}, place int, id long, complete boolean, hops int")
-
+    return spread(ends.select("trail", "start", "goal")).mapInArrow(search, f"trail {kind}, route array<long>")
 
-def relax_paths(edges: DataFrame, ends: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    """As find_paths, by joins alone, for graphs that no task can hold.
 
-    Trails that find no way walk greedily over ``vectors``; without these they are reported by their two ends.
-    """
-    edges = settled(edges.select("a", "b", "distance"))
-    found = _cheapest(edges, ends)
+def _shown(edges: DataFrame, found: DataFrame, ends: DataFrame, vectors: DataFrame | None) -> DataFrame:
+    """The stops of all trails; those without a way walk greedily, or show their two ends where there are no vectors."""
+    found = settled(found)
     lost = settled(ends.join(found.select("trail"), "trail", "left_anti").select("trail", "start", "goal"))
     route = F.array("start", "goal")
     if vectors is not None:
         lost = lost.join(_walks(edges, vectors, lost), "trail", "left")
         route = F.coalesce("route", route)
-    every = found.withColumn("complete", F.lit(True)).unionByName(lost.select("trail", route.alias("route"), F.lit(False).alias("complete")))
+    every = found.select("trail", "route").withColumn("complete", F.lit(True)).unionByName(lost.select("trail", route.alias("route"), F.lit(False).alias("complete")))
     return every.select("trail", F.posexplode(thinned(F.col("route"))).alias("place", "id"), "complete", (F.size("route") - 1).alias("hops"))
 
 
+def relax_paths(edges: DataFrame, ends: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """As find_paths, by joins alone, for graphs that no task can hold.
+
+    Trails that find no way walk greedily over ``vectors``; without these they are reported by their two ends.
+    """
+    edges = settled(edges.select("a", "b", "distance"))
+    return _shown(edges, _cheapest(edges, ends), ends, vectors)
+
+
 def thinned(stops: Column, limit: int = fixed.MAX_STOPS) -> Column:
     """As thin, of a column of stops."""
     n = max(limit, 2)
@@ -115,22 +129,49 @@ def thinned(stops: Column, limit: int = fixed.MAX_STOPS) -> Column:
     return F.when(F.size(stops) <= limit, stops).otherwise(F.transform(places, lambda p: F.get(stops, p)))
 
 
+#: What sums in another order may differ by, as a share.
+_ROUNDING = 1e-9
+
+
+def _relaxed(labels: DataFrame, front: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, cost, old) after one round: what ``front`` reaches over ``links`` (a, b, distance), beside what was known."""
+    step = front.withColumnRenamed("node", "a").join(links, ["a", *(c for c in keys if c in links.columns)])
+    step = step.select(*keys, F.col("b").alias("node"), (F.col("cost") + F.col("distance")).alias("cost"), F.lit(None).cast("double").alias("old"))
+    merged = labels.select(*keys, "node", "cost", F.col("cost").alias("old")).unionByName(step)
+    return merged.groupBy(*keys, "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old"))
+
+
 def _cheapest(edges: DataFrame, ends: DataFrame) -> DataFrame:
-    """(trail, route) of the trails whose goal can be reached: least costs by repeated joins (Bellman-Ford), then back from the goal.
+    """(trail, route) of the trails whose goal can be reached: least costs from both ends by repeated joins, then back from the goal.
 
-    A round extends all nodes that improved, as long as they cost less than the goal does so far; the last one improves
-    none.  Distances are positive.  Of equal ways that over the earlier and lower predecessor stands, as the heap has it.
+    A round extends all nodes that improved on either side.  Once the sides meet, half of the best cost so far is as far as either has to
+    extend: the middle of the best way lies there.  Then the forward side goes on over the nodes that the other one shows to be on a best
+    way.  Distances are positive.  Of equal ways that over the earlier and lower predecessor stands, as the heap has it.
     """
-    best = settled(ends.select("trail", "goal", F.col("start").alias("node"), F.lit(0.0).alias("cost")))
+    links = settled(edges.select(F.lit(0).alias("side"), "a", "b", "distance").unionByName(edges.select(F.lit(1).alias("side"), F.col("b").alias("a"), F.col("a").alias("b"), "distance")))
+    starts = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("node")), F.struct(F.lit(1).alias("side"), F.col("goal").alias("node")))).alias("x")
+    labels = settled(ends.select("trail", starts).select("trail", "x.side", "x.node", F.lit(0.0).alias("cost")))
+    front = labels
+    while True:
+        met = labels.groupBy("trail", "node").agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("sides")).where("sides = 2")
+        bound = settled(met.groupBy("trail").agg(F.min("cost").alias("bound")))  # one row per trail
+        front = front.join(bound, "trail", "left").where(F.col("bound").isNull() | (F.col("cost") <= F.col("bound") * (0.5 + _ROUNDING))).drop("bound")
+        if front.isEmpty():
+            break
+        chosen = settled(_relaxed(labels, front, links, ["trail", "side"]))
+        front, labels = chosen.where("old IS NULL OR cost < old").drop("old"), chosen.drop("old")
+
+    # Only nodes whose way to the goal fits into the best cost are gone on from; where the other side hasn't been, it is more than half of that.
+    rest = settled(labels.where("side = 1").select("trail", "node", F.col("cost").alias("rest")))
+    fits = lambda rows: rows.join(bound, "trail").join(rest, ["trail", "node"], "left").where(F.col("cost") + F.coalesce("rest", F.col("bound") / 2) <= F.col("bound") * (1 + _ROUNDING)).select("trail", "node", "cost")
+    best = settled(fits(labels.where("side = 0").select("trail", "node", "cost")))
     front = best
     while not front.isEmpty():
-        bound = F.broadcast(best.where("node = goal").select("trail", F.col("cost").alias("bound")))  # one row per trail
-        step = front.join(bound, "trail", "left").where("bound IS NULL OR cost < bound").join(edges, F.col("node") == F.col("a"))
-        step = step.select("trail", "goal", F.col("b").alias("node"), (F.col("cost") + F.col("distance")).alias("cost"), "bound").where("bound IS NULL OR cost <= bound")
-        merged = best.withColumn("old", F.col("cost")).unionByName(step.drop("bound").withColumn("old", F.lit(None).cast("double")))
-        chosen = settled(merged.groupBy("trail", "goal", "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old")))
-        front = chosen.where("old IS NULL OR cost < old").drop("old")
-        best = chosen.drop("old")
+        chosen = settled(_relaxed(best, front, edges, ["trail"]))
+        front = fits(chosen.where("old IS NULL OR cost < old").drop("old"))
+        best = settled(fits(chosen.drop("old")))
+        front = front.join(best.select("trail", "node", F.col("cost").alias("_c")), ["trail", "node"]).where("cost = _c").drop("_c")
+    best = best.join(ends.select("trail", "goal"), "trail")
 
     into = edges.select(F.col("a").alias("before"), F.col("b").alias("node"), "distance")
     costs = best.select("trail", F.col("node").alias("before"), F.col("cost").alias("before_cost"))
