@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.partitions import indexed
-from . import bridges, catalog, clustering, maps, neighbours
+from . import bridges, catalog, clustering, maps, neighbours, umap
 
 MIN_SHARED = 4
 
@@ -62,9 +62,17 @@ class MapStore:
         self.spark.createDataFrame([(turn, run_id)], "turn long, run_id long").coalesce(1).write.mode("append").parquet(f"{self.root}/active")
 
 
-def _model(store: MapStore, run_id: int) -> tuple[np.ndarray, np.ndarray]:
+def _projected(store: MapStore, run_id: int, new: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(id, x, y, z) of new vectors as the run's own layout has them, before its alignment."""
     row = store.read(run_id, "model").first()
-    return np.array(row["mean"]), np.array(row["components"]).reshape(len(row["mean"]), -1)
+    if row["layout"] == "umap":
+        raw = store.read(run_id, "raw")
+        return _axes(umap.place(new, fitted, raw.select("id", F.array(*maps.AXES).alias("p"))))
+    return maps.project(new, np.array(row["mean"]), np.array(row["components"]).reshape(len(row["mean"]), -1))
+
+
+def _axes(places: DataFrame) -> DataFrame:
+    return places.select("id", *[F.col("p")[k].alias(c) for k, c in enumerate(maps.AXES)])
 
 
 def _place_new(store: MapStore, run_id: int, vectors: DataFrame) -> int:
@@ -73,9 +81,8 @@ def _place_new(store: MapStore, run_id: int, vectors: DataFrame) -> int:
     new = vectors.join(placed.select("id"), "id", "left_anti").cache()
     n = new.count()
     if n:
-        mean, components = _model(store, run_id)
         fitted = vectors.join(placed.where(~F.col("is_transformed")).select("id"), "id", "left_semi")
-        rows = maps.project(new, mean, components).join(neighbours.drift(new, fitted).withColumnRenamed("drift", "off_manifold"), "id")
+        rows = _projected(store, run_id, new, fitted).join(neighbours.drift(new, fitted).withColumnRenamed("drift", "off_manifold"), "id")
         rows = _aligned(store, run_id, rows)
         store.write(run_id, "places", rows.select("id", "x", "y", "z", F.lit(True).alias("is_transformed"), "off_manifold"), "append")
     new.unpersist()
@@ -93,10 +100,11 @@ def _aligned(store: MapStore, run_id: int, rows: DataFrame) -> DataFrame:
 def write_clusters(vectors: DataFrame, titles: DataFrame, dim: int, method: str = "density") -> tuple[DataFrame, DataFrame]:
     """(members: id, cluster, strength; clusters: cluster, size, label, method, centroid's first 32 values, terms).
 
-    ``method`` is "density" or, where comparing all pairs is too much, "k-means": the caller's choice at any size.
+    ``method`` is "density", "neighbourhoods" (density after a layout by neighbourhoods on ten axes) or, where comparing all pairs is too much, "k-means": the
+    caller's choice at any size.
     """
-    if method == "density":
-        members = clustering.cluster_vectors(vectors)
+    if method in ("density", "neighbourhoods"):
+        members = clustering.cluster_vectors(vectors, by="pca" if method == "density" else "umap")
     else:
         members = clustering.kmeans(vectors, max(2, round((vectors.count() / 2) ** 0.5)), with_strength=True)
     from ..functions.vectors import centroids
@@ -117,12 +125,15 @@ def write_links(vectors: DataFrame, members: DataFrame, clusters: DataFrame, dim
     return found.join(left, "source_id", "left").join(right, "target_id", "left").select("source_id", "target_id", "similarity", "paper_ids", catalog.shared_terms(F.col("a"), F.col("b")).alias("shared_terms"))
 
 
-def project_corpus(store: MapStore, vectors: DataFrame, titles: DataFrame, dim: int, force: bool = False, method: str = "density") -> Outcome:
+def project_corpus(store: MapStore, vectors: DataFrame, titles: DataFrame, dim: int, force: bool = False, method: str = "density", layout: str = "pca") -> Outcome:
     """Places new vectors, and refits once too many were only placed or drifted, or on request.
 
     A refit goes into a new run, is turned onto the last one by the papers they share (four at least), and is
-    shown only when complete.  Input: vectors (id, v), titles (id, title).
+    shown only when complete.  Input: vectors (id, v), titles (id, title).  A refit's ``layout`` is "pca" or "umap" (new vectors are then
+    placed among their neighbours), its clusters go by ``method`` (see write_clusters).
     """
+    if layout not in ("pca", "umap"):
+        raise ValueError("no such layout")
     spark, run = store.spark, store.active()
     total = vectors.count()
     if not total:
@@ -135,8 +146,8 @@ def project_corpus(store: MapStore, vectors: DataFrame, titles: DataFrame, dim:
         reason = "too many papers were only placed, or drifted"
     new = 0 if run is None else run + 1
     mean, components = maps.fit_pca(vectors, dim)
-    store.write(new, "model", spark.createDataFrame([(mean.tolist(), components.ravel().tolist())], "mean array<double>, components array<double>"))
-    coords = store.write(new, "raw", maps.project(vectors, mean, components))
+    store.write(new, "model", spark.createDataFrame([(mean.tolist(), components.ravel().tolist(), layout)], "mean array<double>, components array<double>, layout string"))
+    coords = store.write(new, "raw", _axes(umap.layout(vectors)) if layout == "umap" else maps.project(vectors, mean, components))
     matrix, shift, displacement = np.eye(3), np.zeros(3), None
     if run is not None:
         before = store.read(run, "places").select("id", *maps.AXES)

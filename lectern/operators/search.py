@@ -24,6 +24,12 @@ def match_expression(query: str) -> str:
     return " ".join(f'"{t}"*' for t in query_terms(query))
 
 
+def match_expressions(queries: Column) -> Column:
+    """As match_expression, of a column of queries."""
+    words = F.filter(F.split(F.regexp_replace(queries, r'["^*():]', " "), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"*'))), " ")
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 

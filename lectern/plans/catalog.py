@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import measures, text as tx
+from ..functions import fixed, measures, text as tx
 from ..functions.keyed import KeyedTable
 from ..functions.partitions import indexed
 from ..functions.tables import run_dir
@@ -48,13 +48,19 @@ def f5_phrase(spark, d):
     return op.phrase(library(spark, d, Q), "context", "100% OF O").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The unit table in SQL, and the distinct short words of all texts.
+UNITS_SQL = "units(token, place, kind, factor, shift, unit_si) AS (VALUES " + ", ".join(f"('{t}', {k}, '{kind}', {factor!r}::DOUBLE, {shift!r}::DOUBLE, '{fixed.CANONICAL_UNITS[kind]}')" for k, (t, (kind, factor, shift)) in enumerate(fixed.UNITS.items())) + ")"
+
+
 @query(
-    """SELECT * FROM (VALUES ('km', 'length'), ('KM', 'length'), ('mhz', 'frequency'), ('MHz', 'frequency'), ('Meter', 'length'), ('kelvin', 'temperature'),
-    ('S', 'time'), ('furlong', NULL), ('dimensionless', 'fraction')) AS t(unit, kind)"""
+    f"""WITH {UNITS_SQL}, w AS (SELECT DISTINCT unnest(string_split_regex(text, '[ \t\n\x0B\f\r]+')) AS unit FROM documents), s AS (SELECT unit FROM w WHERE length(unit) BETWEEN 1 AND 13),
+    m AS (SELECT unit, kind, CASE WHEN unit = token THEN 0 WHEN lower(unit) = lower(token) THEN 1 ELSE 2 END AS rank, place FROM s JOIN units ON lower(unit) IN (lower(token), lower(unit_si)))
+    SELECT unit, arg_min(kind, rank * 1000 + place) AS kind FROM s LEFT JOIN m USING (unit) GROUP BY 1"""
 )
 def f6_kind_for_unit(spark, d):
-    wanted = spark.createDataFrame([(u,) for u in ("km", "KM", "mhz", "MHz", "Meter", "kelvin", "S", "furlong", "dimensionless")], "unit string")
-    return op.kind_for_unit(wanted, measures.unit_table(spark))
+    """Every distinct short word of the texts: what kind of unit it is, if any."""
+    words = table(spark, d, "documents").select(F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("unit")).where(F.length("unit").between(1, 13))
+    return op.kind_for_unit(words, measures.unit_table(spark))
 
 
 @query(

@@ -14,6 +14,7 @@ from ..sources.documents import parse_documents
 from ..streaming import ingest
 from . import sql
 from .base import cte, library, query, table
+from .catalog import UNITS_SQL
 
 P, J, Q = "papers", "jobs", "quantities"
 
@@ -61,10 +62,16 @@ def x5_document_texts(spark, d):
     return chunks.document_texts(pages, "page_id")
 
 
-@query("SELECT n_name, regexp_matches(n_name, '^\\s*(references|bibliography|acknowledge?ments?|appendix|supplementary|funding|author contributions|conflicts? of interest|declaration)', 'i') AS boilerplate FROM (SELECT unnest(['References', ' 7 References', 'appendix A', 'Acknowledgments', 'Funding sources', 'Methods', 'Conflict of Interest', 'Declarations']) AS n_name)")
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), h AS (SELECT doc_id, line FROM l UNION ALL SELECT doc_id, ['References', 'appendix A', ' Acknowledgments', 'Methods', 'Conflict of Interest', 'Funding'][(doc_id % 6 + 1)::INT] || ' ' || left(text, 20) FROM documents)
+    SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(line, '^[ \\t\\n\\x0B\\f\\r]*(references|bibliography|acknowledge?ments?|appendix|supplementary|funding|author contributions|conflicts? of interest|declaration)', 'i')) AS boilerplate FROM h GROUP BY 1"""
+)
 def x2_boilerplate_headings(spark, d):
-    rows = spark.createDataFrame([(t,) for t in ("References", " 7 References", "appendix A", "Acknowledgments", "Funding sources", "Methods", "Conflict of Interest", "Declarations")], "n_name string")
-    return rows.select("n_name", tx.boilerplate_heading(F.col("n_name")).alias("boilerplate"))
+    """Every line of every text, and one heading made from each, as a heading."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    made = F.concat(F.get(F.array(*map(F.lit, ("References", "appendix A", " Acknowledgments", "Methods", "Conflict of Interest", "Funding"))), F.col("doc_id") % 6), F.lit(" "), F.substring("text", 1, 20))
+    lines = docs.select("doc_id", F.explode(F.concat(F.split("text", "\n"), F.array(made))).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(tx.boilerplate_heading(F.col("line"))).alias("boilerplate"))
 
 
 @query("SELECT doc_id, CAST(greatest(1, length(coalesce(text, '')) // 4) AS INTEGER) AS tokens, CAST(greatest(1, round_even(n_chars / 1800, 0)) AS INTEGER) AS pages FROM documents")
@@ -218,14 +225,29 @@ def q6_extract_quantities(spark, d):
     return found.select("p_partkey", "quantity_kind", F.round("value_si", 9).alias("value_si"), "unit_original")
 
 
-@query("SELECT p_partkey, 2 AS n FROM part")
+@query(
+    """WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])[\\s\\x0B\\x{85}\\p{Z}]+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))) AS s FROM documents),
+    t AS (SELECT doc_id, regexp_replace(s, '^[\\s\\x0B\\x{85}\\p{Z}]+|[\\s\\x0B\\x{85}\\p{Z}]+$', '', 'g') AS s FROM p WHERE contains(s, ' '))
+    SELECT doc_id, count(*) FILTER (length(s) BETWEEN 25 AND 500 AND NOT contains(s, '<br>') AND NOT contains(s, '<!--') AND NOT contains(s, '|')) AS n FROM documents LEFT JOIN t USING (doc_id) GROUP BY 1"""
+)
 def q1_sentences(spark, d):
-    return _sentences(spark, d).select("p_partkey", F.size(measures.sentences(F.col("text"))).alias("n"))
+    """How many sentences every whole text has."""
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.array_size(measures.sentences(F.col("text"))), F.lit(0)).cast("long").alias("n"))
 
 
 @query()
+def q6_document_quantities(spark, d):
+    """Every measured value of every whole text."""
+    found = measures.extract_quantities(spread(table(spark, d, "documents").select("doc_id", "text")), "text", ["doc_id"])
+    return found.select("doc_id", "quantity_kind", F.round("value_si", 9).alias("value_si"), "value_original", "unit_original", "status")
+
+
+@query(f"WITH {UNITS_SQL}, w AS (SELECT unnest(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')) AS token FROM documents), n AS (SELECT token, count(*) AS n FROM w GROUP BY 1) SELECT token, kind, factor, shift, unit_si, coalesce(n, 0) AS n FROM units LEFT JOIN n USING (token)")
 def q3_units(spark, d):
-    return measures.unit_table(spark)
+    """The units that are known, and how often each stands in the texts as a word."""
+    words = table(spark, d, "documents").select(F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    units = measures.unit_table(spark).select("token", "kind", "factor", F.col("offset").alias("shift"), "unit_si")
+    return units.join(words, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query(cte(Q) + ", n AS (SELECT quantity_kind, count(*) AS n FROM quantities GROUP BY 1) SELECT quantity_kind, n, CASE quantity_kind WHEN 'length' THEN 'km' WHEN 'mass' THEN 't' WHEN 'time' THEN 'h' ELSE 'kHz' END AS symbol FROM n")
@@ -296,17 +318,24 @@ def l4_read_window(spark, d):
     return table(spark, d, "documents").select("doc_id", search.read_window(F.col("text"), F.lit(100), F.lit(300)).alias("w")).select("doc_id", "w.text", "w.next_offset", "w.total")
 
 
-@query("SELECT conv_id, turn, CAST(turn AS VARCHAR) AS cited, CAST(turn + 7 AS VARCHAR) AS refused, 'as [#' || turn || '] and  say' AS clean_text FROM conversations")
+@query("SELECT conv_id, turn, CAST(turn AS VARCHAR) AS cited, CAST(turn + 7 AS VARCHAR) AS refused, coalesce(text, '') || ' [#' || turn || '] ' || ' and' || coalesce(text, '') AS clean_text FROM conversations")
 def l5_citation_gate(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.format_string("as [#%d] and [#%d] say", F.col("turn"), F.col("turn") + 7).alias("answer"))
-    out = search.cited(rows, "answer", F.array(F.col("turn"), F.lit(-1).cast("long")))
+    """Every turn's text, with a citation that holds, one that doesn't, and the text again."""
+    said = F.coalesce("text", F.lit(""))
+    answer = F.concat(said, F.format_string(" [#%d] [#%d] and", F.col("turn"), F.col("turn") + 7), said)
+    out = search.cited(table(spark, d, "conversations").select("conv_id", "turn", answer.alias("answer")), "answer", F.array(F.col("turn"), F.lit(-1).cast("long")))
     ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return out.select("conv_id", "turn", ids("cited").alias("cited"), ids("refused").alias("refused"), "clean_text")
 
 
-@query("""SELECT q, array_to_string(list_transform(list_filter(string_split(regexp_replace(q, '["^*():]', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: '"' || w || '"*'), ' ') AS expression FROM (SELECT unnest(['deep (learning)', 'a:b "c"', '***', 'it''s']) AS q)""")
+@query(
+    """WITH t AS (SELECT doc_id, left(coalesce(text, ''), 120) || ' "a b" c:(d*)' AS q FROM documents)
+    SELECT doc_id, array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(q, '["^*():]', ' ', 'g'), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''), lambda w: '"' || w || '"*'), ' ') AS expression FROM t"""
+)
 def l1_match_expression(spark, d):
-    return spark.createDataFrame([(q, search.match_expression(q)) for q in ("deep (learning)", 'a:b "c"', "***", "it's")], "q string, expression string")
+    """The beginning of every text as a query, with some operators behind it."""
+    asked = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 120), F.lit(' "a b" c:(d*)'))
+    return table(spark, d, "documents").select("doc_id", search.match_expressions(asked).alias("expression"))
 
 
 # --- jobs, streams ------------------------------------------------------------------------------------
@@ -572,10 +601,18 @@ def x26_sentence_cut(spark, d):
 
 @query("SELECT doc_id, '10.1234/x.' || doc_id AS doi, '2101.' || (10000 + doc_id) AS arxiv FROM documents")
 def x12_find_identifiers(spark, d):
-    text = F.format_string("See arXiv: 2101.%d and doi 10.1234/X.%d).", F.col("doc_id") + 10000, F.col("doc_id"))
+    """Identifiers inside the texts' own prose: a sentence of them stands after the first 700 characters."""
+    said = F.format_string(" See arXiv: 2101.%d and doi 10.1234/X.%d). ", F.col("doc_id") + 10000, F.col("doc_id"))
+    text = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 700), said, F.substring(F.coalesce("text", F.lit("")), 701, 1 << 30))
     return table(spark, d, "documents").select("doc_id", tx.find_doi(text).alias("doi"), tx.find_arxiv(text).alias("arxiv"))
 
 
+@query("SELECT doc_id, list_max(list_transform(regexp_extract_all(left(text, 4000), '\\b(19[89]\\d|20[0-4]\\d)\\b', 1), lambda y: y::INTEGER)) AS year FROM documents")
+def x19_years_of_texts(spark, d):
+    """The latest year that every text names at its beginning."""
+    return table(spark, d, "documents").select("doc_id", tx.find_year(F.col("text")).alias("year"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'The ' || p_name || ' of Things' END AS title FROM part")
 def x16_embedded_titles(spark, d):
     raw = F.when(F.col("p_partkey") % 3 == 0, F.format_string("%d_scanfinal", F.col("p_partkey"))).otherwise(F.concat(F.lit("# **The "), "p_name", F.lit(" of Things**")))

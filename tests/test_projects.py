@@ -42,6 +42,30 @@ def test_map_life(spark, tmp_path):
     assert sorted(r.node_index for r in rows.values()) == list(range(60))
 
 
+def test_map_by_neighbourhoods(spark, tmp_path):
+    """Twelve groups that PCA can't tell apart on three axes: found as clusters, and new vectors land beside their own group."""
+    matrix, truth = blobs(groups=12, each=14, dim=32, spread=2.0, seed=6)
+    new = np.arange(len(matrix)) % 14 == 3
+    vectors = frame(spark, matrix)
+    titles = spark.createDataFrame([(k, f"topic{truth[k]} number") for k in range(len(matrix))], "id long, title string")
+    store = projects.MapStore(spark, str(tmp_path / "map"))
+    first = projects.project_corpus(store, vectors.where("id % 14 <> 3"), titles, 32, method="neighbourhoods", layout="umap")
+    assert first.refitted and first.clusters == 12
+    members = {r.id: r.cluster for r in store.read(0, "members").collect()}
+    pairs = [(a, b) for a in members for b in members if a < b]
+    same = np.mean([(members[a] == members[b]) == (truth[a] == truth[b]) for a, b in pairs if min(members[a], members[b]) >= 0])
+    assert same > 0.99 and np.mean([c >= 0 for c in members.values()]) > 0.9
+    placed = projects.project_corpus(store, vectors, titles, 32)
+    assert not placed.refitted and placed.placed == int(new.sum())
+    rows = store.read(0, "places").orderBy("id").collect()
+    at = np.array([(r.x, r.y, r.z) for r in rows])
+    centres = np.array([at[(truth == g) & ~new].mean(axis=0) for g in range(12)])
+    own = np.linalg.norm(at[new][:, None] - centres[None], axis=2).argmin(axis=1)
+    assert (own == truth[new]).mean() >= 0.9
+    with pytest.raises(ValueError, match="layout"):
+        projects.project_corpus(store, vectors, titles, 32, layout="other")
+
+
 def test_links_of_k_means_clusters(spark):
     rng = np.random.default_rng(5)
     shared = np.ones(16) * 0.6

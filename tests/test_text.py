@@ -310,3 +310,29 @@ def test_decoding():
 def test_top_terms_ties_by_first_seen(spark):
     rows = spark.createDataFrame([(1, 1, "Beta-gamma alpha results 2020"), (1, 2, "alpha beta")], "c int, ord int, title string")
     assert [r.term for r in catalog.top_terms(rows, ["c"]).orderBy("rank").collect()] == ["beta", "alpha", "gamma"]
+
+
+def test_quantities_of_whole_texts_equal_a_plain_version(spark):
+    """Numbers with units inside the given texts' own prose: found where a plain search for number and unit in every sentence finds them."""
+    import regex
+
+    from lectern.functions import fixed, measures
+
+    units = ["mm", "kg", "°C", "GHz", "ms", "furlongs", "km", "%%%"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    said = F.format_string(" It took about %d.5 %s across the whole of it. ", F.col("doc_id") % 90, F.get(F.array(*map(F.lit, units)), F.col("doc_id") % len(units)))
+    rows = docs.select("doc_id", F.concat(F.substring("text", 1, 300), said, F.substring("text", 301, 1 << 30)).alias("text"))
+    found = sorted((r.doc_id, r.value_original, r.unit_original) for r in measures.extract_quantities(rows, "text", ["doc_id"]).collect())
+    low, high = fixed.SENTENCE_CHARS
+    want = []
+    for r in rows.collect():
+        for s in regex.split(r"(?<=[.!?])\s+|\n+", r.text):
+            s = s if " " not in s else s.strip()
+            if " " not in s or not low <= len(s) <= high or any(m in s for m in fixed.NOT_PROSE):
+                continue
+            for m in regex.finditer(fixed.QUANTITY_PATTERN, s):
+                token = m[3]
+                shaped = len(token) <= 4 and regex.search(r"[\p{Lu}°µ/%]", token) and token.lower() not in fixed.NOT_UNITS
+                if token not in fixed.NEVER_UNITS and (token in fixed.UNITS or shaped):
+                    want.append((r.doc_id, (m[1] + (m[2] or "")).strip(), token))
+    assert found == sorted(want) and len(found) > 100
