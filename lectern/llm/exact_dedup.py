@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmaps_for, make_filter, materialize, may_hold, run_dir, text_or_empty, write
+from .common import bitmaps_for, delete, make_filter, materialize, may_hold, run_dir, text_or_empty, write
 
 #: One in so many rows makes a digest hot; also the most hot digests there can be.
 HOT_SHARE = 1000
@@ -42,7 +42,7 @@ class LsmIndex:
     """Sorted runs of (digest; least, most: identifiers; n: rows; n_ids: rows with an identifier) in levels, in one shared folder.
 
     The manifest is a table of (version, level, run, size, bitmaps, low, high) that is written
-    last: a flush or merge that was cut off leaves files that no version names.  One writer at a time.
+    last: a flush or merge that was cut off leaves files that no version names.  One writer at a time; readers open the index anew after a merge.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = FAN_IN):
@@ -87,15 +87,20 @@ class LsmIndex:
         return index
 
     def append(self, rows: DataFrame) -> None:
-        """Flushes a batch of (id, digest) and merges levels that are full."""
+        """Flushes a batch of (id, digest) and merges levels that are full; merged runs and the manifests that name them go once the new version stands."""
         self.flush(rows)
-        level = 0
+        level, dead = 0, []
         while len(full := [r for r in self.runs if r[0] == level]) >= self.fan_in:
             merged = entries(self._union([r[1] for r in full])).sortWithinPartitions("digest")
             self._write(merged, level + 1)
             self.runs = [r for r in self.runs if r not in full]
+            dead += [r[1] for r in full]
             level += 1
         self._commit()
+        if self.version > 1:
+            delete(self.spark, f"{self.path}/manifest-{self.version - 1:09d}")
+        for run in dead:
+            delete(self.spark, f"{self.path}/{run}")
 
     def _union(self, runs: list[str]) -> DataFrame:
         return self.spark.read.schema(ENTRY).parquet(*[f"{self.path}/{run}/entries" for run in runs])

@@ -98,6 +98,8 @@ def test_appended_batches_equal_a_rebuild(spark, tmp_path):
     for k in range(10):
         index.append(make(rows[60 * k : 60 * k + 60]))
     assert max(level for level, *_ in index.runs) == 2 and len(index.runs) < 6
+    # Files of merged runs and old manifests are gone.
+    assert {p.name for p in (tmp_path / "index").iterdir()} == {*(r[1] for r in index.runs), "manifest-000000010"}
     index.flush(make([(1, "never committed")]))
     opened = LsmIndex.open(spark, path)
     rebuilt = LsmIndex(spark, f"file://{tmp_path}/rebuilt")
