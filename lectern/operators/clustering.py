@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.graphs import connected_components
 from ..functions.tables import scratch, settled, shared_dir
 from ..functions.vectors import unit
 from . import condensing
@@ -362,24 +363,6 @@ def _tree_by_blocks(placed: DataFrame, samples: int, blocks: int) -> DataFrame:
                 second = np.where(tied & (low == first[:, None]), high, np.iinfo(np.int64).max).min(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(part_a[some]), pa.array(best[some]), pa.array(first), pa.array(second)], names=["part", "w", "a", "b"])
 
-    def join_parts(table: pa.Table) -> pa.Table:
-        """Which part each becomes: union-find over one edge per part."""
-        x, y = (table[c].to_numpy() for c in ("x", "y"))
-        parts, place = np.unique(np.concatenate([x, y]), return_inverse=True)
-        parent = list(range(len(parts)))
-        for u, v in zip(place[: len(x)].tolist(), place[len(x) :].tolist(), strict=True):
-            while parent[u] != u:
-                parent[u] = u = parent[parent[u]]
-            while parent[v] != v:
-                parent[v] = v = parent[parent[v]]
-            parent[max(u, v)] = min(u, v)
-        root = []
-        for u in range(len(parts)):
-            while parent[u] != u:
-                parent[u] = u = parent[parent[u]]
-            root.append(u)
-        return pa.table({"part": pa.array(parts), "whole": pa.array(parts[root])})
-
     tree = None
     while True:
         found = _pairs(_pack(state, blocks, "core", "part"), blocks).mapInArrow(least_out, "part long, w double, a long, b long")
@@ -390,7 +373,7 @@ def _tree_by_blocks(placed: DataFrame, samples: int, blocks: int) -> DataFrame:
         tree = found if tree is None else tree.unionByName(found)
         own = lambda end, name: state.select(F.col("place").alias(end), F.col("part").alias(name))  # noqa: E731, B023
         ends = found.join(own("a", "x"), "a").join(own("b", "y"), "b").select("x", "y")
-        wholes = ends.withColumn("corpus", F.lit(0)).groupBy("corpus").applyInArrow(join_parts, "part long, whole long")  # two numbers for each part of the round
+        wholes = connected_components(ends).select(F.col("node").alias("part"), F.col("component").alias("whole"))
         state = settled(state.join(wholes, "part").select("place", "p", "core", F.col("whole").alias("part")))
 
 

@@ -237,8 +237,11 @@ def q1_sentences(spark, d):
 
 @query()
 def q6_document_quantities(spark, d):
-    """Every measured value of every whole text."""
-    found = measures.extract_quantities(spread(table(spark, d, "documents").select("doc_id", "text")), "text", ["doc_id"])
+    """Every measured value of every whole text, and of a sentence inside each that has one."""
+    units = F.get(F.array(*map(F.lit, ("mm", "kg", "°C", "GHz", "ms", "furlongs", "km"))), F.col("doc_id") % 7)
+    said = F.concat(F.lit(" It took about "), F.col("n_chars").cast("string"), F.lit(".5 "), units, F.lit(" across the whole of it. "))
+    text = F.concat(F.substring("text", 1, 300), said, F.substring("text", 301, 1 << 30))
+    found = measures.extract_quantities(spread(table(spark, d, "documents").select("doc_id", text.alias("text"))), "text", ["doc_id"])
     return found.select("doc_id", "quantity_kind", F.round("value_si", 9).alias("value_si"), "value_original", "unit_original", "status")
 
 
