@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,11 @@ _KEY = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{35}"
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])"
 )
-#: What every candidate needs somewhere in its text: an @, a digit, what a secret is set with, letters that may be a hash, a key or a titled name.
-WORTH_A_LOOK = "|".join(["[0-9@=:]", "[a-f]{32}", _KEY.pattern, _PERSON.pattern])
+#: What every candidate needs somewhere in its text: an @, a digit, what a secret is set with, letters that may be a hash; or a key or a titled name,
+#: which are only looked for where one of these beginnings stands.
+WORTH_A_LOOK = "[0-9@=:]|[a-f]{32}"
+KEY_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "AIza", "eyJ")
+TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr")
 
 #: Gazetteers: given names, endings of mail domains, calling codes, lengths of IBANs by country.
 GIVEN = frozenset(
@@ -257,7 +261,9 @@ def fit_classifier(features: list[list[int]], posterior: np.ndarray, decay: floa
 
 def _bodies(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     text = F.col(text_column).cast("string")
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.when(text.rlike(WORTH_A_LOOK), text).alias("body"))
+    holds = lambda heads: reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in heads])
+    worth = text.rlike(WORTH_A_LOOK) | (holds(KEY_HEADS) & text.rlike(_KEY.pattern)) | (holds(TITLES) & text.rlike(_PERSON.pattern))
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.when(worth, text).alias("body"))
 
 
 def train_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> np.ndarray:
