@@ -49,7 +49,8 @@ _KEY = re.compile(
 )
 #: What every candidate needs somewhere in its text: an @, a digit, what a secret is set with, letters that may be a hash; or a key or a titled name,
 #: which are only looked for where one of these beginnings stands.
-WORTH_A_LOOK = "[0-9@=:]|[a-f]{32}"
+AT_ONCE = "[0-9@=:]|[a-f]{32}"
+WORTH_A_LOOK = "|".join([AT_ONCE, _KEY.pattern, _PERSON.pattern])
 KEY_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "AIza", "eyJ")
 TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr")
 
@@ -262,7 +263,7 @@ def fit_classifier(features: list[list[int]], posterior: np.ndarray, decay: floa
 def _bodies(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     text = F.col(text_column).cast("string")
     holds = lambda heads: reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in heads])
-    worth = text.rlike(WORTH_A_LOOK) | (holds(KEY_HEADS) & text.rlike(_KEY.pattern)) | (holds(TITLES) & text.rlike(_PERSON.pattern))
+    worth = text.rlike(AT_ONCE) | (holds(KEY_HEADS) & text.rlike(_KEY.pattern)) | (holds(TITLES) & text.rlike(_PERSON.pattern))
     return docs.select(F.col(id_column).cast("long").alias("id"), F.when(worth, text).alias("body"))
 
 
