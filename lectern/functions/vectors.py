@@ -15,9 +15,9 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """Length one; lengths under 1e-12 count as 1e-12."""
+    """Length one; lengths under 1e-12 count as 1e-12.  The length is an element that the inner lambda is given: it would be summed up again for every number."""
     size = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x.cast("double") / size)
+    return F.transform(F.array(size), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
 def mean_columns(dim: int, column: str = "v") -> list[Column]:

@@ -22,12 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
+from . import pairs
 
 BLOCK_ROWS = 1024
 #: Cells at most (their centres go to every task), and vectors that centres are fitted on, for each cell.
 MOST_CELLS, FIT_ROWS = 4096, 64
-#: What rounding may cost a bound.
-SLACK = 1e-6
 
 
 class Cells(NamedTuple):
@@ -132,7 +131,7 @@ def _compared(k: int, least: float | None, skip_self: bool):
     return run
 
 
-_FOUND = "i long, j long, similarity double"
+_FOUND = pairs.FOUND
 
 
 def _bounds(square: np.ndarray, lengths: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -156,7 +155,7 @@ def _needed(shared, probes: int | None):
                 lengths = (v**2).sum(axis=1)
                 square = lengths[:, None] + size - 2 * v @ centres.T
                 if probes is None:
-                    need = _bounds(square, lengths, low, high) >= np.frombuffer(row["reach"])[:, None] - SLACK
+                    need = _bounds(square, lengths, low, high) >= np.frombuffer(row["reach"])[:, None] - pairs.SLACK
                 else:
                     square = np.where(np.isfinite(high), square, np.inf)
                     nearest = np.argpartition(square, min(probes, len(centres)) - 1, axis=1)[:, :probes]
@@ -178,23 +177,24 @@ def _side(blocks: DataFrame, side: str) -> DataFrame:
     return blocks.select(F.col("cell").alias(f"cell_{side}"), F.col("block").alias(f"block_{side}"), F.col("ids").alias(f"ids_{side}"), F.col("matrix").alias(f"m_{side}"))
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("i").orderBy(F.desc(F.round("similarity", 12)), "j")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def plan(queries: Cells, vectors: Cells, k: int, least: float | None, skip_self: bool, probes: int | None) -> DataFrame:
-    """(cell_a, block_a, cell_b, rows): which blocks of queries meet which cells, and which of their rows."""
-    spark, centres = vectors.rows.sparkSession, vectors.centres
+def ranges_of(vectors: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How near and how far from the centre each cell's vectors are, and how many the first block has."""
+    centres = vectors.centres
     ranges = vectors.rows.groupBy("cell").agg(F.min("away").alias("low"), F.max("away").alias("high"), F.sum(F.when(F.col("block") == 0, 1).otherwise(0)).alias("n")).collect()  # a row for each cell
     low, high, n = np.full(len(centres), np.inf), np.full(len(centres), -np.inf), np.zeros(len(centres), np.int64)
     for r in ranges:
         low[r.cell], high[r.cell], n[r.cell] = r.low, r.high, r.n
-    shared = spark.sparkContext.broadcast((centres, low, high))
-    kinds = "cell_a long, block_a long, cell_b long, rows binary"
-    if probes is not None:
-        return packed(queries.rows).mapInArrow(_needed(shared, probes), kinds)
-    # What the k-th best has to beat: that of the first blocks of the nearest cells that hold more than k vectors together.
+    return low, high, n
+
+
+def reached(queries: Cells, vectors: Cells, n: np.ndarray, k: int, least: float | None, skip_self: bool) -> DataFrame:
+    """The queries' rows with ``reach``, what the k-th best has to beat: that of the first blocks of the nearest cells that hold more than k vectors together."""
+    spark, centres = vectors.rows.sparkSession, vectors.centres
     away = ((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2) if len(centres) <= 512 else (centres**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * centres @ centres.T
     order = np.argsort(away, axis=1, kind="stable")
     seeds = []
@@ -202,22 +202,40 @@ def plan(queries: Cells, vectors: Cells, k: int, least: float | None, skip_self:
         held = np.cumsum(n[order[a]])
         enough = int(np.searchsorted(held, k + 1)) + 1
         seeds += [(a, int(b)) for b in order[a][:enough] if n[b]]
-    pairs = spark.createDataFrame(seeds, "cell_a long, cell_b long") if seeds else spark.createDataFrame([], "cell_a long, cell_b long")
+    seeded = spark.createDataFrame(seeds, "cell_a long, cell_b long") if seeds else spark.createDataFrame([], "cell_a long, cell_b long")
     first = _side(packed(vectors.rows.where("block = 0")), "b").drop("block_b")
-    near = pairs.join(_side(packed(queries.rows), "a"), "cell_a").join(first, "cell_b").select("ids_a", "m_a", "ids_b", "m_b", F.lit(None).cast("binary").alias("rows"))
-    near = _ranked(near.mapInArrow(_compared(k, None, skip_self), _FOUND), k)
+    near = seeded.join(_side(packed(queries.rows), "a"), "cell_a").join(first, "cell_b").select("ids_a", "m_a", "ids_b", "m_b", F.lit(None).cast("binary").alias("rows"))
+    near = ranked(near.mapInArrow(_compared(k, None, skip_self), _FOUND), k)
     reach = near.groupBy(F.col("i").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).otherwise(F.lit(-2.0)).alias("reach"))
-    reached = queries.rows.join(reach, "id", "left").withColumn("reach", F.greatest(F.coalesce("reach", F.lit(-2.0)), F.lit(-2.0 if least is None else float(least))))
-    return packed(reached, "reach").mapInArrow(_needed(shared, None), kinds)
+    return queries.rows.join(reach, "id", "left").withColumn("reach", F.greatest(F.coalesce("reach", F.lit(-2.0)), F.lit(-2.0 if least is None else float(least))))
+
+
+def plan(queries: Cells, vectors: Cells, k: int, least: float | None, skip_self: bool, probes: int | None) -> DataFrame:
+    """(cell_a, block_a, cell_b, rows): which blocks of queries meet which cells, and which of their rows."""
+    low, high, n = ranges_of(vectors)
+    shared = vectors.rows.sparkSession.sparkContext.broadcast((vectors.centres, low, high))
+    kinds = "cell_a long, block_a long, cell_b long, rows binary"
+    if probes is not None:
+        return packed(queries.rows).mapInArrow(_needed(shared, probes), kinds)
+    return packed(reached(queries, vectors, n, k, least, skip_self), "reach").mapInArrow(_needed(shared, None), kinds)
 
 
-def top_k(queries: Cells, vectors: Cells, k: int, least: float | None = None, skip_self: bool = True, probes: int | None = None) -> DataFrame:
+def top_k(queries: Cells, vectors: Cells, k: int, least: float | None = None, skip_self: bool = True, probes: int | None = None, asked: int | None = None) -> DataFrame:
     """(i, j, similarity, rank) of the k nearest vectors of every query; ties fall by lower id.
 
-    Exact without ``probes``: the same rows as comparing all pairs.  Ids of queries are taken as distinct.  ``least`` drops less similar
-    pairs.  Queries and vectors share their centres.
+    Exact without ``probes``: the same rows as comparing all pairs; blocks of vectors go through parts of the queries (``pairs``) and past those that they
+    can't serve.  Ids of queries are taken as distinct.  ``least`` drops less similar pairs.  Queries and vectors share their centres.  ``asked`` is
+    the number of queries, where it is known.
     """
+    if probes is None:
+        spark, centres = vectors.rows.sparkSession, vectors.centres
+        _, _, n = ranges_of(vectors)
+        parts = pairs.parts_for(spark.sparkContext.defaultParallelism, queries.rows.count() if asked is None else asked, 2 * pairs.LEAST_ROWS, centres.shape[1])
+        part = lambda k: F.pmod(F.xxhash64("cell", "block"), F.lit(parts[k])).alias("part")
+        left = packed(reached(queries, vectors, n, k, least, skip_self), "reach").select(part(0), "ids", "matrix", "reach")
+        right = packed(vectors.rows).select(part(1), "ids", "matrix", "cell", "low", "high")
+        return ranked(pairs.best(pairs.dealt(left, right, *parts), k, least, skip_self, spark.sparkContext.broadcast(centres)), k)
     work = plan(queries, vectors, k, least, skip_self, probes)
     work = work.join(_side(packed(queries.rows), "a"), ["cell_a", "block_a"]).join(_side(packed(vectors.rows), "b"), "cell_b")
     found = work.select("ids_a", "m_a", "ids_b", "m_b", "rows").mapInArrow(_compared(k, least, skip_self), _FOUND)
-    return _ranked(found, k)
+    return ranked(found, k)

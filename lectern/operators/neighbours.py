@@ -1,74 +1,42 @@
 """Nearest neighbours by cosine, exact.
 
-Up to PAIRS pairs of blocks of vectors every pair is compared, a matrix product that keeps k candidates per row.  Beyond, vectors are
+Up to PAIRS pairs of blocks of vectors every pair is compared, in a grid of parts (``pairs``).  Beyond, vectors are
 kept in cells (``cells``), and pairs that can't hold a neighbour are left out; the rows are the same.  No side is broadcast and no
-task holds more than two blocks; what is gathered per row is k candidates per block.
+task holds more than a part of the queries and a block of vectors; what is gathered per row is k candidates for each part of the vectors.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.vectors import dot, norm, unit
-from . import cells
+from . import cells, pairs
 
 BLOCK_ROWS = 1024
 #: Pairs of blocks up to which comparing all of them costs less than fitting centres.
 PAIRS = 1024
 
 
-def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """(block, ids, matrix): unit rows as packed doubles, dealt by id; and the number of blocks."""
-    n = max(1, -(-vectors.count() // rows))
-    dealt = vectors.select("id", unit(F.col("v")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
-
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        flat = table["v"].combine_chunks().flatten().to_numpy()
-        ids = table["id"].to_numpy()
-        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([flat.tobytes()], pa.binary())})
-
-    return dealt.groupBy("block").applyInArrow(pack, "block long, ids binary, matrix binary"), n
-
-
-def _compare(k: int, least: float | None, skip_self: bool):
-    def run(batches):
-        for batch in batches:
-            parts = []
-            for r in range(len(batch)):
-                ids_a, a, ids_b, b = (batch.column(c)[r].as_py() for c in range(4))
-                ids_a, ids_b = np.frombuffer(ids_a, np.int64), np.frombuffer(ids_b, np.int64)
-                a, b = np.frombuffer(a).reshape(len(ids_a), -1), np.frombuffer(b).reshape(len(ids_b), -1)
-                parts.append(cells.best_of(ids_a, ids_b, a @ b.T, k, least, skip_self))
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "similarity"])
-
-    return run
-
-
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, skip_self: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(i, j, similarity, rank) of the k nearest vectors of every query; ties fall by lower id.
 
     Both inputs have ``id`` and ``v``.  ``least`` drops less similar pairs, after the k are chosen.
     """
-    left, n_left = _blocks(queries, block_rows)
-    right, n_right = _blocks(vectors, block_rows)
-    if n_left * n_right > PAIRS:
-        index = cells.build(vectors, n_right * block_rows, block_rows=block_rows)
+    if k < 1:
+        return queries.sparkSession.createDataFrame([], f"{pairs.FOUND}, rank int")
+    sizes = [df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first() for df in ((queries,) if queries is vectors else (queries, vectors))]
+    n_left, n_right, dim = sizes[0]["n"], sizes[-1]["n"], max(s["dim"] or 1 for s in sizes)
+    blocks = [max(1, -(-n // block_rows)) for n in (n_left, n_right)]
+    if blocks[0] * blocks[1] > PAIRS:
+        index = cells.build(vectors, blocks[1] * block_rows, block_rows=block_rows)
         asked = index if queries is vectors else cells.assign(queries, index.centres, block_rows)
-        return cells.top_k(asked, index, k, least, skip_self)
-    left = left.select(F.col("block").alias("a"), F.col("ids").alias("ids_a"), F.col("matrix").alias("m_a"))
-    right = right.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("matrix").alias("m_b"))
-    # One row per unit of work: a pair of block numbers.
-    pairs = queries.sparkSession.range(n_left * n_right).select((F.col("id") % n_left).alias("a"), F.floor(F.col("id") / n_left).alias("b"))
-    work = pairs.join(left, "a").join(right, "b").select("ids_a", "m_a", "ids_b", "m_b")
-    found = work.mapInArrow(_compare(k, least, skip_self), "i long, j long, similarity double")
-    order = Window.partitionBy("i").orderBy(F.desc(F.round("similarity", 12)), "j")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return cells.top_k(asked, index, k, least, skip_self, asked=n_left)
+    parts = pairs.parts_for(queries.sparkSession.sparkContext.defaultParallelism, n_left, n_right, dim)
+    left, right = (pairs.packed(df.select(F.col("id").cast("long").alias("id"), unit(F.col("v")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("part"))) for df, n in zip((queries, vectors), parts, strict=True))
+    return cells.ranked(pairs.best(pairs.dealt(left, right, *parts), k, least, skip_self), k)
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, exclude: list[int] | None = None) -> DataFrame:

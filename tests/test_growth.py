@@ -31,3 +31,28 @@ def test_second_times_do_not_fall_on_stored_ids(spark, tmp_path, name):
     con = embeddings(spark, str(tmp_path), ids, [0, 1, 1, 0, 1, 2, 3], np.random.default_rng(0).normal(size=(7, 64)))
     found = QUERIES[name](spark, str(tmp_path)).collect()
     assert sorted((r.id, r.version) for r in found) == sorted(con.sql(ORACLES[name]).fetchall())
+
+
+def test_compared_rows_grow_with_the_vectors(spark):
+    """Four times the vectors send four times the bytes to the tasks that compare, and give each query k candidates for each part of the vectors."""
+    from lectern.operators import cells, neighbours, pairs
+    from tests.test_vectors import _all_pairs, _rows
+
+    def sent(n):
+        rows = spark.range(n).select("id", F.array(*[F.rand(k) - 0.5 for k in range(8)]).alias("v"), (F.col("id") % 4).alias("part"))
+        packed = pairs.packed(rows)
+        return pairs.dealt(packed, packed.withColumn("part", F.col("part") % 2), 4, 2).agg(F.sum(F.length("matrix"))).first()[0], rows
+
+    small, _ = sent(1000)
+    large, rows = sent(4000)
+    assert large == 4 * small == 4000 * 64 * (2 + 4)
+    matrix = np.random.default_rng(2).normal(size=(1500, 8))
+    matrix[700:] = matrix[:800]
+    matrix[3] = 0
+    u = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    v = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(matrix)], "id long, v array<double>")
+    want = _all_pairs(u, 7)
+    assert _rows(neighbours.top_k(v, v, 7)) == want
+    index = cells.build(v, len(matrix), cells=20, block_rows=64)
+    assert _rows(cells.top_k(index, index, 7)) == want
+    assert neighbours.top_k(v, v.limit(0), 7).count() == 0 == neighbours.top_k(v.limit(0), v, 7).count()
