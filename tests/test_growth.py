@@ -56,3 +56,15 @@ def test_compared_rows_grow_with_the_vectors(spark):
     index = cells.build(v, len(matrix), cells=20, block_rows=64)
     assert _rows(cells.top_k(index, index, 7)) == want
     assert neighbours.top_k(v, v.limit(0), 7).count() == 0 == neighbours.top_k(v.limit(0), v, 7).count()
+
+
+@pytest.mark.parametrize("name", ["html", "chunks"])
+def test_long_texts_reach_python_few_at_a_time(name):
+    """Ten thousand of them in one Arrow batch took gigabytes."""
+    from pyspark.util import PythonEvalType
+
+    from lectern.operators import chunks
+    from lectern.sources import html
+
+    function = {"html": html.markdown_of, "chunks": chunks._pieces}[name]
+    assert function.evalType == PythonEvalType.SQL_BATCHED_UDF
