@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -71,9 +70,10 @@ class SplitLong:
             yield from enumerate(split_long(text))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _pieces(bodies: pd.Series) -> pd.Series:
-    return bodies.map(lambda b: [] if b is None else split_long(b))
+@F.udf(ArrayType(StringType()), useArrow=False)
+def _pieces(body):
+    """Bodies reach Python a hundred at a time, whatever their number."""
+    return [] if body is None else split_long(body)
 
 
 def chunk_markdown(documents: DataFrame, key: str, markdown: str = "markdown", most: int = fixed.MAX_CHUNKS) -> DataFrame:
