@@ -35,13 +35,16 @@ def tokens(text: Column) -> Column:
 
 
 def postings(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(chunk_id, term, tf): the inverted index of text and section; ``chunks`` has chunk_id, section and text."""
+    """(chunk_id, term, tf): the inverted index of text and section; ``chunks`` has chunk_id, section and text.
+
+    Chunks are dealt by id before they are cut, so a text moves once and its words don't.
+    """
     words = F.concat(tokens(F.coalesce("text", F.lit(""))), tokens(F.coalesce("section", F.lit(""))))
     if stemmed:
         from ..functions.stem import stems
 
         words = stems(words)
-    return chunks.select("chunk_id", F.explode(words).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return chunks.select("chunk_id", "section", "text").repartition("chunk_id").select("chunk_id", F.explode(words).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _terms(query: str, stemmed: bool) -> list[str]:
@@ -62,16 +65,12 @@ def _bm25(tf: Column, df: Column, size: Column, chunks: Column, mean: Column) ->
 def search(index: DataFrame, query: str, stemmed: bool = False) -> DataFrame:
     """(chunk_id, score) of indexed chunks that hold every term as the beginning of a word; bm25, a term counting all words it begins."""
     terms = _terms(query, stemmed)
-    sizes = index.groupBy("chunk_id").agg(F.sum("tf").alias("size"))
-    corpus = sizes.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("size").alias("mean_size"))
-    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    hits = index.withColumn("q", F.explode(F.filter(wanted, lambda t: F.startswith(F.col("term"), t))))
-    hits = hits.groupBy("chunk_id", "q").agg(F.sum("tf").alias("tf"))
-    found = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df"))  # one row per term of the query
-    rows = hits.join(F.broadcast(found), "q").join(sizes, "chunk_id").crossJoin(F.broadcast(corpus))
-    part = _bm25(F.col("tf"), F.col("df"), F.col("size"), F.col("n_chunks"), F.col("mean_size"))
-    scored = rows.groupBy("chunk_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n"))
-    return scored.where(F.col("n") == len(terms)).select("chunk_id", "score")
+    if not terms:
+        return index.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    # A chunk's size and what it holds of every term, in one pass.
+    held = [F.sum(F.when(F.startswith(F.col("term"), F.lit(t)), F.col("tf")).otherwise(0)).alias(f"tf{k}") for k, t in enumerate(terms)]
+    counts = index.groupBy("chunk_id").agg(F.sum("tf").alias("size"), *held)
+    return _score_counts(counts, len(terms))
 
 
 def scan(chunks: DataFrame, query: str) -> DataFrame:
@@ -82,11 +81,16 @@ def scan(chunks: DataFrame, query: str) -> DataFrame:
     words = F.concat(tokens(F.coalesce("text", F.lit(""))), tokens(F.coalesce("section", F.lit(""))))
     cut = chunks.select("chunk_id", words.alias("words"))
     counts = cut.select("chunk_id", F.size("words").alias("size"), *[F.size(F.filter("words", _begins(t))).alias(f"tf{k}") for k, t in enumerate(terms)]).where("size > 0")
-    corpus = counts.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("size").alias("mean_size"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
+    return _score_counts(counts, len(terms))
+
+
+def _score_counts(counts: DataFrame, terms: int) -> DataFrame:
+    """(chunk_id, score) of the chunks that hold every term, from (chunk_id, size, tf0, tf1, ...)."""
+    corpus = counts.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("size").alias("mean_size"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(terms)])
     held = counts
-    for k in range(len(terms)):
+    for k in range(terms):
         held = held.where(F.col(f"tf{k}") > 0)
-    score = sum((_bm25(F.col(f"tf{k}"), F.col(f"df{k}"), F.col("size"), F.col("n_chunks"), F.col("mean_size")) for k in range(len(terms))), F.lit(0.0))
+    score = sum((_bm25(F.col(f"tf{k}"), F.col(f"df{k}"), F.col("size"), F.col("n_chunks"), F.col("mean_size")) for k in range(terms)), F.lit(0.0))
     return held.crossJoin(F.broadcast(corpus)).select("chunk_id", score.alias("score"))
 
 

@@ -68,3 +68,14 @@ def test_long_texts_reach_python_few_at_a_time(name):
 
     function = {"html": html.markdown_of, "chunks": chunks._pieces}[name]
     assert function.evalType == PythonEvalType.SQL_BATCHED_UDF
+
+
+def test_words_of_texts_do_not_move(spark):
+    """Texts are dealt by document before they are cut; no exchange carries a row for each word."""
+    from lectern.operators import catalog, search
+
+    docs = spark.createDataFrame([(1, "en", "there and then"), (2, "en", "these there")], "chunk_id long, section string, text string")
+    for made in (search.search(search.postings(docs), "the* and"), catalog.topic_terms(docs, "chunk_id")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert moved and not any("term" in line for line in moved)
