@@ -205,9 +205,12 @@ def top_terms(titles: DataFrame, keys: list[str], limit: int = 12) -> DataFrame:
 
 
 def topic_terms(texts: DataFrame, key: str, limit: int = 40) -> DataFrame:
-    """A document's most frequent words of four letters and more, function words left out; ties by first appearance."""
+    """A document's most frequent words of four letters and more, function words left out; ties by first appearance.
+
+    Texts are dealt by document first: a text is far less than its words, each with its document and counts, and nothing moves after that.
+    """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{Nl}\p{No}]{4,})"), F.lit(1))
-    rows = texts.select(key, F.posexplode(words).alias("pos", "term")).where(~F.col("term").isin(*fixed.STOPWORDS))
+    rows = texts.repartition(key).select(key, F.posexplode(words).alias("pos", "term")).where(~F.col("term").isin(*fixed.STOPWORDS))
     counted = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "first")
     return counted.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit).select(key, "term", "n", "rank")
