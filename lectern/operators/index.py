@@ -18,6 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import delete
 from .search import B, K1, _bm25, _terms, tokens
 
 #: Chunks of a block, and postings of a file, about.
@@ -48,13 +49,16 @@ def build(chunks: DataFrame, path: str, stemmed: bool = False) -> Index:
         words = stems(words)
     folder = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
     cut = chunks.select("chunk_id", words.alias("words")).select("chunk_id", "words", F.size("words").alias("size")).where("size > 0")
+    # Cut once: the counts below read the sizes alone.
+    cut.write.parquet(f"{folder}/words")
+    cut = spark.read.parquet(f"{folder}/words")
     cut.select("chunk_id", "size", F.lit(stemmed).alias("stemmed")).groupBy("stemmed").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("size").alias("mean_size")).coalesce(1).write.parquet(f"{folder}/corpus")
     corpus = spark.read.parquet(f"{folder}/corpus")
     known = corpus.first()
     n = known["n_chunks"] if known else 0
     held = cut.select("chunk_id", "size", F.explode("words").alias("term")).groupBy("chunk_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
     rows = held.select("term", F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // BLOCK_CHUNKS)))).alias("block"), "chunk_id", "tf", "size")
-    total = cut.agg(F.sum("size")).first()[0] or 0
+    total = round(n * known["mean_size"]) if known else 0
     files = max(1, -(-total // FILE_ROWS))
     # Salted by chunk, so that one term's stretch is as many files as it needs.
     rows.repartitionByRange(files, "term", "block", "chunk_id").sortWithinPartitions("term", "block", "chunk_id").write.option("parquet.block.size", 4 << 20).parquet(f"{folder}/postings")
@@ -62,6 +66,7 @@ def build(chunks: DataFrame, path: str, stemmed: bool = False) -> Index:
     weight = _weight(F.col("tf"), F.col("size"), F.lit(float(known["mean_size"]) if known else 1.0))
     best = postings.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("best"))
     best.repartitionByRange(max(1, files // 8), "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{folder}/blocks")
+    delete(spark, f"{folder}/words")
     spark.createDataFrame([(time.time_ns(), folder)], "at long, folder string").coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/versions")
     return opened(spark, path)
 
