@@ -1,9 +1,9 @@
 """Density clustering of document vectors: scale rules, HDBSCAN, choosing the smallest cluster.
 
 HDBSCAN (Campello, Moulavi, Sander 2013; McInnes, Healy 2017) needs a minimum spanning tree by mutual
-reachability.  Up to DENSITY_ROWS vectors one task builds it (Prim); beyond, pairs of blocks of vectors are compared for
-core distances, and then for the least edge out of every component, round by round (Boruvka).  Edges are ordered
-by weight and ends, so there is one tree and both ways give the same rows.  What follows the tree is ``clusters_of`` in one task, and tables
+reachability.  Up to DENSITY_ROWS vectors one task builds it (Prim); beyond, parts of the vectors are compared in a grid for
+core distances, and then for the least edge out of every component but the largest, round by round (Boruvka), for all numbers of samples at once.  Edges are ordered
+by weight and ends, so there is one tree for each number and both ways give the same rows.  What follows the tree is ``clusters_of`` in one task, and tables
 (``condensing``) beyond.
 
 Comparing all pairs is quadratic in the vectors by nature.  K-means in MLlib stands beside it for whoever asks for it.
@@ -28,6 +28,9 @@ from . import condensing
 MIN_ROWS, SMALLEST, PARTS = 30, 3, 10
 #: Vectors up to which one task builds the tree, and vectors of a block beyond.
 DENSITY_ROWS, BLOCK_ROWS = 5000, 2048
+#: Vectors that one task asks for at most, and those of them that are compared at once.
+ASKING_ROWS, HIGH = 1 << 16, 64
+NONE = np.iinfo(np.int64).max
 
 
 def floor_candidates(rows: int) -> list[int]:
@@ -264,7 +267,7 @@ def cluster_vectors(vectors: DataFrame, floor: int | None = None, by: str = "pca
 
 
 def _cluster_by_blocks(points: DataFrame, n: int, floor: int | None) -> DataFrame:
-    """As the one task's, where pairs of blocks are compared in many."""
+    """As the one task's, where parts are compared in many."""
     spark = points.sparkSession
     blocks = -(-n // BLOCK_ROWS)
     # Places 0 to n - 1 in the order of ids, as one task has them: counts of ranges first, then places inside.
@@ -276,14 +279,12 @@ def _cluster_by_blocks(points: DataFrame, n: int, floor: int | None) -> DataFram
     offsets = spark.createDataFrame(list(before.items()), "range int, before long")
     inside = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1
     placed = settled(ranged.withColumn("inside", inside).join(F.broadcast(offsets), "range").select((F.col("before") + F.col("inside")).alias("place"), "id", "p"))
-    trees = {}
-    for samples in _samples(n, floor):
-        trees[samples] = _tree_by_blocks(placed, min(samples, n - 1), blocks)
+    samples = _samples(n, floor)
+    edges = _trees_by_blocks(placed, n, samples, blocks)
 
     floors = {min(max(2, f), max(2, n // 4)) for f in ([floor] if floor is not None else [])} or None
     tried = sorted(floors) if floors else floor_candidates(n)
-    made = {s: condensing.merges(tree, n).withColumn("tree", F.lit(s)) for s, tree in trees.items()}
-    nodes, edges = (reduce(DataFrame.unionByName, x) for x in (made.values(), [t.select(F.lit(s).alias("tree"), "a", "b", "w") for s, t in trees.items()]))
+    nodes = reduce(DataFrame.unionByName, [condensing.merges(edges.where(F.col("tree") == s), n).withColumn("tree", F.lit(s)) for s in samples])
 
     def found_for(sizes: list[int]) -> tuple[DataFrame, DataFrame]:
         keys = spark.createDataFrame([(f, min_samples_for(n, f), f, n) for f in sizes], "key long, tree int, floor long, n long")
@@ -306,75 +307,163 @@ def _cluster_by_blocks(points: DataFrame, n: int, floor: int | None) -> DataFram
     return out.select(F.col("id").cast("long").alias("id"), F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
 
 
-def _pack(placed: DataFrame, blocks: int, *columns: str) -> DataFrame:
-    """(block, places, matrix, and the named columns): packed rows of a block."""
-
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        values = {"places": table["place"].to_numpy(), "matrix": table["p"].combine_chunks().flatten().to_numpy()} | {c: table[c].to_numpy() for c in columns}
-        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in values.items()})
-
-    dealt = placed.withColumn("block", F.pmod("place", F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(pack, ", ".join(["block long", "places binary", "matrix binary", *(f"{c} binary" for c in columns)]))
-
-
-def _pairs(packed: DataFrame, blocks: int) -> DataFrame:
-    """Every pair of blocks, side by side: columns with _a and _b."""
-    packed = settled(packed)
-    side = lambda s: packed.select(*[F.col(c).alias(f"{c}_{s}") for c in packed.columns])
-    pairs = packed.sparkSession.range(blocks * blocks).select((F.col("id") % blocks).alias("block_a"), F.floor(F.col("id") / blocks).alias("block_b"))
-    return pairs.join(side("a"), "block_a").join(side("b"), "block_b")
+def _grid(packed: DataFrame, blocks: int) -> DataFrame:
+    """Every part of the blocks, as those that ask (side 0, first), with every part of them as those that answer."""
+    cores = packed.sparkSession.sparkContext.defaultParallelism
+    asking = max(1, min(blocks, max(cores, -(-blocks * BLOCK_ROWS // ASKING_ROWS))))
+    answering = max(1, min(blocks, -(-2 * cores // asking)))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = packed.withColumn("other", every(answering)).withColumn("pair", F.pmod("block", F.lit(asking)) * answering + F.col("other"))
+    b = packed.withColumn("other", every(asking)).withColumn("pair", F.col("other") * answering + F.pmod("block", F.lit(answering)))
+    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).drop("block", "other")
+    return both.repartitionById(asking * answering, F.col("pair").cast("int")).sortWithinPartitions("pair", "side")
 
 
-def _arrays(row: dict, side: str, **kinds) -> list[np.ndarray]:
-    places = np.frombuffer(row[f"places_{side}"], np.int64)
-    return [places, np.frombuffer(row[f"matrix_{side}"]).reshape(len(places), -1), *[np.frombuffer(row[f"{c}_{side}"], t) for c, t in kinds.items()]]
+def _met(make):
+    """Over rows of the grid: what ``make()`` finds for each pair of parts."""
 
+    def run(batches):
+        at, held = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch[c][k].as_py() for c in batch.schema.names}
+                if held is None or row["pair"] != at:
+                    if held is not None:
+                        yield from held.found()
+                    at, held = row["pair"], make()
+                places = np.frombuffer(row["places"], np.int64)
+                matrix = np.asfortranarray(np.frombuffer(row["matrix"]).reshape(len(places), -1))
+                more = [np.frombuffer(row[c], kind).reshape(-1, len(places)) for c, kind in (("cores", np.float64), ("keys", np.int64)) if c in row]
+                (held.meet if row["side"] else held.ask)(places, matrix, *more)
+        if held is not None:
+            yield from held.found()
+
+    return run
+
+
+class _Near:
+    """Points that ask, and how far the ``k`` nearest of each are, so far; itself is among them, at 0."""
+
+    def __init__(self, k: int):
+        self.k, self.asked, self.places = k, [], None
+
+    def ask(self, *block) -> None:
+        self.asked.append(block)
+
+    def meet(self, _, other: np.ndarray) -> None:
+        if self.places is None:
+            self.places, self.matrix = (np.concatenate(x) for x in zip(*self.asked, strict=True))
+            self.best = np.full((len(self.places), self.k), np.inf)
+        for i in range(0, len(self.places), HIGH):
+            both = np.concatenate([self.best[i : i + HIGH], distances(self.matrix[i : i + HIGH], other)], axis=1)
+            self.best[i : i + HIGH] = np.partition(both, self.k - 1, axis=1)[:, : self.k]
+
+    def found(self):
+        for i in range(0, 0 if self.places is None else len(self.places), 10_000):
+            best = self.best[i : i + 10_000]
+            near = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1) * self.k, pa.int32()), pa.array(best.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(self.places[i : i + 10_000]), near], names=["place", "near"])
+
+
+class _Out:
+    """Points that ask, and the least edge of each out of its component, so far, in every tree that isn't whole.
+
+    ``largest`` has the key of each such tree's largest component, whose points don't ask: the others join it by their own edges.
+    """
 
-def _tree_by_blocks(placed: DataFrame, samples: int, blocks: int) -> DataFrame:
-    """(a, b, w): the tree's edges."""
+    def __init__(self, largest: dict[int, int]):
+        self.largest, self.asked, self.places = largest, [], None
+
+    def ask(self, *block) -> None:
+        self.asked.append(block)
+
+    def _begin(self) -> None:
+        places, matrix, cores, keys = (np.concatenate(x, axis=k) for x, k in zip(zip(*self.asked, strict=True), (0, 0, 1, 1), strict=True))
+        asks = np.stack([keys[t] != key for t, key in self.largest.items()])
+        some = asks.any(axis=0)
+        self.places, self.matrix, self.cores, self.keys, self.asks = places[some], matrix[some], cores[:, some], keys[:, some], asks[:, some]
+        shape = self.asks.shape
+        self.best, self.low, self.high, self.other = np.full(shape, np.inf), *(np.full(shape, NONE) for _ in range(3))
+
+    def meet(self, to: np.ndarray, other: np.ndarray, cores: np.ndarray, keys: np.ndarray) -> None:
+        if self.places is None:
+            self._begin()
+        for i in range(0, len(self.places), HIGH):
+            away = distances(self.matrix[i : i + HIGH], other)
+            for k, t in enumerate(self.largest):
+                rows = np.flatnonzero(self.asks[k, i : i + HIGH])
+                if not len(rows):
+                    continue
+                at = i + rows
+                reach = np.maximum(away if len(rows) == len(away) else away[rows], cores[t])
+                np.copyto(reach, np.inf, where=self.keys[t, at, None] == keys[t])
+                least = np.maximum(reach.min(axis=1), self.cores[t, at])
+                hit = np.flatnonzero(np.isfinite(least) & (least <= self.best[k, at]))
+                if len(hit):
+                    self._keep(k, at[hit], least[hit], reach[hit], to, keys[t])
+
+    def _keep(self, k: int, at: np.ndarray, least: np.ndarray, reach: np.ndarray, to: np.ndarray, keys: np.ndarray) -> None:
+        """Of equally short edges the one with the lower lower end, then the lower upper end."""
+        tied, own = reach <= least[:, None], self.places[at, None]
+        low = np.where(tied, np.minimum(own, to), NONE)
+        first = low.min(axis=1)
+        high = np.where(tied & (low == first[:, None]), np.maximum(own, to), NONE)
+        which = high.argmin(axis=1)
+        second = high[np.arange(len(at)), which]
+        better = (least < self.best[k, at]) | (first < self.low[k, at]) | ((first == self.low[k, at]) & (second < self.high[k, at]))
+        at = at[better]
+        self.best[k, at], self.low[k, at], self.high[k, at], self.other[k, at] = least[better], first[better], second[better], keys[which[better]]
+
+    def found(self):
+        if self.places is None:
+            return
+        for k, t in enumerate(self.largest):
+            some = np.flatnonzero(np.isfinite(self.best[k]))
+            key, w, low, high, other = self.keys[t, some], self.best[k, some], self.low[k, some], self.high[k, some], self.other[k, some]
+            order = np.lexsort((high, low, w, key))
+            order = order[np.flatnonzero(np.diff(key[order], prepend=-1))]  # one row for each component
+            yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (key, w, low, high, other)], names=["key", "w", "a", "b", "other"])
+
+
+def _trees_by_blocks(placed: DataFrame, n: int, samples: list[int], blocks: int) -> DataFrame:
+    """(tree: its samples, a, b, w): the edges of all trees, whose rounds go on together, so that vectors are compared once a round for all of them."""
+    block, wide = F.pmod("place", F.lit(blocks)).alias("block"), len(samples)
 
-    def nearest(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                (places, a), (_, b) = _arrays(row, "a"), _arrays(row, "b")
-                away = distances(a, b)
-                k = min(samples + 1, away.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(list(np.partition(away, k - 1, axis=1)[:, :k]), pa.list_(pa.float64()))], names=["place", "near"])
-
-    near = _pairs(_pack(placed, blocks), blocks).mapInArrow(nearest, "place long, near array<double>")
-    # Itself is among them, at 0.
-    core = near.groupBy("place").agg(F.get(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(samples)).alias("core"))
-    state = settled(placed.join(core, "place").select("place", "p", "core", F.col("place").alias("part")))
-
-    def least_out(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                (at, a, core_a, part_a), (to, b, core_b, part_b) = (_arrays(row, s, core=np.float64, part=np.int64) for s in "ab")
-                reach = np.maximum(np.maximum(distances(a, b), core_a[:, None]), core_b[None, :])
-                reach[part_a[:, None] == part_b[None, :]] = np.inf
-                best = reach.min(axis=1)
-                some = np.flatnonzero(np.isfinite(best))
-                # Of equally short edges the one with the lower lower end, then the lower upper end.
-                tied = reach[some] == best[some, None]
-                low, high = np.minimum(at[some, None], to[None, :]), np.maximum(at[some, None], to[None, :])
-                low = np.where(tied, low, np.iinfo(np.int64).max)
-                first = low.min(axis=1)
-                second = np.where(tied & (low == first[:, None]), high, np.iinfo(np.int64).max).min(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(part_a[some]), pa.array(best[some]), pa.array(first), pa.array(second)], names=["part", "w", "a", "b"])
-
-    tree = None
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        flat = lambda c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        values = {"places": table["place"].to_numpy(), "matrix": flat("p")} | ({"cores": flat("cores").reshape(-1, wide).T} if "cores" in table.schema.names else {})
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64())} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in values.items()})
+
+    def pack_keys(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("tree", "ascending"), ("place", "ascending")])
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "keys": pa.array([table["key"].to_numpy().tobytes()], pa.binary())})
+
+    bare = settled(placed.select(block, "place", "p").groupBy("block").applyInArrow(pack, "block long, places binary, matrix binary"))
+    k = min(max(samples), n - 1) + 1
+    near = _grid(bare, blocks).mapInArrow(_met(lambda: _Near(k)), "place long, near array<double>")
+    sorted_ = near.groupBy("place").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("x"))
+    cores = sorted_.select("place", F.array(*[F.get("x", F.lit(min(s, n - 1))) for s in samples]).alias("cores"))
+    whole = placed.join(cores, "place").select(block, "place", "p", "cores")
+    points = settled(whole.groupBy("block").applyInArrow(pack, "block long, places binary, matrix binary, cores binary"))
+
+    # A component's key is its tree's number times n plus its least place.
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long")))
+    labels = settled(placed.select("place", every.alias("tree")).select("place", "tree", (F.col("tree") * n + F.col("place")).alias("key")))
+    edges = None
     while True:
-        found = _pairs(_pack(state, blocks, "core", "part"), blocks).mapInArrow(least_out, "part long, w double, a long, b long")
-        found = found.groupBy("part").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct()
-        found = settled(found)
-        if found.isEmpty():
-            return tree
-        tree = found if tree is None else tree.unionByName(found)
-        own = lambda end, name: state.select(F.col("place").alias(end), F.col("part").alias(name))  # noqa: E731, B023
-        ends = found.join(own("a", "x"), "a").join(own("b", "y"), "b").select("x", "y")
-        wholes = connected_components(ends).select(F.col("node").alias("part"), F.col("component").alias("whole"))
-        state = settled(state.join(wholes, "part").select("place", "p", "core", F.col("whole").alias("part")))
+        sizes = labels.groupBy("tree", "key").count().groupBy("tree").agg(F.count(F.lit(1)).alias("parts"), F.max_by("key", "count").alias("largest"))
+        largest = {r["tree"]: r["largest"] for r in sizes.collect() if r["parts"] > 1}  # a row for each tree, eight at most
+        if not largest:
+            break
+        keys = labels.select(block, "place", "tree", "key").groupBy("block").applyInArrow(pack_keys, "block long, keys binary")
+        found = _grid(settled(points.join(keys, "block")), blocks).mapInArrow(_met(lambda largest=largest: _Out(largest)), "key long, w double, a long, b long, other long")
+        picked = settled(found.groupBy("key").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("key", "e.*"))
+        edges = picked if edges is None else edges.unionByName(picked)
+        wholes = connected_components(picked.select("key", "other")).select(F.col("node").alias("key"), "component")
+        labels = settled(labels.join(wholes, "key", "left").select("place", "tree", F.coalesce("component", "key").alias("key")))
+    tree = F.element_at(F.array(*[F.lit(s) for s in samples]), (F.floor(F.col("key") / n) + 1).cast("int")).alias("tree")
+    return settled(edges.select(tree, "a", "b", "w").distinct())  # two components may pick the same edge
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, with_strength: bool = False) -> DataFrame:

@@ -7,8 +7,8 @@ one task a stretch names the two sides of each merge.
 *Condensing*: a side of at least ``floor`` points carries its parent's cluster on, or starts one where the other side is as large; who starts above a
 node, and what a point falls out of, are found by pointer jumping, in rounds that grow with the logarithm of the depth.
 
-*Stabilities* are sums over points and split-off clusters; the choice (excess of mass) goes up the clusters, from those without others below,
-a level a round.  All floors go the same way at once, under their number.
+*Stabilities* are sums over points and split-off clusters; the choice (excess of mass) goes up the clusters in the order of their nodes,
+CHUNK of each floor's a round, since they may lie as deep as there are many.  All floors go the same way at once, under their number.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from ..functions.graphs import connected_components
 from ..functions.partitions import indexed
 from ..functions.tables import materialize
 
-#: Edges of one stretch, at most.
+#: Edges or clusters of one stretch, at most.
 CHUNK = 100_000
 #: Densities above count as this one.
 MOST = 1e12
@@ -119,22 +119,43 @@ def condensed(nodes: DataFrame, floors: DataFrame) -> tuple[DataFrame, DataFrame
     return materialize(clusters.unionByName(roots), "condense-clusters"), materialize(points, "condense-points")
 
 
+def _picks(table: pa.Table) -> pa.Table:
+    """For a stretch of one key's clusters in their order: which are worth more than those below, and what each is worth; ``inner`` is what earlier stretches tell."""
+    table = table.sort_by("cluster")
+    cluster, own = table["cluster"].to_numpy(), table["own"].to_pylist()
+    parent, inner = table["parent"].to_pylist(), table["inner"].to_pylist()
+    place = {c: k for k, c in enumerate(cluster.tolist())}
+    picked, worth = [False] * len(own), [0.0] * len(own)
+    for k, (up, stability) in enumerate(zip(parent, own, strict=True)):
+        picked[k] = up is not None and (inner[k] is None or stability >= inner[k])
+        worth[k] = stability if picked[k] else inner[k] or 0.0
+        above = place.get(up)
+        if above is not None:
+            inner[above] = (inner[above] or 0.0) + worth[k]
+    return pa.table({"key": table["key"], "cluster": table["cluster"], "parent": table["parent"], "picked": pa.array(picked), "worth": pa.array(worth)})
+
+
 def chosen(clusters: DataFrame, points: DataFrame) -> DataFrame:
     """(key, cluster, top): for each cluster the chosen one that it belongs to; those without one are left out."""
     lost = points.select("key", "cluster", "density", F.lit(1).cast("long").alias("size"))
     split = clusters.where("parent IS NOT NULL").select("key", F.col("parent").alias("cluster"), F.col("born").alias("density"), "size")
     own = lost.unionByName(split).join(clusters.select("key", "cluster", "born"), ["key", "cluster"])
     stability = own.groupBy("key", "cluster").agg(F.sum((F.col("density") - F.col("born")) * F.col("size")).alias("own"))
-    kids = clusters.groupBy("key", F.col("parent").alias("cluster")).agg(F.count(F.lit(1)).alias("kids")).where("cluster IS NOT NULL")
-    state = clusters.join(stability, ["key", "cluster"], "left").join(kids, ["key", "cluster"], "left")
-    state = materialize(state.select("key", "cluster", "parent", F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce("kids", F.lit(0)).alias("kids"), F.lit(0.0).alias("inner"), F.lit(0).cast("long").alias("heard"), F.lit(None).cast("boolean").alias("picked")), "choose")
-    ready = F.col("picked").isNull() & (F.col("heard") == F.col("kids"))
-    while not state.where(F.col("picked").isNull()).isEmpty():
-        pick = F.col("parent").isNotNull() & ((F.col("kids") == 0) | (F.col("own") >= F.col("inner")))
-        worth = F.when(pick, F.col("own")).otherwise(F.col("inner"))
-        told = state.where(ready).select("key", F.col("parent").alias("cluster"), worth.alias("worth")).groupBy("key", "cluster").agg(F.sum("worth").alias("_more"), F.count(F.lit(1)).alias("_heard"))
-        state = state.withColumn("picked", F.when(ready, pick).otherwise(F.col("picked"))).join(told, ["key", "cluster"], "left")
-        state = materialize(state.select("key", "cluster", "parent", "own", "kids", (F.col("inner") + F.coalesce("_more", F.lit(0.0))).alias("inner"), (F.col("heard") + F.coalesce("_heard", F.lit(0))).alias("heard"), "picked"), "choose")
+    state = clusters.join(stability, ["key", "cluster"], "left").select("key", "cluster", "parent", F.coalesce("own", F.lit(0.0)).alias("own"))
+    # Clusters come before their parents in the order of nodes.
+    ranked = indexed(state, "key", "cluster", name="at")
+    first = ranked.groupBy("key").agg(F.min("at").alias("first"))  # a row for each key
+    ranked = materialize(ranked.join(F.broadcast(first), "key").withColumn("stretch", F.floor((F.col("at") - F.col("first")) / CHUNK)).drop("at", "first"), "choose")
+    state = None
+    for stretch in range(ranked.agg(F.max("stretch")).first()[0] + 1):
+        rows = ranked.where(F.col("stretch") == stretch).drop("stretch")
+        if state is None:
+            rows = rows.withColumn("inner", F.lit(None).cast("double"))
+        else:
+            told = state.where("parent IS NOT NULL").groupBy("key", F.col("parent").alias("cluster")).agg(F.sum("worth").alias("inner"))
+            rows = rows.join(told, ["key", "cluster"], "left")
+        made = materialize(rows.groupBy("key").applyInArrow(_picks, "key long, cluster long, parent long, picked boolean, worth double"), "choose")
+        state = made if state is None else state.unionByName(made)
     # Of picked clusters on one way the uppermost stands: from each one to the last picked above it.
     pointers = state.select("key", F.col("cluster").alias("node"), F.coalesce("parent", "cluster").alias("to"), F.when(F.col("picked"), F.col("cluster")).alias("best"), F.col("parent").isNull().alias("done"))
     current = materialize(pointers, "choose-up")

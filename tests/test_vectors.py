@@ -280,3 +280,64 @@ def test_condensing_by_tables_equals_one_task(spark, monkeypatch):
         assert [got.get(k, (-1, 0.0))[1] for k in range(n)] == pytest.approx(strength.tolist())
         assert told[floor].validity == pytest.approx(validity) and told[floor].share == pytest.approx(clustering.dominant_share(labels))
     found.unpersist()
+
+
+def test_trees_of_all_samples_equal_those_of_one_task(spark, monkeypatch):
+    """Several numbers of samples in the same rounds; copies, more of them than samples, and ties on a grid of points."""
+    rng = np.random.default_rng(4)
+    lattice = np.stack(np.meshgrid(np.arange(5.0), np.arange(5.0), [0.0]), axis=-1).reshape(-1, 3)
+    points = np.concatenate([blobs(3, 15, dim=3, spread=0.7, seed=3)[0], rng.normal(size=(10, 3)) * 4 + 20, lattice + 40, np.repeat([[7.0, 7, 7]], 9, axis=0)])
+    monkeypatch.setattr(clustering, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(clustering, "HIGH", 7)
+    placed = spark.createDataFrame([(k, k, p.tolist()) for k, p in enumerate(points)], "place long, id long, p array<double>").repartition(3)
+    found = {s: [] for s in (1, 3, 6)}
+    for r in clustering._trees_by_blocks(placed, len(points), list(found), -(-len(points) // 20)).collect():
+        found[r.tree].append((r.a, r.b, r.w))
+    for s, got in found.items():
+        want = clustering.spanning_tree(points, s)
+        assert sorted(got) == sorted((int(a), int(b), w) for a, b, w in want)
+
+
+def test_choice_of_clusters_in_a_chain_takes_few_rounds(spark, monkeypatch):
+    """Clusters that lie one in another, seventy deep: tables are written for stretches, not for levels."""
+    from lectern.operators import condensing
+
+    deep, n = 70, 1000
+    root = 2 * n - 2
+    rows, at = [(0, root, None, 0.0, n)], root
+    points = []
+    for k in range(deep):  # each one splits into one that goes on and one of four points
+        on, off = at - 2, at - 3
+        rows += [(0, on, at, k + 1.0, n - 4 * (k + 1)), (0, off, at, k + 1.0, 4)]
+        points += [(0, 4 * k + i, off, k + 1.5 + 2 * (k % 7 == 3)) for i in range(4)]
+        at = on
+    points += [(0, 4 * deep + i, at, deep + 1.25) for i in range(n - 4 * deep)]
+    clusters = spark.createDataFrame(rows, "key long, cluster long, parent long, born double, size long").coalesce(1)
+    out = spark.createDataFrame(points, "key long, point long, cluster long, density double").coalesce(1)
+    written, write = [], condensing.materialize
+    monkeypatch.setattr(condensing, "materialize", lambda df, name, **o: written.append(name) or write(df, name, **o))
+    got = {}
+    for chunk in (100_000, 40):
+        written.clear()
+        monkeypatch.setattr(condensing, "CHUNK", chunk)
+        got[chunk] = {r.cluster: r.top for r in condensing.chosen(clusters, out).collect()}
+        assert len(written) <= 16
+    # By hand: excess of mass from the innermost out.
+    own = {c: 0.0 for _, c, *_ in rows}
+    born, parent = {c: b for _, c, _, b, _ in rows}, {c: p for _, c, p, *_ in rows}
+    for _, c, p, b, size in rows[1:]:
+        own[p] += (b - born[p]) * size
+    for _, _, c, density in points:
+        own[c] += density - born[c]
+    inner, picked = dict.fromkeys(own, 0.0), {}
+    kids = {p for p in parent.values() if p is not None}
+    for c in sorted(own):
+        picked[c] = c != root and (c not in kids or own[c] >= inner[c])
+        if parent[c] is not None:
+            inner[parent[c]] += own[c] if picked[c] else inner[c]
+    want = {}
+    for c in sorted(own, reverse=True):
+        top = want.get(parent[c]) or (c if picked[c] else None)
+        if top is not None:
+            want[c] = top
+    assert got[100_000] == got[40] == want
