@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,25 +48,33 @@ def normal_reading(answer: Column) -> Column:
     instructions; at most four distinct claims of four words; at most eight things of known
     kinds, each name once; grounded only if all three questions are answered.
     """
-    a = F.from_json(answer, READING)
+    return tx.once(F.from_json(answer, READING), _reading)
+
+
+def _reading(a: Column) -> Column:
     line = lambda c: F.coalesce(tx.squeeze(c), F.lit(""))
+    cut = lambda c: tx.once(line(c), lambda text: tx.sentence_cut(text, ANSWER_CHARS))
+    names = ("question", "argument", "significance")
 
     def said(name: str) -> Column:
-        text = tx.sentence_cut(line(a[name]), ANSWER_CHARS)
-        return F.when(F.lower(text).rlike("|".join(fixed.ECHOES)), F.lit("")).otherwise(text)
+        return tx.once(cut(a[name]), lambda text: F.when(F.lower(text).rlike("|".join(fixed.ECHOES)), F.lit("")).otherwise(text))
 
-    answers = {name: said(name) for name in ("question", "argument", "significance")}
-    claims = F.transform(F.coalesce(a["claims"], F.array().cast("array<string>")), lambda c: tx.sentence_cut(line(c), ANSWER_CHARS))
+    claims = F.transform(F.coalesce(a["claims"], F.array().cast("array<string>")), cut)
     claims = F.array_distinct(F.filter(claims, lambda c: F.size(F.split(c, " ")) >= 4))
     things = F.transform(F.coalesce(a["entities"], F.array().cast("array<struct<name: string, kind: string>>")), lambda e: F.struct(line(e["name"]).alias("name"), F.lower(line(e["kind"])).alias("kind")))
     things = F.filter(things, lambda e: (F.length(e["name"]) > 0) & e["kind"].isin(*fixed.THINGS))
-    names = F.transform(things, lambda e: F.lower(e["name"]))
-    things = F.filter(things, lambda e, k: F.array_position(names, F.lower(e["name"])) == k + 1)
-    genre = F.when(line(a["genre"]).isin(*fixed.GENRES), line(a["genre"])).otherwise("other")
-    whole = F.lit(True)
-    for text in answers.values():
-        whole = whole & (F.length(text) > 0)
-    return F.struct(genre.alias("genre"), *[t.alias(n) for n, t in answers.items()], F.slice(claims, 1, 4).alias("claims"), F.slice(things, 1, 8).alias("entities"), (F.coalesce(a["grounded"], F.lit(True)) & whole).alias("grounded"))
+
+    def first_of_name(things: Column) -> Column:
+        return tx.once(F.transform(things, lambda e: F.lower(e["name"])), lambda names: F.filter(things, lambda e, k: F.array_position(names, F.lower(e["name"])) == k + 1))
+
+    genre = tx.once(line(a["genre"]), lambda g: F.when(g.isin(*fixed.GENRES), g).otherwise("other"))
+
+    def whole(answers: Column) -> Column:
+        answered = reduce(lambda x, y: x & y, (F.length(answers[n]) > 0 for n in names), F.lit(True))
+        entities = F.slice(tx.once(things, first_of_name), 1, 8)
+        return F.struct(genre.alias("genre"), *[answers[n].alias(n) for n in names], F.slice(claims, 1, 4).alias("claims"), entities.alias("entities"), (F.coalesce(a["grounded"], F.lit(True)) & answered).alias("grounded"))
+
+    return tx.once(F.struct(*[said(n).alias(n) for n in names]), whole)
 
 
 def genre_label(genre: Column) -> Column:

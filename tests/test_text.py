@@ -336,3 +336,15 @@ def test_quantities_of_whole_texts_equal_a_plain_version(spark):
                 if token not in fixed.NEVER_UNITS and (token in fixed.UNITS or shaped):
                     want.append((r.doc_id, (m[1] + (m[2] or "")).strip(), token))
     assert found == sorted(want) and len(found) > 100
+
+
+def test_an_answer_is_parsed_once(spark):
+    """However many fields are read of it, and whatever is asked of them."""
+    from lectern.operators import review
+
+    answer = '{"genre": "survey-or-review", "question": "Why  so", "argument": "because", "significance": "much", "claims": ["a b c d"], "entities": [{"name": "Ada", "kind": "Person"}, {"name": "ADA", "kind": "person"}]}'
+    rows = spark.createDataFrame([(1, answer), (2, None), (3, "no json")], "id long, answer string").select("id", review.normal_reading(F.col("answer")).alias("r")).select("id", "r.*")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json") == 1
+    got = {r.id: r for r in rows.collect()}
+    assert (got[1].genre, got[1].question, got[1].claims, [e.name for e in got[1].entities], got[1].grounded) == ("survey-or-review", "Why so", ["a b c d"], ["Ada"], True)
+    assert all((got[k].genre, got[k].question, got[k].claims, got[k].entities, got[k].grounded) == ("other", "", [], [], False) for k in (2, 3))
