@@ -18,18 +18,21 @@ from .review import query_instruction
 #: texts to rows of vectors; made once per worker by a factory.
 Encode = Callable[[list[str]], np.ndarray]
 BATCH = 16
+WORDS = re.compile(r"\w+").findall
+#: ASCII without what stands between words: cut by spaces, it has the words of the pattern.
+APART = bytes(k if k < 128 and re.match(r"\w", chr(k)) else 32 for k in range(256))
 
 
 def hashed_words(dim: int = 256) -> Encode:
     """A stand-in, not a language model: signed hashes of words, summed."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), np.float32)
-        for k, t in enumerate(texts):
-            for w in re.findall(r"\w+", t.lower()):
-                h = zlib.crc32(w.encode())
-                out[k, h % dim] += 1 if h >> 31 else -1
-        return out
+        out = np.zeros((len(texts), 2 * dim), np.float32)
+        for k, t in enumerate(map(str.lower, texts)):
+            words = t.encode().translate(APART).split() if t.isascii() else map(str.encode, WORDS(t))
+            h = np.fromiter(map(zlib.crc32, words), np.int64)
+            out[k] = np.bincount(h % dim + (h >> 31) * dim, minlength=2 * dim)
+        return out[:, dim:] - out[:, :dim]
 
     return encode
 

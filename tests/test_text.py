@@ -348,3 +348,23 @@ def test_an_answer_is_parsed_once(spark):
     got = {r.id: r for r in rows.collect()}
     assert (got[1].genre, got[1].question, got[1].claims, [e.name for e in got[1].entities], got[1].grounded) == ("survey-or-review", "Why so", ["a b c d"], ["Ada"], True)
     assert all((got[k].genre, got[k].question, got[k].claims, got[k].entities, got[k].grounded) == ("other", "", [], [], False) for k in (2, 3))
+
+
+def test_hashed_words_cut_ascii_without_the_pattern(monkeypatch):
+    """The pattern only sees what has other letters, and words are the same either way."""
+    import re
+    import zlib
+
+    from lectern.operators import encode
+
+    seen, find = [], re.compile(r"\w+").findall
+    monkeypatch.setattr(encode, "WORDS", lambda t: seen.append(t) or find(t))
+    texts = ["One two, one TWO_3 drei", "", "zwei-one\x1cone\x00a", "\u00dcn\u00ef c\u00f6d\u00e9_9 \u00d7x\u00b2 one", "\u0130I one"]
+    got = encode.hashed_words(8)(texts)
+    assert len(seen) == 2
+    want = np.zeros((len(texts), 8))
+    for k, t in enumerate(texts):
+        for w in find(t.lower()):
+            h = zlib.crc32(w.encode())
+            want[k, h % 8] += 1 if h >> 31 else -1
+    assert got.dtype == np.float32 and (got == want).all()
