@@ -7,7 +7,7 @@ weights sum to log2(k); the two directions of a pair join as a + b - ab.
 far, and a Gram matrix of a few numbers that the driver sees.
 
 *Epochs*: attraction along edges, drawn by their weight, and repulsion from sampled points.  Points are dealt into blocks; a round gives each
-block its points' edges with the far ends' places, and a pool of points from everywhere to repel; the block then does some epochs on its
+block its edges, which are packed once, the far ends' places, each once, and a pool of points from everywhere to repel; the block then does some epochs on its
 own points, and rounds go on from a written table.  A block holds its points times k edges and the pool, at any size of the corpus.
 
 Draws depend on seed, round and block alone, so reruns agree.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,21 +120,24 @@ def _start(edges: DataFrame, first: DataFrame, axes: int, rounds: int) -> DataFr
 
 
 def _epochs(axes: int, a: float, b: float, seed: int, turn: int, rounds: int, epochs: int):
-    """A block's points after some epochs.  Rows: points (kind 0), edges with the far end's place (1), the pool (2)."""
+    """A block's points after some epochs.  Rows: points (kind 0), its edges' far ends in other blocks (1), the pool (2), its packed edges (3, no place)."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("kind", "ascending"), ("id", "ascending"), ("b", "ascending")])
+        kept = table.filter(pc.equal(table["kind"], 3))
+        start, other, weight = (np.frombuffer(b"".join(kept[c].to_pylist()), kind) for c, kind in (("a", np.int64), ("b", np.int64), ("w", np.float64)))
+        first = table["block"][0].as_py()
+        table = table.select(["kind", "id", "p"]).filter(pc.less(table["kind"], 3)).sort_by([("kind", "ascending"), ("id", "ascending")])
         kind = table["kind"].to_numpy()
         places = table["p"].combine_chunks().flatten().to_numpy().reshape(-1, axes)
         ids = table["id"].to_numpy()
         own, at, pool = ids[kind == 0], places[kind == 0].copy(), places[kind == 2]
-        source = np.searchsorted(own, ids[kind == 1])
-        other, weight = table["b"].to_numpy()[kind == 1], table["w"].to_numpy()[kind == 1]
+        source = np.searchsorted(own, start)
         target = np.minimum(np.searchsorted(own, other), len(own) - 1)
         inside = own[target] == other
-        far = places[kind == 1]
+        near = np.searchsorted(known := np.concatenate([own, ids[kind == 1]]), other, sorter=(order := np.argsort(known)))
+        far = np.concatenate([places[kind == 0], places[kind == 1]])[order[near]]
         chance = weight / max(weight.max(), 1e-300) if len(weight) else weight
-        rng = np.random.default_rng([seed, turn, int(table["block"][0].as_py()) & 0x7FFFFFFF])
+        rng = np.random.default_rng([seed, turn, int(first) & 0x7FFFFFFF])
         for epoch in range(epochs):
             rate = 1 - (turn * epochs + epoch) / (rounds * epochs)
             drawn = rng.permutation(np.flatnonzero(rng.random(len(chance)) < chance))
@@ -164,15 +168,26 @@ def _optimised(edges: DataFrame, start: DataFrame, n: int, axes: int, min_dist:
     block = F.pmod(F.xxhash64("id"), F.lit(blocks))
     state = start
     none = F.lit(None)
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("a", "ascending"), ("b", "ascending")])
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64())} | {c: pa.array([table[c].to_numpy().tobytes()], pa.binary()) for c in ("a", "b", "w")})
+
+    # Edges are packed once, and a round only sends places: a point's to each of the other blocks whose edges end there, once.
+    of = lambda end: F.pmod(F.xxhash64(end), F.lit(blocks))
+    kept = materialize(edges.select(of("a").alias("block"), "a", "b", "w").repartition(blocks, "block").groupBy("block").applyInArrow(pack, "block long, a binary, b binary, w binary"), "umap-packed")
+    kept = kept.select("block", F.lit(3).alias("kind"), none.cast("long").alias("id"), none.cast("array<double>").alias("p"), "a", "b", "w")
+    asked = edges.select(F.col("b").alias("id"), of("a").alias("to")).where(F.col("to") != of("id")).groupBy("id").agg(F.collect_set("to").alias("to"))
+    asked = materialize(asked, "umap-asked")
+    packed = [none.cast("binary").alias(c) for c in "abw"]
     for turn in range(rounds):
-        points = state.select(block.alias("block"), F.lit(0).alias("kind"), "id", none.cast("long").alias("b"), none.cast("double").alias("w"), "p")
-        own = edges.join(state.select(F.col("id").alias("b"), "p"), "b").select("a", "b", "w", "p").withColumnRenamed("a", "id")
-        own = own.select(block.alias("block"), F.lit(1).alias("kind"), "id", "b", "w", "p")
+        points = state.select(block.alias("block"), F.lit(0).alias("kind"), "id", "p", *packed)
+        far = state.join(asked, "id").select(F.explode("to").alias("block"), F.lit(1).alias("kind"), "id", "p", *packed)
         # A point goes to one block's pool at most: a quarter of all to some block, all of them where there is one block.
         draw = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
         pool = state.where(draw < POOL / BLOCK_POINTS) if blocks > 1 else state
-        pool = pool.select(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(blocks)).alias("block"), F.lit(2).alias("kind"), "id", none.cast("long").alias("b"), none.cast("double").alias("w"), "p")
-        rows = points.unionByName(own).unionByName(pool)
+        pool = pool.select(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(blocks)).alias("block"), F.lit(2).alias("kind"), "id", "p", *packed)
+        rows = points.unionByName(far).unionByName(pool).unionByName(kept).repartition(blocks, "block")
         state = materialize(rows.groupBy("block").applyInArrow(_epochs(axes, a, b, seed, turn, rounds, epochs), "id long, p array<double>"), "umap-places")
     return state
 

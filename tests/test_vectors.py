@@ -341,3 +341,17 @@ def test_choice_of_clusters_in_a_chain_takes_few_rounds(spark, monkeypatch):
         if top is not None:
             want[c] = top
     assert got[100_000] == got[40] == want
+
+
+def test_layout_sends_a_place_once_to_a_block(spark, monkeypatch):
+    """Edges are packed once for all rounds; a round sends a point to each block that has edges to it, not along each edge."""
+    tables, write = {}, umap.materialize
+    monkeypatch.setattr(umap, "materialize", lambda df, name, **o: tables.setdefault(name, []).append(df) or write(df, name, **o))
+    monkeypatch.setattr(umap, "BLOCK_POINTS", 64)
+    rows = spark.range(200).select("id", F.array(*[F.rand(k) for k in range(3)]).alias("p")).coalesce(1).cache()
+    edges = rows.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("s")).select("a", ((F.col("a") + F.col("s")) % 200).alias("b"), F.lit(0.5).alias("w"))
+    assert umap._optimised(edges, rows, 200, 3, 0.1, 1, 2, 1).count() == 200
+    assert len(tables["umap-packed"]) == 1 and len(tables["umap-places"]) == 2
+    sent = tables["umap-asked"][0].select(F.explode("to")).count()
+    assert 0 < sent <= 200 * 3 < edges.count()
+    rows.unpersist()
