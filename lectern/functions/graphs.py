@@ -31,15 +31,28 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _joined(batches):
+    """(node, component) of all edges of a partition."""
+    batches = list(batches)
+    edges = pa.Table.from_batches(batches).combine_chunks().to_batches() if batches else []
+    for forest in _contract(edges):
+        node, root = forest["u"].to_numpy(), forest["v"].to_numpy()
+        roots = np.unique(root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, roots])), pa.array(np.concatenate([root, roots]))], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, small: int = 0) -> DataFrame:
     """(node, component: its least node) for every node of ``edges`` (two long columns); loops are dropped.
 
     Large-star and small-star steps alternate until each node hangs below the
     least node of its component.  Edges are (u, v) with u above v throughout.
     Only nodes with a smaller neighbour are relabelled in a join; both sides of it
     are tables, so hot nodes are split at run time.  Rounds grow with the logarithm of the longest path; more than
-    ``most_rounds`` raise an error.
+    ``most_rounds`` raise an error.  Up to ``small`` edges are joined by one task, in one round.
     """
+    if small and edges.count() <= small:
+        a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
+        return materialize(edges.select(a.cast("long").alias("u"), b.cast("long").alias("v")).where("u <> v").coalesce(1).mapInArrow(_joined, "node long, component long"), "cc-components")
     with scratch(edges.sparkSession) as keep:
         return keep(_settle(edges, most_rounds), "cc-components")
 

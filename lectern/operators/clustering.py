@@ -167,19 +167,18 @@ def clusters_of(tree: np.ndarray, n: int, floor: int) -> tuple[np.ndarray, np.nd
     number: dict[int, int] = {}
     left_at = np.zeros(n)
     owner: dict[int, int] = {}
+    top: dict[int, int] = {}
+    for c in sorted(born):  # a cluster's number is above its parent's
+        top[c] = c if chosen[c] else top.get(up.get(c, -1), -1)
     for p, c, d, _ in rows:
-        if c < n:
-            own = p
-            while own in up and not chosen[own]:
-                own = up[own]
-            if chosen[own]:
-                owner[c], left_at[c] = own, min(d, 1e12)
+        if c < n and top[p] >= 0:
+            owner[c], left_at[c] = top[p], min(d, 1e12)
     for c in sorted(owner):  # clusters are numbered by their least point
         labels[c] = number.setdefault(owner[c], len(number))
-    for k in range(len(number)):
-        own = labels == k
-        most = left_at[own].max()
-        strength[own] = left_at[own] / most if most > 0 else 1.0
+    most, own = np.zeros(len(number)), labels >= 0
+    np.maximum.at(most, labels[own], left_at[own])
+    reach = most[labels[own]]
+    strength[own] = np.where(reach > 0, left_at[own] / np.where(reach > 0, reach, 1.0), 1.0)
     return labels, strength, relative_validity(tree, labels)
 
 
@@ -284,6 +283,8 @@ def _cluster_by_blocks(points: DataFrame, n: int, floor: int | None) -> DataFram
 
     floors = {min(max(2, f), max(2, n // 4)) for f in ([floor] if floor is not None else [])} or None
     tried = sorted(floors) if floors else floor_candidates(n)
+    if n - 1 <= condensing.CHUNK:
+        return _named(placed, _labels_by_floor(edges, n, tried, choose=floors is None))
     nodes = reduce(DataFrame.unionByName, [condensing.merges(edges.where(F.col("tree") == s), n).withColumn("tree", F.lit(s)) for s in samples])
 
     def found_for(sizes: list[int]) -> tuple[DataFrame, DataFrame]:
@@ -302,11 +303,45 @@ def _cluster_by_blocks(points: DataFrame, n: int, floor: int | None) -> DataFram
         found = found.where(F.col("key") == size) if size in tried else found_for([size])[1]
     else:
         found = found_for(tried)[1]
-    named = condensing.labelled(found)
-    out = placed.select(F.col("place").alias("point"), "id").join(named, "point", "left")
+    return _named(placed, condensing.labelled(found))
+
+
+def _named(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, cluster, strength) of all vectors, from those in clusters (point, cluster, strength)."""
+    out = placed.select(F.col("place").alias("point"), "id").join(found, "point", "left")
     return out.select(F.col("id").cast("long").alias("id"), F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
 
 
+def _labels_by_floor(edges: DataFrame, n: int, floors: list[int], choose: bool) -> DataFrame:
+    """(point, cluster, strength) from trees of at most condensing.CHUNK edges each: a task for each smallest cluster size, eight at most."""
+    spark = edges.sparkSession
+
+    def made(sizes: list[int]) -> DataFrame:
+        keys = spark.createDataFrame([(f, min_samples_for(n, f), k) for k, f in enumerate(sizes)], "floor long, tree int, part int")
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            floor = int(rows["floor"].iloc[0])
+            labels, strength, validity = clusters_of(sorted_tree(rows[["a", "b", "w"]].to_numpy(float)), n, floor)
+            own = np.flatnonzero(labels >= 0)
+            # A row without a point says how good the clusters are: their number, the largest one's share, validity.
+            told = pd.DataFrame({"point": [-1], "cluster": [labels.max() + 1], "strength": [validity], "share": [dominant_share(labels)]})
+            return pd.concat([pd.DataFrame({"point": own, "cluster": labels[own], "strength": strength[own], "share": 0.0}), told]).assign(floor=floor)
+
+        dealt = edges.join(F.broadcast(keys), "tree").repartitionById(len(sizes), F.col("part"))
+        return settled(dealt.groupBy("part", "floor").applyInPandas(run, "point long, cluster long, strength double, share double, floor long"))
+
+    found, size = made(floors), floors[0]
+    if choose:
+        fits, others = [], []
+        for r in found.where("point < 0").collect():  # a row for each floor
+            if r["cluster"] >= 2:
+                (fits if r["share"] <= max_cluster_share(n) else others).append((r["strength"], -r["floor"]))
+        size = -max(fits or others, default=(0, -SMALLEST))[1]
+        size = max(2, min(size, n // 4))
+        found = found if size in floors else made([size])
+    return found.where((F.col("floor") == size) & (F.col("point") >= 0)).select("point", "cluster", "strength")
+
+
 def _grid(packed: DataFrame, blocks: int) -> DataFrame:
     """Every part of the blocks, as those that ask (side 0, first), with every part of them as those that answer."""
     cores = packed.sparkSession.sparkContext.defaultParallelism
@@ -388,19 +423,62 @@ class _Out:
     def meet(self, to: np.ndarray, other: np.ndarray, cores: np.ndarray, keys: np.ndarray) -> None:
         if self.places is None:
             self._begin()
+        lengths = (other**2).sum(axis=1)
         for i in range(0, len(self.places), HIGH):
-            away = distances(self.matrix[i : i + HIGH], other)
-            for k, t in enumerate(self.largest):
-                rows = np.flatnonzero(self.asks[k, i : i + HIGH])
-                if not len(rows):
-                    continue
-                at = i + rows
-                reach = np.maximum(away if len(rows) == len(away) else away[rows], cores[t])
-                np.copyto(reach, np.inf, where=self.keys[t, at, None] == keys[t])
-                least = np.maximum(reach.min(axis=1), self.cores[t, at])
-                hit = np.flatnonzero(np.isfinite(least) & (least <= self.best[k, at]))
-                if len(hit):
-                    self._keep(k, at[hit], least[hit], reach[hit], to, keys[t])
+            at = np.arange(i, min(i + HIGH, len(self.places)))
+            if not np.isfinite(self._limit(at)).all():
+                self._all(at, to[:HIGH], other[:HIGH], cores[:, :HIGH], keys[:, :HIGH])
+            limit = self._limit(at)
+            some = np.isfinite(limit)
+            if not some.all():
+                self._all(at[~some], to, other, cores, keys)
+            if some.any():
+                self._near(at[some], limit[some], to, other, lengths, cores, keys)
+
+    def _limit(self, at: np.ndarray) -> np.ndarray:
+        """How far an edge may reach that is of use to a point, in whatever tree."""
+        return np.where(self.asks[:, at], self.best[:, at], -np.inf).max(axis=0)
+
+    def _all(self, at: np.ndarray, to: np.ndarray, other: np.ndarray, cores: np.ndarray, keys: np.ndarray) -> None:
+        away = distances(self.matrix[at], other)
+        for k, t in enumerate(self.largest):
+            asks = self.asks[k, at]
+            mine = at[asks]
+            if not len(mine):
+                continue
+            reach = np.maximum(away[asks], cores[t])
+            np.copyto(reach, np.inf, where=self.keys[t, mine, None] == keys[t])
+            least = np.maximum(reach.min(axis=1), self.cores[t, mine])
+            hit = np.flatnonzero(np.isfinite(least) & (least <= self.best[k, mine]))
+            if len(hit):
+                self._keep(k, mine[hit], least[hit], reach[hit], to, keys[t])
+
+    def _near(self, at: np.ndarray, limit: np.ndarray, to: np.ndarray, other: np.ndarray, lengths: np.ndarray, cores: np.ndarray, keys: np.ndarray) -> None:
+        """As _all, from the pairs alone that a product of matrices, within what it may be off by, doesn't show to be too far."""
+        matrix = self.matrix[at]
+        own = (matrix**2).sum(axis=1)
+        off = 1e-12 * (own + lengths.max(initial=0))
+        square = lengths - 2 * (matrix @ other.T)
+        row, column = np.divmod(np.flatnonzero(square <= (limit**2 * (1 + 1e-12) - own + off)[:, None]), len(to))
+        if not len(row):
+            return
+        total = np.zeros(len(row))
+        for axis in range(matrix.shape[1]):  # as ``distances``
+            total += (matrix[row, axis] - other[column, axis]) ** 2
+        away, mine = np.sqrt(total), at[row]
+        low, high = np.minimum(self.places[mine], to[column]), np.maximum(self.places[mine], to[column])
+        for k, t in enumerate(self.largest):
+            reach = np.maximum(np.maximum(away, cores[t, column]), self.cores[t, mine])
+            hit = np.flatnonzero(self.asks[k, mine] & (reach <= self.best[k, mine]) & (self.keys[t, mine] != keys[t, column]))
+            if not len(hit):
+                continue
+            hit = hit[np.lexsort((high[hit], low[hit], reach[hit], row[hit]))]
+            hit = hit[np.flatnonzero(np.diff(row[hit], prepend=-1))]  # the least of each point
+            x = mine[hit]
+            tied = reach[hit] == self.best[k, x]
+            hit = hit[~tied | (low[hit] < self.low[k, x]) | ((low[hit] == self.low[k, x]) & (high[hit] < self.high[k, x]))]
+            x = mine[hit]
+            self.best[k, x], self.low[k, x], self.high[k, x], self.other[k, x] = reach[hit], low[hit], high[hit], keys[t, column[hit]]
 
     def _keep(self, k: int, at: np.ndarray, least: np.ndarray, reach: np.ndarray, to: np.ndarray, keys: np.ndarray) -> None:
         """Of equally short edges the one with the lower lower end, then the lower upper end."""
@@ -460,7 +538,7 @@ def _trees_by_blocks(placed: DataFrame, n: int, samples: list[int], blocks: int)
         found = _grid(settled(points.join(keys, "block")), blocks).mapInArrow(_met(lambda largest=largest: _Out(largest)), "key long, w double, a long, b long, other long")
         picked = settled(found.groupBy("key").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("key", "e.*"))
         edges = picked if edges is None else edges.unionByName(picked)
-        wholes = connected_components(picked.select("key", "other")).select(F.col("node").alias("key"), "component")
+        wholes = connected_components(picked.select("key", "other"), small=condensing.CHUNK).select(F.col("node").alias("key"), "component")
         labels = settled(labels.join(wholes, "key", "left").select("place", "tree", F.coalesce("component", "key").alias("key")))
     tree = F.element_at(F.array(*[F.lit(s) for s in samples]), (F.floor(F.col("key") / n) + 1).cast("int")).alias("tree")
     return settled(edges.select(tree, "a", "b", "w").distinct())  # two components may pick the same edge

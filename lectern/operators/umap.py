@@ -15,6 +15,8 @@ Draws depend on seed, round and block alone, so reruns agree.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -86,12 +88,39 @@ def directed_weights(near: DataFrame) -> DataFrame:
 
 def fuzzy_edges(near: DataFrame) -> DataFrame:
     """(a, b, w) for every chosen neighbour b of a, with the weight that both directions agree on."""
-    w = directed_weights(near)
+    w = materialize(directed_weights(near), "umap-weights")  # read twice
     pair = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
     joint = w.groupBy(*pair).agg(F.sum("w").alias("s"), F.when(F.count(F.lit(1)) > 1, F.min("w") * F.max("w")).otherwise(F.lit(0.0)).alias("p"))
     return w.select("a", "b", *pair).join(joint, ["low", "high"]).select("a", "b", (F.col("s") - F.col("p")).alias("w"))
 
 
+def _sums(axes: int):
+    """Of a partition's rows (id, q, p): the sums of q * q, of q times each axis, and of the axes' products, one after another."""
+
+    def run(batches):
+        total = np.zeros(1 + axes + axes * axes)
+        for batch in batches:
+            q, p = batch["q"].to_numpy(), batch["p"].flatten().to_numpy().reshape(-1, axes)
+            total += np.concatenate([[q @ q], q @ p, (p.T @ p).reshape(-1)])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    return run
+
+
+def _turned(along: np.ndarray, turned: np.ndarray):
+    """Rows (id, q, p) with ``along`` times q taken off p, and p turned."""
+
+    def run(batches):
+        axes = len(along)
+        for batch in batches:
+            p = batch["p"].flatten().to_numpy().reshape(-1, axes)
+            fresh = (p - batch["q"].to_numpy()[:, None] * along) @ turned
+            places = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * axes, pa.int32()), pa.array(fresh.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["q"], places], names=["id", "q", "p"])
+
+    return run
+
+
 def _start(edges: DataFrame, first: DataFrame, axes: int, rounds: int) -> DataFrame:
     """(id, p): leading eigenvectors of the graph after the trivial one, from ``first``'s places, ten wide."""
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.max("w").alias("w"))
@@ -102,13 +131,11 @@ def _start(edges: DataFrame, first: DataFrame, axes: int, rounds: int) -> DataFr
     column = lambda k: F.col("p")[k]
     for turn in range(rounds + 1):
         # Without the trivial part, and orthonormal: both need sums of a few numbers.
-        sums = [F.sum(F.col("q") ** 2).alias("qq"), *[F.sum(F.col("q") * column(k)).alias(f"q{k}") for k in range(axes)], *[F.sum(column(i) * column(j)).alias(f"g{i}_{j}") for i in range(axes) for j in range(i + 1)]]
-        s = state.agg(*sums).first()
-        along = np.array([s[f"q{k}"] for k in range(axes)]) / s["qq"]
-        gram = np.array([[s[f"g{max(i, j)}_{min(i, j)}"] for j in range(axes)] for i in range(axes)]) - np.outer(along, along) * s["qq"]
+        sums = sum(np.array(r["sums"]) for r in state.mapInArrow(_sums(axes), "sums array<double>").collect())  # a row for each partition
+        qq, along, gram = sums[0], sums[1 : axes + 1] / sums[0], sums[axes + 1 :].reshape(axes, axes)
+        gram = gram - np.outer(along, along) * qq
         turned = np.linalg.inv(np.linalg.cholesky(gram + np.eye(axes) * 1e-12 * max(np.trace(gram), 1e-12))).T
-        fresh = [sum((F.lit(float(turned[i, k])) * (column(i) - F.lit(float(along[i])) * F.col("q")) for i in range(axes)), F.lit(0.0)) for k in range(axes)]
-        state = state.select("id", "q", F.array(*fresh).alias("p"))
+        state = state.mapInArrow(_turned(along, turned), state.schema)
         if turn == rounds:
             break
         pulled = links.join(state.select(F.col("id").alias("b"), "p"), "b").groupBy(F.col("a").alias("id")).agg(*[F.sum(F.col("m") * column(k)).alias(f"y{k}") for k in range(axes)])
@@ -119,6 +146,19 @@ def _start(edges: DataFrame, first: DataFrame, axes: int, rounds: int) -> DataFr
     return placed.select("id", F.zip_with(F.transform("p", lambda x: x * (10.0 / spread)), jitter, lambda x, y: F.round(x + y, 6)).alias("p"))  # sums in another order differ by far less
 
 
+def _squares(d: list[np.ndarray]) -> np.ndarray:
+    """Squared lengths of vectors that are given by axes, added up in the order in which numpy sums a row."""
+    s = [x * x for x in d]
+    first = reduce(np.add, s[:8]) if len(s) < 8 else ((s[0] + s[1]) + (s[2] + s[3])) + ((s[4] + s[5]) + (s[6] + s[7]))
+    return reduce(np.add, s[8:], first)
+
+
+def _clipped(pull: np.ndarray, d: np.ndarray) -> np.ndarray:
+    x = pull * d
+    np.maximum(x, -4, out=x)
+    return np.minimum(x, 4, out=x)
+
+
 def _epochs(axes: int, a: float, b: float, seed: int, turn: int, rounds: int, epochs: int):
     """A block's points after some epochs.  Rows: points (kind 0), its edges' far ends in other blocks (1), the pool (2), its packed edges (3, no place)."""
 
@@ -130,12 +170,13 @@ def _epochs(axes: int, a: float, b: float, seed: int, turn: int, rounds: int, ep
         kind = table["kind"].to_numpy()
         places = table["p"].combine_chunks().flatten().to_numpy().reshape(-1, axes)
         ids = table["id"].to_numpy()
-        own, at, pool = ids[kind == 0], places[kind == 0].copy(), places[kind == 2]
+        own, pool = ids[kind == 0], places[kind == 2].T.copy()
+        at = places[kind == 0].T.copy()  # an axis after another
         source = np.searchsorted(own, start)
         target = np.minimum(np.searchsorted(own, other), len(own) - 1)
         inside = own[target] == other
         near = np.searchsorted(known := np.concatenate([own, ids[kind == 1]]), other, sorter=(order := np.argsort(known)))
-        far = np.concatenate([places[kind == 0], places[kind == 1]])[order[near]]
+        far = np.concatenate([places[kind == 0], places[kind == 1]])[order[near]].T.copy()
         chance = weight / max(weight.max(), 1e-300) if len(weight) else weight
         rng = np.random.default_rng([seed, turn, int(first) & 0x7FFFFFFF])
         for epoch in range(epochs):
@@ -144,19 +185,23 @@ def _epochs(axes: int, a: float, b: float, seed: int, turn: int, rounds: int, ep
             for part in np.array_split(drawn, 8):
                 if not len(part):
                     continue
-                i = source[part]
-                ends = np.where(inside[part, None], at[target[part]], far[part])
-                d = at[i] - ends
-                square = (d**2).sum(axis=1)
+                i, here = source[part], inside[part]
+                end = target[part]
+                mine = [x[i] for x in at]
+                d = [x - np.where(here, y[end], z[part]) for x, y, z in zip(mine, at, far, strict=True)]
+                square = _squares(d)
                 pull = np.where(square > 0, -2 * a * b * np.maximum(square, 1e-12) ** (b - 1) / (1 + a * square**b), 0)
-                move = np.clip(pull[:, None] * d, -4, 4)
+                move = [_clipped(pull, x) for x in d]
                 for _ in range(NEGATIVE):
-                    d = at[i] - pool[rng.integers(0, len(pool), len(i))]
-                    square = (d**2).sum(axis=1)
+                    other = rng.integers(0, pool.shape[1], len(i))
+                    d = [x - y[other] for x, y in zip(mine, pool, strict=True)]
+                    square = _squares(d)
                     push = 2 * b / ((1e-3 + square) * (1 + a * square**b))
-                    move += np.clip(push[:, None] * d, -4, 4) * (square > 0)[:, None]
-                for k in range(axes):
-                    at[:, k] += rate * np.bincount(i, move[:, k], len(own))
+                    for x, y in zip(move, d, strict=True):
+                        x += _clipped(push, y)  # nothing where both are one place: there y is 0
+                for x, y in zip(at, move, strict=True):
+                    x += rate * np.bincount(i, y, len(own))
+        at = at.T
         return pa.table({"id": pa.array(own), "p": pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * axes, pa.int32()), pa.array(at.reshape(-1)))})
 
     return run

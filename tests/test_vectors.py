@@ -355,3 +355,32 @@ def test_layout_sends_a_place_once_to_a_block(spark, monkeypatch):
     sent = tables["umap-asked"][0].select(F.explode("to")).count()
     assert 0 < sent <= 200 * 3 < edges.count()
     rows.unpersist()
+
+
+def test_floors_of_bounded_trees_are_tried_in_a_task_each(spark, monkeypatch):
+    """No table of merges is written for trees of at most CHUNK edges; the rows are those of the tables."""
+    from lectern.operators import condensing
+
+    rng = np.random.default_rng(4)
+    matrix = np.concatenate([blobs(4, 16, dim=8, spread=0.7, seed=3)[0], rng.normal(size=(12, 8)) * 6])
+    v = frame(spark, matrix).coalesce(2).cache()
+    written, write = [], condensing.materialize
+    monkeypatch.setattr(condensing, "materialize", lambda df, name, **o: written.append(name) or write(df, name, **o))
+    monkeypatch.setattr(clustering, "DENSITY_ROWS", 0)
+    monkeypatch.setattr(clustering, "BLOCK_ROWS", 25)
+    got = {}
+    for chunk in (condensing.CHUNK, 20):
+        monkeypatch.setattr(condensing, "CHUNK", chunk)
+        got[chunk] = sorted((r.id, r.cluster, round(r.strength, 9)) for floor in (None, 5) for r in clustering.cluster_vectors(v, floor).collect())
+        assert bool(written) == (chunk == 20)
+    first, second = got.values()
+    assert first == second and len({c for _, c, _ in first}) >= 4
+
+
+def test_layout_weighs_neighbours_once(spark, monkeypatch):
+    """The weights are written before they are read for both directions, so neighbours are compared once."""
+    tables, write = [], umap.materialize
+    monkeypatch.setattr(umap, "materialize", lambda df, name, **o: tables.append(name) or write(df, name, **o))
+    rows = spark.createDataFrame([(0, 1, 0.9), (1, 0, 0.9), (1, 2, 0.5), (2, 1, 0.5)], "i long, j long, similarity double")
+    found = {(r.a, r.b): r.w for r in umap.fuzzy_edges(rows).collect()}
+    assert tables == ["umap-weights"] and len(found) == 4 and found[0, 1] == found[1, 0]
