@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import materialize
 from ..functions.vectors import unit
 from . import pairs
 
@@ -207,6 +208,7 @@ def reached(queries: Cells, vectors: Cells, n: np.ndarray, k: int, least: float
     near = seeded.join(_side(packed(queries.rows), "a"), "cell_a").join(first, "cell_b").select("ids_a", "m_a", "ids_b", "m_b", F.lit(None).cast("binary").alias("rows"))
     near = ranked(near.mapInArrow(_compared(k, None, skip_self), _FOUND), k)
     reach = near.groupBy(F.col("i").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).otherwise(F.lit(-2.0)).alias("reach"))
+    reach = materialize(reach, "cells-reach")  # two numbers a query; what it took to find them needn't lie beside what comparing moves
     return queries.rows.join(reach, "id", "left").withColumn("reach", F.greatest(F.coalesce("reach", F.lit(-2.0)), F.lit(-2.0 if least is None else float(least))))
 
 

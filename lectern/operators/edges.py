@@ -67,7 +67,7 @@ def update(table: KeyedTable, vectors: DataFrame) -> Update:
         others = now.join(kept.select("id"), "id", "left_semi").select("id", "v")
         arrived = now.join(changed, "id", "left_semi").select("id", "v")
         partial = kept.count()
-        lists = _lists(fresh)
+        lists = materialize(_lists(fresh), "edges-fresh")  # read twice below, and what comparing moved goes here
         if partial:
             # A list is only touched where a changed vector beats its last entry, or it has room.
             offered = neighbours.top_k(others, arrived, LISTED).select("i", "j", "similarity").join(kept.select(F.col("id").alias("i"), F.size("near").alias("held"), F.element_at("near", -1).alias("last")), "i")

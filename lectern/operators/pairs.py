@@ -1,8 +1,8 @@
 """Comparing every query with every vector in a grid of parts.
 
 Queries and vectors come in packed blocks, and blocks are dealt into parts.  A task holds one part of the queries with the k best of each so far,
-and reads the blocks of one part of the vectors one after another: memory is bounded by PART_NUMBERS, a vector is sent once for each part of queries, and what is
-gathered for a query is k candidates for each of VECTOR_PARTS.  Blocks that know how near and how far from a centre their vectors are go past the queries that they can't serve.
+and reads the blocks of one part of the vectors one after another: memory is bounded by PART_NUMBERS, a vector is written once and read once for each part of queries, and what is
+gathered for a query is k candidates for each part of the vectors.  Blocks that know how near and how far from a centre their vectors are go past the queries that they can't serve.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Numbers of the queries that one task holds at most, and queries or vectors that are worth a part of their own.
 PART_NUMBERS, LEAST_ROWS = 1 << 21, 512
-#: Parts of the vectors.
+#: Parts of the vectors, where parts of the queries are fewer than cores.
 VECTOR_PARTS = 2
 #: Vectors that are compared at once, and queries.
 WIDE, HIGH = 4096, 256
@@ -26,7 +26,8 @@ FOUND = "i long, j long, similarity double"
 
 def parts_for(cores: int, queries: int, vectors: int, dim: int) -> tuple[int, int]:
     """Parts of the queries and of the vectors: one of the queries for each core, more where a part would be too large."""
-    return max(1, min(cores, queries // LEAST_ROWS), -(-queries * dim // PART_NUMBERS)), max(1, min(VECTOR_PARTS, vectors // LEAST_ROWS))
+    asking = max(1, min(cores, queries // LEAST_ROWS), -(-queries * dim // PART_NUMBERS))
+    return asking, 1 if asking >= cores else max(1, min(VECTOR_PARTS, vectors // LEAST_ROWS))
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -45,13 +46,22 @@ def packed(rows: DataFrame) -> DataFrame:
 
 
 def dealt(queries: DataFrame, vectors: DataFrame, parts_a: int, parts_b: int) -> DataFrame:
-    """Every part of the queries (part, ids, matrix and maybe reach) with every part of the vectors (part, ids, matrix and maybe cell, low, high), queries first."""
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    """Every part of the queries (part, ids, matrix and maybe reach) with every part of the vectors (part, ids, matrix and maybe cell, low, high); all queries before the second block of vectors.
+
+    Each side is dealt into its parts once, and a task reads one part of either: in the product of the two, a block of vectors comes along with the first block of
+    the queries, and a block of queries with the first one of the vectors.
+    """
     kinds = {"reach": "binary", "cell": "long", "low": "double", "high": "double"}
-    given = lambda df: [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
-    a = queries.withColumn("other", every(parts_b)).select((F.col("part") * parts_b + F.col("other")).alias("pair"), F.lit(0).alias("side"), "ids", "matrix", *given(queries))
-    b = vectors.withColumn("other", every(parts_a)).select((F.col("other") * parts_b + F.col("part")).alias("pair"), F.lit(1).alias("side"), "ids", "matrix", *given(vectors))
-    return a.unionByName(b).repartitionById(parts_a * parts_b, F.col("pair").cast("int")).sortWithinPartitions("pair", "side")
+
+    def side(df: DataFrame, parts: int, number: int) -> DataFrame:
+        given = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+        rows = df.repartitionById(parts, F.pmod(F.col("part"), F.lit(parts)).cast("int"))
+        head = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of its partition
+        return rows.select(F.struct(F.lit(number).alias("side"), "ids", "matrix", *given).alias(f"row{number}"), F.col("part").alias(f"part{number}"), head.alias(f"head{number}"))
+
+    both = side(vectors, parts_b, 1).join(side(queries, parts_a, 0).hint("shuffle_replicate_nl"), F.col("head0") | F.col("head1"))
+    some = F.array_compact(F.array(F.when(F.col("head1"), F.col("row0")), F.when(F.col("head0"), F.col("row1"))))
+    return both.select((F.col("part0") * parts_b + F.col("part1")).alias("pair"), F.explode(some).alias("row")).select("pair", "row.*")
 
 
 class _Part:
@@ -117,7 +127,10 @@ class _Part:
         first = order[np.searchsorted(owner[order], np.arange(len(hit)))[:, None] + np.arange(self.k)]
         self.best[at], self.other[at] = similarity[first], ids[first]
 
-    def found(self):
+    def found(self, last=None):
+        """The best, after a ``last`` block of vectors."""
+        if last is not None:
+            self.meet(*last)
         if self.ids is None:
             return
         self._flush()
@@ -132,20 +145,23 @@ def best(rows: DataFrame, k: int, least: float | None, skip_self: bool, shared=N
     """(i, j, similarity): the k best of each query in each part of the vectors, from ``dealt`` rows; ``shared`` holds the centres that cells mean."""
 
     def run(batches):
-        at, held = None, None
+        at, held, first = None, None, None
         for batch in batches:
             for pair, side, ids, matrix, reach, cell, low, high in zip(*(batch[c] for c in ("pair", "side", "ids", "matrix", "reach", "cell", "low", "high")), strict=True):
                 if held is None or pair.as_py() != at:
                     if held is not None:
-                        yield from held.found()
-                    at, held = pair.as_py(), _Part(k, least, skip_self, None if shared is None else shared.value)
+                        yield from held.found(first)
+                    at, held, first = pair.as_py(), _Part(k, least, skip_self, None if shared is None else shared.value), None
                 numbers = np.frombuffer(ids.as_buffer(), np.int64).copy()
                 values = np.frombuffer(matrix.as_buffer()).reshape(len(numbers), -1).copy()
                 if side.as_py() == 0:
                     held.ask(numbers, values, np.frombuffer(reach.as_buffer()).copy() if reach.is_valid else None)
                 else:
-                    held.meet(numbers, values, cell.as_py(), low.as_py(), high.as_py())
+                    # Queries may still come until the next block of vectors does.
+                    if first is not None:
+                        held.meet(*first)
+                    first = numbers, values, cell.as_py(), low.as_py(), high.as_py()
         if held is not None:
-            yield from held.found()
+            yield from held.found(first)
 
     return rows.mapInArrow(run, FOUND)

@@ -79,3 +79,17 @@ def test_words_of_texts_do_not_move(spark):
         plan = made._jdf.queryExecution().executedPlan().toString()
         moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
         assert moved and not any("term" in line for line in moved)
+
+
+def test_compared_vectors_are_dealt_once(spark):
+    """No side is multiplied before it is moved, more vectors than one Arrow batch or part holds meet every query, and empty parts do no harm."""
+    from lectern.operators import pairs
+
+    rows = spark.range(300).select("id", F.array(*[F.rand(k) - 0.5 for k in range(4)]).alias("v"), F.pmod("id", F.lit(6)).alias("part")).repartition(5).cache()
+    left, right = pairs.packed(rows.where("part <> 2")), pairs.packed(rows.withColumn("part", F.col("part") % 2))
+    met = pairs.dealt(left, right, 6, 3)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and 0 < plan.index("Generate") < plan.index("CartesianProduct") < plan.index("Exchange")
+    found = pairs.best(met, 300, None, True).select("i", "j")
+    assert found.count() == found.distinct().count() == 250 * 299
+    rows.unpersist()

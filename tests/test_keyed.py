@@ -93,6 +93,25 @@ def test_edges_follow_the_vectors(spark, tmp_path, monkeypatch):
     assert {(r.a, r.b): round(r.distance, 9) for r in edges.routing_edges(table, 4).collect()} == want
 
 
+def test_an_update_compares_once(spark, tmp_path, monkeypatch):
+    """What was compared is written before it is read twice, so that it isn't compared again and its shuffle files go."""
+    met = spark.sparkContext.accumulator(0)
+    best = edges.neighbours.pairs.best
+
+    def counted(rows, *args):
+        def run(batches):
+            for batch in batches:
+                met.add(sum(1 for side in batch["side"] if side.as_py() == 0))
+                yield batch
+
+        return best(rows.mapInArrow(run, rows.schema), *args)
+
+    monkeypatch.setattr(edges.neighbours.pairs, "best", counted)
+    table = KeyedTable(spark, str(tmp_path / "edges"), "id", buckets=4)
+    assert edges.update(table, frame(spark, blobs(groups=2, each=15, dim=8, spread=0.6, seed=3)[0]).coalesce(1)).written == 30
+    assert met.value == 1
+
+
 def test_edges_of_one_vector_and_of_none(spark, tmp_path):
     table = KeyedTable(spark, str(tmp_path / "edges"), "id")
     edges.update(table, frame(spark, np.eye(3)).limit(1))
