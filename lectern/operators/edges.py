@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.keyed import KeyedTable
-from ..functions.tables import materialize, scratch
+from ..functions.tables import discard, materialize, scratch
 from . import neighbours
 
 #: Neighbours that a list holds: as many as any size of corpus asks for.
@@ -67,7 +67,7 @@ def update(table: KeyedTable, vectors: DataFrame) -> Update:
         others = now.join(kept.select("id"), "id", "left_semi").select("id", "v")
         arrived = now.join(changed, "id", "left_semi").select("id", "v")
         partial = kept.count()
-        lists = materialize(_lists(fresh), "edges-fresh")  # read twice below, and what comparing moved goes here
+        compared = lists = materialize(_lists(fresh), "edges-fresh")  # read twice below, and what comparing moved goes here
         if partial:
             # A list is only touched where a changed vector beats its last entry, or it has room.
             offered = neighbours.top_k(others, arrived, LISTED).select("i", "j", "similarity").join(kept.select(F.col("id").alias("i"), F.size("near").alias("held"), F.element_at("near", -1).alias("last")), "i")
@@ -80,6 +80,8 @@ def update(table: KeyedTable, vectors: DataFrame) -> Update:
         # A vector that has no other one beside it has an empty list.
         alone = whole.join(lists.select("id"), "id", "left_anti").select("id", F.array().cast("array<struct<similarity:double,j:long>>").alias("near"))
         rows = materialize(lists.unionByName(alone).join(now.select("id", "digest"), "id").select("id", "digest", "near"), "edges-rows")
+        for read in (compared, now):
+            discard(read)
         table.replace(removed, rows)
         return Update(whole.count(), partial, removed.count(), rows.count())
 
