@@ -76,11 +76,11 @@ def _pieces(body):
     return [] if body is None else split_long(body)
 
 
-def chunk_markdown(documents: DataFrame, key: str, markdown: str = "markdown", most: int = fixed.MAX_CHUNKS) -> DataFrame:
-    """(key, ord, section, text): chunks of each document, none across a section's border.
+def chunk_markdown(documents: DataFrame, key: str, markdown: str = "markdown", most: int | None = None) -> DataFrame:
+    """(key, ord, section, text): all chunks of each document, none across a section's border.
 
-    Sections that say nothing of the subject, and texts under 120 characters, are left out.  Of too many
-    chunks every section keeps its first before any keeps its second.
+    Sections that say nothing of the subject, and texts under 120 characters, are left out.  Where a caller asks for ``most``
+    chunks of a document, every section keeps its first before any keeps its second.
     """
     w = Window.partitionBy(key)
     rows = documents.select(key, F.posexplode(sections(F.col(markdown))).alias("place", "s")).select(key, "place", F.col("s.title").alias("section"), F.col("s.body").alias("body"))
@@ -89,9 +89,9 @@ def chunk_markdown(documents: DataFrame, key: str, markdown: str = "markdown", m
     cut = rows.where(short).select(key, "place", "section", F.array("body").alias("pieces")).unionByName(rows.where(~short).select(key, "place", "section", _pieces("body").alias("pieces")))
     pieces = cut.select(key, "place", "section", F.posexplode("pieces").alias("depth", "text")).withColumn("text", tx.strip(F.col("text"))).where(F.length("text") >= fixed.MIN_CHUNK_CHARS)
     pieces = pieces.withColumn("depth", F.row_number().over(Window.partitionBy(key, "place").orderBy("depth")))
-    turn = F.row_number().over(w.orderBy("depth", "place"))
-    kept = pieces.withColumn("turn", turn).where(F.col("turn") <= most)
-    return kept.select(key, (F.row_number().over(w.orderBy("place", "depth")) - 1).alias("ord"), "section", "text")
+    if most is not None:
+        pieces = pieces.withColumn("turn", F.row_number().over(w.orderBy("depth", "place"))).where(F.col("turn") <= most)
+    return pieces.select(key, (F.row_number().over(w.orderBy("place", "depth")) - 1).alias("ord"), "section", "text")
 
 
 def document_texts(papers: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 
@@ -52,6 +53,17 @@ def test_chunk_budget_goes_round(spark):
     assert sorted(r.section for r in rows) == ["S0", "S0", "S1", "S1", "S2", "S3"]
 
 
+def test_all_chunks_of_a_long_document_are_given(spark, tmp_path):
+    from lectern.plans.registry import QUERIES
+
+    text = "".join(f"# S{k}\n{str(k) * 150}\n" for k in range(1300)) + "# Last\n" + "word " * 2000
+    spark.createDataFrame([(1, text), (2, "# A\n" + "b" * 130)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["x3_chunks_of_documents"](spark, str(tmp_path)).orderBy("ord").collect()
+    last = len(chunks.split_long(("word " * 2000).strip()))
+    assert [r.ord for r in rows if r.doc_id == 1] == list(range(1300 + last)) and [r.ord for r in rows if r.doc_id == 2] == [0]
+    assert [r.digest for r in rows if r.doc_id == 1][:1300] == [hashlib.md5((str(k) * 150).encode()).hexdigest() for k in range(1300)]
+
+
 def test_split_long_overlaps_and_ends():
     text = "".join(np.random.default_rng(0).choice(list("abc. \n"), 5000))
     pieces = chunks.split_long(text)
