@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import materialize, scratch
@@ -41,7 +41,7 @@ def _joined(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, roots])), pa.array(np.concatenate([root, roots]))], names=["node", "component"])
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60, small: int = 0) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, small: int = 0, apart: Column | None = None) -> DataFrame:
     """(node, component: its least node) for every node of ``edges`` (two long columns); loops are dropped.
 
     Large-star and small-star steps alternate until each node hangs below the
@@ -49,10 +49,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, small: int = 0
     Only nodes with a smaller neighbour are relabelled in a join; both sides of it
     are tables, so hot nodes are split at run time.  Rounds grow with the logarithm of the longest path; more than
     ``most_rounds`` raise an error.  Up to ``small`` edges are joined by one task, in one round.
+    ``apart`` tells graphs apart that share no node, 0 and up, over the columns of ``edges``: such a bound holds for each of them, and each has a task.
     """
-    if small and edges.count() <= small:
+    if small:
         a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
-        return materialize(edges.select(a.cast("long").alias("u"), b.cast("long").alias("v")).where("u <> v").coalesce(1).mapInArrow(_joined, "node long, component long"), "cc-components")
+        own = edges.select(a.cast("long").alias("u"), b.cast("long").alias("v"), (F.lit(0) if apart is None else apart).cast("int").alias("graph"))
+        sizes = own.groupBy("graph").count().agg(F.max("count").alias("most"), F.max("graph").alias("last")).first()
+        if (sizes["most"] or 0) <= small:
+            dealt = own.where("u <> v").repartitionById((sizes["last"] or 0) + 1, F.col("graph")).select("u", "v")
+            return materialize(dealt.mapInArrow(_joined, "node long, component long"), "cc-components")
     with scratch(edges.sparkSession) as keep:
         return keep(_settle(edges, most_rounds), "cc-components")
 

@@ -6,7 +6,8 @@ core distances, and then for the least edge out of every component but the large
 by weight and ends, so there is one tree for each number and both ways give the same rows.  What follows the tree is ``clusters_of`` in one task, and tables
 (``condensing``) beyond.
 
-Comparing all pairs is quadratic in the vectors by nature.  K-means in MLlib stands beside it for whoever asks for it.
+Vectors lie in blocks with their neighbours, and points pass by leaves out of their reach; where nothing is out of reach, comparing stays
+quadratic.  K-means in MLlib stands beside it for whoever asks for it.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from . import condensing
 MIN_ROWS, SMALLEST, PARTS = 30, 3, 10
 #: Vectors up to which one task builds the tree, and vectors of a block beyond.
 DENSITY_ROWS, BLOCK_ROWS = 5000, 2048
-#: Vectors that one task asks for at most, and those of them that are compared at once.
-ASKING_ROWS, HIGH = 1 << 16, 64
+#: Vectors that one task asks for at most, and those of them that are compared at once with a leaf of so many.
+ASKING_ROWS, HIGH, LEAF_ROWS = 1 << 16, 512, 256
+#: Cells that vectors are dealt to at most (a power of two), and vectors that the cuts of each are read off.
+CELLS, CUT_BY = 1 << 10, 64
 NONE = np.iinfo(np.int64).max
 
 
@@ -342,13 +345,81 @@ def _labels_by_floor(edges: DataFrame, n: int, floors: list[int], choose: bool)
     return found.where((F.col("floor") == size) & (F.col("point") >= 0)).select("point", "cluster", "strength")
 
 
+def _order(matrix: np.ndarray, rows: int) -> np.ndarray:
+    """The rows of a matrix in an order in which each stretch of ``rows`` lies close together: halved again and again along the axis of most variance."""
+    order, stack = np.arange(len(matrix)), [(0, len(matrix))]
+    while stack:
+        a, b = stack.pop()
+        parts = -(-(b - a) // rows)
+        if parts > 1:
+            own, middle = matrix[order[a:b]], (parts + 1) // 2 * rows
+            order[a:b] = order[a:b][np.argpartition(own[:, own.var(axis=0).argmax()], middle)]
+            stack += [(a, a + middle), (a + middle, b)]
+    return order
+
+
+def _cuts(matrix: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and place of each cut of a tree of halves (the children of i are 2 i + 1 and 2 i + 2)."""
+    axes, cuts, held = [], [], [matrix]
+    for node in range((1 << depth) - 1):
+        own = held[node]
+        axis = int(own.var(axis=0).argmax()) if len(own) else 0
+        cut = float(np.median(own[:, axis])) if len(own) else 0.0
+        axes.append(axis)
+        cuts.append(cut)
+        held += [own[own[:, axis] <= cut], own[own[:, axis] > cut]]
+    return np.array(axes, int), np.array(cuts)
+
+
+def _flat(table: pa.Table, column: str) -> np.ndarray:
+    """The numbers of a column of lists of one length, a row each."""
+    return table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+
+def _in_blocks(placed: DataFrame, n: int, blocks: int) -> tuple[DataFrame, int]:
+    """(block, slot, place, p), and the number of blocks: each holds vectors that lie close together, BLOCK_ROWS at most, leaves in a row.
+
+    Cells come first, whose cuts a bounded number of vectors tells; a cell with too many (copies can't be cut) is dealt out by place.  Where vectors
+    stand changes what is compared, not what is found.
+    """
+    depth = min(CELLS.bit_length() - 1, max(0, blocks.bit_length() - 1))
+    few = placed.where(F.pmod(F.xxhash64("place"), F.lit(max(1, n // (CUT_BY << depth)))) == 0).select("p")
+    axes, cuts = _cuts(_flat(few.toArrow(), "p") if depth else np.zeros((0, 1)), depth)
+
+    def deal(batches):
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                matrix, at = _flat(table, "p"), np.zeros(batch.num_rows, np.int64)
+                for _ in range(depth):
+                    at = 2 * at + 1 + (matrix[np.arange(len(at)), axes[at]] > cuts[at])
+                yield from table.append_column("cell", pa.array(at - len(axes))).to_batches()
+
+    dealt = settled(placed.select("place", "p").mapInArrow(deal, "place long, p array<double>, cell long"))
+    sizes = dealt.groupBy("cell").count().withColumn("parts", F.ceil(F.col("count") / ASKING_ROWS)).drop("count")
+    dealt = dealt.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")))
+    first, blocks = [], 0
+    for r in dealt.groupBy("cell", "part").count().orderBy("cell", "part").collect():  # a row for each cell, or 65,536 vectors of it
+        first.append((r["cell"], r["part"], blocks))
+        blocks += -(-r["count"] // BLOCK_ROWS)
+
+    def order(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        table = table.take(pa.array(_order(_flat(table, "p"), min(LEAF_ROWS, BLOCK_ROWS))))
+        at = np.arange(table.num_rows)
+        return pa.table({"block": pa.array(table["first"].to_numpy() + at // BLOCK_ROWS), "slot": pa.array(at % BLOCK_ROWS), "place": table["place"], "p": table["p"]})
+
+    numbered = dealt.join(F.broadcast(placed.sparkSession.createDataFrame(first, "cell long, part long, first long")), ["cell", "part"])
+    return settled(numbered.select("first", "place", "p").groupBy("first").applyInArrow(order, "block long, slot long, place long, p array<double>")), blocks
+
+
 def _grid(packed: DataFrame, blocks: int) -> DataFrame:
-    """Every part of the blocks, as those that ask (side 0, first), with every part of them as those that answer."""
+    """Every part of the blocks, as those that ask (side 0, first; neighbours together), with every part of them as those that answer."""
     cores = packed.sparkSession.sparkContext.defaultParallelism
     asking = max(1, min(blocks, max(cores, -(-blocks * BLOCK_ROWS // ASKING_ROWS))))
     answering = max(1, min(blocks, -(-2 * cores // asking)))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    a = packed.withColumn("other", every(answering)).withColumn("pair", F.pmod("block", F.lit(asking)) * answering + F.col("other"))
+    a = packed.withColumn("other", every(answering)).withColumn("pair", F.floor(F.col("block") * asking / blocks) * answering + F.col("other"))
     b = packed.withColumn("other", every(asking)).withColumn("pair", F.col("other") * answering + F.pmod("block", F.lit(answering)))
     both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).drop("block", "other")
     return both.repartitionById(asking * answering, F.col("pair").cast("int")).sortWithinPartitions("pair", "side")
@@ -376,6 +447,37 @@ def _met(make):
     return run
 
 
+def _leaves(rows: int) -> list[slice]:
+    size = min(LEAF_ROWS, BLOCK_ROWS)
+    return [slice(i, min(i + size, rows)) for i in range(0, rows, size)]
+
+
+def _reaching(at: np.ndarray, matrix: np.ndarray, limit: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Of the points ``at``, those whose ``limit`` (below 0: of no use) reaches the box around the others.
+
+    A gap is summed as ``distances`` are, so it is never above any of them.
+    """
+    low, high = other.min(axis=0), other.max(axis=0)
+    gap = np.zeros(len(at))
+    for k in range(matrix.shape[1]):
+        x = matrix[at, k]
+        gap += np.maximum(np.maximum(low[k] - x, x - high[k]), 0) ** 2
+    far = limit[at]
+    return at[(far >= 0) & (gap <= far**2 * (1 + 1e-12))]
+
+
+def _within(matrix: np.ndarray, limit: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of the pairs that a product of matrices, within what it may be off by, doesn't show to be too far."""
+    own, lengths = (matrix**2).sum(axis=1), (other**2).sum(axis=1)
+    off = 1e-12 * (own + lengths.max(initial=0))
+    square = lengths - 2 * (matrix @ other.T)
+    row, column = np.divmod(np.flatnonzero(square <= (limit**2 * (1 + 1e-12) - own + off)[:, None]), len(other))
+    total = np.zeros(len(row))
+    for axis in range(matrix.shape[1]):  # as ``distances``
+        total += (matrix[row, axis] - other[column, axis]) ** 2
+    return row, column, np.sqrt(total)
+
+
 class _Near:
     """Points that ask, and how far the ``k`` nearest of each are, so far; itself is among them, at 0."""
 
@@ -385,13 +487,41 @@ class _Near:
     def ask(self, *block) -> None:
         self.asked.append(block)
 
+    def _begin(self) -> None:
+        self.places, self.matrix = (np.concatenate(x) for x in zip(*self.asked, strict=True))
+        self.matrix = np.asfortranarray(self.matrix)
+        self.best = np.full((len(self.places), self.k), np.inf)
+        # The k-th of a point's own block is as far as any of its k can be.
+        bounds = []
+        for _, own in self.asked:
+            for i in range(0, len(own), 64):
+                away = distances(own[i : i + 64], own)
+                bounds.append(np.partition(away, self.k - 1, axis=1)[:, self.k - 1] if self.k <= len(own) else np.full(len(away), np.inf))
+        self.bound = np.concatenate(bounds)
+        self.limit = self.bound.copy()
+
     def meet(self, _, other: np.ndarray) -> None:
         if self.places is None:
-            self.places, self.matrix = (np.concatenate(x) for x in zip(*self.asked, strict=True))
-            self.best = np.full((len(self.places), self.k), np.inf)
-        for i in range(0, len(self.places), HIGH):
-            both = np.concatenate([self.best[i : i + HIGH], distances(self.matrix[i : i + HIGH], other)], axis=1)
-            self.best[i : i + HIGH] = np.partition(both, self.k - 1, axis=1)[:, : self.k]
+            self._begin()
+        near = _reaching(np.arange(len(self.places)), self.matrix, self.limit, other)
+        for leaf in _leaves(len(other)):
+            at = _reaching(near, self.matrix, self.limit, other[leaf])
+            for i in range(0, len(at), HIGH):
+                mine = at[i : i + HIGH]
+                row, _, away = _within(self.matrix[mine], self.limit[mine], other[leaf])
+                hit = (away <= self.bound[mine[row]]) & (away < self.best[mine[row], self.k - 1])
+                self._keep(mine, row[hit], away[hit])
+
+    def _keep(self, mine: np.ndarray, row: np.ndarray, away: np.ndarray) -> None:
+        if not len(row):
+            return
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        count = np.diff(np.append(first, len(row)))
+        x = mine[row[first]]
+        more = np.full((len(x), count.max()), np.inf)
+        more[np.repeat(np.arange(len(x)), count), np.arange(len(row)) - np.repeat(first, count)] = away
+        self.best[x] = np.partition(np.concatenate([self.best[x], more], axis=1), self.k - 1, axis=1)[:, : self.k]
+        self.limit[x] = np.minimum(self.bound[x], self.best[x, self.k - 1])
 
     def found(self):
         for i in range(0, 0 if self.places is None else len(self.places), 10_000):
@@ -404,6 +534,7 @@ class _Out:
     """Points that ask, and the least edge of each out of its component, so far, in every tree that isn't whole.
 
     ``largest`` has the key of each such tree's largest component, whose points don't ask: the others join it by their own edges.
+    Only the least edge of a component is looked for: a point looks no further than the least that a point of its component has found.
     """
 
     def __init__(self, largest: dict[int, int]):
@@ -416,28 +547,52 @@ class _Out:
         places, matrix, cores, keys = (np.concatenate(x, axis=k) for x, k in zip(zip(*self.asked, strict=True), (0, 0, 1, 1), strict=True))
         asks = np.stack([keys[t] != key for t, key in self.largest.items()])
         some = asks.any(axis=0)
-        self.places, self.matrix, self.cores, self.keys, self.asks = places[some], matrix[some], cores[:, some], keys[:, some], asks[:, some]
+        self.places, self.matrix, self.cores, self.keys, self.asks = places[some], np.asfortranarray(matrix[some]), cores[:, some], keys[:, some], asks[:, some]
         shape = self.asks.shape
         self.best, self.low, self.high, self.other = np.full(shape, np.inf), *(np.full(shape, NONE) for _ in range(3))
+        parts = [np.unique(self.keys[t], return_inverse=True) for t in self.largest]
+        self.part, self.least = [x[1].reshape(-1) for x in parts], [np.full(len(x[0]), np.inf) for x in parts]
+        # A point's own leaf and block first: what is near lets the rest be passed by.
+        mine, begin = np.cumsum(some) - some, 0
+        for to, other, own_cores, own_keys in self.asked:
+            own = lambda leaf, begin=begin: mine[begin + leaf.start : begin + leaf.stop][some[begin + leaf.start : begin + leaf.stop]]
+            for leaf in _leaves(len(to)):
+                at = own(leaf)
+                for i in range(0, len(at), HIGH):
+                    self._all(at[i : i + HIGH], to[leaf], other[leaf], own_cores[:, leaf], own_keys[:, leaf])
+            self._meet(own(slice(0, len(to))), to, other, own_cores, own_keys)
+            begin += len(to)
 
     def meet(self, to: np.ndarray, other: np.ndarray, cores: np.ndarray, keys: np.ndarray) -> None:
         if self.places is None:
             self._begin()
-        lengths = (other**2).sum(axis=1)
-        for i in range(0, len(self.places), HIGH):
-            at = np.arange(i, min(i + HIGH, len(self.places)))
-            if not np.isfinite(self._limit(at)).all():
-                self._all(at, to[:HIGH], other[:HIGH], cores[:, :HIGH], keys[:, :HIGH])
-            limit = self._limit(at)
-            some = np.isfinite(limit)
-            if not some.all():
-                self._all(at[~some], to, other, cores, keys)
-            if some.any():
-                self._near(at[some], limit[some], to, other, lengths, cores, keys)
+        self._meet(np.arange(len(self.places)), to, other, cores, keys)
+
+    def _meet(self, at: np.ndarray, to: np.ndarray, other: np.ndarray, cores: np.ndarray, keys: np.ndarray) -> None:
+        limit = np.full(len(self.places), -np.inf)
+        limit[at] = self._limit(at)
+        near = _reaching(at, self.matrix, limit, other)
+        for leaf in _leaves(len(to)):
+            reached = _reaching(near, self.matrix, limit, other[leaf])
+            for i in range(0, len(reached), HIGH):
+                mine = reached[i : i + HIGH]
+                far = self._limit(mine)
+                some, none = np.isfinite(far), far == np.inf
+                if none.any():
+                    self._all(mine[none], to[leaf], other[leaf], cores[:, leaf], keys[:, leaf])
+                if some.any():
+                    self._near(mine[some], far[some], to[leaf], other[leaf], cores[:, leaf], keys[:, leaf])
+
+    def _bound(self, k: int, at: np.ndarray) -> np.ndarray:
+        return self.least[k][self.part[k][at]]
 
     def _limit(self, at: np.ndarray) -> np.ndarray:
-        """How far an edge may reach that is of use to a point, in whatever tree."""
-        return np.where(self.asks[:, at], self.best[:, at], -np.inf).max(axis=0)
+        """How far an edge may reach that is of use to a point's component, in whatever tree; none reaches less than the point's core."""
+        out = np.full(len(at), -np.inf)
+        for k, t in enumerate(self.largest):
+            bound = self._bound(k, at)
+            np.maximum(out, bound, out=out, where=self.asks[k, at] & (self.cores[t, at] <= bound))
+        return out
 
     def _all(self, at: np.ndarray, to: np.ndarray, other: np.ndarray, cores: np.ndarray, keys: np.ndarray) -> None:
         away = distances(self.matrix[at], other)
@@ -453,32 +608,35 @@ class _Out:
             if len(hit):
                 self._keep(k, mine[hit], least[hit], reach[hit], to, keys[t])
 
-    def _near(self, at: np.ndarray, limit: np.ndarray, to: np.ndarray, other: np.ndarray, lengths: np.ndarray, cores: np.ndarray, keys: np.ndarray) -> None:
-        """As _all, from the pairs alone that a product of matrices, within what it may be off by, doesn't show to be too far."""
-        matrix = self.matrix[at]
-        own = (matrix**2).sum(axis=1)
-        off = 1e-12 * (own + lengths.max(initial=0))
-        square = lengths - 2 * (matrix @ other.T)
-        row, column = np.divmod(np.flatnonzero(square <= (limit**2 * (1 + 1e-12) - own + off)[:, None]), len(to))
+    def _near(self, at: np.ndarray, limit: np.ndarray, to: np.ndarray, other: np.ndarray, cores: np.ndarray, keys: np.ndarray) -> None:
+        """As _all, from the pairs alone that may be within the limit."""
+        row, column, away = _within(self.matrix[at], limit, other)
         if not len(row):
             return
-        total = np.zeros(len(row))
-        for axis in range(matrix.shape[1]):  # as ``distances``
-            total += (matrix[row, axis] - other[column, axis]) ** 2
-        away, mine = np.sqrt(total), at[row]
+        mine = at[row]
         low, high = np.minimum(self.places[mine], to[column]), np.maximum(self.places[mine], to[column])
         for k, t in enumerate(self.largest):
-            reach = np.maximum(np.maximum(away, cores[t, column]), self.cores[t, mine])
-            hit = np.flatnonzero(self.asks[k, mine] & (reach <= self.best[k, mine]) & (self.keys[t, mine] != keys[t, column]))
+            bound = self._bound(k, at)
+            open_ = np.flatnonzero((self.asks[k, at] & (self.cores[t, at] <= bound))[row])
+            if not len(open_):
+                continue
+            x, y = mine[open_], column[open_]
+            reach = np.maximum(np.maximum(away[open_], cores[t, y]), self.cores[t, x])
+            fit = (reach <= np.minimum(bound[row[open_]], self.best[k, x])) & (self.keys[t, x] != keys[t, y])
+            hit, reach = open_[fit], reach[fit]
             if not len(hit):
                 continue
-            hit = hit[np.lexsort((high[hit], low[hit], reach[hit], row[hit]))]
-            hit = hit[np.flatnonzero(np.diff(row[hit], prepend=-1))]  # the least of each point
+            order = np.lexsort((high[hit], low[hit], reach, row[hit]))
+            hit, reach = hit[order], reach[order]
+            first = np.flatnonzero(np.diff(row[hit], prepend=-1))  # the least of each point
+            hit, reach = hit[first], reach[first]
             x = mine[hit]
-            tied = reach[hit] == self.best[k, x]
-            hit = hit[~tied | (low[hit] < self.low[k, x]) | ((low[hit] == self.low[k, x]) & (high[hit] < self.high[k, x]))]
+            tied = reach == self.best[k, x]
+            better = ~tied | (low[hit] < self.low[k, x]) | ((low[hit] == self.low[k, x]) & (high[hit] < self.high[k, x]))
+            hit, reach = hit[better], reach[better]
             x = mine[hit]
-            self.best[k, x], self.low[k, x], self.high[k, x], self.other[k, x] = reach[hit], low[hit], high[hit], keys[t, column[hit]]
+            self.best[k, x], self.low[k, x], self.high[k, x], self.other[k, x] = reach, low[hit], high[hit], keys[t, column[hit]]
+            np.minimum.at(self.least[k], self.part[k][x], reach)
 
     def _keep(self, k: int, at: np.ndarray, least: np.ndarray, reach: np.ndarray, to: np.ndarray, keys: np.ndarray) -> None:
         """Of equally short edges the one with the lower lower end, then the lower upper end."""
@@ -491,6 +649,7 @@ class _Out:
         better = (least < self.best[k, at]) | (first < self.low[k, at]) | ((first == self.low[k, at]) & (second < self.high[k, at]))
         at = at[better]
         self.best[k, at], self.low[k, at], self.high[k, at], self.other[k, at] = least[better], first[better], second[better], keys[which[better]]
+        np.minimum.at(self.least[k], self.part[k][at], least[better])
 
     def found(self):
         if self.places is None:
@@ -505,41 +664,40 @@ class _Out:
 
 def _trees_by_blocks(placed: DataFrame, n: int, samples: list[int], blocks: int) -> DataFrame:
     """(tree: its samples, a, b, w): the edges of all trees, whose rounds go on together, so that vectors are compared once a round for all of them."""
-    block, wide = F.pmod("place", F.lit(blocks)).alias("block"), len(samples)
+    wide = len(samples)
+    placed, blocks = _in_blocks(placed, n, blocks)
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        flat = lambda c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        values = {"places": table["place"].to_numpy(), "matrix": flat("p")} | ({"cores": flat("cores").reshape(-1, wide).T} if "cores" in table.schema.names else {})
+        table = table.sort_by("slot")
+        values = {"places": table["place"].to_numpy(), "matrix": _flat(table, "p")} | ({"cores": np.ascontiguousarray(_flat(table, "cores").T)} if "cores" in table.schema.names else {})
         return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64())} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in values.items()})
 
     def pack_keys(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("tree", "ascending"), ("place", "ascending")])
+        table = table.sort_by([("tree", "ascending"), ("slot", "ascending")])
         return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "keys": pa.array([table["key"].to_numpy().tobytes()], pa.binary())})
 
-    bare = settled(placed.select(block, "place", "p").groupBy("block").applyInArrow(pack, "block long, places binary, matrix binary"))
+    bare = settled(placed.groupBy("block").applyInArrow(pack, "block long, places binary, matrix binary"))
     k = min(max(samples), n - 1) + 1
     near = _grid(bare, blocks).mapInArrow(_met(lambda: _Near(k)), "place long, near array<double>")
     sorted_ = near.groupBy("place").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("x"))
     cores = sorted_.select("place", F.array(*[F.get("x", F.lit(min(s, n - 1))) for s in samples]).alias("cores"))
-    whole = placed.join(cores, "place").select(block, "place", "p", "cores")
-    points = settled(whole.groupBy("block").applyInArrow(pack, "block long, places binary, matrix binary, cores binary"))
+    points = settled(placed.join(cores, "place").groupBy("block").applyInArrow(pack, "block long, places binary, matrix binary, cores binary"))
 
     # A component's key is its tree's number times n plus its least place.
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long")))
-    labels = settled(placed.select("place", every.alias("tree")).select("place", "tree", (F.col("tree") * n + F.col("place")).alias("key")))
+    labels = settled(placed.select("block", "slot", "place", every.alias("tree")).select("block", "slot", "tree", (F.col("tree") * n + F.col("place")).alias("key")))
     edges = None
     while True:
         sizes = labels.groupBy("tree", "key").count().groupBy("tree").agg(F.count(F.lit(1)).alias("parts"), F.max_by("key", "count").alias("largest"))
         largest = {r["tree"]: r["largest"] for r in sizes.collect() if r["parts"] > 1}  # a row for each tree, eight at most
         if not largest:
             break
-        keys = labels.select(block, "place", "tree", "key").groupBy("block").applyInArrow(pack_keys, "block long, keys binary")
+        keys = labels.groupBy("block").applyInArrow(pack_keys, "block long, keys binary")
         found = _grid(settled(points.join(keys, "block")), blocks).mapInArrow(_met(lambda largest=largest: _Out(largest)), "key long, w double, a long, b long, other long")
         picked = settled(found.groupBy("key").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("key", "e.*"))
         edges = picked if edges is None else edges.unionByName(picked)
-        wholes = connected_components(picked.select("key", "other"), small=condensing.CHUNK).select(F.col("node").alias("key"), "component")
-        labels = settled(labels.join(wholes, "key", "left").select("place", "tree", F.coalesce("component", "key").alias("key")))
+        wholes = connected_components(picked.select("key", "other"), small=condensing.CHUNK, apart=F.floor(F.col("key") / n)).select(F.col("node").alias("key"), "component")
+        labels = settled(labels.join(wholes, "key", "left").select("block", "slot", "tree", F.coalesce("component", "key").alias("key")))
     tree = F.element_at(F.array(*[F.lit(s) for s in samples]), (F.floor(F.col("key") / n) + 1).cast("int")).alias("tree")
     return settled(edges.select(tree, "a", "b", "w").distinct())  # two components may pick the same edge
 

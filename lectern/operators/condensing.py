@@ -23,7 +23,7 @@ from ..functions.partitions import indexed
 from ..functions.tables import materialize
 
 #: Edges or clusters of one stretch, at most.
-CHUNK = 100_000
+CHUNK = 1_000_000
 #: Densities above count as this one.
 MOST = 1e12
 

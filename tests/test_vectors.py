@@ -384,3 +384,58 @@ def test_layout_weighs_neighbours_once(spark, monkeypatch):
     rows = spark.createDataFrame([(0, 1, 0.9), (1, 0, 0.9), (1, 2, 0.5), (2, 1, 0.5)], "i long, j long, similarity double")
     found = {(r.a, r.b): r.w for r in umap.fuzzy_edges(rows).collect()}
     assert tables == ["umap-weights"] and len(found) == 4 and found[0, 1] == found[1, 0]
+
+
+def test_blocks_out_of_reach_are_not_compared(spark, monkeypatch):
+    """Vectors lie in blocks with their neighbours, copies included; a leaf that no point's bound reaches is passed by, and distances and edges are exact."""
+    rng = np.random.default_rng(6)
+    points = np.concatenate([blobs(8, 60, dim=4, spread=0.3, seed=5)[0], np.repeat([[50.0, 0, 0, 0]], 100, axis=0)])
+    points = points[rng.permutation(len(points))]
+    n = len(points)
+    monkeypatch.setattr(clustering, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(clustering, "LEAF_ROWS", 10)
+    monkeypatch.setattr(clustering, "ASKING_ROWS", 80)
+    placed = spark.createDataFrame([(k, k, p.tolist()) for k, p in enumerate(points)], "place long, id long, p array<double>").repartition(3)
+    table, count = clustering._in_blocks(placed, n, -(-n // 40))
+    rows = table.collect()
+    assert sorted(r.place for r in rows) == list(range(n)) and {r.block for r in rows} == set(range(count))
+    blocks = [sorted((r.slot, r.place) for r in rows if r.block == b) for b in range(count)]
+    assert all([s for s, _ in b] == list(range(len(b))) and len(b) <= 40 for b in blocks)
+    places = [np.array([p for _, p in b]) for b in blocks]
+
+    seen, within = [], clustering._within
+    monkeypatch.setattr(clustering, "_within", lambda m, limit, o: seen.append(len(m) * len(o)) or within(m, limit, o))
+    near = clustering._Near(4)
+    for p in places:
+        near.ask(p, points[p])
+    for p in places:
+        near.meet(p, points[p])
+    want = np.sort(clustering.distances(points, points), axis=1)[:, :4]
+    assert (np.sort(near.best, axis=1) == want[near.places]).all()
+    assert sum(seen) < n * n / 3
+
+    seen.clear()
+    keys, cores = np.arange(n)[None], want[:, 3][None]
+    out = clustering._Out({0: 0})
+    for p in places:
+        out.ask(p, points[p], cores[:, p], keys[:, p])
+    for p in places:
+        out.meet(p, points[p], cores[:, p], keys[:, p])
+    assert sum(seen) < n * n / 3
+    reach = np.maximum(np.maximum(clustering.distances(points, points), cores[0][:, None]), cores[0])
+    np.fill_diagonal(reach, np.inf)
+    got = {r["key"]: (r["w"], r["a"], r["b"]) for batch in out.found() for r in batch.to_pylist()}
+    for x in range(1, n):
+        w = reach[x].min()
+        assert got[x] == min((w, min(x, y), max(x, y)) for y in np.flatnonzero(reach[x] == w).tolist())
+
+
+def test_bounded_graphs_apart_are_joined_in_a_task_each(spark, monkeypatch):
+    from lectern.functions import graphs
+
+    written, write = [], graphs.materialize
+    monkeypatch.setattr(graphs, "materialize", lambda df, name, **o: written.append(name) or write(df, name, **o))
+    edges = spark.createDataFrame([(g * 100 + k, g * 100 + k + 1) for g in range(3) for k in range(20)], "a long, b long")
+    found = graphs.connected_components(edges, small=20, apart=F.floor(F.col("a") / 100))
+    assert written == ["cc-components"]
+    assert sorted(map(tuple, found.collect())) == [(g * 100 + k, g * 100) for g in range(3) for k in range(21)]
